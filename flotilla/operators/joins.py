@@ -1,0 +1,34 @@
+"""Join helpers: broadcast only behind a size check."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# A dimension side is broadcast only when a bounded count proves it holds at
+# most this many rows; beyond that Spark plans a shuffle join (and AQE may
+# still switch to a broadcast from the measured shuffle size).
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def has_at_most(df: DataFrame, max_rows: int) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows.
+
+    ``limit(max_rows + 1).count()`` stops reading once the bound is crossed,
+    so the check costs at most ``max_rows + 1`` rows whatever the table size.
+    """
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def join_dimension(
+    fact: DataFrame,
+    dim: DataFrame,
+    on: str | list[str] | Column,
+    how: str = "inner",
+    max_rows: int = BROADCAST_MAX_ROWS,
+) -> DataFrame:
+    """Join a fact side to a dimension side, broadcasting the dimension only
+    when it is proven small; otherwise leave the strategy to the planner."""
+    if has_at_most(dim, max_rows):
+        dim = F.broadcast(dim)
+    return fact.join(dim, on, how)
