@@ -39,7 +39,13 @@ def run_fatigue_alerts(spark: SparkSession, sf_dir: str, work_dir: str) -> DataF
     ensure_utc(spark)
     path = os.path.join(sf_dir, "events.parquet")
     schema = spark.read.parquet(path).schema
-    events = spark.readStream.schema(schema).parquet(path).select("event_id", "ts", "user_id", "value")
+    reader = spark.readStream.schema(schema)
+    if os.path.isdir(path):
+        events = reader.parquet(path)
+    else:
+        # The stream source lists directories; the filter keeps it to the one file.
+        events = reader.option("pathGlobFilter", os.path.basename(path)).parquet(sf_dir)
+    events = events.select("event_id", "ts", "user_id", "value")
     customer = tables.read(spark, sf_dir, "customer", "c_custkey")
     out_dir = os.path.join(work_dir, "alerts")
     query = (
