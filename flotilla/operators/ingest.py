@@ -59,7 +59,10 @@ def flag_rows(upload: DataFrame, mode: str = vocab.DEFAULT_PLATE_MODE) -> DataFr
     fecha_raw = F.col("fecha")
     placa_ok = plates.plate_is_valid(placa, mode)
     fecha_ok = parse_upload_date(fecha_raw).isNotNull()
-    readable = F.col(CORRUPT).isNull() if CORRUPT in upload.columns else None
+    # A line is readable when the reader kept no corrupt record for it and its
+    # line number parsed. Testing ``fila`` too keeps the check right under CSV
+    # column pruning, where only the referenced columns are parsed.
+    readable = (F.col(CORRUPT).isNull() & F.col("fila").isNotNull()) if CORRUPT in upload.columns else None
     valid = placa_ok & fecha_ok if readable is None else placa_ok & fecha_ok & readable
     message = F.format_string("Fila %d: %s", F.col("fila"), error_reason(placa_ok, fecha_ok, placa, fecha_raw, readable))
     return upload.select(

@@ -45,14 +45,15 @@ def stream_oracle_sql(sql, ingest_ctes, with_) -> dict[str, str]:
                   (SELECT coalesce(list(error ORDER BY fila), []) FROM first_errors) AS invalid
            FROM counts""",
     )
-    alerts = sql(
-        f"""
-SELECT date_trunc('day', e.ts) AS dia_inicio, date_trunc('day', e.ts) + INTERVAL 1 DAY AS dia_fin,
-       count(DISTINCT e.event_id) AS alertas
-FROM events e JOIN customer c ON e.user_id = c.c_custkey
-WHERE e.value >= {vocab.FATIGUE_CRITICA_MIN}
+    alerts = with_(
+        f"""crit AS (
+  SELECT e.event_id, e.ts FROM events e JOIN customer c ON e.user_id = c.c_custkey
+  WHERE e.value >= {vocab.FATIGUE_CRITICA_MIN})""",
+        """SELECT date_trunc('day', ts) AS dia_inicio, date_trunc('day', ts) + INTERVAL 1 DAY AS dia_fin,
+       count(DISTINCT event_id) AS alertas
+FROM crit
 GROUP BY 1, 2
-HAVING date_trunc('day', e.ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"""
+HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM crit)""",
     )
     return {"stream_ingest_summary": summary, "stream_fatigue_alerts": alerts}
 
