@@ -11,13 +11,22 @@ from pyspark.sql import functions as F
 BROADCAST_MAX_ROWS = 1_000_000
 
 
+# Verdicts of earlier checks in this process, keyed by the plan's semantic hash
+# and its input files (rewritten tables get new part-file names).
+_VERDICTS: dict[tuple, bool] = {}
+
+
 def has_at_most(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows.
 
     ``limit(max_rows + 1).count()`` stops reading once the bound is crossed,
     so the check costs at most ``max_rows + 1`` rows whatever the table size.
+    A query that joins the same dimension several times pays for one check.
     """
-    return df.limit(max_rows + 1).count() <= max_rows
+    key = (df.semanticHash(), tuple(sorted(df.inputFiles())), max_rows)
+    if key not in _VERDICTS:
+        _VERDICTS[key] = df.limit(max_rows + 1).count() <= max_rows
+    return _VERDICTS[key]
 
 
 def join_dimension(

@@ -1,13 +1,14 @@
 """A view of the fleet tables over one test-data directory.
 
-Each accessor builds a fresh lazy plan from the Parquet tables; nothing is
-cached or collected, so Catalyst sees (and prunes, pushes down, reuses
-exchanges across) the whole query that uses it.
+Each accessor returns a lazy plan over the Parquet tables, built once per
+``Fleet`` (one ``Fleet`` per query), so a query that uses the inspections in
+several branches carries one plan for them and Spark can reuse its
+exchanges. Nothing is cached in memory or collected.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,35 +21,44 @@ class Fleet:
     spark: SparkSession
     sf_dir: str
     as_of: str = fleet.DEFAULT_AS_OF
+    _plans: dict = field(default_factory=dict, repr=False)
+
+    def _once(self, key, build):
+        if key not in self._plans:
+            self._plans[key] = build()
+        return self._plans[key]
 
     # --- base tables -----------------------------------------------------------
     def conductores(self) -> DataFrame:
-        return tables.conductores(self.spark, self.sf_dir)
+        return self._once("conductores", lambda: tables.conductores(self.spark, self.sf_dir))
 
     def vehiculos(self) -> DataFrame:
-        return tables.vehiculos(self.spark, self.sf_dir)
+        return self._once("vehiculos", lambda: tables.vehiculos(self.spark, self.sf_dir))
 
     def inspecciones(self) -> DataFrame:
-        return tables.inspecciones(self.spark, self.sf_dir)
+        return self._once("inspecciones", lambda: tables.inspecciones(self.spark, self.sf_dir))
 
     def evaluaciones(self) -> DataFrame:
-        return tables.evaluaciones(self.spark, self.sf_dir)
+        return self._once("evaluaciones", lambda: tables.evaluaciones(self.spark, self.sf_dir))
 
     def inspecciones_raw(self) -> DataFrame:
-        return tables.inspecciones_raw(self.spark, self.sf_dir)
+        return self._once("inspecciones_raw", lambda: tables.inspecciones_raw(self.spark, self.sf_dir))
 
     def upload(self) -> DataFrame:
-        return tables.upload(self.spark, self.sf_dir)
+        return self._once("upload", lambda: tables.upload_from_raw(self.inspecciones_raw()))
 
     def stored(self, mode: str) -> DataFrame:
-        return tables.stored(self.spark, self.sf_dir, mode)
+        return self._once(("stored", mode), lambda: tables.stored_from_raw(self.inspecciones_raw(), mode))
 
     # --- status tables -----------------------------------------------------------
     def drivers(self) -> DataFrame:
-        return fleet.driver_status(self.conductores(), self.inspecciones(), self.as_of)
+        return self._once("drivers", lambda: fleet.driver_status(self.conductores(), self.inspecciones(), self.as_of))
 
     def vehicles(self, with_result: bool = False) -> DataFrame:
-        return fleet.vehicle_status(self.vehiculos(), self.inspecciones(), self.as_of, with_result=with_result)
+        return self._once(
+            ("vehicles", with_result),
+            lambda: fleet.vehicle_status(self.vehiculos(), self.inspecciones(), self.as_of, with_result=with_result),
+        )
 
     def fatigue(self) -> DataFrame:
-        return fleet.fatigue_status(self.evaluaciones(), self.inspecciones())
+        return self._once("fatigue", lambda: fleet.fatigue_status(self.evaluaciones(), self.inspecciones()))

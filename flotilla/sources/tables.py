@@ -15,6 +15,7 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import plates
 from ..operators.joins import join_dimension
@@ -30,8 +31,28 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 N_VEHICLES = 400
 
 
+# Parquet schemas already read in this process, keyed by path and modification
+# time: later reads pass the schema and skip the footer scan of inference.
+_SCHEMAS: dict[tuple[str, float | None], T.StructType] = {}
+
+
+def _mtime(path: str) -> float | None:
+    try:
+        return os.path.getmtime(path)
+    except OSError:  # not a local path; the schema is re-read every time
+        return None
+
+
 def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    key = (path, _mtime(path))
+    schema = _SCHEMAS.get(key) if key[1] is not None else None
+    if schema is None:
+        df = spark.read.parquet(path)
+        if key[1] is not None:
+            _SCHEMAS[key] = df.schema
+    else:
+        df = spark.read.schema(schema).parquet(path)
     return df.select(*columns) if columns else df
 
 
@@ -156,19 +177,29 @@ REPEAT_OFFSET = 1_000_000
 
 def upload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fixture upload: the raw rows, then the rows with fila % 50 = 1 again."""
-    raw = inspecciones_raw(spark, sf_dir)
-    again = raw.where(F.col("fila") % 50 == 1).withColumn("fila", F.col("fila") + F.lit(REPEAT_OFFSET))
-    return raw.unionByName(again)
+    return upload_from_raw(inspecciones_raw(spark, sf_dir))
+
+
+def upload_from_raw(raw: DataFrame) -> DataFrame:
+    """Built in one pass over the raw rows: each row yields its own line number,
+    plus the shifted one when it is repeated, so the base join runs once."""
+    fila = F.col("fila")
+    lines = F.when(fila % 50 == 1, F.array(fila, fila + F.lit(REPEAT_OFFSET))).otherwise(F.array(fila))
+    cols = [c for c in raw.columns if c != "fila"]
+    return raw.select(F.explode(lines).alias("fila"), *cols)
 
 
 def stored(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
     """Rows already stored before the upload: the distinct keys of the valid raw
     rows with fila % 7 = 0, normalised in ``mode``."""
-    raw = inspecciones_raw(spark, sf_dir).where(F.col("fila") % 7 == 0)
+    return stored_from_raw(inspecciones_raw(spark, sf_dir), mode)
+
+
+def stored_from_raw(raw: DataFrame, mode: str) -> DataFrame:
     fecha = F.try_to_date(F.col("fecha"), "yyyy-MM-dd")
     ok = plates.plate_is_valid(F.col("placa"), mode) & fecha.isNotNull()
     return (
-        raw.where(ok)
+        raw.where((F.col("fila") % 7 == 0) & ok)
         .select(
             F.col("conductor"),
             plates.normalise_plate(F.col("placa"), mode).alias("placa"),
