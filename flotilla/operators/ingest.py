@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import plates, vocab
+from ..session import materialize_if_large
 from ..sources.files import CORRUPT
 from .scalars import side_by_side
 
@@ -89,8 +90,16 @@ class IngestJob:
     mode: str = vocab.DEFAULT_PLATE_MODE
     filename: str = "upload"
 
+    checkpoint: bool = False
+
     def __post_init__(self) -> None:
         self.flagged = flag_rows(self.upload, self.mode)
+        if self.checkpoint:
+            # The summary reads the flagged rows in three branches; for a large
+            # upload, writing them once to the shared checkpoint folder stops
+            # each branch from recomputing the upload and cuts the lineage a
+            # lost executor would otherwise replay.
+            self.flagged = materialize_if_large(self.flagged, "ingest-flagged")
 
     def valid(self) -> DataFrame:
         """Valid rows with normalised plate and parsed date."""
@@ -126,14 +135,20 @@ class IngestJob:
         """SET1: stored rows followed by the new ones."""
         return self.stored.select(*KEY).unionByName(self.inserted().select(*KEY))
 
-    def counts(self) -> DataFrame:
-        """AGG12: the five counters in one row."""
+    def counts(self, inserted_count: DataFrame | None = None) -> DataFrame:
+        """AGG12: the five counters in one row.
+
+        ``inserted_count`` (one row, column ``insertados``) may be given when
+        the inserted rows were already written, so they are not recomputed.
+        """
         row_counts = self.flagged.agg(
             F.count(F.lit(1)).alias("total_rows"),
             F.count_if(F.col("valida")).alias("valid_rows"),
             F.count_if(~F.col("valida")).alias("invalid_rows"),
         )
-        inserted = self.inserted().agg(F.count(F.lit(1)).alias("insertados"))
+        inserted = inserted_count
+        if inserted is None:
+            inserted = self.inserted().agg(F.count(F.lit(1)).alias("insertados"))
         both = side_by_side(row_counts, inserted)
         return both.select(
             "total_rows",

@@ -322,12 +322,12 @@ def _search_as_text(f: Fleet) -> DataFrame:
 # --- step 6: ingest ---------------------------------------------------------------------------
 
 
-def ingest_job(f: Fleet, mode: str = vocab.DEFAULT_PLATE_MODE) -> IngestJob:
-    return IngestJob(f.upload(), f.stored(mode), mode, filename="inspecciones.csv")
+def ingest_job(f: Fleet, mode: str = vocab.DEFAULT_PLATE_MODE, checkpoint: bool = False) -> IngestJob:
+    return IngestJob(f.upload(), f.stored(mode), mode, filename="inspecciones.csv", checkpoint=checkpoint)
 
 
 for _mode in vocab.PLATE_MODES:
-    register(f"ingest_summary_{_mode}")(lambda f, m=_mode: ingest_job(f, m).summary())
+    register(f"ingest_summary_{_mode}")(lambda f, m=_mode: ingest_job(f, m, checkpoint=True).summary())
     register(f"plate_check_{_mode}")(
         lambda f, m=_mode: ingest_job(f, m).flagged.select(
             "fila", "placa_original", F.col("placa").alias("placa_normalizada"), "valida"

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 UTC = "UTC"
 
@@ -73,3 +73,35 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the checkpoint root for one job's output."""
     root = checkpoint_root(spark)
     return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
+
+    The result's lineage starts at the written files: later actions read
+    them instead of recomputing ``df``, and a lost executor costs a re-read,
+    not a replay of the upstream plan.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+# Plans estimated above this size are written out before being read by
+# several branches; below it, recomputing is cheaper than a write.
+MATERIALIZE_MIN_BYTES = 1 << 30
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Total size of the relations ``df`` reads, from the planner's leaf
+    statistics (file sizes for file sources; no job runs).
+
+    Unlike the estimate of the whole plan, this does not multiply join
+    inputs, so it tracks how much data a recomputation would scan.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
+def materialize_if_large(df: DataFrame, name: str, min_bytes: int = MATERIALIZE_MIN_BYTES) -> DataFrame:
+    return materialize(df, name) if input_bytes(df) >= min_bytes else df

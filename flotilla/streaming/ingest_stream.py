@@ -44,8 +44,12 @@ def make_batch_writer(spark: SparkSession, stored_dir: str, counts_dir: str, err
         try:
             stored = spark.read.parquet(stored_dir).where(F.col("epoch") < F.lit(epoch)).select(*KEY)
             job = IngestJob(batch, stored, mode)
-            job.inserted().write.mode("overwrite").parquet(_epoch_dir(stored_dir, epoch))
-            job.counts().write.mode("overwrite").parquet(_epoch_dir(counts_dir, epoch))
+            inserted_dir = _epoch_dir(stored_dir, epoch)
+            job.inserted().write.mode("overwrite").parquet(inserted_dir)
+            # Count the inserted rows from what was just written instead of
+            # running the anti-join a second time.
+            inserted = spark.read.parquet(inserted_dir).agg(F.count(F.lit(1)).alias("insertados"))
+            job.counts(inserted).write.mode("overwrite").parquet(_epoch_dir(counts_dir, epoch))
             job.first_errors().write.mode("overwrite").parquet(_epoch_dir(errors_dir, epoch))
         finally:
             batch.unpersist()

@@ -29,7 +29,9 @@ def _stream_ingest_summary(f: Fleet) -> DataFrame:
     source = os.path.join(work, "inspecciones.csv")
     files.write_upload(f.upload(), source, "csv", files=STREAM_FILES)
     mode = vocab.DEFAULT_PLATE_MODE
-    return run_ingest_stream(f.spark, source, f.stored(mode), work, mode, filename="inspecciones.csv")
+    return run_ingest_stream(
+        f.spark, source, f.stored(mode), work, mode, files_per_batch=2, filename="inspecciones.csv"
+    )
 
 
 @register("stream_fatigue_alerts")

@@ -98,3 +98,17 @@ def test_sink_partitions(spark, fleet001, tmp_path):
     assert {"anio", "mes_num"} <= set(back.columns)
     assert back.count() == job.inserted().count()
     assert os.path.isdir(os.path.join(out, "anio=1995"))
+
+
+def test_materialized_flagged_rows_give_same_summary(fleet001, monkeypatch):
+    from flotilla import session
+
+    monkeypatch.setattr(session, "MATERIALIZE_MIN_BYTES", 0)
+    import flotilla.operators.ingest as ingest_mod
+
+    monkeypatch.setattr(ingest_mod, "materialize_if_large", lambda df, name: session.materialize(df, name))
+    lazy = IngestJob(fleet001.upload(), fleet001.stored("strict"), "strict").summary().first()
+    job = IngestJob(fleet001.upload(), fleet001.stored("strict"), "strict", checkpoint=True)
+    assert all("ingest-flagged" in f for f in job.flagged.inputFiles())
+    assert tuple(job.summary().first()) == tuple(lazy)
+    assert session.input_bytes(job.flagged) > 0
