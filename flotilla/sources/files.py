@@ -41,6 +41,8 @@ def _configure(reader, fmt: str, glob: str | None):
     reader = reader.schema(upload_schema(fmt))
     if fmt == "csv":
         reader = reader.option("header", "true")
+        # Cells keep their spaces: a plate like " abc-123" must reach validation as is.
+        reader = reader.option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
     if fmt in ("csv", "json"):
         reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
     if glob:
@@ -67,7 +69,12 @@ def write_upload(df: DataFrame, path: str, fmt: str = "csv", files: int = 4) ->
     out = df.select(*[f.name for f in UPLOAD_SCHEMA.fields]).repartitionByRange(files, "fila")
     writer = out.sortWithinPartitions("fila").write.mode("overwrite")
     if fmt == "csv":
-        writer = writer.option("header", "true")
+        # The CSV writer trims cells unless told otherwise.
+        writer = (
+            writer.option("header", "true")
+            .option("ignoreLeadingWhiteSpace", "false")
+            .option("ignoreTrailingWhiteSpace", "false")
+        )
     writer.format(fmt).save(path)
 
 

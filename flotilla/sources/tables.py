@@ -84,11 +84,15 @@ def conductores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vehiculos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vehicle registry: the distinct fixture plates over all orders.
 
-    The distinct runs as a partial aggregate per map task, so only a few
-    hundred rows per task are shuffled whatever the size of ``orders``.
+    The distinct runs as a partial hash aggregate on a long per map task, so
+    only a few hundred rows per task are shuffled whatever the size of
+    ``orders``.
     """
     orders = read(spark, sf_dir, "orders", "o_orderkey")
-    return orders.select(plate_of(vehicle_index(F.col("o_orderkey"))).alias("placa")).distinct()
+    # Distinct on the vehicle number (a long) first, then build one plate
+    # string per vehicle; plate_of is one-to-one on 0..N_VEHICLES-1.
+    v = orders.select(vehicle_index(F.col("o_orderkey")).alias("v")).distinct()
+    return v.select(plate_of(F.col("v")).alias("placa"))
 
 
 def _customer_nation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,3 +112,15 @@ def test_materialized_flagged_rows_give_same_summary(fleet001, monkeypatch):
     assert all("ingest-flagged" in f for f in job.flagged.inputFiles())
     assert tuple(job.summary().first()) == tuple(lazy)
     assert session.input_bytes(job.flagged) > 0
+
+
+def test_text_report_sink(spark, fleet001, tmp_path):
+    from flotilla.operators import report
+
+    metrics = report.report_metrics(
+        fleet001.inspecciones(), fleet001.drivers(), fleet001.vehicles(with_result=True), fleet001.fatigue()
+    )
+    out = str(tmp_path / "report")
+    files.write_text_report(report.report_lines(metrics), out)
+    lines = sorted(r.value for r in spark.read.text(out).collect())
+    assert len(lines) == 4 and any(line.startswith("Inspecciones realizadas: ") for line in lines)
