@@ -60,3 +60,18 @@ def test_no_cross_products(spark, name):
 def test_ingest_has_no_row_window(spark):
     p = plan(REGISTRY["ingest_inserted"](spark, SF001))
     assert "Window" not in p
+
+
+def test_search_on_stored_table_prunes_partitions(spark, fleet001, tmp_path):
+    from flotilla.operators import search
+    from flotilla.sources import files
+
+    out = str(tmp_path / "inspecciones")
+    insp = fleet001.inspecciones()
+    files.with_partition_columns(insp).write.partitionBy("anio", "mes_num").parquet(out)
+    stored = spark.read.parquet(out)
+    params = search.SearchParams(placa="b", mes="3", ano="2000")
+    found = search.search(stored, params)
+    p = plan(found)
+    assert "PartitionFilters: [" in p and "anio" in p.split("PartitionFilters: [", 1)[1].split("]", 1)[0]
+    assert found.count() == search.search(insp, params).count()
