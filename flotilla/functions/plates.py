@@ -24,10 +24,15 @@ def normalise_plate(raw: Column, mode: str) -> Column:
 
 
 def plate_is_valid(raw: Column, mode: str) -> Column:
-    """Never null: a null plate is invalid in every mode."""
+    """Never null: a null plate is invalid in every mode.
+
+    Written as ``isNotNull & test`` rather than ``coalesce(test, false)`` so
+    the predicate stays visible to the optimizer (it counts as selective for
+    dynamic partition pruning).
+    """
     norm = normalise_plate(raw, mode)
     if mode == "permissive":
         ok = norm != F.lit("")
     else:
         ok = norm.rlike(vocab.PLATE_PATTERN)
-    return F.coalesce(ok, F.lit(False))
+    return norm.isNotNull() & ok

@@ -26,10 +26,11 @@ from pyspark.sql import functions as F
 
 from ..functions import plates, vocab
 from ..session import materialize_if_large
-from ..sources.files import CORRUPT
+from ..sources.files import CORRUPT, with_partition_columns
 from .scalars import side_by_side
 
 KEY = ["conductor", "placa", "fecha"]
+PARTITION_COLUMNS = ["anio", "mes_num"]
 ROW_COLUMNS = ["fila", "conductor", "placa", "contrato", "campo_coordinacion", "fecha", "resultado"]
 FIRST_ERRORS = 5
 DATE_FORMAT = "yyyy-MM-dd"
@@ -121,10 +122,26 @@ class IngestJob:
         first = self.valid().groupBy(*KEY).agg(F.min(F.struct(*rest)).alias("_first"))
         return first.select(*[F.col(f"_first.{c}").alias(c) if c in rest else F.col(c) for c in ROW_COLUMNS])
 
+    def stored_keys(self) -> DataFrame:
+        """The stored keys an upload row could match.
+
+        When the stored table is partitioned by year and month (as SNK1 writes
+        it), it is first semi-joined with the upload's months. Dynamic
+        partition pruning turns that into a partition filter on the stored
+        scan, so an incremental upload reads only the months it touches, not
+        the whole history. The months side is broadcast without a runtime
+        check: it has one row per (year, month), at most 12 x 10,000 rows
+        for any ``yyyy-MM-dd`` date.
+        """
+        stored = self.stored
+        if set(PARTITION_COLUMNS) <= set(stored.columns):
+            months = with_partition_columns(self.valid()).select(*PARTITION_COLUMNS).distinct()
+            stored = stored.join(F.broadcast(months), PARTITION_COLUMNS, "left_semi")
+        return stored.select(*KEY)
+
     def inserted(self) -> DataFrame:
         """JOI3: first occurrences whose key is not stored yet: the rows to write."""
-        stored_keys = self.stored.select(*KEY)
-        return self.first_occurrences().join(stored_keys, KEY, "left_anti").select(*ROW_COLUMNS)
+        return self.first_occurrences().join(self.stored_keys(), KEY, "left_anti").select(*ROW_COLUMNS)
 
     def duplicates(self) -> DataFrame:
         """Valid rows that are not inserted: repeated in the file or already stored."""

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from ..operators.ingest import KEY, ROW_COLUMNS, IngestJob
+from ..operators.ingest import KEY, PARTITION_COLUMNS, ROW_COLUMNS, IngestJob
 from ..operators.scalars import side_by_side
 from ..sources import files
 
@@ -29,12 +29,18 @@ def _epoch_dir(root: str, epoch: int) -> str:
     return os.path.join(root, f"epoch={epoch}")
 
 
+def _write_epoch(rows: DataFrame, stored_dir: str, epoch: int) -> None:
+    """Stored rows of one epoch, partitioned by year and month so a batch's
+    lookup prunes to the months it touches."""
+    files.with_partition_columns(rows).write.mode("overwrite").partitionBy(*PARTITION_COLUMNS).parquet(
+        _epoch_dir(stored_dir, epoch)
+    )
+
+
 def seed_stored(stored: DataFrame, stored_dir: str) -> None:
     """Write the rows stored before the stream starts as epoch 0."""
     cols = [F.col(c) if c in stored.columns else F.lit(None).cast("string").alias(c) for c in ROW_COLUMNS]
-    stored.select(*cols).withColumn("fila", F.col("fila").cast("bigint")).write.mode("overwrite").parquet(
-        _epoch_dir(stored_dir, INITIAL_EPOCH)
-    )
+    _write_epoch(stored.select(*cols).withColumn("fila", F.col("fila").cast("bigint")), stored_dir, INITIAL_EPOCH)
 
 
 def make_batch_writer(spark: SparkSession, stored_dir: str, counts_dir: str, errors_dir: str, mode: str):
@@ -42,13 +48,14 @@ def make_batch_writer(spark: SparkSession, stored_dir: str, counts_dir: str, err
         epoch = batch_id + 1
         batch = batch.persist()
         try:
-            stored = spark.read.parquet(stored_dir).where(F.col("epoch") < F.lit(epoch)).select(*KEY)
-            job = IngestJob(batch, stored, mode)
-            inserted_dir = _epoch_dir(stored_dir, epoch)
-            job.inserted().write.mode("overwrite").parquet(inserted_dir)
+            stored = spark.read.parquet(stored_dir).where(F.col("epoch") < F.lit(epoch))
+            job = IngestJob(batch, stored.select(*KEY, *PARTITION_COLUMNS), mode)
+            _write_epoch(job.inserted(), stored_dir, epoch)
             # Count the inserted rows from what was just written instead of
             # running the anti-join a second time.
-            inserted = spark.read.parquet(inserted_dir).agg(F.count(F.lit(1)).alias("insertados"))
+            inserted = spark.read.parquet(_epoch_dir(stored_dir, epoch)).agg(
+                F.count(F.lit(1)).alias("insertados")
+            )
             job.counts(inserted).write.mode("overwrite").parquet(_epoch_dir(counts_dir, epoch))
             job.first_errors().write.mode("overwrite").parquet(_epoch_dir(errors_dir, epoch))
         finally:

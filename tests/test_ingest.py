@@ -124,3 +124,18 @@ def test_text_report_sink(spark, fleet001, tmp_path):
     files.write_text_report(report.report_lines(metrics), out)
     lines = sorted(r.value for r in spark.read.text(out).collect())
     assert len(lines) == 4 and any(line.startswith("Inspecciones realizadas: ") for line in lines)
+
+
+def test_partitioned_stored_table_is_pruned(spark, fleet001, tmp_path):
+    """With stored rows partitioned by year/month, the lookup prunes to the upload's months."""
+    mode = "flexible"
+    out = str(tmp_path / "stored")
+    files.write_inserted(fleet001.stored(mode), out)
+    stored = spark.read.parquet(out)
+    upload = fleet001.upload().where(F.col("fecha").startswith("1998-03"))
+    job = IngestJob(upload, stored, mode)
+    ins = job.inserted()
+    ins.write.format("noop").mode("overwrite").save()
+    assert "dynamicpruningexpression" in ins._jdf.queryExecution().executedPlan().toString()
+    plain = IngestJob(upload, fleet001.stored(mode), mode)
+    assert sorted(r.fila for r in ins.collect()) == sorted(r.fila for r in plain.inserted().collect())

@@ -43,7 +43,6 @@ def test_latest_with_hot_key(spark):
         F.col("id").alias("v"),
     )
     hot = latest_per_key(df, "k", ["ts", "v"]).where("k = 0").first()
-    assert (hot.ts, hot.v) == (999, 29999 - (29999 % 3) - 0 if False else hot.v)
     brute = df.where("k = 0").orderBy(F.desc("ts"), F.desc("v")).first()
     assert (hot.ts, hot.v) == (brute.ts, brute.v)
 
