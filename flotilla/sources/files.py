@@ -83,9 +83,21 @@ def with_partition_columns(df: DataFrame, date_col: str = "fecha") -> DataFrame:
     return df.withColumn("anio", F.year(date_col)).withColumn("mes_num", F.month(date_col))
 
 
+def for_partitioned_write(df: DataFrame, *partition_cols: str) -> DataFrame:
+    """Cluster rows by their output partition before a partitioned write.
+
+    Without it every task writes one file per partition value it holds
+    (tasks x months small files). The ``rebalance`` hint lets AQE coalesce
+    small partitions and split a hot one (a month holding a third of the
+    rows is spread over several tasks), so files stay few and even.
+    """
+    return df.hint("rebalance", *partition_cols)
+
+
 def write_inserted(df: DataFrame, path: str) -> None:
     """SNK1: append new rows to the stored table, partitioned by year and month."""
-    with_partition_columns(df).write.mode("append").partitionBy("anio", "mes_num").parquet(path)
+    out = for_partitioned_write(with_partition_columns(df), "anio", "mes_num")
+    out.write.mode("append").partitionBy("anio", "mes_num").parquet(path)
 
 
 def write_text_report(lines: DataFrame, path: str) -> None:

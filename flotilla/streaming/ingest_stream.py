@@ -32,9 +32,8 @@ def _epoch_dir(root: str, epoch: int) -> str:
 def _write_epoch(rows: DataFrame, stored_dir: str, epoch: int) -> None:
     """Stored rows of one epoch, partitioned by year and month so a batch's
     lookup prunes to the months it touches."""
-    files.with_partition_columns(rows).write.mode("overwrite").partitionBy(*PARTITION_COLUMNS).parquet(
-        _epoch_dir(stored_dir, epoch)
-    )
+    out = files.for_partitioned_write(files.with_partition_columns(rows), *PARTITION_COLUMNS)
+    out.write.mode("overwrite").partitionBy(*PARTITION_COLUMNS).parquet(_epoch_dir(stored_dir, epoch))
 
 
 def seed_stored(stored: DataFrame, stored_dir: str) -> None:
