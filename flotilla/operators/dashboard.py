@@ -59,12 +59,21 @@ def monthly_comparison(inspecciones: DataFrame) -> DataFrame:
     )
 
 
-def inspection_counts(inspecciones: DataFrame) -> DataFrame:
-    """AGG5, AGG6 (D16): total inspections and exact distinct drivers and vehicles, one pass."""
+def inspection_counts(inspecciones: DataFrame, approx_rsd: float | None = None) -> DataFrame:
+    """AGG5, AGG6 (D16): total inspections and distinct drivers and vehicles, one pass.
+
+    Exact by default. With ``approx_rsd`` the distinct counts are HyperLogLog++
+    sketches (``approx_count_distinct``) with that relative standard
+    deviation: fixed-size buffers merged map-side, no shuffle of distinct keys.
+    """
+    if approx_rsd is None:
+        distinct = lambda c: F.countDistinct(c)
+    else:
+        distinct = lambda c: F.approx_count_distinct(c, rsd=approx_rsd)
     return inspecciones.agg(
         F.count(F.lit(1)).alias("total_inspecciones"),
-        F.countDistinct("conductor").alias("total_conductores"),
-        F.countDistinct("placa").alias("total_vehiculos"),
+        distinct("conductor").alias("total_conductores"),
+        distinct("placa").alias("total_vehiculos"),
     )
 
 
@@ -86,10 +95,12 @@ def overdue_count(vehicles: DataFrame, overdue_days: int = vocab.OVERDUE_DAYS) -
     )
 
 
-def dashboard_metrics(inspecciones: DataFrame, fatigue: DataFrame, vehicles: DataFrame) -> DataFrame:
+def dashboard_metrics(
+    inspecciones: DataFrame, fatigue: DataFrame, vehicles: DataFrame, approx_rsd: float | None = None
+) -> DataFrame:
     """SRC1 / PRJ9: the five dashboard scalars in one row."""
     return side_by_side(
-        inspection_counts(inspecciones), fatigue_detected(fatigue), overdue_count(vehicles)
+        inspection_counts(inspecciones, approx_rsd), fatigue_detected(fatigue), overdue_count(vehicles)
     ).select(
         "total_inspecciones",
         "total_conductores",

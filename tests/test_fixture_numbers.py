@@ -67,3 +67,10 @@ def test_dashboard_metrics(fleet01):
     assert m.inspecciones_vencidas == fleet01.vehicles().where(
         F.col("dias_sin_inspeccion").isNull() | (F.col("dias_sin_inspeccion") > 90)
     ).count()
+
+
+def test_dashboard_approximate_distinct_is_close(fleet01):
+    row = dashboard.inspection_counts(fleet01.inspecciones(), approx_rsd=0.01).first()
+    assert row.total_inspecciones == 14401
+    assert abs(row.total_conductores - 1470) <= 1470 * 0.05
+    assert abs(row.total_vehiculos - 392) <= 392 * 0.05
