@@ -73,10 +73,15 @@ def search_predicate(params: SearchParams, columns: list[str]) -> Column | None:
     return functools.reduce(operator.and_, preds) if preds else None
 
 
+PARTITION_COLUMNS = ("anio", "mes_num")
+
+
 def search(inspecciones: DataFrame, params: SearchParams) -> DataFrame:
-    """SRC8: the matching inspection rows, all columns."""
+    """SRC8: the matching inspection rows, all inspection columns (partition
+    columns of a stored table serve the filter and are not returned)."""
     cond = search_predicate(params, inspecciones.columns)
-    return inspecciones if cond is None else inspecciones.where(cond)
+    found = inspecciones if cond is None else inspecciones.where(cond)
+    return found.drop(*[c for c in PARTITION_COLUMNS if c in found.columns])
 
 
 def search_count(inspecciones: DataFrame, params: SearchParams) -> DataFrame:

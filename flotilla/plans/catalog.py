@@ -21,6 +21,9 @@ class Fleet:
     spark: SparkSession
     sf_dir: str
     as_of: str = fleet.DEFAULT_AS_OF
+    # A stored inspection table (``tables.write_inspections``); when set it is
+    # read instead of deriving the inspections from the test tables.
+    inspections_path: str | None = None
     _plans: dict = field(default_factory=dict, repr=False)
 
     def _once(self, key, build):
@@ -36,6 +39,8 @@ class Fleet:
         return self._once("vehiculos", lambda: tables.vehiculos(self.spark, self.sf_dir))
 
     def inspecciones(self) -> DataFrame:
+        if self.inspections_path:
+            return self._once("inspecciones", lambda: tables.read_inspections(self.spark, self.inspections_path))
         return self._once("inspecciones", lambda: tables.inspecciones(self.spark, self.sf_dir))
 
     def evaluaciones(self) -> DataFrame:

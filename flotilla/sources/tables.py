@@ -211,3 +211,24 @@ def stored_from_raw(raw: DataFrame, mode: str) -> DataFrame:
         )
         .distinct()
     )
+
+
+# Columns of the inspection table, in order.
+INSPECTION_COLUMNS = ["inspeccion_id", "conductor", "placa", "contrato", "campo_coordinacion", "fecha", "resultado"]
+
+
+def write_inspections(inspections: DataFrame, path: str) -> None:
+    """Store the inspection table once, partitioned by year and month of ``fecha``.
+
+    Queries that then read it (``read_inspections``) skip the base join and
+    prune partitions on month/year search parameters and date bounds.
+    """
+    from .files import for_partitioned_write, with_partition_columns
+
+    out = for_partitioned_write(with_partition_columns(inspections.select(*INSPECTION_COLUMNS)), "anio", "mes_num")
+    out.write.mode("overwrite").partitionBy("anio", "mes_num").parquet(path)
+
+
+def read_inspections(spark: SparkSession, path: str) -> DataFrame:
+    """A stored inspection table: the inspection columns plus ``anio``/``mes_num``."""
+    return spark.read.parquet(path).select(*INSPECTION_COLUMNS, "anio", "mes_num")
