@@ -424,6 +424,9 @@ SELECT (SELECT count(*) FROM inspecciones) AS total_inspecciones,
 
     for mode in vocab.PLATE_MODES:
         q[f"ingest_summary_{mode}"] = _summary(mode)
+        q[f"ingest_counts_{mode}"] = _ingest(
+            mode, "SELECT total_rows, valid_rows, invalid_rows, duplicados, insertados FROM counts"
+        )
         q[f"plate_check_{mode}"] = _ingest(
             mode, "SELECT fila, placa_original, placa AS placa_normalizada, valida FROM flagged"
         )

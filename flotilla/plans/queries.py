@@ -328,6 +328,7 @@ def ingest_job(f: Fleet, mode: str = vocab.DEFAULT_PLATE_MODE, checkpoint: bool
 
 for _mode in vocab.PLATE_MODES:
     register(f"ingest_summary_{_mode}")(lambda f, m=_mode: ingest_job(f, m, checkpoint=True).summary())
+    register(f"ingest_counts_{_mode}")(lambda f, m=_mode: ingest_job(f, m).counts())
     register(f"plate_check_{_mode}")(
         lambda f, m=_mode: ingest_job(f, m).flagged.select(
             "fila", "placa_original", F.col("placa").alias("placa_normalizada"), "valida"
