@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from ..operators.ingest import KEY, PARTITION_COLUMNS, ROW_COLUMNS, IngestJob
+from ..operators.ingest import FIRST_ERRORS, KEY, PARTITION_COLUMNS, ROW_COLUMNS, IngestJob
 from ..operators.scalars import side_by_side
 from ..sources import files
 
@@ -42,7 +42,7 @@ def seed_stored(stored: DataFrame, stored_dir: str) -> None:
     _write_epoch(stored.select(*cols).withColumn("fila", F.col("fila").cast("bigint")), stored_dir, INITIAL_EPOCH)
 
 
-def make_batch_writer(spark: SparkSession, stored_dir: str, counts_dir: str, errors_dir: str, mode: str):
+def make_batch_writer(spark: SparkSession, stored_dir: str, counts_dir: str, mode: str):
     def process(batch: DataFrame, batch_id: int) -> None:
         epoch = batch_id + 1
         batch = batch.persist()
@@ -55,8 +55,10 @@ def make_batch_writer(spark: SparkSession, stored_dir: str, counts_dir: str, err
             inserted = spark.read.parquet(_epoch_dir(stored_dir, epoch)).agg(
                 F.count(F.lit(1)).alias("insertados")
             )
-            job.counts(inserted).write.mode("overwrite").parquet(_epoch_dir(counts_dir, epoch))
-            job.first_errors().write.mode("overwrite").parquet(_epoch_dir(errors_dir, epoch))
+            # One row per epoch: the counters and the batch's first errors
+            # (at most FIRST_ERRORS, so the array is bounded).
+            errs = job.first_errors().agg(F.collect_list(F.struct("fila", "error")).alias("errores"))
+            side_by_side(job.counts(inserted), errs).write.mode("overwrite").parquet(_epoch_dir(counts_dir, epoch))
         finally:
             batch.unpersist()
 
@@ -76,30 +78,28 @@ def run_ingest_stream(
     """Run the stream over every file present in ``source_dir`` and return the summary row."""
     stored_dir = os.path.join(work_dir, "stored")
     counts_dir = os.path.join(work_dir, "counts")
-    errors_dir = os.path.join(work_dir, "errors")
     seed_stored(stored, stored_dir)
     source = files.read_upload_stream(spark, source_dir, fmt, files_per_batch=files_per_batch)
     query = (
-        source.writeStream.foreachBatch(make_batch_writer(spark, stored_dir, counts_dir, errors_dir, mode))
+        source.writeStream.foreachBatch(make_batch_writer(spark, stored_dir, counts_dir, mode))
         .option("checkpointLocation", os.path.join(work_dir, "checkpoint"))
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return stream_summary(spark, counts_dir, errors_dir, filename or os.path.basename(source_dir.rstrip("/")))
+    return stream_summary(spark, counts_dir, filename or os.path.basename(source_dir.rstrip("/")))
 
 
-def stream_summary(spark: SparkSession, counts_dir: str, errors_dir: str, filename: str) -> DataFrame:
+def stream_summary(spark: SparkSession, counts_dir: str, filename: str) -> DataFrame:
     """Fold the per-batch counters and first errors into one summary row."""
     counters = ["total_rows", "valid_rows", "invalid_rows", "duplicados", "insertados"]
-    counts = spark.read.parquet(counts_dir).agg(
-        *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in counters]
-    )
+    parts = spark.read.parquet(counts_dir)
+    counts = parts.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in counters])
     errs = (
-        spark.read.parquet(errors_dir)
-        .select("fila", "error")
+        parts.select(F.explode("errores").alias("e"))
+        .select("e.fila", "e.error")
         .orderBy("fila")
-        .limit(5)
+        .limit(FIRST_ERRORS)
         .agg(F.transform(F.sort_array(F.collect_list(F.struct("fila", "error"))), lambda x: x["error"]).alias("invalid"))
     )
     return side_by_side(counts, errs).select(F.lit(filename).alias("filename"), *counters, "invalid")

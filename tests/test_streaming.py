@@ -26,14 +26,14 @@ def test_stream_ingest_equals_batch(spark, fleet001):
 def test_rerun_batch_is_idempotent(spark, fleet001):
     mode = "flexible"
     work = scratch_path(spark, "t-idem")
-    stored_dir, counts_dir, errors_dir = (os.path.join(work, d) for d in ("stored", "counts", "errors"))
+    stored_dir, counts_dir = (os.path.join(work, d) for d in ("stored", "counts"))
     seed_stored(fleet001.stored(mode), stored_dir)
-    process = make_batch_writer(spark, stored_dir, counts_dir, errors_dir, mode)
+    process = make_batch_writer(spark, stored_dir, counts_dir, mode)
     up = fleet001.upload()
     process(up, 0)
-    first = stream_summary(spark, counts_dir, errors_dir, "x").first()
+    first = stream_summary(spark, counts_dir, "x").first()
     process(up, 0)  # the same micro-batch again after a failure
-    again = stream_summary(spark, counts_dir, errors_dir, "x").first()
+    again = stream_summary(spark, counts_dir, "x").first()
     assert tuple(first) == tuple(again)
     assert first.insertados == IngestJob(up, fleet001.stored(mode), mode).inserted().count()
 
