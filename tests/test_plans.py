@@ -97,3 +97,13 @@ def test_stored_inspections_give_same_answers(spark, tmp_path):
     assert found.columns == derived.inspecciones().columns
     assert rows(found) == rows(search.search(derived.inspecciones(), params))
     assert "anio" in plan(found).split("PartitionFilters: [", 1)[1].split("]", 1)[0]
+
+
+def test_cluster_settings_scale_with_input():
+    from flotilla.session import cluster_settings
+
+    big = cluster_settings(100 << 40, 8000)
+    small = cluster_settings(1 << 30, 64)
+    assert int(big["spark.sql.shuffle.partitions"]) == 100_000
+    assert int(small["spark.sql.shuffle.partitions"]) == 128
+    assert int(cluster_settings(10 << 40, 8000)["spark.sql.shuffle.partitions"]) == 20480
