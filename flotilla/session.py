@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 UTC = "UTC"
+ROCKSDB_STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def build_session(
@@ -60,6 +61,9 @@ def cluster_settings(input_bytes: int, total_cores: int, partition_bytes: int =
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1g",
         "spark.sql.files.maxPartitionBytes": "512m",
         "spark.sql.autoBroadcastJoinThreshold": "64m",
+        # Stream state (open days, evaluation ids inside the watermark) in
+        # RocksDB rather than on the JVM heap.
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB_STATE_STORE,
     }
 
 

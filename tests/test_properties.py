@@ -4,7 +4,6 @@ import datetime as dt
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from flotilla.operators.ingest import IngestJob
 from flotilla.operators.latest import latest_per_key

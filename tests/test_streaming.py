@@ -43,3 +43,17 @@ def test_alerts_match_batch_days(spark):
     assert out.agg(F.sum("alertas")).first()[0] == out.where("alertas > 0").agg(F.sum("alertas")).first()[0]
     rows = out.collect()
     assert rows and all(r.dia_fin > r.dia_inicio for r in rows)
+
+
+def test_alerts_with_rocksdb_state(spark):
+    from flotilla.session import ROCKSDB_STATE_STORE
+
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    default = run_fatigue_alerts(spark, SF001, scratch_path(spark, "t-alerts-hdfs"))
+    spark.conf.set(key, ROCKSDB_STATE_STORE)
+    try:
+        rocks = run_fatigue_alerts(spark, SF001, scratch_path(spark, "t-alerts-rocks"))
+        assert sorted(tuple(r) for r in rocks.collect()) == sorted(tuple(r) for r in default.collect())
+    finally:
+        spark.conf.set(key, before)
