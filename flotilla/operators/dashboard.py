@@ -25,17 +25,14 @@ def monthly_series(inspecciones: DataFrame) -> DataFrame:
 
 
 def monthly_inspections(inspecciones: DataFrame) -> DataFrame:
-    """PRJ7: (mes, inspecciones) for the first bar chart."""
-    return inspecciones.groupBy(dates.month_label(F.col("fecha")).alias("mes")).agg(
-        F.count(F.lit(1)).alias("inspecciones")
-    )
+    """PRJ7: (mes, inspecciones) for the first bar chart, a projection of the
+    one monthly series; Catalyst prunes the distinct count it does not use."""
+    return monthly_series(inspecciones).select("mes", "inspecciones")
 
 
 def monthly_vehicles(inspecciones: DataFrame) -> DataFrame:
-    """PRJ7: (mes, vehiculos) for the second bar chart."""
-    return inspecciones.groupBy(dates.month_label(F.col("fecha")).alias("mes")).agg(
-        F.countDistinct("placa").alias("vehiculos")
-    )
+    """PRJ7: (mes, vehiculos) for the second bar chart, from the same series."""
+    return monthly_series(inspecciones).select("mes", "vehiculos")
 
 
 def monthly_comparison(inspecciones: DataFrame) -> DataFrame:
