@@ -1,0 +1 @@
+"""Table bindings over the test data, upload readers and sinks."""

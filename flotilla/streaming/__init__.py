@@ -1,0 +1 @@
+"""Structured Streaming jobs: incremental ingest and fatigue alerts."""
