@@ -80,15 +80,17 @@ def checkpoint_root(spark: SparkSession) -> str:
     Only when it is unset (local tests) do we create a folder of our own and
     record it on the session, so every later call agrees.
     """
-    sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001  (remote sessions have no SparkContext)
+        sc = None
+    configured = (sc.getConf().get("spark.checkpoint.dir", None) if sc else None) or spark.conf.get(
         "spark.checkpoint.dir", None
     )
     if not configured:
         configured = tempfile.mkdtemp(prefix="flotilla-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
-    jdir = sc._jsc.sc().getCheckpointDir()
-    if jdir.isEmpty():
+    if sc is not None and sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(configured)
     return configured
 
@@ -123,7 +125,10 @@ def input_bytes(df: DataFrame) -> int:
     Unlike the estimate of the whole plan, this does not multiply join
     inputs, so it tracks how much data a recomputation would scan.
     """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    jdf = getattr(df, "_jdf", None)
+    if jdf is None:  # remote session: no planner access, treat as small
+        return 0
+    leaves = jdf.queryExecution().optimizedPlan().collectLeaves()
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
