@@ -15,12 +15,11 @@ SF01 = "/root/testdata/sf0.01"
 def spark():
     from flotilla.session import build_session
 
-    session = build_session(
-        "local[*]",
-        8,
-        app_name="flotilla-tests",
-        extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="flotilla-test-ckpt-")},
-    )
+    session = build_session("local[*]", 8, app_name="flotilla-tests")
+    # The shared checkpoint folder comes from the session (spark-defaults);
+    # a temporary one is set only when none is configured.
+    if not session.sparkContext.getConf().get("spark.checkpoint.dir", None):
+        session.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="flotilla-test-ckpt-"))
     yield session
     session.stop()
 
