@@ -42,6 +42,18 @@ def seed_stored(stored: DataFrame, stored_dir: str) -> None:
     _write_epoch(stored.select(*cols).withColumn("fila", F.col("fila").cast("bigint")), stored_dir, INITIAL_EPOCH)
 
 
+COUNTS_SCHEMA = (
+    "total_rows bigint, valid_rows bigint, invalid_rows bigint, duplicados bigint, insertados bigint, "
+    "errores array<struct<fila: bigint, error: string>>"
+)
+
+
+def seed_counts(spark: SparkSession, counts_dir: str) -> None:
+    """A zero row at epoch 0, so a stream that saw no file still sums to zeros."""
+    zero = spark.createDataFrame([(0, 0, 0, 0, 0, [])], COUNTS_SCHEMA)
+    zero.write.mode("overwrite").parquet(_epoch_dir(counts_dir, INITIAL_EPOCH))
+
+
 def make_batch_writer(spark: SparkSession, stored_dir: str, counts_dir: str, mode: str):
     def process(batch: DataFrame, batch_id: int) -> None:
         epoch = batch_id + 1
@@ -79,6 +91,7 @@ def run_ingest_stream(
     stored_dir = os.path.join(work_dir, "stored")
     counts_dir = os.path.join(work_dir, "counts")
     seed_stored(stored, stored_dir)
+    seed_counts(spark, counts_dir)
     source = files.read_upload_stream(spark, source_dir, fmt, files_per_batch=files_per_batch)
     query = (
         source.writeStream.foreachBatch(make_batch_writer(spark, stored_dir, counts_dir, mode))

@@ -57,3 +57,11 @@ def test_alerts_with_rocksdb_state(spark):
         assert sorted(tuple(r) for r in rocks.collect()) == sorted(tuple(r) for r in default.collect())
     finally:
         spark.conf.set(key, before)
+
+
+def test_empty_source_gives_zero_summary(spark, fleet001, tmp_path):
+    src = tmp_path / "empty"
+    src.mkdir()
+    work = scratch_path(spark, "t-empty")
+    row = run_ingest_stream(spark, str(src), fleet001.stored("flexible"), work, "flexible", filename="e").first()
+    assert tuple(row) == ("e", 0, 0, 0, 0, 0, [])
