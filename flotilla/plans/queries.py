@@ -95,21 +95,25 @@ def _fatigue_status(f: Fleet) -> DataFrame:
 
 @register("drivers_by_estado")
 def _drivers_by_estado(f: Fleet) -> DataFrame:
+    """FLT1: status equality alone."""
     return filter_drivers(f.drivers(), Filters(estado=vocab.AMARILLO))
 
 
 @register("drivers_from_date")
 def _drivers_from_date(f: Fleet) -> DataFrame:
+    """FLT4: lower date bound alone; never-inspected drivers pass."""
     return filter_drivers(f.drivers(), Filters(fecha_inicio="2001-01-01"))
 
 
 @register("drivers_filtered")
 def _drivers_filtered(f: Fleet) -> DataFrame:
+    """FLT7: status and both date bounds together (187 rows at sf0.01)."""
     return filter_drivers(f.drivers(), DRIVER_FILTERS)
 
 
 @register("vehicles_by_estado")
 def _vehicles_by_estado(f: Fleet) -> DataFrame:
+    """FLT2: status equality; the fatigue filter is set too, and ignored."""
     return filter_vehicles(f.vehicles(), Filters(estado=vocab.NARANJA, fatiga=vocab.LEVE))
 
 
@@ -125,6 +129,7 @@ def _fatigue_by_level(f: Fleet) -> DataFrame:
 
 @register("fatigue_conflicting_filters")
 def _fatigue_conflict(f: Fleet) -> DataFrame:
+    """FLT3: two different set values on the same column give no rows."""
     return filter_fatigue(f.fatigue(), Filters(estado=vocab.ROJO, fatiga=vocab.LEVE))
 
 
