@@ -90,7 +90,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not configured:
         configured = tempfile.mkdtemp(prefix="flotilla-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
-    if sc is not None and sc._jsc.sc().getCheckpointDir().isEmpty():
+    if sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(configured)
     return configured
 
@@ -122,7 +122,9 @@ def input_bytes(df: DataFrame) -> int:
     """Total size of the relations ``df`` reads, from the planner's leaf
     statistics (file sizes for file sources; no job runs).
 
-    Unlike the estimate of the whole plan, this does not multiply join
+    These are the statistics Spark itself uses for its broadcast decision;
+    PySpark has no public accessor, hence the one call into the plan. Unlike
+    the estimate of the whole plan, the leaf sum does not multiply join
     inputs, so it tracks how much data a recomputation would scan.
     """
     jdf = getattr(df, "_jdf", None)
