@@ -39,12 +39,21 @@ def fatigue_alerts(events: DataFrame, customer: DataFrame, critica_min: float =
     return dedup.groupBy(F.window("ts_evento", WINDOW)).agg(F.count(F.lit(1)).alias("alertas"))
 
 
-def run_fatigue_alerts(spark: SparkSession, sf_dir: str, work_dir: str) -> DataFrame:
-    """Run the alert stream over the events table to completion; return the emitted days."""
+def run_fatigue_alerts(
+    spark: SparkSession, sf_dir: str, work_dir: str, files_per_batch: int | None = None
+) -> DataFrame:
+    """Run the alert stream over the events table to completion; return the emitted days.
+
+    ``files_per_batch`` bounds each micro-batch. Streaming runs without AQE,
+    so that bound is what limits how much of one hot driver a task of the
+    semi join sees in one batch.
+    """
     ensure_utc(spark)
     path = os.path.join(sf_dir, "events.parquet")
     schema = spark.read.parquet(path).schema
     reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", str(files_per_batch))
     if os.path.isdir(path):
         events = reader.parquet(path)
     else:
