@@ -327,12 +327,15 @@ def _search_as_text(f: Fleet) -> DataFrame:
 # --- step 6: ingest ---------------------------------------------------------------------------
 
 
-def ingest_job(f: Fleet, mode: str = vocab.DEFAULT_PLATE_MODE, checkpoint: bool = False) -> IngestJob:
-    return IngestJob(f.upload(), f.stored(mode), mode, filename="inspecciones.csv", checkpoint=checkpoint)
+def ingest_job(f: Fleet, mode: str = vocab.DEFAULT_PLATE_MODE) -> IngestJob:
+    """The fixture upload against the fixture's stored rows. The flagged rows
+    feed several branches, so they are written once when the input is large
+    (``materialize_if_large``); small inputs stay lazy."""
+    return IngestJob(f.upload(), f.stored(mode), mode, filename="inspecciones.csv", checkpoint=True)
 
 
 for _mode in vocab.PLATE_MODES:
-    register(f"ingest_summary_{_mode}")(lambda f, m=_mode: ingest_job(f, m, checkpoint=True).summary())
+    register(f"ingest_summary_{_mode}")(lambda f, m=_mode: ingest_job(f, m).summary())
     register(f"ingest_counts_{_mode}")(lambda f, m=_mode: ingest_job(f, m).counts())
     register(f"plate_check_{_mode}")(
         lambda f, m=_mode: ingest_job(f, m).flagged.select(
