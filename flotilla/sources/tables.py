@@ -71,10 +71,7 @@ def plate_of(v: Column) -> Column:
 
 def conductores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Driver registry: customer ⋈ nation."""
-    customer = read(spark, sf_dir, "customer", "c_name", "c_mktsegment", "c_nationkey")
-    nation = read(spark, sf_dir, "nation", "n_nationkey", "n_name")
-    joined = join_dimension(customer, nation, customer.c_nationkey == nation.n_nationkey)
-    return joined.select(
+    return _customer_nation(spark, sf_dir).select(
         F.col("c_name").alias("conductor"),
         F.col("c_mktsegment").alias("contrato"),
         F.col("n_name").alias("campo_coordinacion"),
@@ -101,24 +98,24 @@ def _customer_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_dimension(customer, nation, customer.c_nationkey == nation.n_nationkey)
 
 
-def _base_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _base_orders(spark: SparkSession, sf_dir: str, where: Column | None = None) -> DataFrame:
     """orders ⋈ customer ⋈ nation, the rows every inspection table comes from.
 
-    orders ⋈ customer is left to the planner: a broadcast when the customer
-    side is measured small, a sort-merge join otherwise, with AQE splitting
-    a hot customer key.
+    ``where`` filters the orders before the join. orders ⋈ customer is left to
+    the planner: a broadcast when the customer side is measured small, a
+    sort-merge join otherwise, with AQE splitting a hot customer key.
     """
     orders = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
-    return orders.join(_customer_nation(spark, sf_dir), orders.o_custkey == F.col("c_custkey"))
+    if where is not None:
+        orders = orders.where(where)
+    return orders.join(_customer_nation(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey"))
 
 
 def inspecciones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inspection table; customers with key % 50 = 0 and vehicles with v % 50 = 0
     have none, so the registries hold never-inspected drivers and vehicles."""
-    orders = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
     v = vehicle_index(F.col("o_orderkey"))
-    orders = orders.where((F.col("o_custkey") % F.lit(50) != F.lit(0)) & (v % F.lit(50) != F.lit(0)))
-    base = orders.join(_customer_nation(spark, sf_dir), orders.o_custkey == F.col("c_custkey"))
+    base = _base_orders(spark, sf_dir, (F.col("o_custkey") % F.lit(50) != F.lit(0)) & (v % F.lit(50) != F.lit(0)))
     return base.select(
         F.col("o_orderkey").alias("inspeccion_id"),
         F.col("c_name").alias("conductor"),
