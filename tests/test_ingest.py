@@ -139,3 +139,10 @@ def test_partitioned_stored_table_is_pruned(spark, fleet001, tmp_path):
     assert "dynamicpruningexpression" in ins._jdf.queryExecution().executedPlan().toString()
     plain = IngestJob(upload, fleet001.stored(mode), mode)
     assert sorted(r.fila for r in ins.collect()) == sorted(r.fila for r in plain.inserted().collect())
+
+
+def test_empty_upload_summary(spark):
+    up = spark.createDataFrame([], files.UPLOAD_SCHEMA)
+    empty = spark.createDataFrame([], "conductor string, placa string, fecha date")
+    row = IngestJob(up, empty, "strict", filename="vacio.csv").summary().first()
+    assert tuple(row) == ("vacio.csv", 0, 0, 0, 0, 0, [])
