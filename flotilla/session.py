@@ -58,6 +58,8 @@ def cluster_settings(input_bytes: int, total_cores: int, partition_bytes: int =
     return {
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+        # Coalesce toward the advisory size rather than toward the core count.
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1g",
         "spark.sql.files.maxPartitionBytes": "512m",
         "spark.sql.autoBroadcastJoinThreshold": "64m",
