@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql import functions as F
 
 from ..functions import vocab
@@ -77,7 +78,7 @@ def make_batch_writer(spark: SparkSession, stored_dir: str, counts_dir: str, mod
     return process
 
 
-def run_ingest_stream(
+def start_ingest_stream(
     spark: SparkSession,
     source_dir: str,
     stored: DataFrame,
@@ -85,21 +86,41 @@ def run_ingest_stream(
     mode: str = vocab.DEFAULT_PLATE_MODE,
     fmt: str = "csv",
     files_per_batch: int = 1,
-    filename: str | None = None,
-) -> DataFrame:
-    """Run the stream over every file present in ``source_dir`` and return the summary row."""
+    processing_time: str | None = None,
+) -> StreamingQuery:
+    """Start the ingest stream and return the running query.
+
+    With ``processing_time`` (e.g. ``"1 minute"``) it keeps watching
+    ``source_dir``; without it, it processes the files present and stops.
+    Outputs go under ``work_dir``: ``stored`` (partitioned by epoch, year,
+    month), ``counts`` (one row per epoch) and ``checkpoint``.
+    """
     stored_dir = os.path.join(work_dir, "stored")
     counts_dir = os.path.join(work_dir, "counts")
     seed_stored(stored, stored_dir)
     seed_counts(spark, counts_dir)
     source = files.read_upload_stream(spark, source_dir, fmt, files_per_batch=files_per_batch)
-    query = (
-        source.writeStream.foreachBatch(make_batch_writer(spark, stored_dir, counts_dir, mode))
-        .option("checkpointLocation", os.path.join(work_dir, "checkpoint"))
-        .trigger(availableNow=True)
-        .start()
+    writer = source.writeStream.foreachBatch(make_batch_writer(spark, stored_dir, counts_dir, mode)).option(
+        "checkpointLocation", os.path.join(work_dir, "checkpoint")
     )
+    writer = writer.trigger(processingTime=processing_time) if processing_time else writer.trigger(availableNow=True)
+    return writer.start()
+
+
+def run_ingest_stream(
+    spark: SparkSession,
+    source_dir: str,
+    stored: DataFrame,
+    work_dir: str,
+    mode: str = vocab.DEFAULT_PLATE_MODE,
+    fmt: str = "csv",
+    files_per_batch: int = 1,
+    filename: str | None = None,
+) -> DataFrame:
+    """Run the stream over every file present in ``source_dir`` and return the summary row."""
+    query = start_ingest_stream(spark, source_dir, stored, work_dir, mode, fmt, files_per_batch)
     query.awaitTermination()
+    counts_dir = os.path.join(work_dir, "counts")
     return stream_summary(spark, counts_dir, filename or os.path.basename(source_dir.rstrip("/")))
 
 

@@ -65,3 +65,24 @@ def test_empty_source_gives_zero_summary(spark, fleet001, tmp_path):
     work = scratch_path(spark, "t-empty")
     row = run_ingest_stream(spark, str(src), fleet001.stored("flexible"), work, "flexible", filename="e").first()
     assert tuple(row) == ("e", 0, 0, 0, 0, 0, [])
+
+
+def test_continuous_stream_picks_up_new_files(spark, fleet001):
+    from flotilla.streaming.ingest_stream import start_ingest_stream
+
+    mode = "flexible"
+    work = scratch_path(spark, "t-cont")
+    src = os.path.join(work, "incoming")
+    up = fleet001.upload()
+    files.write_upload(up.where(F.col("fila") < 500), os.path.join(src, "a"), "csv", files=1)
+    query = start_ingest_stream(spark, os.path.join(src, "*"), fleet001.stored(mode), work, mode,
+                                processing_time="1 second")
+    try:
+        query.processAllAvailable()
+        files.write_upload(up.where(F.col("fila") >= 500), os.path.join(src, "b"), "csv", files=1)
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    got = stream_summary(spark, os.path.join(work, "counts"), "x").first()
+    want = IngestJob(up, fleet001.stored(mode), mode, filename="x").summary().first()
+    assert tuple(got) == tuple(want)
