@@ -125,8 +125,8 @@ class IngestJob:
     def stored_keys(self) -> DataFrame:
         """The stored keys an upload row could match.
 
-        When the stored table is partitioned by year and month (as SNK1 writes
-        it), it is first semi-joined with the upload's months. Dynamic
+        Distinct keys only. When the stored table is partitioned by year and
+        month (as SNK1 writes it), it is first semi-joined with the upload's months. Dynamic
         partition pruning turns that into a partition filter on the stored
         scan, so an incremental upload reads only the months it touches, not
         the whole history. The months side is broadcast without a runtime
@@ -137,7 +137,11 @@ class IngestJob:
         if set(PARTITION_COLUMNS) <= set(stored.columns):
             months = with_partition_columns(self.valid()).select(*PARTITION_COLUMNS).distinct()
             stored = stored.join(F.broadcast(months), PARTITION_COLUMNS, "left_semi")
-        return stored.select(*KEY)
+        # Copies of one key in the stored table fold map-side here; the
+        # distinct's exchange is the hash partitioning the anti-join needs
+        # anyway, so it adds no shuffle, and a key stored many times cannot
+        # skew the side of the anti-join AQE is unable to split.
+        return stored.select(*KEY).distinct()
 
     def inserted(self) -> DataFrame:
         """JOI3: first occurrences whose key is not stored yet: the rows to write."""
