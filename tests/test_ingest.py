@@ -146,3 +146,19 @@ def test_empty_upload_summary(spark):
     empty = spark.createDataFrame([], "conductor string, placa string, fecha date")
     row = IngestJob(up, empty, "strict", filename="vacio.csv").summary().first()
     assert tuple(row) == ("vacio.csv", 0, 0, 0, 0, 0, [])
+
+
+def test_repeated_stored_key_counts_once(spark, fleet001):
+    """A key stored thousands of times is folded before the anti-join: same rows, same counters."""
+    mode = "flexible"
+    stored = fleet001.stored(mode).select("conductor", "placa", "fecha")
+    hot = stored.first()
+    copies = spark.range(5000).select(
+        F.lit(hot.conductor).alias("conductor"), F.lit(hot.placa).alias("placa"), F.lit(hot.fecha).alias("fecha")
+    )
+    plain = IngestJob(fleet001.upload(), stored, mode)
+    skewed = IngestJob(fleet001.upload(), stored.unionByName(copies), mode)
+    assert tuple(skewed.counts().first()) == tuple(plain.counts().first())
+    assert sorted(r.fila for r in skewed.inserted().collect()) == sorted(r.fila for r in plain.inserted().collect())
+    keys = skewed.stored_keys()
+    assert keys.count() == keys.distinct().count()
