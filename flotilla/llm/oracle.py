@@ -2,6 +2,49 @@
 
 from __future__ import annotations
 
+from .line_dedup import MIN_CHARS, SITES
+
+LINE_DEDUP = f"""
+WITH docs AS (
+    SELECT row_number() OVER () AS r, doc_id, text, coalesce(source, '') AS site, string_split(text, chr(10)) AS lines
+    FROM documents
+), lines AS (
+    SELECT r, doc_id, site, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM docs
+), spread AS (
+    SELECT trim(line, ' ') AS line FROM lines WHERE length(trim(line, ' ')) >= {MIN_CHARS}
+    GROUP BY 1 HAVING count(DISTINCT site) >= {SITES}
+), placed AS (
+    SELECT r, pos, line, trim(line, ' ') IN (SELECT line FROM spread) AS common,
+        row_number() OVER (PARTITION BY trim(line, ' ') ORDER BY doc_id NULLS LAST, pos) AS nth
+    FROM lines
+), cleaned AS (
+    SELECT r, string_agg(line, chr(10) ORDER BY pos) FILTER (NOT common OR nth = 1) AS text,
+        count(*) FILTER (common AND nth > 1) AS removed_lines
+    FROM placed GROUP BY r
+)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(c.text, '') END AS text,
+    CAST(coalesce(c.removed_lines, 0) AS BIGINT) AS removed_lines
+FROM docs d LEFT JOIN cleaned c ON d.r = c.r
+"""
+
+TOP_K = """
+WITH v AS (
+    SELECT vec_id, min(list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    GROUP BY vec_id
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(
+        CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+), ranked AS (
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score
+    FROM scored
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_site_spread_lines": LINE_DEDUP, "op9_block_top_k": TOP_K}

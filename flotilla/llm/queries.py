@@ -6,18 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, tokens
+from . import line_dedup, minhash, mixing, tokens, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_site_spread_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that sit on five sites or more."""
+    docs = line_dedup.without_boilerplate(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    return docs.select("doc_id", docs["clean_text"].alias("text"), "removed_lines")
+
+
 def op6_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entropy-balanced mix of all documents: words taken per document."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
+def op7_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents: 3-word shingles, Jaccard of at least 85 %."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), n=3, percent=85)
+
+
+def op9_block_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best inner products of every 50th vector against all others."""
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), every=50, k=5)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count of every document by the 50k byte-level vocabulary."""
     import public_tokenizers
@@ -28,6 +44,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op4_site_spread_lines": op4_site_spread_lines,
         "op6_entropy_mix": op6_entropy_mix,
+        "op7_circulant_minhash": op7_circulant_minhash,
+        "op9_block_top_k": op9_block_top_k,
         "op10_token_counts": op10_token_counts,
     }
