@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, minhash, mixing, tokens, topk
+from . import line_dedup, minhash, mixing, tokens, topk, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_url_language_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url: rules first, then the calibrated language-model ratio."""
+    return url_filter.filter_urls(table(spark, sf_dir, "pages", "page_id", "url"))
+
+
 def op4_site_spread_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that sit on five sites or more."""
     docs = line_dedup.without_boilerplate(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
@@ -44,6 +49,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_url_language_ratio": op1_url_language_ratio,
         "op4_site_spread_lines": op4_site_spread_lines,
         "op6_entropy_mix": op6_entropy_mix,
         "op7_circulant_minhash": op7_circulant_minhash,
