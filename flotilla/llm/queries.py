@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, minhash, mixing, tokens, topk, url_filter
+from . import decontaminate, line_dedup, minhash, mixing, pii, tokens, topk, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,12 +17,24 @@ def op1_url_language_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages", "page_id", "url"))
 
 
+def op3_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: base spans and the terms that disclose them."""
+    return pii.digest(pii.protect(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
 def op4_site_spread_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that sit on five sites or more."""
     docs = line_dedup.without_boilerplate(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
     return docs.select("doc_id", docs["clean_text"].alias("text"), "removed_lines")
 
 
+def op5_spaced_seed_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, with whether it overlaps a benchmark item and how many it overlaps."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    flagged = decontaminate.flag_documents(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return flagged.select("doc_id", "contaminated", "n_items")
+
+
 def op6_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entropy-balanced mix of all documents: words taken per document."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
@@ -50,7 +62,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_url_language_ratio": op1_url_language_ratio,
+        "op3_disclosure_pii": op3_disclosure_pii,
         "op4_site_spread_lines": op4_site_spread_lines,
+        "op5_spaced_seed_leaks": op5_spaced_seed_leaks,
         "op6_entropy_mix": op6_entropy_mix,
         "op7_circulant_minhash": op7_circulant_minhash,
         "op9_block_top_k": op9_block_top_k,
