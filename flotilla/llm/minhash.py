@@ -10,12 +10,17 @@ Candidates. Documents with the same shingle set (one 128-bit fingerprint) form
 a class and go on as its smallest doc_id. ``rows`` coordinates make a band;
 rows and bands are set from the threshold so that a pair at the threshold
 shares no band with probability below MISS. All members of a band's bucket are
-compared with the bucket's smallest member, exactly, on full sets. Two other
-members are compared where those comparisons leave it open: both are not yet
-in one component, and neither the set sizes nor the triangle inequality of the
-Jaccard distance (|d(x, l) - d(y, l)| <= d(x, y) with the leader l) rules a
-link out. So a bucket of any size costs one comparison per member plus the
-pairs that truly stay open; nothing is capped.
+compared with the bucket's smallest member h, exactly, on full sets. Two other
+members x and y are compared only where that leaves a link between different
+components open. Their intersection is |x & y & h| plus the shingles foreign to
+h which they share, so a link needs either
+  A. min(|x & h|, |y & h|) large enough by itself, and Jaccard distances to h
+     that differ by no more than a link's distance, or
+  B. enough shared foreign shingles; only those found in several components
+     count, and one of them is early in hash order in both sets (prefix filter).
+Pairs of kind B meet in buckets of one foreign shingle, which are again first
+compared with their smallest member. So a large group of copies costs a few
+comparisons per member plus the pairs that truly stay open; nothing is capped.
 
 Joins run on written tables by id or bucket key, where AQE splits hot keys;
 class and bucket summaries are partial aggregates. Components are found by
@@ -32,7 +37,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved
@@ -148,33 +153,38 @@ def sketch(documents: DataFrame, n: int, threshold: float) -> DataFrame:
 
 
 def compared(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """(a, b, shared, total): intersection and union sizes of the full shingle sets of each pair."""
+    """(a, b, shared, total, size, foreign) of each pair, on full shingle sets.
+
+    ``shared`` and ``total`` are the sizes of intersection and union, ``size``
+    that of b's set, ``foreign`` b's shingles outside a's set.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]
-            shared, total = [], []
-            at = 0
-            # Groups of rows whose first texts fit a piece; the second texts are of like size.
             for a, b, data, offsets in text_groups(batch.column(2), PIECE):
                 left, lo = shingle_sets(data, offsets, n)
+                shared, total, size, foreign = [], [], [], []
                 for c, d, other, off in text_groups(batch.column(3).slice(a, b - a), PIECE):
                     right, ro = shingle_sets(other, off, n)
                     for k in range(c, d):
                         x, y = left[lo[k] : lo[k + 1]], right[ro[k - c] : ro[k - c + 1]]
-                        both = np.intersect1d(x, y, assume_unique=True).size
+                        new = np.setdiff1d(y, x, assume_unique=True)
+                        both = y.size - new.size
                         shared.append(both)
                         total.append(x.size + y.size - both)
-                at = b
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[0][:at]), pa.array(ids[1][:at]), pa.array(shared, pa.int64()), pa.array(total, pa.int64())],
-                ["a", "b", "shared", "total"],
-            )
+                        size.append(y.size)
+                        foreign.append(new.view(np.int64))
+                ids = [batch.column(i).slice(a, b - a) for i in (0, 1)]
+                numbers = [pa.array(v, pa.int64()) for v in (shared, total, size)]
+                yield pa.RecordBatch.from_arrays(
+                    [*ids, *numbers, pa.array(foreign, pa.list_(pa.int64()))],
+                    ["a", "b", "shared", "total", "size", "foreign"],
+                )
 
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return rows.mapInArrow(run, "a long, b long, shared long, total long")
+    return rows.mapInArrow(run, "a long, b long, shared long, total long, size long, foreign array<long>")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -206,6 +216,90 @@ def linked(percent: int) -> Column:
     return F.lit(100) * F.col("shared") >= F.lit(percent) * F.col("total")
 
 
+def placed(rated: DataFrame, labels: DataFrame) -> DataFrame:
+    """(h, rep, n, shared, d, foreign, label) of compared members whose leader's members lie in several components."""
+    rows = rated.select(
+        F.col("a").alias("h"), F.col("b").alias("rep"), F.col("size").alias("n"), "shared",
+        (1 - F.col("shared") / F.col("total")).alias("d"), "foreign",
+    ).join(labels.withColumnRenamed("node", "rep"), "rep")
+    rows = saved(rows, "placed")
+    several = rows.groupBy("h").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("h")
+    return saved(rows.join(several, "h", "left_semi"), "open")
+
+
+def sides(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Pairs x, y of members of different components that meet on ``keys``, x before y."""
+    x = left.select(*keys, *[F.col(c).alias(f"{c}_x") for c in columns])
+    y = right.select(*keys, *[F.col(c).alias(f"{c}_y") for c in columns])
+    return x.join(y, keys).where((F.col("label_x") != F.col("label_y")) & (F.col("rep_x") < F.col("rep_y")))
+
+
+def may_link(shared: Column, n_x: Column, n_y: Column, percent: int) -> Column:
+    """Whether sets of these sizes would be linked if they shared so many shingles."""
+    return F.lit(100) * shared >= F.lit(percent) * (n_x + n_y - shared)
+
+
+def rest_needed(percent: int) -> Column:
+    """How many foreign shingles x and y must share to be linked, whatever they share inside h."""
+    inside = F.least("shared_x", "shared_y")
+    need = F.ceil((F.lit(percent) * (F.col("n_x") + F.col("n_y"))) / F.lit(100.0 + percent) - F.lit(1e-9))
+    return F.greatest(need - inside, F.lit(1))
+
+
+def foreign_rows(rated: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(h, shingle, rep, n, shared, left, label, least): members by foreign shingle.
+
+    Only shingles whose members lie in several components count. ``left``: how
+    many of those the member has from this one on, in hash order; a row stays
+    if they are enough for a link with any set (prefix filter). ``least``: the
+    shingle's smallest member.
+    """
+    rows = saved(placed(rated, labels).select("h", "rep", "n", "shared", "label", F.explode("foreign").alias("shingle")), "foreign")
+    several = rows.groupBy("h", "shingle").agg(
+        F.min("label").alias("l0"), F.max("label").alias("l1"), F.min(F.struct("rep", "n", "shared")).alias("least")
+    )
+    rows = rows.join(several.where("l0 < l1").select("h", "shingle", "least"), ["h", "shingle"])
+    after = Window.partitionBy("h", "rep").orderBy(F.col("shingle").desc())
+    rows = rows.withColumn("left", F.row_number().over(after))
+    enough = F.greatest(F.ceil((F.lit(percent) * F.col("n") - 100 * F.col("shared")) / F.lit(100.0) - F.lit(1e-9)), F.lit(1))
+    return saved(rows.where(F.col("left") >= enough), "foreign-open")
+
+
+def foreign_pairs(rated: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(a, b): open pairs of kind B."""
+    rows = foreign_rows(rated, labels, percent)
+    pairs = sides(rows, rows, ["h", "shingle"], ["rep", "n", "shared", "label", "left"])
+    pairs = pairs.where(F.least("left_x", "left_y") >= rest_needed(percent))
+    return pairs.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct()
+
+
+def known_pairs(rated: DataFrame) -> DataFrame:
+    return rated.select("a", "b")
+
+
+def open_links(rated: DataFrame, labels: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b): links among open pairs of kind A, and with the smallest members of kind B's buckets."""
+    slack = 1 - percent / 100 + 1e-9
+    rows = placed(rated, labels)
+    # Distances are met in bins as wide as the slack: only equal or neighbouring bins can link.
+    bin_ = F.floor(F.col("d") / F.lit(slack))
+    around = rows.withColumn("bin", F.explode(F.array(bin_ - 1, bin_, bin_ + 1)))
+    by_leader = may_link(F.least("shared_x", "shared_y"), F.col("n_x"), F.col("n_y"), percent)
+    fits = by_leader & (F.abs(F.col("d_x") - F.col("d_y")) <= F.lit(slack))
+    kind_a = sides(around, rows.withColumn("bin", bin_), ["h", "bin"], ["rep", "n", "shared", "d", "label"]).where(fits)
+    kind_a = kind_a.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b"))
+    foreign = foreign_rows(rated, labels, percent).where(F.col("rep") != F.col("least.rep"))
+    foreign = foreign.select(
+        F.col("least.rep").alias("a"), F.col("rep").alias("b"), "left",
+        F.col("least.n").alias("n_x"), F.col("n").alias("n_y"),
+        F.col("least.shared").alias("shared_x"), F.col("shared").alias("shared_y"),
+    )
+    stars = foreign.where(F.col("left") >= rest_needed(percent)).select("a", "b")
+    pairs = kind_a.unionByName(stars).distinct().join(known_pairs(rated), ["a", "b"], "left_anti")
+    pairs = saved(pairs, "open-pairs")
+    return compared(pairs, texts, n).where(linked(percent)).select("a", "b").distinct()
+
+
 def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``documents`` (doc_id, text).
 
@@ -219,7 +313,6 @@ def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> Data
     other column is read.
     """
     threshold = percent / 100
-    slack = (1 - threshold) + 1e-9
     sketches = saved(sketch(documents, n, threshold), "sketches")
     named = sketches.where(F.col("doc_id").isNotNull() & F.col("print").isNotNull())
     classes = saved(
@@ -244,35 +337,20 @@ def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> Data
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = saved(texts.join(wanted, "doc_id", "left_semi"), "texts")
-    rated = saved(compared(stars, texts, n), "rated")
-    # Rows that repeat a doc_id may give a pair several ratings; the best counts.
-    rated = rated.groupBy("a", "b").agg(F.max(F.col("shared") / F.col("total")).alias("jaccard"), F.max(linked(percent)).alias("link"))
-    rated = saved(rated, "ratings")
-    nodes = wanted.select(F.col("doc_id").alias("node"))
-    links = rated.where("link").select("a", "b")
+    rated = compared(stars, texts, n)
+    # Rows that repeat a doc_id may give a pair several ratings; the closest counts.
+    closest = F.max(F.struct(F.col("shared") / F.col("total"), "shared", "total", "size", "foreign")).alias("m")
+    rated = saved(rated.groupBy("a", "b").agg(closest).select("a", "b", "m.shared", "m.total", "m.size", "m.foreign"), "rated")
+    nodes = saved(wanted.select(F.col("doc_id").alias("node")), "nodes")
+    links = rated.where(linked(percent)).select("a", "b")
     labels = saved(components(nodes, links), "components")
-
-    # Pairs of one bucket that the comparisons with its leader leave open.
-    near = rated.select(F.col("a").alias("leader"), F.col("b").alias("rep"), (1 - F.col("jaccard")).alias("d"))
-    placed = members.where(F.col("rep") != F.col("leader")).join(near, ["leader", "rep"])
-    placed = placed.join(labels.withColumnRenamed("node", "rep"), "rep").select("key", "rep", "n", "d", "label")
-    placed = saved(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("key")
-    placed = saved(placed.join(mixed, "key", "left_semi"), "open")
-    # Distances are met in bins as wide as the slack: only equal or neighbouring bins can link.
-    bin_ = F.floor(F.col("d") / F.lit(slack))
-    left = placed.select("key", F.explode(F.array(bin_ - 1, bin_, bin_ + 1)).alias("bin"), *[F.col(c).alias(f"{c}_x") for c in ("rep", "n", "d", "label")])
-    right = placed.select("key", bin_.alias("bin"), *[F.col(c).alias(f"{c}_y") for c in ("rep", "n", "d", "label")])
-    fits = (
-        (F.col("label_x") != F.col("label_y"))
-        & (F.col("rep_x") < F.col("rep_y"))
-        & (F.abs(F.col("d_x") - F.col("d_y")) <= F.lit(slack))
-        & (100 * F.least("n_x", "n_y") >= F.lit(percent) * F.greatest("n_x", "n_y"))
-    )
-    open_ = left.join(right, ["key", "bin"]).where(fits).select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b"))
-    open_ = saved(open_.distinct().join(rated.select("a", "b"), ["a", "b"], "left_anti"), "open-pairs")
-    more = saved(compared(open_, texts, n).where(linked(percent)).select("a", "b").distinct(), "more-links")
-    labels = saved(components(nodes, links.unionByName(more)), "components")
+    more = saved(open_links(rated, labels, texts, n, percent), "more-links")
+    known = links.unionByName(more)
+    labels = saved(components(nodes, known), "components")
+    # Once more over foreign shingles: what their smallest members have not joined.
+    last = foreign_pairs(rated, labels, percent).join(known_pairs(rated), ["a", "b"], "left_anti")
+    last = saved(compared(saved(last, "last-pairs"), texts, n).where(linked(percent)).select("a", "b"), "last-links")
+    labels = saved(components(nodes, known.unionByName(last)), "components")
 
     reps = classes.select("print", "rep")
     reps = saved(
