@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, minhash, mixing, pii, tokens, topk, url_filter
+from . import decontaminate, langid, line_dedup, minhash, mixing, pii, tokens, topk, toxicity, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,12 @@ def op1_url_language_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages", "page_id", "url"))
 
 
+def op2_attention_gru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic")
+    return toxicity.toxicity(docs, labels, folds=5, held_out=0)
+
+
 def op3_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: base spans and the terms that disclose them."""
     return pii.digest(pii.protect(table(spark, sf_dir, "documents", "doc_id", "text")))
@@ -46,6 +52,11 @@ def op7_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), n=3, percent=85)
 
 
+def op8_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    return langid.identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), folds=4, held_out=2)
+
+
 def op9_block_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 best inner products of every 50th vector against all others."""
     return topk.exact_top_k(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), every=50, k=5)
@@ -62,11 +73,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_url_language_ratio": op1_url_language_ratio,
+        "op2_attention_gru_toxicity": op2_attention_gru_toxicity,
         "op3_disclosure_pii": op3_disclosure_pii,
         "op4_site_spread_lines": op4_site_spread_lines,
         "op5_spaced_seed_leaks": op5_spaced_seed_leaks,
         "op6_entropy_mix": op6_entropy_mix,
         "op7_circulant_minhash": op7_circulant_minhash,
+        "op8_crf_language": op8_crf_language,
         "op9_block_top_k": op9_block_top_k,
         "op10_token_counts": op10_token_counts,
     }
