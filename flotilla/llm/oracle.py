@@ -2,8 +2,48 @@
 
 from __future__ import annotations
 
+from .decontaminate import MASKS, NEED, SPAN, WINDOW
 from .line_dedup import MIN_CHARS, SITES
 
+SEEDS = " UNION ALL ".join(
+    f"SELECT r, place, {m} AS mask, [" + ", ".join(f"w[place + {o}]" for o in offsets) + "] AS seed FROM {places}"
+    for m, offsets in enumerate(MASKS)
+)
+
+
+def spaced_seeds() -> str:
+    """Seeds as token lists, hits and overlaps counted straight from the tokens."""
+
+    def words(table: str, key: str) -> str:
+        clean = "trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', ' ', 'g'))"
+        return (
+            f"SELECT row_number() OVER () AS r, {key}, CASE WHEN {clean} = '' THEN CAST([] AS VARCHAR[]) "
+            f"ELSE string_split({clean}, ' ') END AS w FROM {table}"
+        )
+
+    def places(source: str) -> str:
+        return f"SELECT r, w, unnest(range(1, len(w) - {SPAN} + 2)) AS place FROM {source} WHERE len(w) >= {SPAN}"
+
+    same = "list_transform(range(1, len(i.w) + 1), lambda k: CASE WHEN k + g > 0 AND d.w[k + g] = i.w[k] THEN 1 ELSE 0 END)"
+    return f"""
+WITH docs AS ({words("documents", "doc_id")}), items AS ({words("benchmark", "item_id")}),
+doc_places AS ({places("docs")}), item_places AS ({places("items")}),
+doc_seeds AS ({SEEDS.format(places="doc_places")}), item_seeds AS ({SEEDS.format(places="item_places")}),
+hits AS (
+    SELECT DISTINCT a.r AS dr, b.r AS ir, a.place - b.place AS g
+    FROM doc_seeds a JOIN item_seeds b ON a.mask = b.mask AND a.seed = b.seed
+), laid AS (
+    SELECT dr, item_id, {same} AS same, least(len(i.w), {WINDOW}) AS width
+    FROM hits JOIN docs d ON d.r = dr JOIN items i ON i.r = ir
+), rated AS (
+    SELECT dr, item_id, list_max(list_transform(range(1, len(same) - width + 2),
+        lambda j: list_sum(same[j : j + width - 1]))) * {WINDOW} / width AS agree
+    FROM laid
+), leaks AS (SELECT dr, count(DISTINCT item_id) AS n FROM rated WHERE agree >= {NEED} GROUP BY dr)
+SELECT doc_id, coalesce(n, 0) > 0 AS contaminated, CAST(coalesce(n, 0) AS BIGINT) AS n_items
+FROM docs LEFT JOIN leaks ON dr = r
+"""
+
 LINE_DEDUP = f"""
 WITH docs AS (
     SELECT row_number() OVER () AS r, doc_id, text, coalesce(source, '') AS site, string_split(text, chr(10)) AS lines
@@ -47,4 +87,8 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_site_spread_lines": LINE_DEDUP, "op9_block_top_k": TOP_K}
+    return {
+        "op4_site_spread_lines": LINE_DEDUP,
+        "op5_spaced_seed_leaks": spaced_seeds(),
+        "op9_block_top_k": TOP_K,
+    }
