@@ -112,8 +112,15 @@ def near_terms(text: Column, span: Column) -> Column:
     return F.lower(F.concat_ws(" ", left, right))
 
 
+def words_among(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """(id, print, term) of the distinct words of every text that pass the bit filter of ``terms``."""
+    bits = bits_of(terms.select(F.xxhash64("term").alias("key")).distinct())
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
+    return rows.select("id", "print", F.explode(words).alias("term")).where(may_hold(bits, F.xxhash64("term")))
+
+
 def disclosing_terms(rows: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((term, disclosure) of the terms to act on, (id, print, term) of candidate terms in documents).
+    """((term, disclosure) of the terms to act on, (id, print, term) of words that may be among them).
 
     ``rows``: (id, print, text) of all documents; ``spans``: the same with base spans.
     """
@@ -129,18 +136,17 @@ def disclosing_terms(rows: DataFrame, spans: DataFrame) -> tuple[DataFrame, Data
         F.countDistinct("context").alias("contexts"), F.countDistinct("print").alias("n_te")
     )
     support = saved(support.where(F.col("contexts") >= SUPPORT), "support")
-    bits = bits_of(support.select(F.xxhash64("term").alias("key")).distinct())
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
-    present = rows.select("id", "print", F.explode(words).alias("term")).where(may_hold(bits, F.xxhash64("term")))
-    present = saved(present.join(support.select("term").distinct(), "term", "left_semi"), "term-documents")
-    n_t = present.groupBy("term").agg(F.countDistinct("print").alias("n_t"))
+    # Documents per candidate term: words that pass the filter meet in the count itself, not in a join.
+    seen_in = words_among(rows, support).groupBy("term").agg(F.countDistinct("print").alias("n_t"))
+    n_t = saved(seen_in, "term-counts")
     total = rows.select("print").distinct().count()
     joined = support.join(entities, "entity").join(n_t, "term")
     information = F.log(F.lit(float(max(total, 1))) / F.col("n_e"))
     pmi = F.log(F.lit(float(max(total, 1))) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
     disclosure = F.when(information > 0, pmi / information).otherwise(0.0)
     flagged = joined.select("term", disclosure.alias("disclosure")).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
-    return saved(flagged.where(F.col("disclosure") >= GENERALISE), "disclosing"), present
+    flagged = saved(flagged.where(F.col("disclosure") >= GENERALISE), "disclosing")
+    return flagged, words_among(rows, flagged)
 
 
 def protect(documents: DataFrame) -> DataFrame:
