@@ -268,7 +268,7 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
                 best, score = np.full(b - a, count), np.zeros(b - a)
                 if count:
                     w, p = marginals(model, data, offsets)
-                    mean = np.stack([np.bincount(w.doc, p[:, c], b - a) for c in range(count)], axis=1)
+                    mean = np.stack([np.bincount(w.doc, p[:, c], b - a).astype(float) for c in range(count)], axis=1)
                     words = np.bincount(w.doc, minlength=b - a)
                     some = words > 0
                     # Non-ASCII bytes count as letters above; texts without an ASCII letter are looked at closely.
