@@ -8,27 +8,58 @@ from pyspark.sql import types as T
 
 from . import vocab
 
-# |x| below this converts exactly through bigint.
-_EXACT_LONG = 9.0e15
-
-
 def coalesce_dash(c: Column) -> Column:
     """SCA4: only null becomes ``--``; 0 stays ``0``."""
     return F.coalesce(c.cast("string"), F.lit(vocab.NO_VALUE))
 
 
+def js_number(c: Column) -> Column:
+    """The text JavaScript gives a number: plain digits where 1e-6 <= |x| < 1e21, else ``d.ddde±n``.
+
+    Spark's text of a double holds the same shortest digits in another layout,
+    ``1.2345E7``; digits and decimal point are taken from it.
+    """
+    raw = F.abs(c).cast("string")
+    form = r"^(\d+)\.(\d+)(?:E(-?\d+))?$"
+    whole, part = F.regexp_extract(raw, form, 1), F.regexp_replace(F.regexp_extract(raw, form, 2), "0+$", "")
+    shift = F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(raw, form, 3), F.lit("")), F.lit("S999")), F.lit(0)).cast("int")
+    joined = F.concat(whole, part)
+    lead = F.length(joined) - F.length(F.ltrim(joined, F.lit("0")))
+    digits = F.rtrim(F.ltrim(joined, F.lit("0")), F.lit("0"))
+    # The value is 0.digits * 10 ** point.
+    point = F.length(whole) - lead + shift
+    size = F.length(digits)
+    whole_number = F.rpad(digits, point, F.lit("0"))
+    mixed = F.concat(F.substr(digits, F.lit(1), point), F.lit("."), F.substr(digits, point + 1))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits)
+    power = point - 1
+    head = F.when(size > 1, F.concat(F.substr(digits, F.lit(1), F.lit(1)), F.lit("."), F.substr(digits, F.lit(2))))
+    sign = F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+"))
+    exponent = F.concat(F.coalesce(head, digits), sign, F.abs(power).cast("string"))
+    text = (
+        F.when((point > 21) | (point <= -6), exponent)
+        .when(point <= 0, small)
+        .when(size <= point, whole_number)
+        .otherwise(mixed)
+    )
+    finite = F.concat(F.when(c < 0, F.lit("-")).otherwise(F.lit("")), text)
+    infinite = F.when(c > 0, F.lit("Infinity")).otherwise(F.lit("-Infinity"))
+    return (
+        F.when(F.isnan(c), F.lit("NaN")).when(c == 0, F.lit("0"))
+        .when(F.abs(c) == F.lit(float("inf")), infinite).when(c.isNotNull(), finite)
+    )
+
+
 def js_string(c: Column, dtype: T.DataType) -> Column:
     """SCA5: the text ``String(v)`` gives for a cell of Spark type ``dtype``.
 
-    null → ``null``; booleans → ``true``/``false``; integral doubles print
-    without ``.0``; arrays join their elements with ``,`` and print null
+    null → ``null``; booleans → ``true``/``false``; doubles as ``js_number``; arrays join their elements with ``,`` and print null
     elements as empty text.
     """
     if isinstance(dtype, T.BooleanType):
         text = F.when(c, F.lit("true")).when(~c, F.lit("false"))
     elif isinstance(dtype, (T.DoubleType, T.FloatType)):
-        integral = (c == F.floor(c)) & (F.abs(c) < F.lit(_EXACT_LONG))
-        text = F.when(integral, c.cast("bigint").cast("string")).otherwise(c.cast("string"))
+        text = js_number(c.cast("double"))
     elif isinstance(dtype, T.ArrayType):
         elem = dtype.elementType
         # String([1, null]) prints a null element as empty text, not "null".

@@ -16,32 +16,32 @@ from ..functions import dates, status, text, vocab
 from .scalars import side_by_side
 
 
-def monthly_series(inspecciones: DataFrame) -> DataFrame:
-    """AGG8: per ``yyyy-MM`` month, inspections and distinct vehicles."""
+def monthly_series(inspecciones: DataFrame, vehicle: str = "placa") -> DataFrame:
+    """AGG8: per ``yyyy-MM`` month, inspections and distinct vehicles (by the column ``vehicle``)."""
     return inspecciones.groupBy(dates.month_label(F.col("fecha")).alias("mes")).agg(
         F.count(F.lit(1)).alias("inspecciones"),
-        F.countDistinct("placa").alias("vehiculos"),
+        F.countDistinct(vehicle).alias("vehiculos"),
     )
 
 
-def monthly_inspections(inspecciones: DataFrame) -> DataFrame:
+def monthly_inspections(inspecciones: DataFrame, vehicle: str = "placa") -> DataFrame:
     """PRJ7: (mes, inspecciones) for the first bar chart, a projection of the
     one monthly series; Catalyst prunes the distinct count it does not use."""
-    return monthly_series(inspecciones).select("mes", "inspecciones")
+    return monthly_series(inspecciones, vehicle).select("mes", "inspecciones")
 
 
-def monthly_vehicles(inspecciones: DataFrame) -> DataFrame:
+def monthly_vehicles(inspecciones: DataFrame, vehicle: str = "placa") -> DataFrame:
     """PRJ7: (mes, vehiculos) for the second bar chart, from the same series."""
-    return monthly_series(inspecciones).select("mes", "vehiculos")
+    return monthly_series(inspecciones, vehicle).select("mes", "vehiculos")
 
 
-def monthly_comparison(inspecciones: DataFrame) -> DataFrame:
+def monthly_comparison(inspecciones: DataFrame, vehicle: str = "placa") -> DataFrame:
     """PRS1: month-over-month change of the monthly series.
 
     The window is unpartitioned but runs over the monthly aggregate (one row
     per month), so a single task sees only a few hundred rows.
     """
-    series = monthly_series(inspecciones)
+    series = monthly_series(inspecciones, vehicle)
     w = Window.orderBy("mes")
     prev = F.lag("inspecciones").over(w)
     return series.select(
@@ -56,7 +56,9 @@ def monthly_comparison(inspecciones: DataFrame) -> DataFrame:
     )
 
 
-def inspection_counts(inspecciones: DataFrame, approx_rsd: float | None = None) -> DataFrame:
+def inspection_counts(
+    inspecciones: DataFrame, approx_rsd: float | None = None, driver: str = "conductor", vehicle: str = "placa"
+) -> DataFrame:
     """AGG5, AGG6 (D16): total inspections and distinct drivers and vehicles, one pass.
 
     Exact by default. With ``approx_rsd`` the distinct counts are HyperLogLog++
@@ -69,8 +71,8 @@ def inspection_counts(inspecciones: DataFrame, approx_rsd: float | None = None)
         distinct = lambda c: F.approx_count_distinct(c, rsd=approx_rsd)
     return inspecciones.agg(
         F.count(F.lit(1)).alias("total_inspecciones"),
-        distinct("conductor").alias("total_conductores"),
-        distinct("placa").alias("total_vehiculos"),
+        distinct(driver).alias("total_conductores"),
+        distinct(vehicle).alias("total_vehiculos"),
     )
 
 
@@ -85,20 +87,33 @@ def overdue_vehicles(vehicles: DataFrame, overdue_days: int = vocab.OVERDUE_DAYS
     return vehicles.where(dias.isNull() | (dias > F.lit(overdue_days)))
 
 
-def overdue_count(vehicles: DataFrame, overdue_days: int = vocab.OVERDUE_DAYS) -> DataFrame:
-    dias = F.col("dias_sin_inspeccion")
-    return vehicles.agg(
-        F.count_if(dias.isNull() | (dias > F.lit(overdue_days))).alias("inspecciones_vencidas")
+def vehicle_counts(
+    vehiculos: DataFrame, vehicle_summary: DataFrame, as_of: str, key: str, overdue_days: int = vocab.OVERDUE_DAYS
+) -> DataFrame:
+    """AGG5-AGG7 over vehicles: inspections, inspected vehicles, and registered ones overdue (D6), in one pass.
+
+    Registry and summary meet in a full join, so vehicles outside the registry
+    count as inspected, and never as overdue. Inspections without a vehicle
+    count as inspections only.
+    """
+    known = vehiculos.select(F.col(key).alias("__key"), F.lit(True).alias("__registered"))
+    joined = known.join(vehicle_summary, F.col("__key") == F.col(key), "full")
+    days = dates.days_since(F.col("fecha"), as_of)
+    return joined.agg(
+        F.coalesce(F.sum("total_inspecciones"), F.lit(0)).alias("total_inspecciones"),
+        F.count(key).alias("total_vehiculos"),
+        F.count_if(F.col("__registered") & (days.isNull() | (days > F.lit(overdue_days)))).alias("inspecciones_vencidas"),
     )
 
 
-def dashboard_metrics(
-    inspecciones: DataFrame, fatigue: DataFrame, vehicles: DataFrame, approx_rsd: float | None = None
-) -> DataFrame:
-    """SRC1 / PRJ9: the five dashboard scalars in one row."""
-    return side_by_side(
-        inspection_counts(inspecciones, approx_rsd), fatigue_detected(fatigue), overdue_count(vehicles)
-    ).select(
+def dashboard_metrics(vehicles: DataFrame, latest: DataFrame, levels: DataFrame) -> DataFrame:
+    """SRC1 / PRJ9: the five dashboard scalars in one row.
+
+    All come from aggregates with one row per vehicle (``vehicle_counts``), per
+    driver with an inspection (``latest``) and per driver with an evaluation.
+    """
+    drivers = latest.agg(F.count(latest.columns[0]).alias("total_conductores"))
+    return side_by_side(vehicles, drivers, fatigue_detected(levels)).select(
         "total_inspecciones",
         "total_conductores",
         "total_vehiculos",

@@ -14,35 +14,32 @@ from pyspark.sql import functions as F
 from ..functions import dates, status, vocab
 from .latest import latest_per_key
 
-# D3: the reference date of the fixtures (day after the last order).
-DEFAULT_AS_OF = "2001-08-02"
+def latest_inspection_per_driver(inspecciones: DataFrame, key: str = "conductor", vehicle: str = "placa") -> DataFrame:
+    """WIN1: key, inspeccion_id, vehicle, fecha of each driver's latest inspection.
 
+    ``key`` and ``vehicle`` name the columns that identify driver and vehicle:
+    the texts of a stored table, or numbers where names are joined later.
+    """
+    latest = latest_per_key(inspecciones.where(F.col(key).isNotNull()), key, ["fecha", "inspeccion_id"], [vehicle])
+    return latest.select(key, "inspeccion_id", vehicle, "fecha")
 
-def latest_inspection_per_driver(inspecciones: DataFrame) -> DataFrame:
-    """WIN1: conductor, inspeccion_id, placa, fecha of each driver's latest inspection."""
-    latest = latest_per_key(inspecciones, "conductor", ["fecha", "inspeccion_id"], ["placa"])
-    return latest.select("conductor", "inspeccion_id", "placa", "fecha")
 
-
-def latest_evaluation_per_driver(evaluaciones: DataFrame) -> DataFrame:
-    """WIN2: conductor, evaluacion_id, fecha_evaluacion, score_fatiga of the latest evaluation."""
-    latest = latest_per_key(
-        evaluaciones, "conductor", ["fecha_evaluacion", "evaluacion_id"], ["score_fatiga"]
-    )
-    return latest.select("conductor", "evaluacion_id", "fecha_evaluacion", "score_fatiga")
+def latest_evaluation_per_driver(evaluaciones: DataFrame, key: str = "conductor") -> DataFrame:
+    """WIN2: key, evaluacion_id, fecha_evaluacion, score_fatiga of the latest evaluation."""
+    latest = latest_per_key(evaluaciones, key, ["fecha_evaluacion", "evaluacion_id"], ["score_fatiga"])
+    return latest.select(key, "evaluacion_id", "fecha_evaluacion", "score_fatiga")
 
 
 def driver_status(
-    conductores: DataFrame,
-    inspecciones: DataFrame,
-    as_of: str = DEFAULT_AS_OF,
-    bands=vocab.DRIVER_BANDS,
+    conductores: DataFrame, latest: DataFrame, as_of: str, bands=vocab.DRIVER_BANDS, key: str = "conductor"
 ) -> DataFrame:
-    """SRC5: one row per registered driver, inspected or not (D1)."""
-    latest = latest_inspection_per_driver(inspecciones).select(
-        "conductor", "placa", F.col("fecha").alias("ultima_inspeccion")
-    )
-    joined = conductores.join(latest, "conductor", "left")
+    """SRC5: one row per registered driver, inspected or not (D1).
+
+    ``latest``: (key, placa, fecha) of each driver's latest inspection; both
+    sides are unique per key, so no hot driver reaches the join.
+    """
+    last = latest.select(F.col(key).alias("__key"), "placa", F.col("fecha").alias("ultima_inspeccion"))
+    joined = conductores.join(last, F.col(key) == F.col("__key"), "left")
     dias = dates.days_since(F.col("ultima_inspeccion"), as_of)
     return joined.select(
         "conductor",
@@ -55,28 +52,29 @@ def driver_status(
     )
 
 
-def vehicle_summary(inspecciones: DataFrame) -> DataFrame:
-    """AGG11: per plate, the number of inspections and the latest one (one pass)."""
+def vehicle_summary(inspecciones: DataFrame, key: str = "placa") -> DataFrame:
+    """AGG11: per vehicle, the number of inspections and the latest one (one pass)."""
     return latest_per_key(
-        inspecciones, "placa", ["fecha", "inspeccion_id"], ["resultado"], count_as="total_inspecciones"
+        inspecciones, key, ["fecha", "inspeccion_id"], ["resultado"], count_as="total_inspecciones"
     )
 
 
 def vehicle_status(
     vehiculos: DataFrame,
-    inspecciones: DataFrame,
-    as_of: str = DEFAULT_AS_OF,
+    summary: DataFrame,
+    as_of: str,
     bands=vocab.VEHICLE_BANDS,
     with_result: bool = False,
+    key: str = "placa",
 ) -> DataFrame:
-    """SRC6: one row per registered vehicle (D2); never inspected = 0 inspections, rojo."""
-    summary = vehicle_summary(inspecciones).select(
-        "placa",
+    """SRC6: one row per registered vehicle (D2) from ``vehicle_summary``; never inspected = 0 inspections, rojo."""
+    last = summary.select(
+        F.col(key).alias("__key"),
         "total_inspecciones",
         F.col("fecha").alias("ultima_inspeccion"),
         F.col("resultado").alias("ultimo_resultado"),
     )
-    joined = vehiculos.join(summary, "placa", "left")
+    joined = vehiculos.join(last, F.col(key) == F.col("__key"), "left")
     dias = dates.days_since(F.col("ultima_inspeccion"), as_of)
     cols = [
         "placa",
@@ -90,21 +88,25 @@ def vehicle_status(
     return joined.select(*cols)
 
 
-def fatigue_status(evaluaciones: DataFrame, inspecciones: DataFrame) -> DataFrame:
-    """SRC7 / D7: each driver's latest evaluation, all levels, with the plate of
-    the driver's latest inspection (JOI2; null when never inspected)."""
-    latest_eval = latest_evaluation_per_driver(evaluaciones)
-    plate = latest_inspection_per_driver(inspecciones).select("conductor", "placa")
-    joined = latest_eval.join(plate, "conductor", "left")
-    return joined.select(
-        "conductor",
-        "placa",
+def fatigue_levels(latest_eval: DataFrame, conductores: DataFrame, key: str = "conductor") -> DataFrame:
+    """D7: each known driver's latest evaluation with its level, all levels; no plate."""
+    known = latest_eval if key == "conductor" else latest_eval.join(conductores.select(key, "conductor"), key)
+    return known.select(
+        key,
+        *([] if key == "conductor" else ["conductor"]),
         "score_fatiga",
         status.fatigue_level(F.col("score_fatiga")).alias("estado_fatiga"),
         "fecha_evaluacion",
     )
 
 
+def fatigue_status(levels: DataFrame, latest: DataFrame, key: str = "conductor") -> DataFrame:
+    """SRC7 / JOI2: the levels with the plate of the driver's latest inspection (null when never inspected)."""
+    plate = latest.select(F.col(key).alias("__key"), "placa")
+    joined = levels.join(plate, F.col(key) == F.col("__key"), "left")
+    return joined.select("conductor", "placa", "score_fatiga", "estado_fatiga", "fecha_evaluacion")
+
+
 def evaluation_levels(evaluaciones: DataFrame) -> DataFrame:
     """Every evaluation with its level (SCA11), no latest-per-driver reduction."""
     return evaluaciones.withColumn("estado_fatiga", status.fatigue_level(F.col("score_fatiga")))

@@ -4,13 +4,14 @@ SET1, AGG12, SCA13, SCA14).
 Plan shape, chosen for skewed uploads (one key may hold a third of the rows):
 
 * flag every row in a narrow projection (no shuffle);
-* first occurrence per key (conductor, normalised plate, date) is a
-  ``min(struct(fila, ...))`` partial aggregate, so a hot key is folded in
-  every map task and the shuffle carries at most one row per key per task;
-* the anti-join against the stored rows runs on that key-unique side and
-  reuses its hash partitioning;
-* duplicates are the valid rows minus the inserted line numbers, a join on
-  the unique ``fila`` that spreads evenly whatever the key skew;
+* one partial aggregate per (validity, key) gives the number of rows and the
+  first of them, the key being (conductor, normalised plate, date), nulls
+  equal: a hot key is folded in every map task;
+* the left join with the stored keys runs on that key-unique side and says
+  which keys are new; one global fold of it gives all five counters, so the
+  upload is read once;
+* duplicates are the valid rows minus the inserted lines, a join on the line
+  name (archivo, fila), which spreads evenly whatever the key skew;
 * the first error messages come from ``orderBy(fila).limit(n)``
   (per-task top-n, then a merge), never from a full ``collect_list``.
 
@@ -25,16 +26,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import plates, vocab
-from ..session import materialize_if_large
-from ..sources.files import CORRUPT, with_partition_columns
+from ..sources.files import CORRUPT, FILE, with_partition_columns
+from ..sources.tables import INSPECTION_COLUMNS, write_inspections
 from .scalars import side_by_side
 
 KEY = ["conductor", "placa", "fecha"]
+LINE = [FILE, "fila"]
 PARTITION_COLUMNS = ["anio", "mes_num"]
 ROW_COLUMNS = ["fila", "conductor", "placa", "contrato", "campo_coordinacion", "fecha", "resultado"]
 FIRST_ERRORS = 5
 DATE_FORMAT = "yyyy-MM-dd"
 MISSING = "vacía"
+UNREADABLE = "registro ilegible"
+
+
+def same(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
+    """Equality of all ``columns``, null being equal to null."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & left[c].eqNullSafe(right[c])
+    return out
 
 
 def parse_upload_date(raw: Column) -> Column:
@@ -49,7 +60,7 @@ def error_reason(placa_ok: Column, fecha_ok: Column, placa: Column, fecha: Colum
         F.when(~fecha_ok, F.format_string("fecha inválida (%s)", F.coalesce(fecha, F.lit(MISSING)))),
     ]
     if readable is not None:
-        parts.insert(0, F.when(~readable, F.lit("registro ilegible")))
+        parts.insert(0, F.when(~readable, F.lit(UNREADABLE)))
     return F.concat_ws("; ", *parts)
 
 
@@ -66,8 +77,12 @@ def flag_rows(upload: DataFrame, mode: str = vocab.DEFAULT_PLATE_MODE) -> DataFr
     # column pruning, where only the referenced columns are parsed.
     readable = (F.col(CORRUPT).isNull() & F.col("fila").isNotNull()) if CORRUPT in upload.columns else None
     valid = placa_ok & fecha_ok if readable is None else placa_ok & fecha_ok & readable
-    message = F.format_string("Fila %d: %s", F.col("fila"), error_reason(placa_ok, fecha_ok, placa, fecha_raw, readable))
+    # A line whose number can't be read has none in its message.
+    line = F.concat(F.lit("Fila "), F.coalesce(F.col("fila").cast("string"), F.lit("?")), F.lit(": "))
+    message = F.concat(line, error_reason(placa_ok, fecha_ok, placa, fecha_raw, readable))
+    named = F.col(FILE) if FILE in upload.columns else F.lit(None).cast("string")
     return upload.select(
+        named.alias(FILE),
         "fila",
         "conductor",
         plates.normalise_plate(placa, mode).alias("placa"),
@@ -91,20 +106,12 @@ class IngestJob:
     mode: str = vocab.DEFAULT_PLATE_MODE
     filename: str = "upload"
 
-    checkpoint: bool = False
-
     def __post_init__(self) -> None:
         self.flagged = flag_rows(self.upload, self.mode)
-        if self.checkpoint:
-            # The summary reads the flagged rows in three branches; for a large
-            # upload, writing them once to the shared checkpoint folder stops
-            # each branch from recomputing the upload and cuts the lineage a
-            # lost executor would otherwise replay.
-            self.flagged = materialize_if_large(self.flagged, "ingest-flagged")
 
     def valid(self) -> DataFrame:
         """Valid rows with normalised plate and parsed date."""
-        return self.flagged.where(F.col("valida")).select(*ROW_COLUMNS)
+        return self.flagged.where(F.col("valida")).select(FILE, *ROW_COLUMNS)
 
     def invalid(self) -> DataFrame:
         """Invalid rows and their message (one per row, in line order when sorted by fila)."""
@@ -113,76 +120,80 @@ class IngestJob:
         )
 
     def first_errors(self, n: int = FIRST_ERRORS) -> DataFrame:
-        """LIM1: the first ``n`` messages by line number."""
-        return self.flagged.where(~F.col("valida")).select("fila", "error").orderBy("fila").limit(n)
-
-    def first_occurrences(self) -> DataFrame:
-        """WIN3: the first valid row (lowest fila) of every key, as a partial aggregate."""
-        rest = [c for c in ROW_COLUMNS if c not in KEY]
-        first = self.valid().groupBy(*KEY).agg(F.min(F.struct(*rest)).alias("_first"))
-        return first.select(*[F.col(f"_first.{c}").alias(c) if c in rest else F.col(c) for c in ROW_COLUMNS])
+        """LIM1: the first ``n`` messages by line number, then file; lines without a number come last."""
+        rows = self.flagged.where(~F.col("valida")).select("fila", FILE, "error")
+        return rows.orderBy(F.col("fila").asc_nulls_last(), FILE).limit(n).select("fila", "error")
+
+    def keys(self) -> DataFrame:
+        """Per validity and key: number of rows ``n``, their first line ``first`` (WIN3), and whether
+        the key is ``nueva``, i.e. not stored yet (JOI3). Invalid rows have one row, without key."""
+        rest = [c for c in ROW_COLUMNS if c not in (*KEY, "fila")]
+        key = [F.when(F.col("valida"), F.col(c)).alias(c) for c in KEY]
+        line = F.when(F.col("valida"), F.struct(*LINE, *rest)).alias("line")
+        rows = self.flagged.select("valida", *key, line)
+        grouped = rows.groupBy("valida", *KEY).agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("first"))
+        stored = self.stored_keys()
+        joined = grouped.join(stored, same(grouped, stored, KEY) & grouped["valida"], "left")
+        new = F.col("valida") & F.col("__stored").isNull()
+        return joined.select("valida", *[grouped[c] for c in KEY], "n", "first", new.alias("nueva"))
 
     def stored_keys(self) -> DataFrame:
-        """The stored keys an upload row could match.
+        """The stored keys an upload row could match, distinct, with ``__stored`` set.
 
-        Distinct keys only. When the stored table is partitioned by year and
-        month (as SNK1 writes it), it is first semi-joined with the upload's months. Dynamic
+        When the stored table is partitioned by year and month (as SNK1 writes
+        it), it is first semi-joined with the upload's months. Dynamic
         partition pruning turns that into a partition filter on the stored
         scan, so an incremental upload reads only the months it touches, not
-        the whole history. The months side is broadcast without a runtime
-        check: it has one row per (year, month), at most 12 x 10,000 rows
-        for any ``yyyy-MM-dd`` date.
+        the whole history. The months side has a proven bound: one row per
+        (year, month), at most 12 x 10,000 for any ``yyyy-MM-dd`` date.
         """
         stored = self.stored
         if set(PARTITION_COLUMNS) <= set(stored.columns):
             months = with_partition_columns(self.valid()).select(*PARTITION_COLUMNS).distinct()
             stored = stored.join(F.broadcast(months), PARTITION_COLUMNS, "left_semi")
         # Copies of one key in the stored table fold map-side here; the
-        # distinct's exchange is the hash partitioning the anti-join needs
-        # anyway, so it adds no shuffle, and a key stored many times cannot
-        # skew the side of the anti-join AQE is unable to split.
-        return stored.select(*KEY).distinct()
+        # distinct's exchange is the hash partitioning the join needs anyway.
+        keys = stored.select("conductor", "placa", F.col("fecha").cast("date").alias("fecha")).distinct()
+        return keys.withColumn("__stored", F.lit(True))
 
     def inserted(self) -> DataFrame:
-        """JOI3: first occurrences whose key is not stored yet: the rows to write."""
-        return self.first_occurrences().join(self.stored_keys(), KEY, "left_anti").select(*ROW_COLUMNS)
+        """JOI3: first lines of the keys that are not stored yet: the rows to write."""
+        columns = [F.col(c) if c in KEY else F.col(f"first.{c}").alias(c) for c in ROW_COLUMNS]
+        return self.keys().where("nueva").select(F.col(f"first.{FILE}").alias(FILE), *columns)
 
     def duplicates(self) -> DataFrame:
-        """Valid rows that are not inserted: repeated in the file or already stored."""
-        ins = self.inserted().select("fila")
-        return self.valid().join(ins, "fila", "left_anti").select(*ROW_COLUMNS)
+        """Valid rows that are not inserted: repeated in the upload or already stored."""
+        valid, lines = self.valid(), self.inserted().select(*LINE)
+        return valid.join(lines, same(valid, lines, LINE), "left_anti").select(*ROW_COLUMNS)
 
     def result_table(self) -> DataFrame:
-        """SET1: stored rows followed by the new ones."""
-        return self.stored.select(*KEY).unionByName(self.inserted().select(*KEY))
+        """SET1: stored rows followed by the new ones, as inspections."""
+        stored = self.stored.select(*[F.col(c) for c in INSPECTION_COLUMNS])
+        return stored.unionByName(as_inspections(self.inserted()))
 
-    def counts(self, inserted_count: DataFrame | None = None) -> DataFrame:
-        """AGG12: the five counters in one row.
+    def counts(self, inserted_rows: int | None = None) -> DataFrame:
+        """AGG12: the five counters in one row, from one pass over the upload.
 
-        ``inserted_count`` (one row, column ``insertados``) may be given when
-        the inserted rows were already written, so they are not recomputed.
+        ``inserted_rows`` may be given when the inserted rows were already
+        written; the stored keys are then not looked up again.
         """
-        row_counts = self.flagged.agg(
-            F.count(F.lit(1)).alias("total_rows"),
-            F.count_if(F.col("valida")).alias("valid_rows"),
-            F.count_if(~F.col("valida")).alias("invalid_rows"),
-        )
-        inserted = inserted_count
-        if inserted is None:
-            inserted = self.inserted().agg(F.count(F.lit(1)).alias("insertados"))
-        both = side_by_side(row_counts, inserted)
-        return both.select(
-            "total_rows",
-            "valid_rows",
-            "invalid_rows",
-            (F.col("valid_rows") - F.col("insertados")).alias("duplicados"),
-            "insertados",
-        )
+        if inserted_rows is None:
+            rows = self.keys().select("valida", "n", F.col("nueva").cast("long").alias("nueva"))
+            new = F.coalesce(F.sum("nueva"), F.lit(0))
+        else:
+            rows = self.flagged.select("valida", F.lit(1).cast("long").alias("n"))
+            new = F.lit(inserted_rows).cast("long")
+        valid = F.coalesce(F.sum(F.when(F.col("valida"), F.col("n"))), F.lit(0))
+        total = F.coalesce(F.sum("n"), F.lit(0))
+        return rows.agg(
+            total.alias("total_rows"), valid.alias("valid_rows"), (total - valid).alias("invalid_rows"),
+            (valid - new).alias("duplicados"), new.alias("insertados"),
+        )
 
     def summary(self) -> DataFrame:
         """PRJ11: the upload summary row; ``invalid`` holds the first messages."""
         errs = self.first_errors().agg(
-            F.transform(F.sort_array(F.collect_list(F.struct("fila", "error"))), lambda x: x["error"]).alias(
+            F.transform(ordered_errors(), lambda x: x["error"]).alias(
                 "invalid"
             )
         )
@@ -196,3 +207,27 @@ class IngestJob:
             "insertados",
             "invalid",
         )
+
+
+def ordered_errors() -> Column:
+    """The few messages kept, by line number, those without one last."""
+    return F.sort_array(F.collect_list(F.struct(F.col("fila").isNull().alias("last"), "fila", "error")))
+
+
+def as_inspections(rows: DataFrame) -> DataFrame:
+    """Upload rows as rows of the inspection table.
+
+    The id is taken from the line's name (60 bits of its MD5), so it is the
+    same on every run and needs no counter over the stored table.
+    """
+    name = F.concat_ws(":", F.coalesce(FILE, F.lit("")), F.col("fila").cast("string"))
+    number = F.conv(F.substring(F.md5(name.cast("binary")), 1, 15), 16, 10).cast("long")
+    return rows.select(
+        number.alias("inspeccion_id"), "conductor", "placa", "contrato", "campo_coordinacion",
+        F.col("fecha").cast("timestamp_ntz").alias("fecha"), "resultado",
+    )
+
+
+def write_inserted(rows: DataFrame, path: str) -> None:
+    """SNK1: append new rows to the stored inspection table, partitioned by year and month."""
+    write_inspections(as_inspections(rows), path, mode="append")

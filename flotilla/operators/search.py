@@ -9,6 +9,7 @@ month and year predicates use them so the scan prunes partitions.
 
 from __future__ import annotations
 
+import datetime as dt
 import functools
 import operator
 from dataclasses import dataclass, fields
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text, vocab
+from ..functions.dates import ntz_midnight
 
 # Search field → inspection column.
 TEXT_FIELDS = {
@@ -58,18 +60,27 @@ def _check_int(name: str, value: str, bounds: tuple[int, int]) -> None:
         raise ValueError(f"{name} must be between {lo} and {hi}, got {number}")
 
 
+def date_range(year: int, month: int | None) -> Column:
+    """FLT13: ``fecha`` in the year, or in the month of the year."""
+    first = dt.date(year, month or 1, 1)
+    after = dt.date(year + (month in (None, 12)), 1 if month in (None, 12) else month + 1, 1)
+    return (F.col("fecha") >= ntz_midnight(first.isoformat())) & (F.col("fecha") < ntz_midnight(after.isoformat()))
+
+
 def search_predicate(params: SearchParams, columns: list[str]) -> Column | None:
     preds: list[Column] = []
     for name, value in params.active().items():
         if name in TEXT_FIELDS:
             col = F.col(TEXT_FIELDS[name])
             preds.append(F.lower(col).contains(F.lower(F.lit(value))))
-        elif name == "mes":
+        elif name == "mes" and ("mes_num" in columns or not params.ano):
             col = F.col("mes_num") if "mes_num" in columns else F.month("fecha")
             preds.append(col == F.lit(int(value)))
-        elif name == "ano":
-            col = F.col("anio") if "anio" in columns else F.year("fecha")
-            preds.append(col == F.lit(int(value)))
+        elif name == "ano" and "anio" in columns:
+            preds.append(F.col("anio") == F.lit(int(value)))
+    if params.ano and "anio" not in columns:
+        # With a year the dates form one range, which reaches the Parquet scan.
+        preds.append(date_range(int(params.ano), int(params.mes) if params.mes else None))
     return functools.reduce(operator.and_, preds) if preds else None
 
 

@@ -11,47 +11,54 @@ from __future__ import annotations
 
 from ..functions import vocab
 from .queries import (
+    AS_OF,
     DRIVER_FILTERS,
     EVENT_RANGE,
     FATIGUE_FILTERS,
+    LATE_RANGE,
     RAW_RANGE,
     REPORT_FILTERS,
     VEHICLE_FILTERS,
 )
 
-AS_OF = "2001-08-02"
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def _plate(v: str) -> str:
-    def letter(mult: int) -> str:
-        return f"substr('{LETTERS}', CAST(({v}) * {mult} % 26 AS INTEGER) + 1, 1)"
+    place = f"({v} * 7919 % 17576000)"
 
-    return f"concat({letter(1)}, {letter(7)}, {letter(11)}, lpad(CAST({v} AS VARCHAR), 3, '0'))"
+    def letter(n: str) -> str:
+        return f"substr('{LETTERS}', CAST({n} % 26 AS INTEGER) + 1, 1)"
+
+    letters = f"({place} // 1000)"
+    return (
+        f"concat({letter(letters)}, {letter(f'({letters} // 26)')}, {letter(f'({letters} // 676)')}, "
+        f"lpad(CAST({place} % 1000 AS VARCHAR), 3, '0'))"
+    )
 
 
 BINDINGS = f"""
 conductores AS (
-  SELECT c.c_name AS conductor, c.c_mktsegment AS contrato, n.n_name AS campo_coordinacion
-  FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey),
-base AS (
-  SELECT o.o_orderkey, o.o_orderkey % 400 AS v, o.o_custkey, o.o_orderstatus, o.o_orderdate,
-         c.c_name, c.c_mktsegment, n.n_name
-  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
-  JOIN nation n ON c.c_nationkey = n.n_nationkey),
-plated AS (SELECT *, {_plate('v')} AS plate FROM base),
+  SELECT p.name AS conductor, p.contrato, n.n_name AS campo_coordinacion
+  FROM (SELECT c_name AS name, c_mktsegment AS contrato, c_nationkey AS nk FROM customer
+        UNION ALL SELECT s_name, NULL, s_nationkey FROM supplier) p LEFT JOIN nation n ON p.nk = n.n_nationkey),
+plated AS (
+  SELECT o.o_orderkey, o.o_orderkey // 8 % 17576000 AS v, o.o_orderstatus, o.o_orderdate,
+         c.c_name, c.c_mktsegment, n.n_name, {_plate('(o.o_orderkey // 8 % 17576000)')} AS plate
+  FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey
+  LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey),
 inspecciones AS (
   SELECT o_orderkey AS inspeccion_id, c_name AS conductor, plate AS placa, c_mktsegment AS contrato,
          n_name AS campo_coordinacion, o_orderdate AS fecha, o_orderstatus AS resultado
-  FROM plated WHERE o_custkey % 50 <> 0 AND v % 50 <> 0),
-vehiculos AS (SELECT DISTINCT {_plate('o_orderkey % 400')} AS placa FROM orders),
+  FROM plated),
+vehiculos AS (SELECT {_plate('p_partkey')} AS placa FROM part),
 evaluaciones AS (
   SELECT e.event_id AS evaluacion_id, c.c_name AS conductor, e.ts AS fecha_evaluacion, e.value AS score_fatiga
   FROM events e JOIN customer c ON e.user_id = c.c_custkey),
 latest_insp AS (
   SELECT conductor, inspeccion_id, placa, fecha FROM (
     SELECT *, row_number() OVER (PARTITION BY conductor ORDER BY fecha DESC, inspeccion_id DESC) AS rn
-    FROM inspecciones) t WHERE rn = 1),
+    FROM inspecciones WHERE conductor IS NOT NULL) t WHERE rn = 1),
 latest_eval AS (
   SELECT conductor, evaluacion_id, fecha_evaluacion, score_fatiga FROM (
     SELECT *, row_number() OVER (PARTITION BY conductor ORDER BY fecha_evaluacion DESC, evaluacion_id DESC) AS rn
@@ -89,7 +96,7 @@ fatigue_status AS (
          e.fecha_evaluacion
   FROM latest_eval e LEFT JOIN latest_insp p ON e.conductor = p.conductor),
 raw AS (
-  SELECT o_orderkey AS fila, c_name AS conductor,
+  SELECT o_orderkey AS fila, CASE WHEN o_orderkey % 97 <> 0 THEN c_name END AS conductor,
          CASE WHEN o_orderkey % 23 = 0 THEN NULL
               WHEN o_orderkey % 17 = 0 THEN 'AB12'
               WHEN o_orderkey % 10 = 0 THEN concat(' ', lower(substr(plate, 1, 3)), '-', substr(plate, 4, 3))
@@ -101,10 +108,9 @@ raw AS (
          o_orderstatus AS resultado
   FROM plated),
 upload AS (
-  SELECT * FROM raw
+  SELECT 'inspecciones-1.csv' AS archivo, * FROM raw
   UNION ALL
-  SELECT fila + 1000000 AS fila, conductor, placa, contrato, campo_coordinacion, fecha, resultado
-  FROM raw WHERE fila % 50 = 1)
+  SELECT 'inspecciones-2.csv' AS archivo, * FROM raw WHERE fila % 50 = 1)
 """
 
 
@@ -218,12 +224,12 @@ def _plate_ok(mode: str) -> str:
 def _ingest_ctes(mode: str) -> str:
     fdate = "CAST(try_strptime(fecha, '%Y-%m-%d') AS DATE)"
     flag = f"""
-      SELECT fila, conductor, {_norm(mode)} AS placa, placa AS placa_original, contrato, campo_coordinacion,
+      SELECT @FILE@ AS archivo, fila, conductor, {_norm(mode)} AS placa, placa AS placa_original, contrato, campo_coordinacion,
              {fdate} AS fecha, fecha AS fecha_original, resultado,
              {_plate_ok(mode)} AS placa_ok, {fdate} IS NOT NULL AS fecha_ok
       FROM @SRC@"""
     return f"""
-flag_upload AS ({flag.replace('@SRC@', 'upload')}),
+flag_upload AS ({flag.replace('@SRC@', 'upload').replace('@FILE@', 'archivo')}),
 flagged AS (
   SELECT *, placa_ok AND fecha_ok AS valida,
          CASE WHEN NOT (placa_ok AND fecha_ok) THEN printf('Fila %d: %s', fila, concat_ws('; ',
@@ -231,22 +237,34 @@ flagged AS (
               CASE WHEN NOT fecha_ok THEN printf('fecha inválida (%s)', coalesce(fecha_original, 'vacía')) END))
          END AS error
   FROM flag_upload),
-flag_raw AS ({flag.replace('@SRC@', 'raw')}),
-stored AS (SELECT DISTINCT conductor, placa, fecha FROM flag_raw WHERE placa_ok AND fecha_ok AND fila % 7 = 0),
-valid AS (SELECT fila, conductor, placa, contrato, campo_coordinacion, fecha, resultado FROM flagged WHERE valida),
+flag_raw AS ({flag.replace('@SRC@', 'raw').replace('@FILE@', 'NULL')}),
+stored AS (
+  SELECT fila AS inspeccion_id, conductor, placa, contrato, campo_coordinacion, CAST(fecha AS TIMESTAMP) AS fecha, resultado
+  FROM (SELECT *, row_number() OVER (PARTITION BY conductor, placa, fecha ORDER BY fila) AS rn
+        FROM flag_raw WHERE placa_ok AND fecha_ok AND fila % 7 = 0) t
+  WHERE rn = 1),
+valid AS (
+  SELECT archivo, fila, conductor, placa, contrato, campo_coordinacion, fecha, resultado FROM flagged WHERE valida),
 firsts AS (
-  SELECT fila, conductor, placa, contrato, campo_coordinacion, fecha, resultado FROM (
-    SELECT *, row_number() OVER (PARTITION BY conductor, placa, fecha ORDER BY fila) AS rn FROM valid) t
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY conductor, placa, fecha ORDER BY archivo, fila) AS rn FROM valid) t
   WHERE rn = 1),
 inserted AS (
   SELECT * FROM firsts f WHERE NOT EXISTS (
-    SELECT 1 FROM stored s WHERE s.conductor = f.conductor AND s.placa = f.placa AND s.fecha = f.fecha)),
+    SELECT 1 FROM stored s WHERE s.conductor IS NOT DISTINCT FROM f.conductor AND s.placa = f.placa
+      AND CAST(s.fecha AS DATE) = f.fecha)),
+duplicated AS (
+  SELECT v.* FROM (
+    SELECT *, row_number() OVER (PARTITION BY conductor, placa, fecha ORDER BY archivo, fila) AS rn FROM valid) v
+  WHERE rn > 1 OR EXISTS (
+    SELECT 1 FROM stored s WHERE s.conductor IS NOT DISTINCT FROM v.conductor AND s.placa = v.placa
+      AND CAST(s.fecha AS DATE) = v.fecha)),
 counts AS (
   SELECT count(*) AS total_rows, count_if(valida) AS valid_rows, count_if(NOT valida) AS invalid_rows,
          count_if(valida) - (SELECT count(*) FROM inserted) AS duplicados,
          (SELECT count(*) FROM inserted) AS insertados
   FROM flagged),
-first_errors AS (SELECT fila, error FROM flagged WHERE NOT valida ORDER BY fila LIMIT 5)
+first_errors AS (SELECT fila, error FROM flagged WHERE NOT valida ORDER BY fila, archivo LIMIT 5)
 """
 
 
@@ -308,7 +326,8 @@ def oracle_sql() -> dict[str, str]:
     q["fatigue_conflicting_filters"] = sql(
         f"SELECT {FATIGUE_COLS} FROM fatigue_status WHERE estado_fatiga = 'rojo' AND estado_fatiga = 'leve'"
     )
-    q["fatigue_date_range"] = sql(f"SELECT {FATIGUE_COLS} FROM fatigue_status {_fatigue_where(EVENT_RANGE)}")
+    q["fatigue_same_filters"] = sql(f"SELECT {FATIGUE_COLS} FROM fatigue_status WHERE estado_fatiga = 'leve'")
+    q["fatigue_date_range"] = sql(f"SELECT {FATIGUE_COLS} FROM fatigue_status {_fatigue_where(LATE_RANGE)}")
     q["fatigue_filtered"] = sql(f"SELECT {FATIGUE_COLS} FROM fatigue_status {_fatigue_where(FATIGUE_FILTERS)}")
     ev = EVENT_RANGE
     q["evaluations_date_range"] = sql(
@@ -422,6 +441,11 @@ SELECT (SELECT count(*) FROM inspecciones) AS total_inspecciones,
             FROM inspecciones {_search_where(**MULTI)}"""
     )
 
+    # DuckDB prints these numbers plainly; a whole one without its ".0" is JavaScript's text.
+    q["numbers_as_text"] = """
+SELECT CAST(id AS VARCHAR) AS id, coalesce(regexp_replace(CAST(number AS VARCHAR), '\\.0$', ''), 'null') AS number
+FROM (SELECT event_id AS id, value AS number FROM events UNION ALL SELECT o_orderkey, o_totalprice FROM orders) t"""
+
     for mode in vocab.PLATE_MODES:
         q[f"ingest_summary_{mode}"] = _summary(mode)
         q[f"ingest_counts_{mode}"] = _ingest(
@@ -432,17 +456,19 @@ SELECT (SELECT count(*) FROM inspecciones) AS total_inspecciones,
         )
     row_cols = "fila, conductor, placa, contrato, campo_coordinacion, fecha, resultado"
     q["ingest_valid"] = _ingest("flexible", "SELECT * FROM valid")
+    q["ingest_two_files_duplicates"] = _ingest("flexible", "SELECT archivo, fila, conductor, placa, fecha FROM duplicated")
+    q["ingest_null_driver"] = _ingest(
+        "flexible",
+        """SELECT count(*) AS total_rows, count_if(valida) AS valid_rows, count_if(NOT valida) AS invalid_rows,
+                  count_if(valida) AS duplicados, CAST(0 AS BIGINT) AS insertados
+           FROM flagged WHERE conductor IS NULL""",
+    )
     q["ingest_invalid"] = _ingest(
         "flexible", "SELECT fila, placa_original AS placa, fecha_original AS fecha, error FROM flagged WHERE NOT valida"
     )
     q["ingest_first_errors"] = _ingest("flexible", "SELECT * FROM first_errors")
-    q["ingest_inserted"] = _ingest("flexible", f"SELECT {row_cols} FROM inserted")
-    q["ingest_duplicates"] = _ingest(
-        "flexible", f"SELECT {row_cols} FROM valid WHERE fila NOT IN (SELECT fila FROM inserted)"
-    )
-    q["ingest_result_table"] = _ingest(
-        "flexible", "SELECT conductor, placa, fecha FROM stored UNION ALL SELECT conductor, placa, fecha FROM inserted"
-    )
+    q["ingest_inserted"] = _ingest("flexible", f"SELECT archivo, {row_cols} FROM inserted")
+    q["ingest_duplicates"] = _ingest("flexible", f"SELECT {row_cols} FROM duplicated")
 
     q["report_metrics"] = _report("inspecciones", "driver_status", "vehicle_status", "fatigue_status")
     q["report_text"] = sql(
@@ -473,5 +499,5 @@ SELECT (SELECT count(*) FROM inspecciones) AS total_inspecciones,
     )
     from ..streaming.registered import stream_oracle_sql
 
-    q.update(stream_oracle_sql(sql, _ingest_ctes, _with))
+    q.update(stream_oracle_sql(_ingest_ctes, _with))
     return q

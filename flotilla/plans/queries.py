@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import vocab
+from ..functions import text, vocab
 from ..operators import dashboard, fleet, pages, report, search
 from ..operators.filters import (
     Filters,
@@ -25,20 +25,25 @@ from ..operators.filters import (
     filter_vehicles,
     vehicles_totals,
 )
-from ..operators.ingest import IngestJob
+from ..operators.ingest import LINE, IngestJob, same
 from ..session import ensure_utc
+from ..sources import tables
 from .catalog import Fleet
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
 # Fixed parameters of the registered variants.
-DRIVER_FILTERS = Filters(estado=vocab.ROJO, fecha_inicio="2000-01-01", fecha_fin="2000-06-30")
-VEHICLE_FILTERS = Filters(estado=vocab.AMARILLO, fecha_inicio="2001-06-01", fecha_fin="2001-07-15")
-FATIGUE_FILTERS = Filters(fatiga=vocab.LEVE, fecha_inicio="2024-01-20", fecha_fin="2024-01-31")
+# D3: the day the statuses are of, the day after the last order.
+AS_OF = "2001-08-02"
+# The driver page ignores ``fatiga`` (FLT8); it is set to show that.
+DRIVER_FILTERS = Filters(estado=vocab.ROJO, fatiga=vocab.LEVE, fecha_inicio="2000-01-01", fecha_fin="2000-06-30")
+VEHICLE_FILTERS = Filters(estado=vocab.AMARILLO, fecha_inicio="2001-06-25", fecha_fin="2001-07-05")
+FATIGUE_FILTERS = Filters(fatiga=vocab.LEVE, fecha_inicio="2024-01-30", fecha_fin="2024-01-31")
 EVENT_RANGE = Filters(fecha_inicio="2024-01-05", fecha_fin="2024-01-10")
+LATE_RANGE = Filters(fecha_inicio="2024-01-30", fecha_fin="2024-01-31")
 RAW_RANGE = Filters(fecha_inicio="2000-01-01", fecha_fin="2000-06-30")
-REPORT_FILTERS = Filters(fecha_inicio="2000-01-01")
+REPORT_FILTERS = Filters(fecha_inicio="2001-07-10", fecha_fin="2024-01-30")
 SEARCH_MULTI = search.SearchParams(placa="b", mes="3", ano="2000")
 
 
@@ -46,7 +51,7 @@ def register(name: str) -> Callable[[Callable[[Fleet], DataFrame]], Callable[[Fl
     def wrap(fn: Callable[[Fleet], DataFrame]) -> Callable[[Fleet], DataFrame]:
         def query(spark: SparkSession, sf_dir: str) -> DataFrame:
             ensure_utc(spark)
-            return fn(Fleet(spark, sf_dir))
+            return fn(Fleet(spark, sf_dir, AS_OF))
 
         query.__name__ = name
         query.__doc__ = fn.__doc__
@@ -67,12 +72,12 @@ def _inspections(f: Fleet) -> DataFrame:
 
 @register("latest_inspection_per_driver")
 def _latest_insp(f: Fleet) -> DataFrame:
-    return fleet.latest_inspection_per_driver(f.inspecciones())
+    return f.latest_named()
 
 
 @register("latest_fatigue_per_driver")
 def _latest_eval(f: Fleet) -> DataFrame:
-    return fleet.latest_evaluation_per_driver(f.evaluaciones())
+    return f.latest_evaluations_named()
 
 
 @register("driver_status")
@@ -133,9 +138,15 @@ def _fatigue_conflict(f: Fleet) -> DataFrame:
     return filter_fatigue(f.fatigue(), Filters(estado=vocab.ROJO, fatiga=vocab.LEVE))
 
 
+@register("fatigue_same_filters")
+def _fatigue_same(f: Fleet) -> DataFrame:
+    """FLT3: both filters set to one value."""
+    return filter_fatigue(f.fatigue(), Filters(estado=vocab.LEVE, fatiga=vocab.LEVE))
+
+
 @register("fatigue_date_range")
 def _fatigue_date_range(f: Fleet) -> DataFrame:
-    return filter_fatigue(f.fatigue(), EVENT_RANGE)
+    return filter_fatigue(f.fatigue(), LATE_RANGE)
 
 
 @register("fatigue_filtered")
@@ -221,7 +232,7 @@ def _fatigue_table(f: Fleet) -> DataFrame:
 
 @register("fatigue_level_map")
 def _fatigue_level_map(f: Fleet) -> DataFrame:
-    return fleet.fatigue_vocabularies(f.fatigue())
+    return fleet.fatigue_vocabularies(f.fatigue_levels())
 
 
 @register("evaluation_level_counts")
@@ -234,29 +245,34 @@ def _evaluation_level_counts(f: Fleet) -> DataFrame:
 # --- step 4: dashboard --------------------------------------------------------------------------
 
 
+def dashboard_of(f: Fleet) -> DataFrame:
+    vehicles = dashboard.vehicle_counts(f.vehiculos(), f.vehicle_summary(), f.as_of, f.vehicle_key)
+    return dashboard.dashboard_metrics(vehicles, f.latest(), f.fatigue_levels())
+
+
 @register("dashboard_metrics")
 def _dashboard_metrics(f: Fleet) -> DataFrame:
-    return dashboard.dashboard_metrics(f.inspecciones(), f.fatigue(), f.vehicles())
+    return dashboard_of(f)
 
 
 @register("dashboard_metrics_text")
 def _dashboard_metrics_text(f: Fleet) -> DataFrame:
-    return dashboard.metrics_text(dashboard.dashboard_metrics(f.inspecciones(), f.fatigue(), f.vehicles()))
+    return dashboard.metrics_text(dashboard_of(f))
 
 
 @register("monthly_series")
 def _monthly_series(f: Fleet) -> DataFrame:
-    return dashboard.monthly_series(f.inspecciones())
+    return dashboard.monthly_series(f.visits(), f.vehicle_key)
 
 
 @register("monthly_inspections")
 def _monthly_inspections(f: Fleet) -> DataFrame:
-    return dashboard.monthly_inspections(f.inspecciones())
+    return dashboard.monthly_inspections(f.visits(), f.vehicle_key)
 
 
 @register("monthly_vehicles")
 def _monthly_vehicles(f: Fleet) -> DataFrame:
-    return dashboard.monthly_vehicles(f.inspecciones())
+    return dashboard.monthly_vehicles(f.visits(), f.vehicle_key)
 
 
 @register("driver_compliance")
@@ -266,7 +282,7 @@ def _driver_compliance(f: Fleet) -> DataFrame:
 
 @register("fatigue_distribution")
 def _fatigue_distribution(f: Fleet) -> DataFrame:
-    return dashboard.fatigue_distribution(f.fatigue())
+    return dashboard.fatigue_distribution(f.fatigue_levels())
 
 
 @register("driver_compliance_share")
@@ -276,7 +292,7 @@ def _driver_compliance_share(f: Fleet) -> DataFrame:
 
 @register("fatigue_distribution_share")
 def _fatigue_distribution_share(f: Fleet) -> DataFrame:
-    return dashboard.with_share(dashboard.fatigue_distribution(f.fatigue()))
+    return dashboard.with_share(dashboard.fatigue_distribution(f.fatigue_levels()))
 
 
 @register("compliance_color")
@@ -286,7 +302,7 @@ def _compliance_color(f: Fleet) -> DataFrame:
 
 @register("fatigue_color")
 def _fatigue_color(f: Fleet) -> DataFrame:
-    return dashboard.fatigue_colors(dashboard.fatigue_distribution(f.fatigue()))
+    return dashboard.fatigue_colors(dashboard.fatigue_distribution(f.fatigue_levels()))
 
 
 @register("overdue_inspections")
@@ -324,14 +340,20 @@ def _search_as_text(f: Fleet) -> DataFrame:
     return search.search_as_text(f.inspecciones(), SEARCH_MULTI)
 
 
+@register("numbers_as_text")
+def _numbers_as_text(f: Fleet) -> DataFrame:
+    """SCA5 over every number of the events and orders, as the search table prints cells."""
+    events = tables.read(f.spark, f.sf_dir, "events", "event_id", "value")
+    orders = tables.read(f.spark, f.sf_dir, "orders", "o_orderkey", "o_totalprice")
+    return text.as_js_text(events.toDF("id", "number").unionByName(orders.toDF("id", "number")))
+
+
 # --- step 6: ingest ---------------------------------------------------------------------------
 
 
 def ingest_job(f: Fleet, mode: str = vocab.DEFAULT_PLATE_MODE) -> IngestJob:
-    """The fixture upload against the fixture's stored rows. The flagged rows
-    feed several branches, so they are written once when the input is large
-    (``materialize_if_large``); small inputs stay lazy."""
-    return IngestJob(f.upload(), f.stored(mode), mode, filename="inspecciones.csv", checkpoint=True)
+    """The fixture upload, two files, against the fixture's stored rows."""
+    return IngestJob(f.upload(), f.stored(mode), mode, filename="inspecciones.csv")
 
 
 for _mode in vocab.PLATE_MODES:
@@ -369,6 +391,22 @@ def _ingest_duplicates(f: Fleet) -> DataFrame:
     return ingest_job(f).duplicates()
 
 
+@register("ingest_two_files_duplicates")
+def _ingest_two_files(f: Fleet) -> DataFrame:
+    """WIN3 over two files that number their lines alike: the duplicates with their file."""
+    job = ingest_job(f)
+    valid, lines = job.valid(), job.inserted().select(*LINE)
+    return valid.join(lines, same(valid, lines, LINE), "left_anti").select("archivo", "fila", "conductor", "placa", "fecha")
+
+
+@register("ingest_null_driver")
+def _ingest_null_driver(f: Fleet) -> DataFrame:
+    """JOI3 with missing drivers: the upload against its own inserted rows inserts nothing."""
+    first = ingest_job(f)
+    again = IngestJob(f.upload().where(F.col("conductor").isNull()), first.result_table(), first.mode)
+    return again.counts()
+
+
 @register("ingest_result_table")
 def _ingest_result_table(f: Fleet) -> DataFrame:
     return ingest_job(f).result_table()
@@ -379,7 +417,8 @@ def _ingest_result_table(f: Fleet) -> DataFrame:
 
 @register("report_metrics")
 def _report_metrics(f: Fleet) -> DataFrame:
-    return report.report_metrics(f.inspecciones(), f.drivers(), f.vehicles(with_result=True), f.fatigue())
+    inspections = report.inspections_and_failures(f.vehicle_summary(), f.vehiculos(), f.vehicle_key)
+    return report.report_of_aggregates(inspections, f.drivers(), f.fatigue_levels())
 
 
 @register("report_text")
@@ -397,16 +436,16 @@ def _report_metrics_filtered(f: Fleet) -> DataFrame:
     """PRS2: the report with the global filters applied to its inputs."""
     flt = REPORT_FILTERS
     return report.report_metrics(
-        filter_dates(f.inspecciones(), "fecha", flt),
+        report.inspections_done(filter_dates(f.visits(), "fecha", flt)),
         filter_drivers(f.drivers(), flt),
         filter_vehicles(f.vehicles(with_result=True), flt),
-        filter_fatigue(f.fatigue(), flt),
+        filter_fatigue(f.fatigue_levels(), flt),
     )
 
 
 @register("monthly_comparison")
 def _monthly_comparison(f: Fleet) -> DataFrame:
-    return dashboard.monthly_comparison(f.inspecciones())
+    return dashboard.monthly_comparison(f.visits(), f.vehicle_key)
 
 
 def queries() -> dict[str, Query]:

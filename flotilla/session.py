@@ -44,17 +44,21 @@ def build_session(
     return spark
 
 
-def cluster_settings(input_bytes: int, total_cores: int, partition_bytes: int = 512 << 20) -> dict[str, str]:
+def cluster_settings(
+    input_bytes: int, total_cores: int, partition_bytes: int = 512 << 20, most_partitions: int | None = None
+) -> dict[str, str]:
     """Settings sized to the data for a cluster run.
 
     The initial shuffle partition count aims at ``partition_bytes`` per
-    partition for a shuffle the size of the input, kept between two waves of
-    the cluster's cores and 100,000 (the driver tracks map output per
-    partition). AQE then coalesces toward the advisory size and splits
-    skewed partitions; file splits of 512 MiB keep scan tasks in memory.
+    partition for a shuffle the size of the input, and at two waves of the
+    cluster's cores at least. The driver tracks map output per partition; a
+    caller short of driver memory bounds the count with ``most_partitions``.
+    AQE then coalesces toward the advisory size and splits skewed partitions;
+    file splits of 512 MiB keep scan tasks in memory.
     """
-    wanted = -(-input_bytes // partition_bytes)
-    partitions = min(max(wanted, 2 * total_cores), 100_000)
+    partitions = max(-(-input_bytes // partition_bytes), 2 * total_cores)
+    if most_partitions is not None:
+        partitions = min(partitions, most_partitions)
     return {
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
@@ -78,9 +82,10 @@ def ensure_utc(spark: SparkSession) -> None:
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting names shared storage and is only read here.
-    Only when it is unset (local tests) do we create a folder of our own and
-    record it on the session, so every later call agrees.
+    On a cluster the setting names shared storage and is only read here; a
+    missing one is an error, since driver and executors share no local disk.
+    Only a local master, where all tasks run in this process, gets a folder of
+    its own, recorded on the session so that every later call agrees.
     """
     try:
         sc = spark.sparkContext
@@ -90,6 +95,9 @@ def checkpoint_root(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None
     )
     if not configured:
+        master = sc.master if sc else ""
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="flotilla-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     if sc is not None and not sc.getCheckpointDir():
@@ -113,28 +121,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
-
-
-# Plans estimated above this size are written out before being read by
-# several branches; below it, recomputing is cheaper than a write.
-MATERIALIZE_MIN_BYTES = 1 << 30
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Total size of the relations ``df`` reads, from the planner's leaf
-    statistics (file sizes for file sources; no job runs).
-
-    These are the statistics Spark itself uses for its broadcast decision;
-    PySpark has no public accessor, hence the one call into the plan. Unlike
-    the estimate of the whole plan, the leaf sum does not multiply join
-    inputs, so it tracks how much data a recomputation would scan.
-    """
-    jdf = getattr(df, "_jdf", None)
-    if jdf is None:  # remote session: no planner access, treat as small
-        return 0
-    leaves = jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
-def materialize_if_large(df: DataFrame, name: str, min_bytes: int = MATERIALIZE_MIN_BYTES) -> DataFrame:
-    return materialize(df, name) if input_bytes(df) >= min_bytes else df

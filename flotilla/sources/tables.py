@@ -4,9 +4,10 @@ Every fleet table is a lazy DataFrame derived by Spark from the given
 Parquet tables, so its size grows with theirs. Each reader selects only the
 columns it needs, which Catalyst turns into the Parquet ``ReadSchema``.
 
-The ``%`` rules below are the fixture's data definition (which drivers and
-vehicles have no inspections, which raw cells are damaged); they shape the
-data and are applied to every row, never used to shrink a workload.
+``visits`` and ``fatigue_events`` come from one fact table each and carry the
+driver's key instead of the name: aggregates run on them, and names are joined
+to the few rows that are left. The ``%`` rules below say which raw cells are
+damaged and which rows were stored before; no rule leaves a row out.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import plates
-from ..operators.joins import join_dimension
 
 TEST_TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -27,124 +27,106 @@ TEST_TABLES = (
 
 # Letters the fixture plates are built from.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-# Number of distinct vehicles in the fixture (plate(v) with v = o_orderkey % 400).
-N_VEHICLES = 400
-
-
-# Parquet schemas already read in this process, keyed by path and modification
-# time: later reads pass the schema and skip the footer scan of inference.
-_SCHEMAS: dict[tuple[str, float | None], T.StructType] = {}
-
-
-def _mtime(path: str) -> float | None:
-    try:
-        return os.path.getmtime(path)
-    except OSError:  # not a local path; the schema is re-read every time
-        return None
+# All plates of three letters and three digits, the domain of vehicle numbers.
+PLATES = 26**3 * 1000
+# Orders that one vehicle's inspections come from.
+ORDERS_PER_VEHICLE = 8
+# Spreads neighbouring vehicle numbers over the plates; prime to PLATES, so one-to-one.
+SPREAD = 7919
 
 
 def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    path = os.path.join(sf_dir, f"{name}.parquet")
-    key = (path, _mtime(path))
-    schema = _SCHEMAS.get(key) if key[1] is not None else None
-    if schema is None:
-        df = spark.read.parquet(path)
-        if key[1] is not None:
-            _SCHEMAS[key] = df.schema
-    else:
-        df = spark.read.schema(schema).parquet(path)
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
     return df.select(*columns) if columns else df
 
 
-def vehicle_index(orderkey: Column) -> Column:
-    return orderkey % F.lit(N_VEHICLES)
+def vehicle_number(orderkey: Column) -> Column:
+    """The vehicle of an order; the number of vehicles grows with the orders."""
+    return F.floor(orderkey / F.lit(ORDERS_PER_VEHICLE)) % F.lit(PLATES)
 
 
 def plate_of(v: Column) -> Column:
-    """Fixture plate: three letters picked by ``v``, then ``v`` zero-padded to 3 digits."""
+    """Fixture plate of vehicle number ``v``: three letters, three digits."""
+    place = v * F.lit(SPREAD) % F.lit(PLATES)
+    letters = F.floor(place / F.lit(1000))
 
-    def letter(mult: int) -> Column:
-        return F.substr(F.lit(ALPHABET), (v * F.lit(mult) % F.lit(26) + F.lit(1)).cast("int"), F.lit(1))
+    def letter(n: Column) -> Column:
+        return F.substr(F.lit(ALPHABET), (n % F.lit(26) + F.lit(1)).cast("int"), F.lit(1))
 
-    return F.concat(letter(1), letter(7), letter(11), F.lpad(v.cast("string"), 3, "0"))
+    return F.concat(
+        letter(letters), letter(F.floor(letters / F.lit(26))), letter(F.floor(letters / F.lit(676))),
+        F.lpad((place % F.lit(1000)).cast("string"), 3, "0"),
+    )
 
 
 def conductores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Driver registry: customer ⋈ nation."""
-    return _customer_nation(spark, sf_dir).select(
-        F.col("c_name").alias("conductor"),
-        F.col("c_mktsegment").alias("contrato"),
-        F.col("n_name").alias("campo_coordinacion"),
-    )
+    """Driver registry: the customers, and the suppliers, who never appear in an order."""
+    nation = read(spark, sf_dir, "nation", "n_nationkey", "n_name")
+    customer = read(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment", "c_nationkey")
+    supplier = read(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_nationkey")
+    people = customer.toDF("conductor_id", "conductor", "contrato", "nationkey").unionByName(
+        supplier.select(
+            (-F.col("s_suppkey") - 1).alias("conductor_id"), F.col("s_name").alias("conductor"),
+            F.lit(None).cast("string").alias("contrato"), F.col("s_nationkey").alias("nationkey"),
+        )
+    )
+    joined = people.join(nation, F.col("nationkey") == F.col("n_nationkey"), "left")
+    return joined.select("conductor_id", "conductor", "contrato", F.col("n_name").alias("campo_coordinacion"))
 
 
 def vehiculos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vehicle registry: the distinct fixture plates over all orders.
+    """Vehicle registry: one vehicle for each part; there are some more than the orders use."""
+    part = read(spark, sf_dir, "part", "p_partkey")
+    return part.select(F.col("p_partkey").alias("vehiculo_id"), plate_of(F.col("p_partkey")).alias("placa"))
 
-    The distinct runs as a partial hash aggregate on a long per map task, so
-    only a few hundred rows per task are shuffled whatever the size of
-    ``orders``.
-    """
-    orders = read(spark, sf_dir, "orders", "o_orderkey")
-    # Distinct on the vehicle number (a long) first, then build one plate
-    # string per vehicle; plate_of is one-to-one on 0..N_VEHICLES-1.
-    v = orders.select(vehicle_index(F.col("o_orderkey")).alias("v")).distinct()
-    return v.select(plate_of(F.col("v")).alias("placa"))
 
+def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inspections from the orders alone: driver and vehicle as numbers, no join."""
+    orders = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+    return orders.select(
+        F.col("o_orderkey").alias("inspeccion_id"),
+        F.col("o_custkey").alias("conductor_id"),
+        vehicle_number(F.col("o_orderkey")).alias("vehiculo_id"),
+        F.col("o_orderdate").alias("fecha"),
+        F.col("o_orderstatus").alias("resultado"),
+    )
 
-def _customer_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = read(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment", "c_nationkey")
-    nation = read(spark, sf_dir, "nation", "n_nationkey", "n_name")
-    return join_dimension(customer, nation, customer.c_nationkey == nation.n_nationkey)
 
+def inspecciones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inspection table: every visit with the driver's name, contract and field, if the driver is known."""
+    people = conductores(spark, sf_dir)
+    return (
+        visits(spark, sf_dir)
+        .join(people, "conductor_id", "left")
+        .select(
+            "inspeccion_id", "conductor", plate_of(F.col("vehiculo_id")).alias("placa"), "contrato",
+            "campo_coordinacion", "fecha", "resultado",
+        )
+    )
 
-def _base_orders(spark: SparkSession, sf_dir: str, where: Column | None = None) -> DataFrame:
-    """orders ⋈ customer ⋈ nation, the rows every inspection table comes from.
 
-    ``where`` filters the orders before the join. orders ⋈ customer is left to
-    the planner: a broadcast when the customer side is measured small, a
-    sort-merge join otherwise, with AQE splitting a hot customer key.
-    """
-    orders = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
-    if where is not None:
-        orders = orders.where(where)
-    return orders.join(_customer_nation(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey"))
+def fatigue_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fatigue evaluations from the events alone, the driver as a number."""
+    return read(spark, sf_dir, "events", "event_id", "ts", "user_id", "value").toDF(
+        "evaluacion_id", "fecha_evaluacion", "conductor_id", "score_fatiga"
+    )
 
 
-def inspecciones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inspection table; customers with key % 50 = 0 and vehicles with v % 50 = 0
-    have none, so the registries hold never-inspected drivers and vehicles."""
-    v = vehicle_index(F.col("o_orderkey"))
-    base = _base_orders(spark, sf_dir, (F.col("o_custkey") % F.lit(50) != F.lit(0)) & (v % F.lit(50) != F.lit(0)))
-    return base.select(
-        F.col("o_orderkey").alias("inspeccion_id"),
-        F.col("c_name").alias("conductor"),
-        plate_of(v).alias("placa"),
-        F.col("c_mktsegment").alias("contrato"),
-        F.col("n_name").alias("campo_coordinacion"),
-        F.col("o_orderdate").alias("fecha"),
-        F.col("o_orderstatus").alias("resultado"),
-    )
+def names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conductor_id, conductor) of the drivers that can have inspections and evaluations."""
+    return read(spark, sf_dir, "customer", "c_custkey", "c_name").toDF("conductor_id", "conductor")
 
 
 def evaluaciones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fatigue evaluations: events ⋈ customer."""
-    events = read(spark, sf_dir, "events", "event_id", "ts", "user_id", "value")
-    customer = read(spark, sf_dir, "customer", "c_custkey", "c_name")
-    joined = events.join(customer, events.user_id == customer.c_custkey)
-    return joined.select(
-        F.col("event_id").alias("evaluacion_id"),
-        F.col("c_name").alias("conductor"),
-        F.col("ts").alias("fecha_evaluacion"),
-        F.col("value").alias("score_fatiga"),
-    )
+    """Every fatigue evaluation of a known driver, with the name."""
+    joined = fatigue_events(spark, sf_dir).join(names(spark, sf_dir), "conductor_id")
+    return joined.select("evaluacion_id", "conductor", "fecha_evaluacion", "score_fatiga")
 
 
 def inspecciones_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An upload as it arrives: every cell text, with damaged plates and dates."""
-    base = _base_orders(spark, sf_dir)
-    fila = F.col("o_orderkey")
-    good_plate = plate_of(vehicle_index(fila))
+    fila = F.col("inspeccion_id")
+    good_plate = F.col("placa")
     placa = (
         F.when(fila % 23 == 0, F.lit(None).cast("string"))
         .when(fila % 17 == 0, F.lit("AB12"))
@@ -158,74 +140,78 @@ def inspecciones_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     fecha = (
         F.when(fila % 29 == 0, F.lit(None).cast("string"))
         .when(fila % 31 == 0, F.lit("basura"))
-        .otherwise(F.date_format(F.col("o_orderdate"), "yyyy-MM-dd"))
-    )
-    return base.select(
-        fila.alias("fila"),
-        F.col("c_name").alias("conductor"),
-        placa.alias("placa"),
-        F.col("c_mktsegment").alias("contrato"),
-        F.col("n_name").alias("campo_coordinacion"),
-        fecha.alias("fecha"),
-        F.col("o_orderstatus").alias("resultado"),
+        .otherwise(F.date_format("fecha", "yyyy-MM-dd"))
     )
+    # A few rows name no driver.
+    conductor = F.when(fila % 97 != 0, F.col("conductor"))
+    return inspecciones(spark, sf_dir).select(
+        fila.alias("fila"), conductor.alias("conductor"), placa.alias("placa"), "contrato", "campo_coordinacion",
+        fecha.alias("fecha"), "resultado",
+    )
 
 
-# Rows of the raw table that the fixture upload repeats, and the offset of
-# their repeated line numbers.
-REPEAT_OFFSET = 1_000_000
-
-
-def upload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fixture upload: the raw rows, then the rows with fila % 50 = 1 again."""
-    return upload_from_raw(inspecciones_raw(spark, sf_dir))
+# Names of the fixture upload's files.
+FIRST_FILE, SECOND_FILE = "inspecciones-1.csv", "inspecciones-2.csv"
 
 
 def upload_from_raw(raw: DataFrame) -> DataFrame:
-    """Built in one pass over the raw rows: each row yields its own line number,
-    plus the shifted one when it is repeated, so the base join runs once."""
-    fila = F.col("fila")
-    lines = F.when(fila % 50 == 1, F.array(fila, fila + F.lit(REPEAT_OFFSET))).otherwise(F.array(fila))
-    cols = [c for c in raw.columns if c != "fila"]
-    return raw.select(F.explode(lines).alias("fila"), *cols)
+    """The fixture upload: all raw rows in one file, those with fila % 50 = 1 again in a second.
 
-
-def stored(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
-    """Rows already stored before the upload: the distinct keys of the valid raw
-    rows with fila % 7 = 0, normalised in ``mode``."""
-    return stored_from_raw(inspecciones_raw(spark, sf_dir), mode)
+    Line numbers repeat between the files; (archivo, fila) names a line. Built
+    in one pass over the raw rows.
+    """
+    files = F.when(F.col("fila") % 50 == 1, F.array(F.lit(FIRST_FILE), F.lit(SECOND_FILE))).otherwise(F.array(F.lit(FIRST_FILE)))
+    return raw.select(F.explode(files).alias("archivo"), *raw.columns)
 
 
 def stored_from_raw(raw: DataFrame, mode: str) -> DataFrame:
+    """Inspections stored before the upload: of the valid raw rows with fila % 7 = 0 the first of
+    each (driver, plate, date), normalised in ``mode``; all columns of the inspection table."""
     fecha = F.try_to_date(F.col("fecha"), "yyyy-MM-dd")
     ok = plates.plate_is_valid(F.col("placa"), mode) & fecha.isNotNull()
-    return (
-        raw.where((F.col("fila") % 7 == 0) & ok)
-        .select(
-            F.col("conductor"),
-            plates.normalise_plate(F.col("placa"), mode).alias("placa"),
-            fecha.alias("fecha"),
-        )
-        .distinct()
-    )
-
-
-# Columns of the inspection table, in order.
-INSPECTION_COLUMNS = ["inspeccion_id", "conductor", "placa", "contrato", "campo_coordinacion", "fecha", "resultado"]
-
-
-def write_inspections(inspections: DataFrame, path: str) -> None:
-    """Store the inspection table once, partitioned by year and month of ``fecha``.
-
-    Queries that then read it (``read_inspections``) skip the base join and
-    prune partitions on month/year search parameters and date bounds.
+    valid = raw.where((F.col("fila") % 7 == 0) & ok).select(
+        "fila", "conductor", plates.normalise_plate(F.col("placa"), mode).alias("placa"),
+        "contrato", "campo_coordinacion", fecha.cast("timestamp_ntz").alias("fecha"), "resultado",
+    )
+    rest = F.min(F.struct("fila", "contrato", "campo_coordinacion", "resultado")).alias("first")
+    kept = valid.groupBy("conductor", "placa", "fecha").agg(rest)
+    return kept.select(
+        F.col("first.fila").alias("inspeccion_id"), "conductor", "placa", F.col("first.contrato").alias("contrato"),
+        F.col("first.campo_coordinacion").alias("campo_coordinacion"), "fecha", F.col("first.resultado").alias("resultado"),
+    )
+
+
+# Schema of a stored inspection table, and the columns it is partitioned by.
+INSPECTION_SCHEMA = T.StructType(
+    [
+        T.StructField("inspeccion_id", T.LongType()),
+        T.StructField("conductor", T.StringType()),
+        T.StructField("placa", T.StringType()),
+        T.StructField("contrato", T.StringType()),
+        T.StructField("campo_coordinacion", T.StringType()),
+        T.StructField("fecha", T.TimestampNTZType()),
+        T.StructField("resultado", T.StringType()),
+    ]
+)
+PARTITION_SCHEMA = T.StructType([T.StructField("anio", T.IntegerType()), T.StructField("mes_num", T.IntegerType())])
+INSPECTION_COLUMNS = INSPECTION_SCHEMA.names
+
+
+def write_inspections(inspections: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Store inspections, partitioned by year and month of ``fecha``.
+
+    Queries that then read the table (``read_inspections``) skip the base join
+    and prune partitions on month/year search parameters and date bounds.
+    ``mode="append"`` adds rows to a stored table.
     """
     from .files import for_partitioned_write, with_partition_columns
 
-    out = for_partitioned_write(with_partition_columns(inspections.select(*INSPECTION_COLUMNS)), "anio", "mes_num")
-    out.write.mode("overwrite").partitionBy("anio", "mes_num").parquet(path)
+    typed = inspections.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in INSPECTION_SCHEMA])
+    out = for_partitioned_write(with_partition_columns(typed), *PARTITION_SCHEMA.names)
+    out.write.mode(mode).partitionBy(*PARTITION_SCHEMA.names).parquet(path)
 
 
 def read_inspections(spark: SparkSession, path: str) -> DataFrame:
-    """A stored inspection table: the inspection columns plus ``anio``/``mes_num``."""
-    return spark.read.parquet(path).select(*INSPECTION_COLUMNS, "anio", "mes_num")
+    """A stored inspection table: the inspection columns plus ``anio``/``mes_num``; it may be empty."""
+    schema = T.StructType(INSPECTION_SCHEMA.fields + PARTITION_SCHEMA.fields)
+    return spark.read.schema(schema).parquet(path)

@@ -1,9 +1,11 @@
 """STR2: fatigue alerts per day from a stream of evaluations.
 
-Critical evaluations are deduplicated on their id within the watermark and
-counted in one-day tumbling windows; append mode emits a day once the
-watermark (latest critical evaluation time minus the allowed lateness) has
-passed its end, so the state holds only the open days.
+Every micro-batch keeps its critical evaluations of known drivers, one row per
+evaluation id, under ``epoch=<batch id>``; a re-run batch replaces its own
+rows. The days are counted over the distinct ids of all epochs, so the answer
+does not hang on how the files fall into batches, late rows count whenever
+they come, and the day still open is reported too. Inside ``foreachBatch``
+plans are batch plans: AQE splits a driver that holds much of a batch.
 """
 
 from __future__ import annotations
@@ -17,62 +19,63 @@ from ..functions import vocab
 from ..session import ensure_utc
 from ..sources import tables
 
-LATENESS = "10 minutes"
-WINDOW = "1 day"
+ALERT_SCHEMA = "event_id bigint, dia_inicio timestamp_ntz"
 
 
-def fatigue_alerts(events: DataFrame, customer: DataFrame, critica_min: float = vocab.FATIGUE_CRITICA_MIN) -> DataFrame:
-    """The streaming plan. ``events`` streams; ``customer`` is static.
-
-    The watermark is set on the critical evaluations, so event-time progress
-    is the latest critical evaluation seen (Catalyst would push the score
-    filter below an earlier watermark anyway). Watermarks need ``timestamp``
-    and the source column is ``timestamp_ntz``; with the session zone at UTC
-    the cast keeps the wall clock, so daily windows start at midnight.
-    """
-    # Only the existence of the driver matters: a semi join keeps each event once.
-    crit = events.where(F.col("value") >= F.lit(critica_min)).join(
-        customer, events.user_id == customer.c_custkey, "left_semi"
+def critical_evaluations(events: DataFrame, customer: DataFrame, critica_min: float = vocab.FATIGUE_CRITICA_MIN) -> DataFrame:
+    """(event_id, dia_inicio) of the critical evaluations of known drivers, one row per id."""
+    known = events.where(F.col("value") >= F.lit(critica_min)).join(
+        customer, events["user_id"] == customer["c_custkey"], "left_semi"
     )
-    timed = crit.withColumn("ts_evento", F.col("ts").cast("timestamp")).withWatermark("ts_evento", LATENESS)
-    dedup = timed.dropDuplicatesWithinWatermark(["event_id"])
-    return dedup.groupBy(F.window("ts_evento", WINDOW)).agg(F.count(F.lit(1)).alias("alertas"))
+    day = F.date_trunc("day", F.col("ts").cast("timestamp")).cast("timestamp_ntz")
+    return known.groupBy("event_id").agg(F.min(day).alias("dia_inicio"))
+
+
+def alerts_per_day(alerts: DataFrame) -> DataFrame:
+    """(dia_inicio, dia_fin, alertas): distinct critical evaluations of each day."""
+    once = alerts.groupBy("event_id").agg(F.min("dia_inicio").alias("dia_inicio"))
+    per_day = once.groupBy("dia_inicio").agg(F.count(F.lit(1)).alias("alertas"))
+    end = F.col("dia_inicio") + F.expr("INTERVAL 1 DAY")
+    return per_day.select("dia_inicio", end.alias("dia_fin"), "alertas")
 
 
 def run_fatigue_alerts(
-    spark: SparkSession, sf_dir: str, work_dir: str, files_per_batch: int | None = None
+    spark: SparkSession, events_path: str, customer: DataFrame, work_dir: str, files_per_batch: int | None = None
 ) -> DataFrame:
-    """Run the alert stream over the events table to completion; return the emitted days.
+    """Run the alert stream over the evaluations at ``events_path`` and return the days.
 
-    ``files_per_batch`` bounds each micro-batch. Streaming runs without AQE,
-    so that bound is what limits how much of one hot driver a task of the
-    semi join sees in one batch.
+    The path is a file, a folder or a URI that Spark reads. ``files_per_batch``
+    bounds each micro-batch.
     """
     ensure_utc(spark)
-    path = os.path.join(sf_dir, "events.parquet")
-    schema = spark.read.parquet(path).schema
-    reader = spark.readStream.schema(schema)
+    table = spark.read.parquet(events_path)
+    reader = spark.readStream.schema(table.schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", str(files_per_batch))
-    if os.path.isdir(path):
-        events = reader.parquet(path)
-    else:
-        # The stream source lists directories; the filter keeps it to the one file.
-        events = reader.option("pathGlobFilter", os.path.basename(path)).parquet(sf_dir)
-    events = events.select("event_id", "ts", "user_id", "value")
-    customer = tables.read(spark, sf_dir, "customer", "c_custkey")
+    # A stream lists folders: of a path that is itself a file, its folder is read through a name filter.
+    folder, name = os.path.split(events_path.rstrip("/"))
+    first = table.select("_metadata.file_name").limit(1).collect()
+    if first and first[0].file_name == name:
+        reader, events_path = reader.option("pathGlobFilter", name), folder
+    events = reader.parquet(events_path).select("event_id", "ts", "user_id", "value")
     out_dir = os.path.join(work_dir, "alerts")
+    spark.createDataFrame([], ALERT_SCHEMA).write.mode("overwrite").parquet(os.path.join(out_dir, "epoch=-1"))
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        found = critical_evaluations(batch, customer)
+        found.write.mode("overwrite").parquet(os.path.join(out_dir, f"epoch={batch_id}"))
+
     query = (
-        fatigue_alerts(events, customer)
-        .writeStream.format("parquet")
-        .outputMode("append")
+        events.writeStream.foreachBatch(process)
         .option("checkpointLocation", os.path.join(work_dir, "checkpoint"))
         .trigger(availableNow=True)
-        .start(out_dir)
+        .start()
     )
     query.awaitTermination()
-    return spark.read.parquet(out_dir).select(
-        F.col("window.start").cast("timestamp_ntz").alias("dia_inicio"),
-        F.col("window.end").cast("timestamp_ntz").alias("dia_fin"),
-        F.col("alertas"),
-    )
+    return alerts_per_day(spark.read.schema(ALERT_SCHEMA).parquet(out_dir))
+
+
+def alerts_over(spark: SparkSession, sf_dir: str, work_dir: str, files_per_batch: int | None = None) -> DataFrame:
+    """The alert stream over the events table of a test-data directory."""
+    customer = tables.read(spark, sf_dir, "customer", "c_custkey")
+    return run_fatigue_alerts(spark, os.path.join(sf_dir, "events.parquet"), customer, work_dir, files_per_batch)

@@ -1,13 +1,14 @@
 """STR1: incremental ingest of upload files with Structured Streaming.
 
-Each new file (``maxFilesPerTrigger``) is a micro-batch run through the same
-``IngestJob`` as the batch path inside ``foreachBatch``. The stored table
-and the per-batch counters are written under ``epoch=<batch id>`` with
-overwrite, so a batch that is re-run after a failure replaces its own output
-instead of appending twice; a batch reads only stored rows of earlier
-epochs, so a re-run does not see its own inserts. With that, the summed
-counters equal the batch summary of the same rows (insertados is the number
-of keys new to the stored table, whatever the file order).
+Each micro-batch (``maxFilesPerTrigger`` files) runs through the same
+``IngestJob`` as the batch path inside ``foreachBatch``. Rows stored before the
+stream are read in place; each batch writes its new rows and its counters
+under ``epoch=<batch id>`` with overwrite, so a batch that is re-run after a
+failure replaces its own output instead of appending twice, and reads only
+rows of earlier epochs. The summed counters equal the batch summary of the
+same rows (insertados is the number of keys new to the stored table, whatever
+the file order). All folders are read with explicit schemas: an epoch without
+new rows and an empty stored table are ordinary.
 """
 
 from __future__ import annotations
@@ -15,65 +16,57 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import vocab
-from ..operators.ingest import FIRST_ERRORS, KEY, PARTITION_COLUMNS, ROW_COLUMNS, IngestJob
+from ..operators.ingest import FIRST_ERRORS, IngestJob, as_inspections, ordered_errors
 from ..operators.scalars import side_by_side
-from ..sources import files
+from ..sources import files, tables
 
 INITIAL_EPOCH = 0
+COUNTERS = ["total_rows", "valid_rows", "invalid_rows", "duplicados", "insertados"]
+COUNTS_SCHEMA = (
+    "total_rows bigint, valid_rows bigint, invalid_rows bigint, duplicados bigint, insertados bigint, "
+    "errores array<struct<fila: bigint, error: string>>"
+)
 
 
 def _epoch_dir(root: str, epoch: int) -> str:
     return os.path.join(root, f"epoch={epoch}")
 
 
-def _write_epoch(rows: DataFrame, stored_dir: str, epoch: int) -> None:
-    """Stored rows of one epoch, partitioned by year and month so a batch's
-    lookup prunes to the months it touches."""
-    out = files.for_partitioned_write(files.with_partition_columns(rows), *PARTITION_COLUMNS)
-    out.write.mode("overwrite").partitionBy(*PARTITION_COLUMNS).parquet(_epoch_dir(stored_dir, epoch))
-
-
-def seed_stored(stored: DataFrame, stored_dir: str) -> None:
-    """Write the rows stored before the stream starts as epoch 0."""
-    cols = [F.col(c) if c in stored.columns else F.lit(None).cast("string").alias(c) for c in ROW_COLUMNS]
-    _write_epoch(stored.select(*cols).withColumn("fila", F.col("fila").cast("bigint")), stored_dir, INITIAL_EPOCH)
-
-
-COUNTS_SCHEMA = (
-    "total_rows bigint, valid_rows bigint, invalid_rows bigint, duplicados bigint, insertados bigint, "
-    "errores array<struct<fila: bigint, error: string>>"
-)
+def read_epochs(spark: SparkSession, new_dir: str) -> DataFrame:
+    """Inspections the stream has stored, with ``epoch``, ``anio`` and ``mes_num``."""
+    fields = tables.INSPECTION_SCHEMA.fields + [T.StructField("epoch", T.LongType())] + tables.PARTITION_SCHEMA.fields
+    return spark.read.schema(T.StructType(fields)).parquet(new_dir)
 
 
-def seed_counts(spark: SparkSession, counts_dir: str) -> None:
-    """A zero row at epoch 0, so a stream that saw no file still sums to zeros."""
+def seed(spark: SparkSession, new_dir: str, counts_dir: str) -> None:
+    """Epoch 0: no rows and a zero counter, so that a stream that saw no file sums to zeros."""
+    none = spark.createDataFrame([], tables.INSPECTION_SCHEMA)
+    tables.write_inspections(none, _epoch_dir(new_dir, INITIAL_EPOCH))
     zero = spark.createDataFrame([(0, 0, 0, 0, 0, [])], COUNTS_SCHEMA)
     zero.write.mode("overwrite").parquet(_epoch_dir(counts_dir, INITIAL_EPOCH))
 
 
-def make_batch_writer(spark: SparkSession, stored_dir: str, counts_dir: str, mode: str):
+def make_batch_writer(spark: SparkSession, stored: DataFrame, new_dir: str, counts_dir: str, mode: str):
+    """``foreachBatch`` function: ``stored`` is the inspection table before the stream, read in place."""
+    columns = [*tables.INSPECTION_COLUMNS, *tables.PARTITION_SCHEMA.names]
+
     def process(batch: DataFrame, batch_id: int) -> None:
         epoch = batch_id + 1
-        batch = batch.persist()
-        try:
-            stored = spark.read.parquet(stored_dir).where(F.col("epoch") < F.lit(epoch))
-            job = IngestJob(batch, stored.select(*KEY, *PARTITION_COLUMNS), mode)
-            _write_epoch(job.inserted(), stored_dir, epoch)
-            # Count the inserted rows from what was just written instead of
-            # running the anti-join a second time.
-            inserted = spark.read.parquet(_epoch_dir(stored_dir, epoch)).agg(
-                F.count(F.lit(1)).alias("insertados")
-            )
-            # One row per epoch: the counters and the batch's first errors
-            # (at most FIRST_ERRORS, so the array is bounded).
-            errs = job.first_errors().agg(F.collect_list(F.struct("fila", "error")).alias("errores"))
-            side_by_side(job.counts(inserted), errs).write.mode("overwrite").parquet(_epoch_dir(counts_dir, epoch))
-        finally:
-            batch.unpersist()
+        earlier = read_epochs(spark, new_dir).where(F.col("epoch") < F.lit(epoch)).select(*columns)
+        before = files.with_partition_columns(stored.select(*tables.INSPECTION_COLUMNS)) if "anio" not in stored.columns else stored
+        job = IngestJob(batch, before.select(*columns).unionByName(earlier), mode)
+        tables.write_inspections(as_inspections(job.inserted()), _epoch_dir(new_dir, epoch))
+        # What was written is counted from its files, instead of a second look at the stored keys.
+        inserted = read_epochs(spark, new_dir).where(F.col("epoch") == F.lit(epoch)).count()
+        # One row per epoch: the counters and the batch's first errors
+        # (at most FIRST_ERRORS, so the array is bounded).
+        errors = job.first_errors().agg(F.collect_list(F.struct("fila", "error")).alias("errores"))
+        side_by_side(job.counts(inserted), errors).write.mode("overwrite").parquet(_epoch_dir(counts_dir, epoch))
 
     return process
 
@@ -87,26 +80,34 @@ def start_ingest_stream(
     fmt: str = "csv",
     files_per_batch: int = 1,
     processing_time: str | None = None,
+    glob: str | None = None,
 ) -> StreamingQuery:
     """Start the ingest stream and return the running query.
 
     With ``processing_time`` (e.g. ``"1 minute"``) it keeps watching
     ``source_dir``; without it, it processes the files present and stops.
-    Outputs go under ``work_dir``: ``stored`` (partitioned by epoch, year,
-    month), ``counts`` (one row per epoch) and ``checkpoint``.
+    Outputs go under ``work_dir``: ``new`` (partitioned by epoch, year, month),
+    ``counts`` (one row per epoch) and ``checkpoint``. Starting again on the
+    same ``work_dir`` goes on where the stream stopped; nothing is copied.
     """
-    stored_dir = os.path.join(work_dir, "stored")
-    counts_dir = os.path.join(work_dir, "counts")
-    seed_stored(stored, stored_dir)
-    seed_counts(spark, counts_dir)
-    source = files.read_upload_stream(spark, source_dir, fmt, files_per_batch=files_per_batch)
-    writer = source.writeStream.foreachBatch(make_batch_writer(spark, stored_dir, counts_dir, mode)).option(
+    new_dir, counts_dir = os.path.join(work_dir, "new"), os.path.join(work_dir, "counts")
+    seed(spark, new_dir, counts_dir)
+    source = files.read_upload_stream(spark, source_dir, fmt, glob, files_per_batch)
+    writer = source.writeStream.foreachBatch(make_batch_writer(spark, stored, new_dir, counts_dir, mode)).option(
         "checkpointLocation", os.path.join(work_dir, "checkpoint")
     )
     writer = writer.trigger(processingTime=processing_time) if processing_time else writer.trigger(availableNow=True)
     return writer.start()
 
 
+def fold_into(spark: SparkSession, work_dir: str, stored_path: str) -> None:
+    """Append what a stopped stream has stored to the inspection table; the next stream takes a new ``work_dir``.
+
+    Keeps the number of epoch folders, and the files a batch lists, from growing without end.
+    """
+    tables.write_inspections(read_epochs(spark, os.path.join(work_dir, "new")), stored_path, mode="append")
+
+
 def run_ingest_stream(
     spark: SparkSession,
     source_dir: str,
@@ -126,14 +127,13 @@ def run_ingest_stream(
 
 def stream_summary(spark: SparkSession, counts_dir: str, filename: str) -> DataFrame:
     """Fold the per-batch counters and first errors into one summary row."""
-    counters = ["total_rows", "valid_rows", "invalid_rows", "duplicados", "insertados"]
-    parts = spark.read.parquet(counts_dir)
-    counts = parts.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in counters])
-    errs = (
+    parts = spark.read.schema(COUNTS_SCHEMA).parquet(counts_dir)
+    counts = parts.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in COUNTERS])
+    errors = (
         parts.select(F.explode("errores").alias("e"))
         .select("e.fila", "e.error")
-        .orderBy("fila")
+        .orderBy(F.col("fila").asc_nulls_last(), "error")
         .limit(FIRST_ERRORS)
-        .agg(F.transform(F.sort_array(F.collect_list(F.struct("fila", "error"))), lambda x: x["error"]).alias("invalid"))
+        .agg(F.transform(ordered_errors(), lambda x: x["error"]).alias("invalid"))
     )
-    return side_by_side(counts, errs).select(F.lit(filename).alias("filename"), *counters, "invalid")
+    return side_by_side(counts, errors).select(F.lit(filename).alias("filename"), *COUNTERS, "invalid")
