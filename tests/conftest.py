@@ -27,12 +27,14 @@ def spark():
 @pytest.fixture(scope="session")
 def fleet01(spark):
     from flotilla.plans.catalog import Fleet
+    from flotilla.plans.queries import AS_OF
 
-    return Fleet(spark, SF01)
+    return Fleet(spark, SF01, AS_OF)
 
 
 @pytest.fixture(scope="session")
 def fleet001(spark):
     from flotilla.plans.catalog import Fleet
+    from flotilla.plans.queries import AS_OF
 
-    return Fleet(spark, SF001)
+    return Fleet(spark, SF001, AS_OF)

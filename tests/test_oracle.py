@@ -1,4 +1,4 @@
-"""Every registered query against its DuckDB oracle on sf0.001."""
+"""Every fleet query against its DuckDB oracle on sf0.001."""
 
 import os
 import sys
@@ -9,12 +9,14 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, os.path.join(ROOT, "tools"))
 
 import __spark_entry__ as entry  # noqa: E402
+from flotilla.plans.oracle import oracle_sql  # noqa: E402
+from flotilla.plans.queries import queries  # noqa: E402
 from oracle_check import TABLES, canon  # noqa: E402
 
 from .conftest import SF001  # noqa: E402
 
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
+QUERIES = queries()
+SQL = oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -29,6 +31,7 @@ def duck():
 
 def test_every_query_has_oracle():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
 def test_entry_smoke(spark):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from flotilla.operators.filters import Filters, filter_dates
 from flotilla.operators.latest import latest_per_key
-from flotilla.plans.queries import REGISTRY
+from flotilla.plans.queries import AS_OF, REGISTRY
 
 from .conftest import SF001
 
@@ -81,10 +81,10 @@ def test_stored_inspections_give_same_answers(spark, tmp_path):
     from flotilla.plans.catalog import Fleet
     from flotilla.sources import tables
 
-    derived = Fleet(spark, SF001)
+    derived = Fleet(spark, SF001, AS_OF)
     path = str(tmp_path / "inspecciones")
     tables.write_inspections(derived.inspecciones(), path)
-    stored = Fleet(spark, SF001, inspections_path=path)
+    stored = Fleet(spark, SF001, AS_OF, inspections_path=path)
 
     def rows(df):
         return sorted(tuple(r) for r in df.collect())
@@ -104,6 +104,56 @@ def test_cluster_settings_scale_with_input():
 
     big = cluster_settings(100 << 40, 8000)
     small = cluster_settings(1 << 30, 64)
-    assert int(big["spark.sql.shuffle.partitions"]) == 100_000
+    assert int(big["spark.sql.shuffle.partitions"]) == 204_800
     assert int(small["spark.sql.shuffle.partitions"]) == 128
+    assert int(cluster_settings(100 << 40, 8000, most_partitions=50_000)["spark.sql.shuffle.partitions"]) == 50_000
     assert int(cluster_settings(10 << 40, 8000)["spark.sql.shuffle.partitions"]) == 20480
+
+
+@pytest.mark.parametrize("name", ["vehicle_status", "monthly_series", "monthly_vehicles", "monthly_comparison"])
+def test_no_join_to_customers_where_no_driver_is_read(spark, name):
+    p = plan(REGISTRY[name](spark, SF001))
+    assert "customer.parquet" not in p and "c_custkey" not in p
+
+
+@pytest.mark.parametrize("name", ["dashboard_metrics", "report_metrics"])
+def test_metrics_scan_the_orders_twice_at_most(spark, name):
+    from tools.plan_report import fact_scans
+
+    # One for the vehicles, one for the drivers.
+    assert fact_scans(REGISTRY[name](spark, SF001), r"o_\w+") == 2
+
+
+@pytest.mark.parametrize("mode", ["strict", "flexible", "permissive"])
+def test_ingest_counts_read_the_upload_once(spark, mode):
+    from flotilla.operators.ingest import IngestJob
+
+    from flotilla.sources import files
+
+    upload = spark.read.schema(files.UPLOAD_SCHEMA).parquet(SF001 + "/orders.parquet")
+    stored = spark.createDataFrame([], "conductor string, placa string, fecha timestamp_ntz")
+    p = plan(IngestJob(upload, stored, mode).counts())
+    assert p.count("FileScan parquet") == 1
+
+
+def test_year_search_reaches_the_scan(spark):
+    p = plan(REGISTRY["search_mes_ano"](spark, SF001))
+    assert "GreaterThanOrEqual(o_orderdate,2000-03-01" in p and "LessThan(o_orderdate,2000-04-01" in p
+
+
+def test_checkpoint_folder_is_required_on_a_cluster(spark, monkeypatch):
+    from flotilla import session
+
+    class Bare:
+        def __init__(self, master):
+            self.master = master
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Bare("spark://host:7077")
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.checkpoint_root(Session())

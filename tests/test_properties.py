@@ -11,7 +11,7 @@ from flotilla.sources import files
 
 PLATES = ["ABC123", " abc-123", "XYZ999", "AB12", None, "", "xyz-999 "]
 DATES = ["2001-01-01", "2001-01-02", "basura", None]
-DRIVERS = ["ana", "bob"]
+DRIVERS = ["ana", "bob", None]
 
 row = st.tuples(st.sampled_from(DRIVERS), st.sampled_from(PLATES), st.sampled_from(DATES))
 SETTINGS = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
@@ -56,7 +56,7 @@ def brute_force(rows, stored, mode):
 @SETTINGS
 @given(rows=st.lists(row, min_size=0, max_size=25), mode=st.sampled_from(["strict", "flexible", "permissive"]))
 def test_ingest_counts_match_brute_force(spark, rows, mode):
-    data = [(i, who, plate, "c", "x", date, "F") for i, (who, plate, date) in enumerate(rows)]
+    data = [("a.csv", i, who, plate, "c", "x", date, "F") for i, (who, plate, date) in enumerate(rows)]
     up = spark.createDataFrame(data, files.UPLOAD_SCHEMA)
     stored_rows = [("ana", "ABC123", dt.date(2001, 1, 1))]
     stored = spark.createDataFrame(stored_rows, "conductor string, placa string, fecha date")

@@ -60,3 +60,16 @@ def test_js_string_cells(spark):
         ("x", "true", "1", "1,"),
         ("y", "false", "1.5", ""),
     ]
+
+
+NUMBERS = {
+    12345678.5: "12345678.5", 123456789.25: "123456789.25", 0.0001: "0.0001", 1e20: "100000000000000000000",
+    1e21: "1e+21", 1.5e22: "1.5e+22", 1e-6: "0.000001", 1.5e-6: "0.0000015", 1e-7: "1e-7", 1.25e-7: "1.25e-7",
+    -2.5e-10: "-2.5e-10", -1234.0: "-1234", 0.0: "0", -0.0: "0", 100.0: "100", 0.1: "0.1", 12e6: "12000000",
+    float("nan"): "NaN", float("inf"): "Infinity", float("-inf"): "-Infinity", 1e100: "1e+100", 123.0e18: "123000000000000000000",
+}
+
+
+def test_js_numbers(spark):
+    assert _one(spark, list(NUMBERS), text.js_number, "double") == list(NUMBERS.values())
+    assert _one(spark, [None], text.js_number, "double") == [None]
