@@ -346,11 +346,13 @@ def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> Data
     labels = saved(components(nodes, links), "components")
     more = saved(open_links(rated, labels, texts, n, percent), "more-links")
     known = links.unionByName(more)
-    labels = saved(components(nodes, known), "components")
+    if not more.isEmpty():
+        labels = saved(components(nodes, known), "components")
     # Once more over foreign shingles: what their smallest members have not joined.
     last = foreign_pairs(rated, labels, percent).join(known_pairs(rated), ["a", "b"], "left_anti")
     last = saved(compared(saved(last, "last-pairs"), texts, n).where(linked(percent)).select("a", "b"), "last-links")
-    labels = saved(components(nodes, known.unionByName(last)), "components")
+    if not last.isEmpty():
+        labels = saved(components(nodes, known.unionByName(last)), "components")
 
     reps = classes.select("print", "rep")
     reps = saved(
