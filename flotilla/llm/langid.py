@@ -85,7 +85,7 @@ def features(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
     whole = np.zeros(len(words), np.uint64)
     np.add.at(whole, rows, value)
     add(words, 32, whole)
-    owners, numbers = np.concatenate(owner), np.concatenate(codes).astype(np.int64)
+    owners, numbers = np.concatenate(owner).astype(np.int32), np.concatenate(codes).astype(np.int32)
     order = np.argsort(owners, kind="stable")
     return numbers[order], np.searchsorted(owners[order], np.arange(len(words) + 1))
 
@@ -163,21 +163,22 @@ def train(texts: list[str], labels: list[str]) -> Model:
     if count < 2:
         return model
     rng = np.random.default_rng(SEED)
-    spans: dict[int, list[tuple[np.ndarray, int, int]]] = {i: [] for i in range(count)}
-    datas, starts, ends, base = [], [], [], 0
+    # Features are made once for each distinct word, so the driver holds few of them.
+    pools: list[list[np.ndarray]] = [[] for _ in languages]
+    datas, starts, ends, hashes, base, shift = [], [], [], [], 0, 0
     for text, label in zip(texts, labels, strict=True):
         for _, _, data, offsets in text_groups(pa.array([text])):
             data = fold_latin(data)
             w = find_words(data, offsets, LETTERS, fold=False)
-            shift = sum(map(len, datas))
             datas.append(data)
             starts.append(w.start + shift)
             ends.append(w.end + shift)
-            spans[languages.index(label)].append((np.arange(base, base + len(w.start)), 0, 0))
-            base += len(w.start)
-    data = np.concatenate(datas)
-    numbers, begin = features(data, np.concatenate(starts), np.concatenate(ends))
-    pools = [np.concatenate([s[0] for s in spans[i]]) if spans[i] else np.zeros(0, np.int64) for i in range(count)]
+            hashes.append(w.hash)
+            pools[languages.index(label)].append(np.arange(base, base + len(w.start)))
+            base, shift = base + len(w.start), shift + len(data)
+    _, at, number = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    numbers, begin = features(np.concatenate(datas), np.concatenate(starts)[at], np.concatenate(ends)[at])
+    pools = [number[np.concatenate(p)] for p in pools]
     usable = np.array([i for i in range(count) if len(pools[i]) >= TRAIN_WORDS])
     if len(usable) < 2:
         return model
