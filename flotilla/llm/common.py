@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, f"llm-{name}")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, where a lambda inside ``body`` would compute it for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def id_fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id's decimal text, modulo ``folds``; null ids are in no fold (null)."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(folds)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bitmap import bits_of, may_hold
-from .common import saved, word_array
+from .common import let, saved, word_array
 
 SPAN = 9
 # Token places each mask looks at; it ignores the others.
@@ -66,11 +66,15 @@ def overlap(words: Column, item: Column, diagonal: Column) -> Column:
         lambda token, i: F.when((i + diagonal >= 0) & (F.get(words, F.greatest(i + diagonal, F.lit(0))) == token), 1).otherwise(0),
     )
     width = F.least(n, F.lit(WINDOW))
-    sums = F.transform(
-        F.sequence(F.lit(1), n - width + 1),
-        lambda j: F.aggregate(F.slice(same, j, width), F.lit(0), lambda a, x: a + x),
-    )
-    return F.array_max(sums) * F.lit(WINDOW) / width
+
+    def best(agree: Column) -> Column:
+        sums = F.transform(
+            F.sequence(F.lit(1), n - width + 1),
+            lambda j: F.aggregate(F.slice(agree, j, width), F.lit(0), lambda a, x: a + x),
+        )
+        return F.array_max(sums)
+
+    return let(same, best) * F.lit(WINDOW) / width
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -19,11 +19,14 @@ digits or letters neither overflow the stack nor take quadratic time.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bitmap import bits_of, may_hold
-from .common import saved
+from .common import let, saved
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -44,22 +47,27 @@ REMOVE = 0.9
 SPAN_TYPE = "array<struct<start:int,rank:int,end:int,value:string>>"
 
 
-def matches(text: Column, pattern: str | Column, rank: int) -> Column:
-    """All matches as (start, rank, end, value), in code points, end exclusive."""
+def matches(text: Column, pattern: str | Column, rank: int, keep: Callable[[Column], Column] = lambda v: F.lit(True)) -> Column:
+    """Matches whose value passes ``keep``, as (start, rank, end, value), in code points, end exclusive."""
     p = F.lit(pattern) if isinstance(pattern, str) else pattern
-    found = F.regexp_extract_all(text, p, F.lit(0))
-    between = F.split(text, p, -1)
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN_TYPE).alias("out"))
+    none = F.array().cast(SPAN_TYPE)
+    start = F.struct(F.lit(0).alias("pos"), none.alias("out"))
+
+    def spans(cut: Column) -> Column:
+        def add(acc: Column, i: Column) -> Column:
+            value = F.get(cut["found"], i)
+            begin = acc["pos"] + F.length(F.get(cut["between"], i))
+            end = begin + F.length(value)
+            span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), value.alias("value"))
+            # Only what is kept is copied, so many dropped matches cost nothing.
+            out = F.when(keep(value), F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
+            return F.struct(end.alias("pos"), out.alias("out"))
 
-    def add(acc: Column, i: Column) -> Column:
-        value = F.get(found, i)
-        begin = acc["pos"] + F.length(F.get(between, i))
-        end = begin + F.length(value)
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), value.alias("value"))
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
+        found = F.size(cut["found"])
+        walked = F.aggregate(F.sequence(F.lit(0), found - 1), start, add, lambda acc: acc["out"])
+        return F.when(found > 0, walked).otherwise(none)
 
-    spans = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, add, lambda acc: acc["out"])
-    return F.when(F.size(found) > 0, spans).otherwise(F.array().cast(SPAN_TYPE))
+    return let(F.struct(F.regexp_extract_all(text, p, F.lit(0)).alias("found"), F.split(text, p, -1).alias("between")), spans)
 
 
 def digits(value: Column) -> Column:
@@ -68,14 +76,15 @@ def digits(value: Column) -> Column:
 
 def luhn(value: Column) -> Column:
     """Whether the digits of ``value`` pass the Luhn check."""
-    back = F.reverse(digits(value))
 
-    def worth(i: Column) -> Column:
-        d = F.substr(back, i, F.lit(1)).cast("int")
-        return F.when(i % 2 == 1, d).when(d > 4, d * 2 - 9).otherwise(d * 2)
+    def total(back: Column) -> Column:
+        def worth(i: Column) -> Column:
+            d = F.substr(back, i, F.lit(1)).cast("int")
+            return F.when(i % 2 == 1, d).when(d > 4, d * 2 - 9).otherwise(d * 2)
+
+        return F.aggregate(F.sequence(F.lit(1), F.length(back)), F.lit(0), lambda a, i: a + worth(i))
 
-    total = F.aggregate(F.sequence(F.lit(1), F.length(back)), F.lit(0), lambda a, i: a + worth(i))
-    return total % 10 == 0
+    return let(F.reverse(digits(value)), total) % 10 == 0
 
 
 def holds(kind: str, value: Column) -> Column:
@@ -95,7 +104,7 @@ def base_spans(text: Column) -> Column:
     """Valid base spans by start, then kind."""
     each = []
     for rank, kind in enumerate(KINDS):
-        spans = F.filter(matches(text, PATTERNS[kind], rank), lambda s: holds(kind, s["value"]))  # noqa: B023
+        spans = matches(text, PATTERNS[kind], rank, functools.partial(holds, kind))
         if kind in NEEDS:
             spans = F.when(F.contains(text, F.lit(NEEDS[kind])), spans).otherwise(F.array().cast(SPAN_TYPE))
         each.append(spans)

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import let, saved
 
 ORDER = 4
 FOLDS = 5
@@ -88,11 +88,12 @@ def scored_part(url: Column) -> Column:
 
 def windows(text: Column) -> Column:
     """For every character of ``text``, it and the ORDER characters before it (padded)."""
-    padded = F.concat(F.lit(PAD * ORDER), text)
-    return F.when(
-        F.length(text) > 0,
-        F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substr(padded, i, F.lit(ORDER + 1))),
-    ).otherwise(F.array().cast("array<string>"))
+
+    def cut(t: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.length(t) - ORDER), lambda i: F.substr(t, i, F.lit(ORDER + 1)))
+        return F.when(F.length(t) > ORDER, each).otherwise(F.array().cast("array<string>"))
+
+    return let(F.concat(F.lit(PAD * ORDER), text), cut)
 
 
 def log_ratios(counts: DataFrame) -> DataFrame:
