@@ -59,19 +59,25 @@ def plate_of(v: Column) -> Column:
     )
 
 
-def conductores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Driver registry: the customers, and the suppliers, who never appear in an order."""
+def _people(spark: SparkSession, sf_dir: str, who: DataFrame) -> DataFrame:
+    """(conductor_id, conductor, contrato, nationkey) rows with the nation's name as field."""
     nation = read(spark, sf_dir, "nation", "n_nationkey", "n_name")
+    joined = who.join(nation, F.col("nationkey") == F.col("n_nationkey"), "left")
+    return joined.select("conductor_id", "conductor", "contrato", F.col("n_name").alias("campo_coordinacion"))
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = read(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment", "c_nationkey")
-    supplier = read(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_nationkey")
-    people = customer.toDF("conductor_id", "conductor", "contrato", "nationkey").unionByName(
-        supplier.select(
-            (-F.col("s_suppkey") - 1).alias("conductor_id"), F.col("s_name").alias("conductor"),
-            F.lit(None).cast("string").alias("contrato"), F.col("s_nationkey").alias("nationkey"),
-        )
+    return customer.toDF("conductor_id", "conductor", "contrato", "nationkey")
+
+
+def conductores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Driver registry: the customers, and the suppliers, who never appear in an order."""
+    supplier = read(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_nationkey").select(
+        (-F.col("s_suppkey") - 1).alias("conductor_id"), F.col("s_name").alias("conductor"),
+        F.lit(None).cast("string").alias("contrato"), F.col("s_nationkey").alias("nationkey"),
     )
-    joined = people.join(nation, F.col("nationkey") == F.col("n_nationkey"), "left")
-    return joined.select("conductor_id", "conductor", "contrato", F.col("n_name").alias("campo_coordinacion"))
+    return _people(spark, sf_dir, _customers(spark, sf_dir).unionByName(supplier))
 
 
 def vehiculos(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +100,7 @@ def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def inspecciones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inspection table: every visit with the driver's name, contract and field, if the driver is known."""
-    people = conductores(spark, sf_dir)
+    people = _people(spark, sf_dir, _customers(spark, sf_dir))
     return (
         visits(spark, sf_dir)
         .join(people, "conductor_id", "left")
