@@ -88,6 +88,11 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return ranked.select("source", "source_size", target.alias("target"))
 
 
+def exact_sum(c: Column) -> Column:
+    """Sum of doubles as decimals: the same for any order of the rows, so reruns agree to the last bit."""
+    return F.sum(c.cast("decimal(38,10)")).cast("double")
+
+
 def newton_step(rows: DataFrame, state: DataFrame) -> DataFrame:
     """One safeguarded Newton step of every source that is not done: one aggregate over the histogram."""
     open_ = state.where(~F.col("done")).select(F.col("source").alias("s"), "mean", "lam")
@@ -96,8 +101,8 @@ def newton_step(rows: DataFrame, state: DataFrame) -> DataFrame:
     rate = F.exp(F.least(F.col("lam") * x, F.lit(60.0)))
     words = F.col("n") * F.col("size")
     sums = joined.groupBy("s").agg(
-        F.sum(words * F.least(rate, F.lit(CAP))).alias("value"),
-        F.sum(F.when(rate < CAP, words * x * rate).otherwise(0.0)).alias("slope"),
+        exact_sum(words * F.least(rate, F.lit(CAP))).alias("value"),
+        exact_sum(F.when(rate < CAP, words * x * rate).otherwise(0.0)).alias("slope"),
     )
     gap = F.col("value") - F.col("target")
     step = F.col("lam") - gap / F.col("slope")
