@@ -24,8 +24,10 @@ comparisons per member plus the pairs that truly stay open; nothing is capped.
 
 Joins run on written tables by id or bucket key, where AQE splits hot keys;
 class and bucket summaries are partial aggregates. Components are found by
-label propagation with pointer jumping, each round written to the shared
-checkpoint folder. No links or components come to the driver.
+hooking parents to the smallest label around and pointer jumping, until nothing
+changes; each round is written to the shared checkpoint folder. Rounds grow
+with the logarithm of a chain, not its length. No links or components come to
+the driver.
 """
 
 from __future__ import annotations
@@ -48,7 +50,6 @@ SEED = 20240607
 MISS = 1e-5
 MOST_BANDS = 32
 SLICE = 16_384
-MANY = 64  # rounds of label propagation, far above log2 of any component
 
 
 def band_shape(threshold: float) -> tuple[int, int]:
@@ -195,17 +196,30 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     both = saved(
         edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges"
     )
-    labels = saved(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
-    for _ in range(MANY):
-        # Smallest label among the neighbours, then the label of that label.
-        near = both.join(labels, "a").select(F.col("b").alias("a"), "label").unionByName(labels)
-        low = saved(near.groupBy("a").agg(F.min("label").alias("label")), "labels")
-        jump = low.select(F.col("a").alias("label"), F.col("label").alias("next"))
-        new = saved(low.join(jump, "label", "left").select("a", F.coalesce("next", "label").alias("label")), "labels")
-        was, now = (d.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0] for d in (labels, new))
-        labels = new
+
+    def pointed(parents: DataFrame) -> DataFrame:
+        """(a, parent, label): each node's parent, and the parent of that one."""
+        up = parents.select(F.col("a").alias("parent"), F.col("parent").alias("label"))
+        return saved(parents.join(up, "parent").select("a", "parent", "label"), "labels")
+
+    def total(labels: DataFrame) -> tuple:
+        return tuple(labels.agg(*[F.sum(F.col(c).cast("decimal(38,0)")) for c in ("parent", "label")]).first())
+
+    labels = pointed(saved(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("parent")), "parents"))
+    now = total(labels)
+    while True:
+        # Smallest label of the node and its neighbours: the node's new parent, and, hooked on, its parent's.
+        near = both.join(labels.select("a", "label"), "a").select(F.col("b").alias("a"), "label")
+        low = near.unionByName(labels.select("a", "label")).groupBy("a").agg(F.min("label").alias("low"))
+        low = saved(low.join(labels.select("a", "parent"), "a"), "low")
+        hooks = low.select(F.col("parent").alias("a"), F.col("low").alias("parent"))
+        parents = low.select("a", F.col("low").alias("parent")).unionByName(hooks).groupBy("a").agg(F.min("parent").alias("parent"))
+        labels = pointed(saved(parents, "parents"))
+        # Parents never grow, so equal sums mean that none has changed: every node points to its component's smallest.
+        was, now = now, total(labels)
         if was == now:
             break
+    labels = labels.select("a", "label")
     own = nodes.select(F.col("node"))
     return own.join(labels.withColumnRenamed("a", "node"), "node", "left").select(
         "node", F.coalesce("label", "node").alias("label")

@@ -77,6 +77,18 @@ def test_one_large_group_of_edited_copies(spark):
     check(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85)
 
 
+def test_long_chain_is_one_component(spark):
+    """Ids descend after the first, so the smallest one has the whole chain to cross; others have random ids."""
+    rng = random.Random(5)
+    mixed = rng.sample(range(10_000, 20_000), 300)
+    chains = [[1, *range(400, 1, -1)], mixed, [-7, -9]]
+    edges = [(a, b) for ids in chains for a, b in zip(ids, ids[1:], strict=False)]
+    nodes = [(i,) for ids in chains for i in ids] + [(9_000,)]
+    got = minhash.components(spark.createDataFrame(nodes, "node long"), spark.createDataFrame(edges, "a long, b long")).collect()
+    want = {i: min(ids) for ids in chains for i in ids} | {9_000: 9_000}
+    assert len(got) == len(want) and {r.node: r.label for r in got} == want
+
+
 def test_signature_is_a_shifted_permutation_minimum():
     """Coordinate k is the minimum of pi at the permuted places shifted by k, computed here one by one."""
     import numpy as np
