@@ -3,16 +3,19 @@
 Base spans are e-mail addresses, IP addresses, card and phone numbers. Every
 value found is a protected entity e. Terms t that stand near entities are
 weighed by how strongly they give them away, in documents of the whole corpus:
-    PMI(t; e) = log(N * n(t, e) / (n(t) * n(e))),   IC(e) = log(N / n(e)),
+    p(e) = n(e) / N,   p(e | t) = (n(t, e) + PRIOR * p(e)) / (n(t) + PRIOR),
+    PMI(t; e) = log(p(e | t) / p(e)),   IC(e) = -log p(e),
     disclosure(t, e) = PMI / IC,
-1 when a term occurs nowhere but with the entity. A term seen with an entity in
-at least SUPPORT different contexts is generalised from disclosure GENERALISE
-on and removed from REMOVE on, wherever it stands in the corpus. Documents of
-the same text count once, so copies are no evidence.
+near 1 when a term occurs nowhere but with the entity. PRIOR is what smooths:
+it keeps chance from looking certain and needs no least count, so entities seen
+once count too. A term is generalised from disclosure GENERALISE on and removed
+from REMOVE on, wherever it stands in the corpus. Documents of the same text
+count once, so copies are no evidence.
 
 Built-in functions only. Counts are partial aggregates; term counts read all
-words of all documents, but only words that pass a bit filter of fixed size
-over the candidate terms are shuffled. The patterns are possessive forms of the
+words of all documents that pass a bit filter of fixed size over the terms near
+entities, and fold before the shuffle but for texts that may have copies, which
+a second such filter tells. The patterns are possessive forms of the
 stated ones: they match the same strings without backtracking, so long runs of
 digits or letters neither overflow the stack nor take quadratic time.
 """
@@ -40,8 +43,8 @@ PATTERNS = {
 # A text without this string has no match of the kind.
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 AROUND = 48
-WORD = r"\p{L}{4,}"
-SUPPORT = 3
+WORD = r"\p{L}+"
+PRIOR = 0.5
 GENERALISE = 0.75
 REMOVE = 0.9
 SPAN_TYPE = "array<struct<start:int,rank:int,end:int,value:string>>"
@@ -112,7 +115,7 @@ def base_spans(text: Column) -> Column:
 
 
 def near_terms(text: Column, span: Column) -> Column:
-    """Lower-cased whole words of four letters or more within AROUND characters of a span, outside it."""
+    """Lower-cased whole words within AROUND characters of a span, outside it."""
     left = F.substr(text, F.greatest(span["start"] - AROUND, F.lit(0)) + 1, F.least(span["start"], F.lit(AROUND)))
     left = F.when(span["start"] > AROUND, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
     right = F.regexp_replace(F.substr(text, span["end"] + 1, F.lit(AROUND)), r"^\p{L}+", "")
@@ -135,23 +138,22 @@ def disclosing_terms(rows: DataFrame, spans: DataFrame) -> tuple[DataFrame, Data
     """
     entity = F.xxhash64("s.rank", "s.value").alias("entity")
     seen = spans.select("print", "text", F.explode("spans").alias("s"))
-    seen = seen.select("print", entity, near_terms(F.col("text"), F.col("s")).alias("context"))
-    terms = F.array_distinct(F.regexp_extract_all("context", F.lit(WORD), F.lit(0)))
-    mentions = saved(seen.select("print", "entity", F.xxhash64("context").alias("context"), terms.alias("terms")), "mentions")
+    terms = F.array_distinct(F.regexp_extract_all(near_terms(F.col("text"), F.col("s")), F.lit(WORD), F.lit(0)))
+    mentions = saved(seen.select("print", entity, terms.alias("terms")), "mentions")
     entities = mentions.groupBy("entity").agg(F.countDistinct("print").alias("n_e"))
-    pairs = mentions.select("print", "entity", "context", F.explode("terms").alias("term"))
-    # Pairs first by context, then by document: two partial aggregates, no set is held for a pair.
-    support = pairs.groupBy("entity", "term").agg(
-        F.countDistinct("context").alias("contexts"), F.countDistinct("print").alias("n_te")
-    )
-    support = saved(support.where(F.col("contexts") >= SUPPORT), "support")
+    pairs = mentions.select("print", "entity", F.explode("terms").alias("term"))
+    pairs = saved(pairs.groupBy("entity", "term").agg(F.countDistinct("print").alias("n_te")), "pairs")
     # Documents per candidate term: words that pass the filter meet in the count itself, not in a join.
-    seen_in = words_among(rows, support).groupBy("term").agg(F.countDistinct("print").alias("n_t"))
-    n_t = saved(seen_in, "term-counts")
-    total = rows.select("print").distinct().count()
-    joined = support.join(entities, "entity").join(n_t, "term")
-    information = F.log(F.lit(float(max(total, 1))) / F.col("n_e"))
-    pmi = F.log(F.lit(float(max(total, 1))) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
+    # Only texts that may have copies keep their print, so all others fold to one row a term in each task.
+    copied = bits_of(rows.groupBy("print").count().where("count > 1").select(F.col("print").alias("key")))
+    words = words_among(rows, pairs).select("term", F.when(may_hold(copied, F.col("print")), F.col("print")).alias("copied"))
+    single = F.count(F.when(F.col("copied").isNull(), F.lit(1)))
+    n_t = saved(words.groupBy("term").agg((single + F.countDistinct("copied")).alias("n_t")), "term-counts")
+    total = float(max(rows.select("print").distinct().count(), 1))
+    joined = pairs.join(entities, "entity").join(n_t, "term")
+    share = F.col("n_e") / F.lit(total)
+    information = -F.log(share)
+    pmi = F.log((F.col("n_te") + F.lit(PRIOR) * share) / (F.col("n_t") + F.lit(PRIOR)) / share)
     disclosure = F.when(information > 0, pmi / information).otherwise(0.0)
     flagged = joined.select("term", disclosure.alias("disclosure")).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
     flagged = saved(flagged.where(F.col("disclosure") >= GENERALISE), "disclosing")

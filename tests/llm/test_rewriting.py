@@ -85,6 +85,17 @@ def test_disclosing_terms_are_found_and_rewritten(spark):
     assert pii.protect(df.limit(0)).count() == 0
 
 
+def test_short_name_near_an_address_seen_once(spark):
+    """One mention is enough for a rare term; exact copies change no count; common words stay."""
+    rows = [(i, f"we met on ordinary day {i}") for i in range(60)]
+    rows += [(100, "we met Kim at kim.secret@mail.example.com on day 7")]
+    rows += [(200 + i, "an ordinary day for Kim alone") for i in range(6)]
+    out = pii.protect(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: [s.value for s in r.spans if s.rank == 4] for r in out.collect()}
+    assert "Kim" in got[100] and all(got[200 + i] == ["Kim"] for i in range(6))
+    assert "we" not in got[100] and not any(got[i] for i in range(60))
+
+
 def test_cross_site_lines_go_but_for_the_first(awkward, empty):
     got = line_dedup.without_boilerplate(awkward).collect()
     assert len(got) == awkward.count()
