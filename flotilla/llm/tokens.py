@@ -84,7 +84,7 @@ def count_symbols(merges: Merges, pieces: list[bytes]) -> np.ndarray:
     counts = lens.copy()
     sym = merges.start[np.frombuffer(b"".join(pieces), np.uint8)]
     seq = np.repeat(np.arange(len(pieces)), lens)
-    while len(sym) > 1:
+    while len(sym):
         rank = np.full(len(sym), NO_RANK, np.int64)  # of the pair (i, i + 1)
         inside = np.flatnonzero(seq[:-1] == seq[1:])
         rank[inside] = merges.pair_ranks(sym[inside], sym[inside + 1])

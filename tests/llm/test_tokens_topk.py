@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import os
+import subprocess
+import sys
+
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -22,6 +28,48 @@ def test_counts_match_the_library(awkward, documents):
     assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in got) == want
 
 
+@pytest.fixture(scope="module")
+def texts_and_counts(documents):
+    texts = [r.text or "" for r in documents.select("text").orderBy("doc_id").limit(300).collect()]
+    return texts, [len(e.ids) for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_counts_do_not_hang_on_the_grouping(texts_and_counts):
+    texts, want = texts_and_counts
+    merges = tokens.Merges(PATH)
+    warm = tokens.Counter(merges)
+    assert [warm.count([t])[0] for t in texts] == want  # one document a group, one warm counter
+    assert [tokens.Counter(merges).count([t])[0] for t in texts] == want  # a fresh one for each
+    for size in (2, 7, 50):
+        groups = [texts[i : i + size] for i in range(0, len(texts), size)]
+        assert [n for g in groups for n in tokens.Counter(merges).count(g)] == want
+
+
+def test_every_pretoken_alone(texts_and_counts):
+    merges = tokens.Merges(PATH)
+    find = tokens.Counter(merges).find
+    pieces = sorted({p for t in texts_and_counts[0][:60] for p in find(t)})
+    want = [len(e.ids) for e in Tokenizer.from_file(PATH).encode_batch(pieces, add_special_tokens=False)]
+    alone = [int(tokens.count_symbols(merges, [p.encode()])[0]) for p in pieces]
+    assert alone == want == tokens.count_symbols(merges, [p.encode() for p in pieces]).tolist()
+    assert len(tokens.count_symbols(merges, [])) == 0
+
+
+@pytest.mark.parametrize("seed", ["0", "1", "2", "3"])
+def test_counts_do_not_hang_on_set_order(texts_and_counts, seed):
+    texts, want = texts_and_counts
+    code = (
+        "import json, sys; from flotilla.llm import tokens; path, texts = json.load(sys.stdin);"
+        "c = tokens.Counter(tokens.Merges(path)); print(json.dumps([c.count([t])[0] for t in texts]))"
+    )
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run(
+        [sys.executable, "-c", code], input=json.dumps([PATH, texts[:80]]), capture_output=True, text=True, check=True,
+        cwd=root, env={**os.environ, "PYTHONHASHSEED": seed},
+    )
+    assert json.loads(done.stdout) == want[:80]
+
+
 def test_no_documents(empty):
     assert tokens.token_counts(empty, PATH).count() == 0
 
