@@ -85,10 +85,53 @@ WITH v AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+# Every document walks through every order: the first filter that it fails removes it.
+FILTER_AUDIT = """
+WITH letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x), orders AS (
+    SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+    FROM letters a JOIN letters b ON b.x <> a.x JOIN letters c ON c.x NOT IN (a.x, b.x)
+    JOIN letters d ON d.x NOT IN (a.x, b.x, c.x) JOIN letters e ON e.x NOT IN (a.x, b.x, c.x, d.x)
+), docs AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), marks AS (
+    SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), judged AS (
+    SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+        CASE WHEN len(w) < 100 THEN 'A' ELSE '' END
+        || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+        || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END
+        || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+        || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails
+    FROM docs LEFT JOIN marks USING (doc_id)
+), grouped AS (
+    SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM judged GROUP BY 1, 2
+), walked AS (
+    SELECT g.*, filter_order, coalesce(list_min(list_filter(list_transform(list_filter(string_split(fails, ''),
+        lambda c: c <> ''), lambda c: instr(filter_order, c)), lambda p: p > 0)), 99) AS gone
+    FROM grouped g CROSS JOIN orders
+), stepped AS (
+    SELECT part, filter_order, step, filter_order[step] AS filter,
+        sum(CASE WHEN gone > step THEN n ELSE 0 END) AS kept,
+        sum(CASE WHEN gone = step THEN n ELSE 0 END) AS removed,
+        sum(CASE WHEN gone < step AND contains(fails, filter_order[step]) THEN n ELSE 0 END) AS redundant,
+        sum(CASE WHEN fails = filter_order[step] THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN gone = step THEN good ELSE 0 END) AS good_lost,
+        sum(CASE WHEN gone = step THEN toxic ELSE 0 END) AS toxic_lost
+    FROM walked CROSS JOIN (SELECT unnest(range(1, 6)) AS step) GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, filter, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+    CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+    CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+FROM stepped
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_site_spread_lines": LINE_DEDUP,
         "op5_spaced_seed_leaks": spaced_seeds(),
         "op9_block_top_k": TOP_K,
+        "op11_filter_potential": FILTER_AUDIT,
     }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, line_dedup, minhash, mixing, pii, tokens, topk, toxicity, url_filter
+from . import audit, decontaminate, langid, line_dedup, minhash, mixing, pii, tokens, topk, toxicity, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), path, limit=512)
 
 
+def op11_filter_potential(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes at each step of every order, per language, and its Shapley value."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return audit.filter_audit(docs, table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_url_language_ratio": op1_url_language_ratio,
@@ -82,4 +88,5 @@ def queries() -> dict[str, Query]:
         "op8_crf_language": op8_crf_language,
         "op9_block_top_k": op9_block_top_k,
         "op10_token_counts": op10_token_counts,
+        "op11_filter_potential": op11_filter_potential,
     }

@@ -21,7 +21,7 @@ SQL = oracle.oracle_sql()
 
 def test_one_query_for_each_operator():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
     assert "pipeline" in entry.queries() and set(SQL) <= set(entry.oracle_sql())
 
 
