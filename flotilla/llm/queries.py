@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit, decontaminate, langid, line_dedup, minhash, mixing, pii, tokens, topk, toxicity, url_filter
+from . import audit, decontaminate, langid, licences, line_dedup, minhash, mixing, pii, tokens, topk, toxicity, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,11 @@ def op11_filter_potential(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.filter_audit(docs, table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
 
 
+def op12_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices, identifiers and the strictness of their terms, of every document."""
+    return licences.licence_scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_url_language_ratio": op1_url_language_ratio,
@@ -89,4 +94,5 @@ def queries() -> dict[str, Query]:
         "op9_block_top_k": op9_block_top_k,
         "op10_token_counts": op10_token_counts,
         "op11_filter_potential": op11_filter_potential,
+        "op12_licence_scan": op12_licence_scan,
     }
