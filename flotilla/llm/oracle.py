@@ -127,6 +127,40 @@ SELECT part, filter_order, CAST(step AS INTEGER) AS step, filter, CAST(kept AS B
 FROM stepped
 """
 
+# Every n-gram counted from the words themselves.
+COLLOCATIONS = """
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), cut AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+    SELECT lang, size, array_to_string(w[i : i + size - 1], ' ') AS phrase
+    FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i
+          FROM cut CROSS JOIN (SELECT unnest([1, 2, 3]) AS size) WHERE len(w) >= size)
+), f AS (SELECT lang, size, phrase, CAST(count(*) AS HUGEINT) AS a FROM grams GROUP BY ALL),
+n AS (SELECT lang, sum(a) AS n FROM f WHERE size = 1 GROUP BY lang),
+candidates AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND a >= 10),
+cuts AS (
+    SELECT lang, phrase, a, k, array_to_string(w[:k], ' ') AS head, array_to_string(w[k + 1 :], ' ') AS rest
+    FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates)
+), scored AS (
+    SELECT cuts.lang, cuts.phrase, cuts.a, k, x.a AS l, y.a AS r, (1000000 * cuts.a * cuts.a) // (x.a * y.a) AS score
+    FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = head JOIN f y ON y.lang = cuts.lang AND y.phrase = rest
+), lowest AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM scored
+), covered AS (
+    SELECT DISTINCT s.lang, s.phrase FROM candidates s JOIN candidates b ON b.lang = s.lang AND b.size = 3 AND s.size = 2
+        AND (s.phrase = array_to_string(b.w[1:2], ' ') OR s.phrase = array_to_string(b.w[2:3], ' ')) AND 100 * b.a >= 50 * s.a
+), ranked AS (
+    SELECT l.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+    FROM lowest l ANTI JOIN covered USING (lang, phrase) WHERE nth = 1
+)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+    CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -134,4 +168,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_spaced_seed_leaks": spaced_seeds(),
         "op9_block_top_k": TOP_K,
         "op11_filter_potential": FILTER_AUDIT,
+        "op13_phrase_collocations": COLLOCATIONS,
     }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit, decontaminate, langid, licences, line_dedup, minhash, mixing, pii, tokens, topk, toxicity, url_filter
+from . import audit, decontaminate, langid, licences, line_dedup, minhash, mixing, phrases, pii, tokens, topk, toxicity, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +81,11 @@ def op12_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licence_scan(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best collocations of two or three words of every language."""
+    return phrases.collocations(table(spark, sf_dir, "documents", "text", "lang"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_url_language_ratio": op1_url_language_ratio,
@@ -95,4 +100,5 @@ def queries() -> dict[str, Query]:
         "op10_token_counts": op10_token_counts,
         "op11_filter_potential": op11_filter_potential,
         "op12_licence_scan": op12_licence_scan,
+        "op13_phrase_collocations": op13_phrase_collocations,
     }

@@ -36,11 +36,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(1)
-def powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """BASE**i, BASE**-i for i up to PIECE, and a random value for each byte."""
+def powers(size: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """BASE**i, BASE**-i for i up to ``size``, and a random value for each byte."""
     one = np.ones(1, np.uint64)
-    up = np.cumprod(np.r_[one, np.full(PIECE, BASE)])
-    down = np.cumprod(np.r_[one, np.full(PIECE, BASE_INVERSE)])
+    up = np.cumprod(np.r_[one, np.full(size, BASE)])
+    down = np.cumprod(np.r_[one, np.full(size, BASE_INVERSE)])
     return up, down, mix(np.arange(1, 257, dtype=np.uint64) * BASE)
 
 
@@ -90,8 +90,14 @@ def find_words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, fold:
         end = min(pos + PIECE, total)
         if end < total:
             cut = np.flatnonzero(~is_word[data[pos:end]] | first[pos:end])
-            end = pos + int(cut[-1]) if len(cut) and cut[-1] else end
+            if len(cut) and cut[-1]:
+                end = pos + int(cut[-1])
+            else:  # one word fills the piece: on to its end
+                stop = ~is_word[data[end:]] | first[end:total]
+                end = end + int(stop.argmax()) if stop.any() else total
         part = data[pos:end]
+        if len(part) >= len(up):
+            up, down, value = powers(1 << len(part).bit_length())
         inside = is_word[part]
         new = first[pos : end + 1]
         before = np.r_[False, inside[:-1]] & ~new[:-1]

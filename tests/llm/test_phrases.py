@@ -1,0 +1,133 @@
+"""Phrase collocations against plain counting; the summaries' promise on random streams."""
+
+from __future__ import annotations
+
+import re
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from flotilla.llm import phrases
+from flotilla.llm.words import NON_SPACE, PIECE, find_words
+
+
+def brute(rows, least=10, top=2000):
+    f, n = {}, Counter()
+    for text, given in rows:
+        lang = "und" if given is None else given
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split("[.,;:!?\\x0a-\\x0d]", low):
+            w = re.findall("[^\\x20\\x09]+", piece)
+            n[lang] += len(w)
+            for size in (1, 2, 3):
+                for i in range(len(w) - size + 1):
+                    f.setdefault(lang, Counter())[tuple(w[i : i + size])] += 1
+    out = set()
+    for lang, counts in f.items():
+        found = {p: a for p, a in counts.items() if len(p) > 1 and a >= least}
+        scored = []
+        for p, a in found.items():
+            s, k = min((10**6 * a * a // (counts[p[:k]] * counts[p[k:]]), k) for k in range(1, len(p)))
+            if not any(len(q) == 3 and p in (q[:2], q[1:]) and 100 * b >= 50 * a for q, b in found.items() if len(p) == 2):
+                scored.append((-s, -a, " ".join(p).encode(), counts[p[:k]], counts[p[k:]]))
+        for rank, (s, a, p, left, right) in enumerate(sorted(scored)[:top], 1):
+            out.add((lang, rank, p.decode(), -a, left, right, n[lang], -s))
+    return out
+
+
+def result(df):
+    rows = [tuple(r) for r in df.collect()]
+    assert len(rows) == len(set(rows))
+    return set(rows)
+
+
+ODD = [
+    ("a b a b a b. A B\tA  B\n\na b,c", "en"), ("new york city " * 12, "en"), ("new york, city", "en"), (None, "en"), ("", None),
+    ("ein haus " * 11 + "ÄB äb", None), ("ein haus " * 3, "und"), ("x\x1cy z " * 12, "fr"), ("日本 語 " * 15 + "é e e", "fr"),
+    ("one", "de"), (" \t ", "de"), ("t u " * 10, ""), ("p q r " * 10 + "p q " * 10, "it"), ("p q r " * 10 + "p q " * 11, "pt"),
+]
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_counts_scores_and_covers(spark, awkward, documents, monkeypatch, small):
+    rows = [(r.text, r.lang) for r in documents.limit(60).collect()] + [(r.text, r.lang) for r in awkward.collect()] + ODD
+    if small:  # many groups and partitions, and a filter that is full of bits
+        monkeypatch.setattr(phrases, "GROUP_BYTES", 2000)
+        monkeypatch.setattr(phrases, "PART_BYTES", 1 << 12)
+        monkeypatch.setattr(phrases, "FILTER_BYTES", 256)
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(7)
+    docs = docs.withColumn("phrase", F.lit("x")).withColumn("a", F.lit(1)).withColumn("rank", F.lit("y"))
+    assert result(phrases.collocations(docs)) == brute(rows)
+    assert result(phrases.collocations(docs, least=2, top=5)) == brute(rows, 2, 5)
+
+
+def test_empty_table(spark, empty):
+    assert phrases.collocations(empty).count() == 0
+    assert phrases.collocations(spark.createDataFrame([(None, None), ("a b", "en")], "text string, lang string")).count() == 0
+    with pytest.raises(ValueError):
+        phrases.collocations(empty, least=256)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_every_frequent_key_survives(seed):
+    rng = np.random.default_rng(seed)
+    least = int(rng.integers(2, 40))
+    total = Counter()
+    keys, counts = [], []
+    for _ in range(30):
+        stream = rng.zipf(1.2, 2000) % 5000 if seed % 2 else rng.integers(0, 3000, 2000)
+        k, c = np.unique(stream.astype(np.uint64), return_counts=True)
+        total.update(dict(zip(k.tolist(), c.tolist(), strict=True)))
+        keys.append(phrases.pack(k))
+        counts.append(np.minimum(c, least).astype(np.uint8).tobytes())
+    left, mass = phrases.summary(keys, counts, least)
+    frequent = {k for k, c in total.items() if c >= least}
+    assert frequent <= set(left.tolist())
+    assert len(left) <= (mass // least + 1) * phrases.HEADROOM
+
+
+def test_merged_summaries_keep_the_bound():
+    rng = np.random.default_rng(1)
+    capacity, key, count, error, mass = 50, np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, 0
+    total = Counter()
+    for _ in range(40):
+        k, c = np.unique(rng.integers(0, 400, 300).astype(np.uint64), return_counts=True)
+        total.update(dict(zip(k.tolist(), c.tolist(), strict=True)))
+        mass += int(c.sum())
+        key, count, off = phrases.merge(key, count, k, c, capacity)
+        error += off
+        assert len(key) <= capacity and error * (capacity + 1) <= mass
+    held = dict(zip(key.tolist(), count.tolist(), strict=True))
+    assert all(held.get(k, 0) <= c <= held.get(k, 0) + error for k, c in total.items())
+
+
+def test_keys_pack_and_filter():
+    rng = np.random.default_rng(2)
+    keys = rng.integers(0, 2**63, 5000).astype(np.uint64)
+    assert (phrases.unpack(phrases.pack(keys)) == phrases.low(keys)).all()
+    part = phrases.part_of(keys, 16)
+    assert part.min() >= 0 and part.max() < 16
+    segments = {p: (1 << 13, phrases.segment(phrases.low(keys[(part == p) & (np.arange(5000) < 4000)]), 1 << 13)) for p in range(15)}
+    some = phrases.Survivors(16, segments).passes(keys)
+    assert some[:4000][part[:4000] < 15].all() and not some[part == 15].any()
+    assert some[4000:].mean() < 0.2
+
+
+def test_a_word_longer_than_a_piece():
+    text = "a " + "x" * (PIECE * 2 + 5) + " b " + "y" * (PIECE + 1)
+    data = np.frombuffer(text.encode(), np.uint8)
+    w = find_words(data, np.array([0, len(data)]), NON_SPACE)
+    assert [(s, e) for s, e in zip(w.start, w.end, strict=True)] == [m.span() for m in re.finditer("[^ ]+", text)]
+    grams = phrases.Grams(data, np.array([0, len(data)]), np.zeros(1, np.uint64))
+    assert len(grams.key) == 4 + 3 + 2 and grams.phrases(np.array([0, 4])).to_pylist() == ["a", text.rsplit(" ", 2)[0]]
+    assert isinstance(grams.phrases(np.zeros(0, np.int64)), pa.Array)
+
+
+def test_exact_scores_beyond_64_bits(spark):
+    big = 9_876_543_210_123_456
+    df = spark.createDataFrame([(big, big + 1, big + 2), (10**15, 10**15, 10**15)], "a long, l long, r long")
+    got = [r[0] for r in df.select(phrases.score(F.col("a"), F.col("l"), F.col("r"))).collect()]
+    assert got == [10**6 * big * big // ((big + 1) * (big + 2)), 10**6]
