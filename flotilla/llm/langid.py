@@ -6,9 +6,12 @@ three bytes), character n-grams (two and three bytes) and a lexicon feature
 language. Together with learned transitions the weights are fitted by gradient
 steps on the log-likelihood of word sequences, whose gradient comes from
 forward-backward. Training sequences are made code-switched: spans of documents
-in different languages follow each other. Labels come from at most
-``TRAIN_DOCS`` documents per language of TRAIN_CHARS characters at most (the
-documented bound of the fit; nothing else is sampled).
+in different languages follow each other. Every labelled language is learned.
+The bound of the fit: at most ``TRAIN_DOCS`` documents per language and about
+``TRAIN_TOTAL`` in all, of which a longer one gives a span of TRAIN_CHARS
+characters whose place a hash picks; nothing else is sampled. With very many
+languages the features share fewer rows of the weight table, which never holds
+more than ``WEIGHTS`` numbers.
 
 Prediction reads whole texts. Words go in sequences of up to SEQUENCE words,
 all sequences of a group of documents run side by side through scaled
@@ -29,9 +32,10 @@ from pyspark.sql import functions as F
 from .words import LETTERS, PIECE, Words, find_words, fold_latin, mix, text_groups
 
 TRAIN_DOCS = 300
+TRAIN_TOTAL = 60_000
 TRAIN_CHARS = 20_000
-LANGUAGES = 200
 BUCKETS = 1 << 16
+WEIGHTS = 1 << 24
 SEQUENCE = 256
 UNDETERMINED = "und"
 EPOCHS = 4
@@ -44,7 +48,7 @@ SEED = 7
 @dataclass
 class Model:
     languages: list[str]
-    weights: np.ndarray  # BUCKETS x languages
+    weights: np.ndarray  # buckets x languages
     transitions: np.ndarray
     start: np.ndarray
 
@@ -55,8 +59,13 @@ def unique_words(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return at, inverse
 
 
-def features(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed feature numbers of words end to end, and where each word's begin."""
+def buckets_for(languages: int) -> int:
+    """Rows of the weight table (a power of two): BUCKETS, or what WEIGHTS leaves for so many languages."""
+    return min(BUCKETS, 1 << max(8, (WEIGHTS // max(1, languages)).bit_length() - 1))
+
+
+def features(data: np.ndarray, start: np.ndarray, end: np.ndarray, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed feature numbers (below ``buckets``) of words end to end, and where each word's begin."""
     n = end - start
     pad = np.r_[data, np.zeros(4, np.uint8)].astype(np.uint64)
     words = np.arange(len(start))
@@ -64,7 +73,7 @@ def features(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
 
     def add(rows: np.ndarray, kind: int, value: np.ndarray) -> None:
         owner.append(rows)
-        codes.append(mix(value * np.uint64(64) + np.uint64(kind)) & np.uint64(BUCKETS - 1))
+        codes.append(mix(value * np.uint64(64) + np.uint64(kind)) & np.uint64(buckets - 1))
 
     for k in (1, 2, 3):  # prefixes and suffixes
         rows = words[n >= k]
@@ -94,7 +103,7 @@ def emissions(model: Model, data: np.ndarray, start: np.ndarray, end: np.ndarray
     """Score of every language for each word."""
     if not len(start):
         return np.zeros((0, len(model.languages)), np.float32)
-    numbers, begin = features(data, start, end)
+    numbers, begin = features(data, start, end, len(model.weights))
     return np.add.reduceat(model.weights[numbers], begin[:-1], axis=0)
 
 
@@ -146,25 +155,30 @@ def pair_expectations(scores: np.ndarray, gold: np.ndarray, model: Model) -> tup
         beta[:, t] = b / b.sum(axis=1, keepdims=True)
     node = alpha * beta
     node /= node.sum(axis=2, keepdims=True)
-    hot = np.eye(labels, dtype=np.float32)[gold]
-    moves = np.zeros((labels, labels))
+    expected, moves = np.zeros((labels, labels)), np.zeros((labels, labels))
     for t in range(1, steps):
-        pair = alpha[:, t - 1, :, None] * step * (psi[:, t] * beta[:, t])[:, None, :]
-        pair /= pair.sum(axis=(1, 2), keepdims=True)
-        moves += (hot[:, t - 1, :, None] * hot[:, t, None, :] - pair).sum(axis=0)
-    return hot - node, moves, (hot[:, 0] - node[:, 0]).sum(axis=0)
+        # A row's pairs are (from x step x onto) / total; their sum over the rows is one matrix product.
+        origin, onto = alpha[:, t - 1], psi[:, t] * beta[:, t]
+        total = ((origin @ step) * onto).sum(axis=1, keepdims=True)
+        expected += (origin / total).T @ onto
+        np.add.at(moves, (gold[:, t - 1], gold[:, t]), 1)
+    score = -node
+    score[np.arange(rows)[:, None], np.arange(steps), gold] += 1
+    return score, moves - expected * step, score[:, 0].sum(axis=0)
 
 
 def train(texts: list[str], labels: list[str]) -> Model:
     """Fit the field on code-switched word sequences made of labelled texts."""
     languages = sorted(set(labels))
     count = len(languages)
-    model = Model(languages, np.zeros((BUCKETS, count), np.float32), np.zeros((count, count)), np.zeros(count))
+    buckets = buckets_for(count)
+    model = Model(languages, np.zeros((buckets, count), np.float32), np.zeros((count, count)), np.zeros(count))
     if count < 2:
         return model
     rng = np.random.default_rng(SEED)
     # Features are made once for each distinct word, so the driver holds few of them.
     pools: list[list[np.ndarray]] = [[] for _ in languages]
+    place = {name: i for i, name in enumerate(languages)}
     datas, starts, ends, hashes, base, shift = [], [], [], [], 0, 0
     for text, label in zip(texts, labels, strict=True):
         for _, _, data, offsets in text_groups(pa.array([text])):
@@ -174,17 +188,17 @@ def train(texts: list[str], labels: list[str]) -> Model:
             starts.append(w.start + shift)
             ends.append(w.end + shift)
             hashes.append(w.hash)
-            pools[languages.index(label)].append(np.arange(base, base + len(w.start)))
+            pools[place[label]].append(np.arange(base, base + len(w.start)))
             base, shift = base + len(w.start), shift + len(data)
     _, at, number = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-    numbers, begin = features(np.concatenate(datas), np.concatenate(starts)[at], np.concatenate(ends)[at])
+    numbers, begin = features(np.concatenate(datas), np.concatenate(starts)[at], np.concatenate(ends)[at], buckets)
     pools = [number[np.concatenate(p)] for p in pools]
-    usable = np.array([i for i in range(count) if len(pools[i]) >= TRAIN_WORDS])
+    usable = np.array([i for i in range(count) if len(pools[i])])
     if len(usable) < 2:
         return model
-    squares = np.full((BUCKETS, count), 1e-6, np.float32)
+    squares = np.full((buckets, count), 1e-6, np.float32)
     t_squares, s_squares = np.full((count, count), 1e-6), np.full(count, 1e-6)
-    sequences = EPOCHS * max(400, min(4000, base // TRAIN_WORDS))
+    sequences = EPOCHS * max(400, min(4000, base // TRAIN_WORDS), 20 * count)
     for _ in range(max(1, sequences // BATCH)):
         rows = np.empty((BATCH, TRAIN_WORDS), np.int64)
         gold = np.empty((BATCH, TRAIN_WORDS), np.int64)
@@ -194,6 +208,7 @@ def train(texts: list[str], labels: list[str]) -> Model:
                 take = min(TRAIN_WORDS - at, int(rng.integers(5, TRAIN_WORDS + 1)))
                 lang = int(rng.choice(usable))
                 pool = pools[lang]
+                take = min(take, len(pool))
                 where = int(rng.integers(0, len(pool) - take + 1))
                 rows[r, at : at + take] = pool[where : where + take]
                 gold[r, at : at + take] = lang
@@ -205,10 +220,10 @@ def train(texts: list[str], labels: list[str]) -> Model:
         heads = np.r_[0, np.cumsum(size)[:-1]]
         scores = np.add.reduceat(model.weights[index], heads, axis=0).reshape(BATCH, TRAIN_WORDS, count)
         by_score, by_move, by_start = pair_expectations(scores, gold, model)
-        grad = np.zeros((BUCKETS, count), np.float32)
-        per = by_score.reshape(-1, count)[owner]
+        grad = np.zeros((buckets, count), np.float32)
+        per = by_score.reshape(-1, count)
         for c in range(count):
-            grad[:, c] = np.bincount(index, weights=per[:, c], minlength=BUCKETS) / BATCH
+            grad[:, c] = np.bincount(index, weights=per[owner, c], minlength=buckets) / BATCH
         squares += grad**2
         model.weights += STEP * grad / np.sqrt(squares)
         by_move, by_start = by_move / BATCH, by_start / BATCH
@@ -222,26 +237,30 @@ def train(texts: list[str], labels: list[str]) -> Model:
 
 
 def training_sample(documents: DataFrame, folds: int, held_out: int) -> list[tuple[str, str]]:
-    """(text, lang) of at most TRAIN_DOCS documents a language, chosen by a hash of the id.
+    """(text, lang) of at most TRAIN_DOCS documents of every language, chosen by a hash of the row.
 
-    At most LANGUAGES languages are learned, those first in code-point order.
+    A text of more than TRAIN_CHARS characters gives a span of that length
+    whose place the hash picks.
     """
     rows = documents.where(
         F.col("lang").isNotNull()
         & F.col("text").isNotNull()
-        & (F.length("text").between(1, TRAIN_CHARS))
+        & (F.col("text") != "")
         & (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds != held_out)
     )
-    names = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(LANGUAGES).collect()
-    # A language's documents are thinned by hash to a few times the bound, so the last cut is small.
-    share = F.create_map(*[F.lit(x) for r in names for x in (r.lang, min(1.0, 3.0 * TRAIN_DOCS / r.n))]) if names else None
-    if share is None:
+    names = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    if not names:
         return []
+    most = max(1, min(TRAIN_DOCS, TRAIN_TOTAL // len(names)))
+    # A language's documents are thinned by hash to a few times the bound, so the last cut is small.
+    share = F.create_map(*[F.lit(x) for r in names for x in (r.lang, min(1.0, (3.0 * most + 30) / r.n))])
     by = F.xxhash64("doc_id", "text")
     part = (F.pmod(by, F.lit(1_000_003)) / 1_000_003.0) <= F.element_at(share, F.col("lang"))
-    order = F.struct(by.alias("by"), "text")
-    picked = rows.where(part).groupBy("lang").agg(F.sort_array(F.collect_list(order)).alias("all"))
-    picked = picked.select("lang", F.explode(F.slice("all", 1, TRAIN_DOCS)).alias("one")).select("one.text", "lang")
+    spare = F.greatest(F.length("text") - F.lit(TRAIN_CHARS), F.lit(0))
+    span = F.substring(F.col("text"), F.pmod(F.xxhash64(by, F.lit(1)), spare + 1).cast("int") + 1, F.lit(TRAIN_CHARS))
+    picked = rows.where(part).select("lang", F.struct(by.alias("by"), span.alias("text")).alias("one"))
+    picked = picked.groupBy("lang").agg(F.sort_array(F.collect_list("one")).alias("all"))
+    picked = picked.select("lang", F.explode(F.slice("all", 1, most)).alias("one")).select("one.text", "lang")
     return [(r.text, r.lang) for r in picked.orderBy("lang", "text").collect()]
 
 

@@ -177,3 +177,65 @@ def test_windows_cover_every_word():
     words = toxicity.find_words(np.frombuffer(b"a b c " * 50, np.uint8), np.array([0, 300]), toxicity.LETTERS_DIGITS)
     table, doc = toxicity.window_table(words, np.arange(150), 150)
     assert set(range(150)) <= set(table.ravel()) and len(table) == 5 and set(doc) == {0}
+
+
+def made_up_languages(count, seed=3):
+    """Vocabularies of different letters and endings, one for each language."""
+    rng = np.random.default_rng(seed)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    return {f"l{i:03d}": ["".join(rng.choice(letters, rng.integers(3, 9))) for _ in range(12)] for i in range(count)}
+
+
+def test_every_labelled_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "EPOCHS", 2)
+    words = made_up_languages(210)
+    rng = np.random.default_rng(4)
+    rows = [(i * 10 + k, " ".join(rng.choice(words[name], 60)), name) for i, name in enumerate(words) for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert {r.lang_pred for r in got} == set(words)  # the last ones in code-point order, too
+    assert np.mean([r.lang_pred == r.lang for r in got]) > 0.97
+
+
+def test_languages_of_long_or_few_texts(spark):
+    words = made_up_languages(4)
+    rng = np.random.default_rng(6)
+    long = [(i, " ".join(rng.choice(words["l000"], 6000)), "l000") for i in range(0, 9)]
+    few = [(20, " ".join(words["l001"][:5]), "l001"), (21, " ".join(words["l001"][5:]), "l001")]
+    rest = [(30 + i, " ".join(rng.choice(words[n], 50)), n) for i in range(24) for n in ("l002", "l003") if i % 2 == (n == "l003")]
+    assert all(len(t) > langid.TRAIN_CHARS for _, t, _ in long)
+    docs = spark.createDataFrame(long + few + rest, "doc_id long, text string, lang string")
+    sample = langid.training_sample(docs, 4, 2)
+    assert {g for _, g in sample} == set(words) and max(len(t) for t, _ in sample) == langid.TRAIN_CHARS
+    test = spark.createDataFrame([(i, " ".join(words[n]), n) for i, n in enumerate(words)], "doc_id long, text string, lang string")
+    model = langid.train([t for t, _ in sample], [g for _, g in sample])
+    assert [r.lang_pred for r in langid.predict(test, model).orderBy("doc_id").collect()] == list(words)
+
+
+def test_weight_table_stays_within_its_bound():
+    for count in (1, 4, 256, 257, 5000, 60_000):
+        rows = langid.buckets_for(count)
+        assert rows & (rows - 1) == 0 and (rows * count <= langid.WEIGHTS or rows == 256)
+    assert langid.buckets_for(4) == langid.BUCKETS
+
+
+def test_pair_expectations_match_enumeration():
+    rng = np.random.default_rng(8)
+    model = langid.Model(["a", "b", "c"], np.zeros((1, 3)), rng.normal(size=(3, 3)), rng.normal(size=3))
+    scores, gold = rng.normal(size=(2, 4, 3)), rng.integers(0, 3, (2, 4))
+    by_score, moves, start = langid.pair_expectations(scores, gold, model)
+    want_score, want_moves = np.zeros((2, 4, 3)), np.zeros((3, 3))
+    for r in range(2):
+        total, node, pair = 0.0, np.zeros((4, 3)), np.zeros((3, 3))
+        for path in np.ndindex(3, 3, 3, 3):
+            p = math.exp(model.start[path[0]] + sum(scores[r, t, c] for t, c in enumerate(path)) + sum(model.transitions[x, y] for x, y in zip(path, path[1:])))
+            total += p
+            node[np.arange(4), path] += p
+            for x, y in zip(path, path[1:]):
+                pair[x, y] += p
+        want_score[r] = np.eye(3)[gold[r]] - node / total
+        want_moves -= pair / total
+        for x, y in zip(gold[r], gold[r][1:]):
+            want_moves[x, y] += 1
+    assert by_score == pytest.approx(want_score) and moves == pytest.approx(want_moves)
+    assert start == pytest.approx(want_score[:, 0].sum(axis=0))
