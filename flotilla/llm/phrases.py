@@ -43,9 +43,9 @@ TOP = 2000
 COVER_PERCENT = 50
 SCALE = 1_000_000
 
-GROUP_BYTES = 8 << 20
-# Bytes of text for each hash partition: about four million keys to merge in one task.
-PART_BYTES = 16 << 20
+GROUP_BYTES = 4 << 20
+# Bytes of text for each hash partition: about a million keys to merge at a time.
+PART_BYTES = 4 << 20
 FILTER_BYTES = 32 << 20
 # The summaries hold more than mass / threshold by this factor, so that fewer rare n-grams are left.
 HEADROOM = 2
@@ -137,9 +137,10 @@ def pack(key: np.ndarray) -> bytes:
     return key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
 
 
-def unpack(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // KEY_BYTES, 8), np.uint8)
-    out[:, :KEY_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, KEY_BYTES)
+def unpack(raw: bytes | pa.Buffer) -> np.ndarray:
+    flat = np.frombuffer(raw, np.uint8).reshape(-1, KEY_BYTES)
+    out = np.zeros((len(flat), 8), np.uint8)
+    out[:, :KEY_BYTES] = flat
     return out.view("<u8").ravel().astype(np.uint64)
 
 
@@ -149,8 +150,11 @@ def low(key: np.ndarray) -> np.ndarray:
 
 def merge(key: np.ndarray, count: np.ndarray, more_key: np.ndarray, more: np.ndarray, capacity: int):
     """Two Misra-Gries summaries as one of at most ``capacity`` counters: (keys, counts, what was taken off)."""
-    keys, where = np.unique(np.concatenate([key, more_key]), return_inverse=True)
-    counts = np.bincount(where, np.concatenate([count, more]), len(keys)).astype(np.int64)
+    keys = np.concatenate([key, more_key])
+    by = np.argsort(keys, kind="stable")
+    keys, counts = keys[by], np.concatenate([count, more])[by]
+    head = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    keys, counts = keys[head], np.add.reduceat(counts, head, dtype=np.int64) if len(head) else counts.astype(np.int64)
     if len(keys) <= capacity:
         return keys, counts, 0
     off = int(np.partition(counts, len(counts) - capacity - 1)[len(counts) - capacity - 1])
@@ -158,14 +162,21 @@ def merge(key: np.ndarray, count: np.ndarray, more_key: np.ndarray, more: np.nda
     return keys[left], counts[left] - off, off
 
 
-def summary(blobs: list[bytes], counts: list[bytes], least: int) -> tuple[np.ndarray, int]:
+def summary(blobs: list[bytes | pa.Buffer], counts: list[bytes | pa.Buffer], least: int) -> tuple[np.ndarray, int]:
     """Keys of one hash partition that may occur ``least`` times, and its mass."""
-    mass = int(sum(np.frombuffer(c, np.uint8).sum(dtype=np.int64) for c in counts))
+    numbers = [np.frombuffer(c, np.uint8) for c in counts]
+    mass = int(sum(c.sum(dtype=np.int64) for c in numbers))
     capacity = (mass // least + 1) * HEADROOM
     key, count, error = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
-    for blob, c in zip(blobs, counts, strict=True):
-        key, count, off = merge(key, count, unpack(blob), np.frombuffer(c, np.uint8).astype(np.int64), capacity)
+    start = size = 0
+    for i, c in enumerate(numbers):
+        size += len(c)
+        if size < capacity and i + 1 < len(numbers):
+            continue  # arrays of about the summary's own size are merged at once
+        more = np.concatenate([unpack(b) for b in blobs[start : i + 1]])
+        key, count, off = merge(key, count, more, np.concatenate(numbers[start : i + 1]), capacity)
         error += off
+        start, size = i + 1, 0
     return key[count + error >= least], mass
 
 
@@ -234,7 +245,7 @@ def survivors(texts: DataFrame, least: int) -> Survivors:
             )
 
     def reduce(group: pa.Table) -> pa.Table:
-        keys, mass = summary(group["keys"].to_pylist(), group["counts"].to_pylist(), least)
+        keys, mass = summary([k.as_buffer() for k in group["keys"]], [c.as_buffer() for c in group["counts"]], least)
         most = 1 << max(3, (FILTER_BYTES * 8 // parts).bit_length() - 1)
         slots = min(most, 1 << max(3, (16 * max(1, len(keys)) - 1).bit_length()))
         out = [[group["part"][0].as_py()], [mass], [len(keys)], [slots], [segment(keys, slots)]]
