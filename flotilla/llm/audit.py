@@ -10,10 +10,10 @@ v(S), where S are the filters before it. So one row of 32 values per part
 answers all 120 orders.
 
 The documents are read once; what stays of a text is its hash, its part and
-five bits. Copies are found by an aggregate on the text's hash, which folds a
-hot text inside every map task; only texts that some ids share are joined
-back, on a written table whose hot keys AQE splits. From there on all is
-partial aggregates to (part, failure pattern) counts.
+five bits. The smallest id of every text is an aggregate on the text's hash,
+which folds a hot text inside every map task; rows are joined with it by hash
+and id, so the copies of one text do not meet in one task. From there on all
+is partial aggregates to (part, failure pattern) counts.
 """
 
 from __future__ import annotations
@@ -66,14 +66,14 @@ def failures(documents: DataFrame, labels: DataFrame) -> DataFrame:
     rows = documents.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"), text.alias("text"))
     # SHA-256 names a text: equal names are equal texts.
     rows = saved(rows.select("id", "part", F.unhex(F.sha2("text", 256)).alias("name"), text_failures(F.col("text")).alias("mask")), "audit-rows")
-    copied = rows.groupBy("name").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-    copied = copied.where(F.col("first") < F.col("last")).select("name", "first")
+    first = rows.groupBy("name").agg(F.min("id").alias("id")).withColumn("first", F.lit(True))
     marks = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(
         F.coalesce(F.bool_or(F.col("quality") == 1), F.lit(False)).alias("good"),
         F.coalesce(F.bool_or(F.col("toxic") == 1), F.lit(False)).alias("toxic"),
     )
-    copy = F.coalesce(F.col("id") > F.col("first"), F.lit(False)).cast("int") * 16
-    judged = rows.join(copied, "name", "left").select("id", "part", (F.col("mask") + copy).alias("mask"))
+    # Joined by text and id: the copies of a hot text spread over all tasks.
+    copy = (F.col("id").isNotNull() & F.col("first").isNull()).cast("int") * 16
+    judged = rows.join(first, ["name", "id"], "left").select("id", "part", (F.col("mask") + copy).alias("mask"))
     return (
         judged.join(marks, "id", "left").groupBy("part", "mask")
         .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("good")).alias("good"), F.count_if(F.col("toxic")).alias("toxic"))
