@@ -1,60 +1,83 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-A seed is the hash of some of SPAN consecutive tokens; a mask says which, the
-others may be anything. Seeds of every mask at every position of the benchmark
-items and of the documents meet in a join on the hash. A hit fixes a diagonal
-(document position minus item position); along it the tokens of document and
-item are compared, and the document is contaminated when some WINDOW of
-consecutive item tokens agrees in at least NEED places, so substituted words
-do not hide an overlap.
-
-Documents' seeds pass a bit filter of fixed size before the shuffle, so only
-likely hits are shuffled, whatever the benchmark's size. Texts of documents
-with a hit are read again through a second such filter. A passage that many
-documents share is a hot hash: that join is a plain join of two shuffled
-sides, which AQE splits. Built-in functions only.
+A seed is the hash of six tokens; a mask says which of those from a place on,
+the others may be anything. Seeds of every mask at every position of the
+benchmark items and of the documents meet in a join on the hash. A hit fixes a
+diagonal (document position minus item position); along it the tokens of
+document and item are compared, and the document is contaminated when some
+WINDOW of consecutive item tokens agrees in at least NEED places, so
+substituted words do not hide an overlap. An item shorter than WINDOW is one
+window, the count is scaled. The masks are complete: whatever places are
+substituted within that rule, some mask at some place looks at none of them (a
+test enumerates all patterns). Items too short for the rule, of fewer than
+SHORT tokens, count where all their tokens stand side by side.
+
+Documents' seeds pass a bit filter sized by the number of item seeds before
+the shuffle, so mostly hits are shuffled. Texts of documents with a hit are
+read again through a second such filter. A passage that many documents share
+is a hot hash: that join is a plain join of two shuffled sides, which AQE
+splits. Built-in functions only.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bitmap import bits_of, may_hold
 from .common import let, saved, word_array
 
-SPAN = 9
-# Token places each mask looks at; it ignores the others.
-MASKS = ((0, 1, 2, 4, 5, 8), (0, 2, 3, 6, 7, 8), (0, 1, 4, 5, 7, 8))
+# Token places each mask looks at; it ignores the others. Found by a search over sets of
+# four masks of six places for one that leaves out no pattern of substitutions the rule admits.
+MASKS = ((0, 2, 4, 6, 8, 9), (0, 1, 4, 5, 6, 7), (0, 1, 2, 3, 4, 6), (0, 1, 5, 8, 9, 10))
 WINDOW = 16
 NEED = 13
+SHORT = 9
 
 
 def seed(words: Column, at: Column, number: int) -> Column:
-    """Hash of mask ``number`` laid on ``words`` from place ``at`` (from 0)."""
-    return F.xxhash64(F.lit(number), *[F.get(words, at + F.lit(o)) for o in MASKS[number]])
+    """Hash of mask ``number`` laid on ``words`` from place ``at`` (from 0); null where the mask juts out."""
+    value = F.xxhash64(F.lit(number), *[F.get(words, at + F.lit(o)) for o in MASKS[number]])
+    return F.when(at + F.lit(max(MASKS[number])) < F.size(words), value)
 
 
-def places(words: Column) -> Column:
-    """Places a mask can start at, exploded; texts of fewer than SPAN tokens have none."""
-    last = F.size(words) - F.lit(SPAN)
+def places(words: Column, span: int) -> Column:
+    """Places where ``span`` tokens can start, exploded; shorter texts have none."""
+    last = F.size(words) - F.lit(span)
     return F.explode(F.when(last >= 0, F.sequence(F.lit(0), last)))
 
 
 def seeds(rows: DataFrame, keys: list[str], bits: Column | None = None) -> DataFrame:
     """``keys``, place and hash of all seeds of ``rows`` (keys, words) that pass the filter."""
-    spread = rows.select(*keys, "words", places(F.col("words")).alias("at"))
-    hashes = [seed(F.col("words"), F.col("at"), i) for i in range(len(MASKS))]
-    if bits is None:
-        return spread.select(*keys, "at", F.explode(F.array(*hashes)).alias("seed"))
-    named = spread.select(*keys, "at", *[h.alias(f"h{i}") for i, h in enumerate(hashes)])
-    tests = [may_hold(bits, F.col(f"h{i}")) for i in range(len(MASKS))]
-    passed = [F.when(t, F.col(f"h{i}")) for i, t in enumerate(tests)]
-    any_ = tests[0] | tests[1] | tests[2]
-    out = named.where(any_).select(*keys, "at", F.explode(F.array(*passed)).alias("seed"))
+    shortest = min(map(max, MASKS)) + 1
+    spread = rows.select(*keys, "words", places(F.col("words"), shortest).alias("at"))
+    numbers = range(len(MASKS))
+    out = spread.select(*keys, "at", *[seed(F.col("words"), F.col("at"), i).alias(f"h{i}") for i in numbers])
+    if bits is not None:
+        passed = [may_hold(bits, F.col(f"h{i}")) for i in numbers]
+        out = out.where(functools.reduce(Column.__or__, [F.coalesce(p, F.lit(False)) for p in passed]))
+        out = out.select(*keys, "at", *[F.when(p, F.col(f"h{i}")).alias(f"h{i}") for i, p in enumerate(passed)])
+    out = out.select(*keys, "at", F.explode(F.array(*[f"h{i}" for i in numbers])).alias("seed"))
     return out.where(F.col("seed").isNotNull())
 
 
+def whole_runs(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """(id, print, item_id): documents that hold all tokens of an item of fewer than SHORT tokens side by side."""
+    run = F.array_join("item", " ")  # tokens hold no blanks, so this names the tokens
+    short = saved(items.where(F.size("item") < SHORT).select("item_id", F.size("item").alias("size"), run.alias("run")), "short-items")
+    sizes = sorted(r.size for r in short.select("size").distinct().collect())  # at most SHORT - 1
+    if not sizes:
+        return items.select(F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("print"), "item_id").limit(0)
+    bits = bits_of(short.select(F.xxhash64("run").alias("key")), short.count())
+    spread = rows.select("id", "print", "words", places(F.col("words"), sizes[0]).alias("at"))
+    runs = [F.when(F.col("at") + size <= F.size("words"), F.array_join(F.slice("words", F.col("at") + 1, size), " ")) for size in sizes]
+    runs = spread.select("id", "print", F.explode(F.array(*runs)).alias("run"))
+    runs = runs.where(may_hold(bits, F.xxhash64("run"))).distinct()
+    return runs.join(short.select("run", "item_id"), "run").select("id", "print", "item_id")
+
+
 def overlap(words: Column, item: Column, diagonal: Column) -> Column:
     """Most agreeing places in any WINDOW of item tokens laid on the document along ``diagonal``.
 
@@ -78,12 +101,12 @@ def overlap(words: Column, item: Column, diagonal: Column) -> Column:
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(id, print, item_id, agree): overlaps found between documents and benchmark items.
+    """(id, print, item_id): overlaps found between documents and benchmark items.
 
     ``id`` is the doc_id and ``print`` the hash of the text, which together
-    name a row, also where doc_ids repeat or are null. Null and empty texts,
-    and texts or items of fewer than SPAN tokens, have no seeds and overlap
-    with nothing. Items that repeat an item_id are one item with several texts.
+    name a row, also where doc_ids repeat or are null. Null and empty texts
+    and items overlap with nothing. Items that repeat an item_id are one item
+    with several texts.
     """
     rows = documents.select(
         F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("print"), word_array(F.col("text").cast("string")).alias("words")
@@ -92,23 +115,24 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         benchmark.select(
             F.col("item_id").cast("long").alias("item_id"), F.xxhash64("text").alias("item_print"),
             word_array(F.col("text").cast("string")).alias("item"),
-        ).where(F.size("item") >= SPAN).distinct(),
+        ).where(F.size("item") > 0).distinct(),
         "items",
     )
-    item_seeds = seeds(items.withColumn("words", F.col("item")), ["item_id", "item_print"])
+    item_seeds = seeds(items.where(F.size("item") >= SHORT).withColumn("words", F.col("item")), ["item_id", "item_print"])
     item_seeds = saved(item_seeds.withColumnRenamed("at", "item_at"), "item-seeds")
-    bits = bits_of(item_seeds.select(F.col("seed").alias("key")))
+    bits = bits_of(item_seeds.select(F.col("seed").alias("key")), item_seeds.count())
     found = seeds(rows, ["id", "print"], bits).join(item_seeds, "seed")
     hits = found.select("id", "print", "item_id", "item_print", (F.col("at") - F.col("item_at")).alias("diagonal"))
     hits = saved(hits.distinct(), "hits")
-    wanted = bits_of(hits.select(F.xxhash64("id", "print").alias("key")))
+    wanted = bits_of(hits.select(F.xxhash64("id", "print").alias("key")), hits.count())
     texts = rows.where(may_hold(wanted, F.xxhash64("id", "print"))).dropDuplicates(["id", "print"])
     texts = texts.select(F.col("id").alias("i"), F.col("print").alias("p"), "words")
     laid = hits.join(items, ["item_id", "item_print"]).join(
         texts, F.col("id").eqNullSafe(F.col("i")) & (F.col("print") == F.col("p"))
     )
     rated = laid.select("id", "print", "item_id", overlap(F.col("words"), F.col("item"), F.col("diagonal")).alias("agree"))
-    return rated.where(F.col("agree") >= NEED).groupBy("id", "print", "item_id").agg(F.max("agree").alias("agree"))
+    found = rated.where(F.col("agree") >= NEED).select("id", "print", "item_id")
+    return found.unionByName(whole_runs(rows, items)).distinct()
 
 
 def flag_documents(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from .decontaminate import MASKS, NEED, SPAN, WINDOW
+from .decontaminate import NEED, SHORT, WINDOW
 from .line_dedup import MIN_CHARS, SITES
 
-SEEDS = " UNION ALL ".join(
-    f"SELECT r, place, {m} AS mask, [" + ", ".join(f"w[place + {o}]" for o in offsets) + "] AS seed FROM {places}"
-    for m, offsets in enumerate(MASKS)
-)
 
 
-def spaced_seeds() -> str:
-    """Seeds as token lists, hits and overlaps counted straight from the tokens."""
+def substituted_overlaps() -> str:
+    """Overlaps straight from the tokens, without seeds: agreeing places counted on every diagonal with a common token."""
 
     def words(table: str, key: str) -> str:
         clean = "trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', ' ', 'g'))"
@@ -21,25 +17,23 @@ def spaced_seeds() -> str:
             f"ELSE string_split({clean}, ' ') END AS w FROM {table}"
         )
 
-    def places(source: str) -> str:
-        return f"SELECT r, w, unnest(range(1, len(w) - {SPAN} + 2)) AS place FROM {source} WHERE len(w) >= {SPAN}"
-
-    same = "list_transform(range(1, len(i.w) + 1), lambda k: CASE WHEN k + g > 0 AND d.w[k + g] = i.w[k] THEN 1 ELSE 0 END)"
     return f"""
 WITH docs AS ({words("documents", "doc_id")}), items AS ({words("benchmark", "item_id")}),
-doc_places AS ({places("docs")}), item_places AS ({places("items")}),
-doc_seeds AS ({SEEDS.format(places="doc_places")}), item_seeds AS ({SEEDS.format(places="item_places")}),
-hits AS (
-    SELECT DISTINCT a.r AS dr, b.r AS ir, a.place - b.place AS g
-    FROM doc_seeds a JOIN item_seeds b ON a.mask = b.mask AND a.seed = b.seed
-), laid AS (
-    SELECT dr, item_id, {same} AS same, least(len(i.w), {WINDOW}) AS width
-    FROM hits JOIN docs d ON d.r = dr JOIN items i ON i.r = ir
+doc_tokens AS (SELECT r, unnest(w) AS token, generate_subscripts(w, 1) AS at FROM docs),
+item_tokens AS (SELECT r, len(w) AS n, unnest(w) AS token, generate_subscripts(w, 1) AS at FROM items),
+diagonals AS (
+    SELECT d.r AS dr, i.r AS ir, d.at - i.at AS g, any_value(n) AS n, list(i.at) AS places
+    FROM doc_tokens d JOIN item_tokens i USING (token) GROUP BY 1, 2, 3
+    HAVING count(*) >= CASE WHEN any_value(n) < {SHORT} THEN any_value(n)
+        ELSE ceil(least(any_value(n), {WINDOW}) * {NEED} / {WINDOW}) END
 ), rated AS (
-    SELECT dr, item_id, list_max(list_transform(range(1, len(same) - width + 2),
-        lambda j: list_sum(same[j : j + width - 1]))) * {WINDOW} / width AS agree
-    FROM laid
-), leaks AS (SELECT dr, count(DISTINCT item_id) AS n FROM rated WHERE agree >= {NEED} GROUP BY dr)
+    SELECT dr, ir, n, least(n, {WINDOW}) AS width, list_max(list_transform(places,
+        lambda a: len(list_filter(places, lambda b: b >= a AND b < a + least(n, {WINDOW}))))) AS agree
+    FROM diagonals
+), leaks AS (
+    SELECT dr, count(DISTINCT item_id) AS n FROM rated JOIN items ON ir = r
+    WHERE CASE WHEN rated.n < {SHORT} THEN agree = rated.n ELSE agree * {WINDOW} >= {NEED} * width END GROUP BY dr
+)
 SELECT doc_id, coalesce(n, 0) > 0 AS contaminated, CAST(coalesce(n, 0) AS BIGINT) AS n_items
 FROM docs LEFT JOIN leaks ON dr = r
 """
@@ -165,7 +159,7 @@ FROM ranked JOIN n USING (lang) WHERE rank <= 2000
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_site_spread_lines": LINE_DEDUP,
-        "op5_spaced_seed_leaks": spaced_seeds(),
+        "op5_spaced_seed_leaks": substituted_overlaps(),
         "op9_block_top_k": TOP_K,
         "op11_filter_potential": FILTER_AUDIT,
         "op13_phrase_collocations": COLLOCATIONS,

@@ -2,20 +2,20 @@
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers. Every
 value found is a protected entity e. Terms t that stand near entities are
-weighed by how strongly they give them away, in documents of the whole corpus:
-    p(e) = n(e) / N,   p(e | t) = (n(t, e) + PRIOR * p(e)) / (n(t) + PRIOR),
-    PMI(t; e) = log(p(e | t) / p(e)),   IC(e) = -log p(e),
-    disclosure(t, e) = PMI / IC,
-near 1 when a term occurs nowhere but with the entity. PRIOR is what smooths:
-it keeps chance from looking certain and needs no least count, so entities seen
-once count too. A term is generalised from disclosure GENERALISE on and removed
-from REMOVE on, wherever it stands in the corpus. Documents of the same text
-count once, so copies are no evidence.
+weighed by what is left to find out about the entity for one who reads t, in
+documents of the whole corpus:
+    p(e | t) = n(t, e) / (n(t) + PRIOR),   left(t, e) = -log2 p(e | t) bits,
+0 bits when a term occurs nowhere but with the entity. PRIOR smooths: it keeps
+chance from looking certain and needs no least count, so entities seen once
+count too. A term that leaves at most GENERALISE bits is generalised, one that
+leaves at most REMOVE bits removed, wherever it stands in the corpus. Only
+texts that hold the term count, so the corpus may grow without changing what
+is decided. Documents of the same text count once: copies are no evidence.
 
 Built-in functions only. Counts are partial aggregates; term counts read all
-words of all documents that pass a bit filter of fixed size over the terms near
-entities, and fold before the shuffle but for texts that may have copies, which
-a second such filter tells. The patterns are possessive forms of the
+words of all documents that pass a bit filter over the terms near entities, and
+fold before the shuffle but for texts that may have copies, which a second such
+filter tells. The patterns are possessive forms of the
 stated ones: they match the same strings without backtracking, so long runs of
 digits or letters neither overflow the stack nor take quadratic time.
 """
@@ -45,8 +45,9 @@ NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 AROUND = 48
 WORD = r"\p{L}+"
 PRIOR = 0.5
-GENERALISE = 0.75
-REMOVE = 0.9
+# Bits left: 1.5 is one text of the entity's among two that hold the term, 0.5 is three of three.
+GENERALISE = 1.5
+REMOVE = 0.5
 SPAN_TYPE = "array<struct<start:int,rank:int,end:int,value:string>>"
 
 
@@ -125,14 +126,14 @@ def near_terms(text: Column, span: Column) -> Column:
 
 
 def words_among(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """(id, print, term) of the distinct words of every text that pass the bit filter of ``terms``."""
-    bits = bits_of(terms.select(F.xxhash64("term").alias("key")).distinct())
+    """(id, print, term) of the distinct words of every text that pass the bit filter of the written table ``terms``."""
+    bits = bits_of(terms.select(F.xxhash64("term").alias("key")).distinct(), terms.count())
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
     return rows.select("id", "print", F.explode(words).alias("term")).where(may_hold(bits, F.xxhash64("term")))
 
 
 def disclosing_terms(rows: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((term, disclosure) of the terms to act on, (id, print, term) of words that may be among them).
+    """((term, left) of the terms to act on, (id, print, term) of words that may be among them).
 
     ``rows``: (id, print, text) of all documents; ``spans``: the same with base spans.
     """
@@ -140,23 +141,18 @@ def disclosing_terms(rows: DataFrame, spans: DataFrame) -> tuple[DataFrame, Data
     seen = spans.select("print", "text", F.explode("spans").alias("s"))
     terms = F.array_distinct(F.regexp_extract_all(near_terms(F.col("text"), F.col("s")), F.lit(WORD), F.lit(0)))
     mentions = saved(seen.select("print", entity, terms.alias("terms")), "mentions")
-    entities = mentions.groupBy("entity").agg(F.countDistinct("print").alias("n_e"))
     pairs = mentions.select("print", "entity", F.explode("terms").alias("term"))
     pairs = saved(pairs.groupBy("entity", "term").agg(F.countDistinct("print").alias("n_te")), "pairs")
     # Documents per candidate term: words that pass the filter meet in the count itself, not in a join.
     # Only texts that may have copies keep their print, so all others fold to one row a term in each task.
-    copied = bits_of(rows.groupBy("print").count().where("count > 1").select(F.col("print").alias("key")))
+    twice = saved(rows.groupBy("print").count().where("count > 1").select(F.col("print").alias("key")), "copied-texts")
+    copied = bits_of(twice, twice.count())
     words = words_among(rows, pairs).select("term", F.when(may_hold(copied, F.col("print")), F.col("print")).alias("copied"))
     single = F.count(F.when(F.col("copied").isNull(), F.lit(1)))
     n_t = saved(words.groupBy("term").agg((single + F.countDistinct("copied")).alias("n_t")), "term-counts")
-    total = float(max(rows.select("print").distinct().count(), 1))
-    joined = pairs.join(entities, "entity").join(n_t, "term")
-    share = F.col("n_e") / F.lit(total)
-    information = -F.log(share)
-    pmi = F.log((F.col("n_te") + F.lit(PRIOR) * share) / (F.col("n_t") + F.lit(PRIOR)) / share)
-    disclosure = F.when(information > 0, pmi / information).otherwise(0.0)
-    flagged = joined.select("term", disclosure.alias("disclosure")).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
-    flagged = saved(flagged.where(F.col("disclosure") >= GENERALISE), "disclosing")
+    left = -F.log2(F.col("n_te") / (F.col("n_t") + F.lit(PRIOR)))
+    flagged = pairs.join(n_t, "term").groupBy("term").agg(F.min(left).alias("left"))
+    flagged = saved(flagged.where(F.col("left") <= GENERALISE), "disclosing")
     return flagged, words_among(rows, flagged)
 
 
@@ -179,14 +175,12 @@ def protect(documents: DataFrame) -> DataFrame:
     flagged, present = disclosing_terms(rows, marked)
     acts = present.join(flagged, "term").groupBy("id", "print").agg(
         F.collect_set("term").alias("terms"),
-        F.collect_set(F.when(F.col("disclosure") >= REMOVE, F.col("term"))).alias("removed"),
+        F.collect_set(F.when(F.col("left") <= REMOVE, F.col("term"))).alias("removed"),
     )
     acts = acts.select(F.col("id").alias("i"), F.col("print").alias("p"), "terms", "removed")
     joined = based.join(acts, F.col("id").eqNullSafe(F.col("i")) & (F.col("print") == F.col("p")), "left")
-    # Letters only, so nothing in a term needs quoting.
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
     extra = F.filter(
-        matches(F.col("text"), pattern, len(KINDS)),
+        matches(F.col("text"), WORD, len(KINDS), lambda word: F.array_contains("terms", F.lower(word))),
         lambda t: ~F.exists("spans", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])),
     )
     spans = F.when(F.col("terms").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", extra)))

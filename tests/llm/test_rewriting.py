@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import random
 import re
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
 
-from flotilla.llm import decontaminate, line_dedup, mixing, pii
+from flotilla.llm import bitmap, decontaminate, line_dedup, mixing, pii
 
 from .conftest import LINE
 
@@ -96,6 +99,64 @@ def test_short_name_near_an_address_seen_once(spark):
     assert "we" not in got[100] and not any(got[i] for i in range(60))
 
 
+def brute_terms(texts):
+    """What each term near an entity leaves to find out, over distinct texts."""
+    texts = sorted(set(texts))
+    near, holding = {}, {}
+    for number, text in enumerate(texts):
+        for word in set(re.findall(r"[^\W\d_]+", text.lower())):
+            holding[word] = holding.get(word, 0) + 1
+        for kind, pattern in BASE.items():
+            for m in re.finditer(pattern, text):
+                if not brute_valid(kind, m[0]):
+                    continue
+                a, b = max(0, m.start() - pii.AROUND), min(len(text), m.end() + pii.AROUND)
+                for w in re.finditer(r"[^\W\d_]+", text):
+                    if (a <= w.start() and w.end() <= m.start()) or (m.end() <= w.start() and w.end() <= b):
+                        near.setdefault((kind, m[0], w[0].lower()), set()).add(number)
+    left = {}
+    for (_, _, word), where in near.items():
+        bits = -math.log2(len(where) / (holding[word] + pii.PRIOR))
+        left[word] = min(bits, left.get(word, bits))
+    return {w: b for w, b in left.items() if b <= pii.GENERALISE}
+
+
+def people(spark, more=0):
+    rng = random.Random(3)
+    common = "here are many plain words that say nothing of anyone at all".split()
+    rows = [(i, " ".join(rng.choices(common, k=12))) for i in range(40 + more)]
+    for i in range(10):
+        first = f"name{'abcdefghij'[i]}"
+        rows.append((1000 + i, f"{rng.choice(common)} {first} of city{'uvw'[i % 3]} wrote from u{i}@mail.example.org on {rng.choice(common)} days"))
+        rows += [(3000 + 10 * i + k, f"{first} once more at u{i}@mail.example.org on {k}") for k in range(3) if i % 5 == 0]
+        rows += [(2000 + 10 * i + k, f"{first} {rng.choice(common)} again in {k}") for k in range(i % 4)]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_terms_against_brute_force(spark):
+    docs = people(spark)
+    want = brute_terms([r.text for r in docs.collect()])
+    assert len(want) > 5 and any(b <= pii.REMOVE for b in want.values())
+    out = pii.protect(docs)
+    for r in out.collect():
+        spans = [s for s in r.spans if s.rank < 4]
+        terms = {
+            (m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", r.text)
+            if m[0].lower() in want and not any(s.start < m.end() and m.start() < s.end for s in spans)
+        }
+        assert {(s.start, s.end) for s in r.spans if s.rank == 4} == terms
+        assert set(r.removed) <= {w for w, b in want.items() if b <= pii.REMOVE}
+
+
+def test_unrelated_documents_change_no_decision(spark):
+    def decided(docs):
+        return {r.doc_id: (r.spans, sorted(r.removed)) for r in pii.protect(docs).collect() if r.doc_id >= 1000}
+
+    few = people(spark)
+    extra = spark.range(300).select((F.col("id") + 100).alias("doc_id"), F.concat(F.lit("quite unrelated sentence number "), F.col("id")).alias("text"))
+    assert decided(few) == decided(few.unionByName(extra))
+
+
 def test_cross_site_lines_go_but_for_the_first(awkward, empty):
     got = line_dedup.without_boilerplate(awkward).collect()
     assert len(got) == awkward.count()
@@ -133,6 +194,66 @@ def test_passages_with_substitutions_are_found(spark, awkward):
     assert decontaminate.flag_documents(awkward.limit(0), bench).count() == 0
 
 
+def needed(n):
+    """Agreeing tokens that an item of n tokens (or its best window) needs."""
+    return n if n < decontaminate.SHORT else -(-decontaminate.NEED * min(n, decontaminate.WINDOW) // decontaminate.WINDOW)
+
+
+def test_masks_see_every_substitution_the_rule_admits():
+    for n in range(decontaminate.SHORT, decontaminate.WINDOW + 1):
+        for gone in combinations(range(n), n - needed(n)):
+            assert any(
+                all(at + o not in gone for o in mask) for mask in decontaminate.MASKS for at in range(n - max(mask))
+            ), (n, gone)
+
+
+def brute_overlap(doc, item):
+    d, t = (re.findall(r"[^\W_]+", (x or "").lower()) for x in (doc, item))
+    if not t:
+        return False
+    width = min(len(t), decontaminate.WINDOW)
+    for g in range(-len(t), len(d) + 1):
+        same = [0 <= i + g < len(d) and d[i + g] == t[i] for i in range(len(t))]
+        if any(sum(same[j : j + width]) >= needed(len(t)) for j in range(len(t) - width + 1)):
+            return True
+    return False
+
+
+def test_substitutions_short_items_and_chance_against_brute_force(spark):
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(30)]
+    items = [(n, " ".join(rng.choices(vocabulary, k=n))) for n in (1, 2, 5, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 25)]
+    docs = [(1000, "w1 w2"), (1001, ""), (1002, None)]
+    for n, text in items:
+        for k in range(12):  # up to one substitution more than the rule admits
+            words = text.split()
+            for at in rng.sample(range(n), min(n, rng.randint(0, n - needed(n) + 1))):
+                words[at] = "changed"
+            pad = [" ".join(rng.choices(["x", "y", "z"], k=rng.randint(0, 3))) for _ in range(2)]
+            docs.append((n * 100 + k, f"{pad[0]} {' '.join(words)} {pad[1]}"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.flag_documents(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    want = {i: sum(brute_overlap(text, item) for _, item in items) for i, text in docs}
+    assert {r.doc_id: r.n_items for r in got} == want and len(got) == len(docs)
+    assert all(r.contaminated == (r.n_items > 0) for r in got)
+
+
+def test_short_item_word_for_word(spark, awkward):
+    docs = spark.createDataFrame([(1, "so it says: Six tokens, word for word! yes"), (2, "six tokens word for other word"), (3, "six tokens")], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, "six tokens word for word yes"), (1, "..."), (2, "six tokens")], "item_id long, text string")
+    got = {r.doc_id: r.n_items for r in decontaminate.flag_documents(docs, bench).collect()}
+    assert got == {1: 2, 2: 1, 3: 1}
+
+
+def test_bit_filter_grows_with_its_keys(spark):
+    assert bitmap.slots_for(0) * 64 == bitmap.LEAST_BITS and bitmap.slots_for(10**9) * 64 == bitmap.MOST_BITS
+    keys = spark.range(200_000).select(F.xxhash64("id").alias("key"))
+    bits = bitmap.bits_of(keys, 200_000)
+    assert keys.where(~bitmap.may_hold(bits, F.col("key"))).count() == 0
+    others = spark.range(1_000_000, 1_100_000).select(F.xxhash64("id").alias("key"))
+    assert others.where(bitmap.may_hold(bits, F.col("key"))).count() < 2_000
+
+
 def brute_targets(sizes):
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: 1 + i % 3 for i, s in enumerate(order)}
