@@ -75,34 +75,69 @@ def test_no_documents(empty):
 
 
 def brute_top(rows, every, k):
-    vectors = {}
-    for i, v in rows:
-        if i is None or v is None or any(x is None or x != x or abs(x) == float("inf") for x in v):
-            continue
-        ints = [int((256 * x) // 1) for x in v]
-        vectors[i] = min(vectors.get(i, ints), ints)
-    out = set()
-    for q, v in vectors.items():
+    """Sorted answer rows: every usable row is a candidate, a query leaves out its own row only."""
+    vectors = [
+        (i, [int((256 * x) // 1) for x in v]) for i, v in rows
+        if i is not None and v is not None and not any(x is None or x != x or abs(x) == float("inf") for x in v)
+    ]
+    out = []
+    for own, (q, v) in enumerate(vectors):
         if q % every == 0:
-            near = sorted((-sum(a * b for a, b in zip(v, c, strict=True)), i) for i, c in vectors.items() if i != q and len(c) == len(v))
-            out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(near[:k])}
-    return out
+            near = sorted(
+                (-sum(a * b for a, b in zip(v, c, strict=True)), i) for n, (i, c) in enumerate(vectors) if n != own and len(c) == len(v)
+            )
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(near[:k])]
+    return sorted(out)
+
+
+def top(df, *args):
+    return sorted(tuple(r) for r in topk.exact_top_k(df, *args).collect())
+
+
+CLASHING = ("score", "rank", "row", "v", "dim", "chunk", "range", "block", "group", "floor", "high", "low", "n")
 
 
 def test_top_k_with_ties_nulls_and_few_vectors(spark):
     rows = [(0, [0.5, -0.25]), (50, [0.5, -0.25]), (1, [0.5, -0.25]), (2, [1.0, 1.0]), (3, None), (4, [float("nan"), 1.0]),
             (5, [None, 1.0]), (6, [float("inf"), 0.0]), (None, [1.0, 1.0]), (1, [0.25, 0.0]), (100, [0.1, 0.2, 0.3]), (150, [])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x"))
-    assert {tuple(r) for r in topk.exact_top_k(df, 50, 3).collect()} == brute_top(rows, 50, 3)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for name in CLASHING:
+        df = df.withColumn(name, F.lit("x"))
+    assert top(df, 50, 3) == brute_top(rows, 50, 3)
     assert topk.exact_top_k(df.limit(0)).count() == 0
 
 
-def test_top_k_over_several_ranges_and_blocks(spark, monkeypatch):
-    monkeypatch.setattr(topk, "RANGE", 150)
-    monkeypatch.setattr(topk, "CHUNK", 4)
-    monkeypatch.setattr(topk, "BLOCK", 16)
-    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
-    rows = [(r.vec_id, r.embedding) for r in df.collect()]
-    assert {tuple(r) for r in topk.exact_top_k(df).collect()} == brute_top(rows, 50, 5)
+def test_top_k_keeps_rows_that_repeat_an_id(spark):
+    rows = [(0, [1.0, 0.5]), (1, [0.1, 0.0]), (1, [5.0, 0.0]), (1, [5.0, 0.0]), (50, [1.0, 1.0]), (50, [0.0, -1.0]), (2, [0.0, 0.0]), (150, []), (200, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = top(df, 50, 4)
+    assert got == brute_top(rows, 50, 4)
+    assert (0, 1, 1, 256 * 5 * 256) in got and (0, 2, 1, 256 * 5 * 256) in got
+
+
+def test_top_k_of_large_components(spark):
+    rows = [(i, [float((i * 7919) % 101 - 50) * 1e5, float(i) * 1e5]) for i in range(0, 120)]
+    assert top(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 50, 5) == brute_top(rows, 50, 5)
 
 
+@pytest.mark.parametrize("first", [1, 3])
+def test_top_k_over_several_ranges_and_blocks(spark, monkeypatch, first):
+    for name, value in {"RANGE_BLOCKS": 3, "GROUP_BLOCKS": 8, "CHUNK": 4, "BLOCK": 16, "FIRST": first}.items():
+        monkeypatch.setattr(topk, name, value)
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    assert top(df) == brute_top(rows, 50, 5)
+
+
+def test_blocks_below_the_floor_are_not_shuffled(spark, monkeypatch):
+    """Long vectors lie together, so a query's floor from the best block rules out nearly all others."""
+    for name, value in {"RANGE_BLOCKS": 4, "GROUP_BLOCKS": 16, "CHUNK": 8, "BLOCK": 16}.items():
+        monkeypatch.setattr(topk, name, value)
+    rows = [(i, [(100.0 if i < 40 else 0.01) * (1 + i % 7), 1.0]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    shuffled = []
+    plain = topk.score_cells
+    monkeypatch.setattr(topk, "score_cells", lambda q, b, keys, k: (shuffled.append(b.count()), plain(q, b, keys, k))[1])
+    assert top(df, 50, 5) == brute_top(rows, 50, 5)
+    blocks = 2000 / 16
+    assert shuffled[1] < 0.1 * blocks * 40 / 8  # (block, chunk) pairs; without a floor all of them
