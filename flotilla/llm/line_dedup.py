@@ -1,6 +1,8 @@
 """Cross-site boilerplate lines by distinct-site spread.
 
-A line's sites are the distinct sources whose documents hold it. Every line
+A line's sites are the distinct sources whose documents hold it; white space at
+its ends does not tell lines apart. A passage inside a longer line is no line
+and out of reach. Every line
 hash gets a HyperLogLog sketch of its sites, merged by partial aggregation. An
 estimate farther from the threshold than MARGIN decides by itself; lines
 nearer get an exact distinct count. Lines on at least ``sites`` sites are
@@ -17,13 +19,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import let, saved
 
 SITES = 5
 MIN_CHARS = 16
 LG_K = 10
 # Beyond four standard errors (1.04 / sqrt(2**LG_K)) of the sketch the estimate decides.
 MARGIN = 4 * 1.04 / 2 ** (LG_K / 2)
+# What is trimmed off a line's ends: blanks, tabs and the other control characters of line ends.
+ENDS = " \t\x0b\x0c\r"
 
 
 def line_array(text: Column) -> Column:
@@ -43,7 +47,7 @@ def occurrences(documents: DataFrame, min_chars: int) -> DataFrame:
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("site"),
         F.posexplode(line_array(F.col("text").cast("string"))).alias("pos", "content"),
     )
-    content = F.trim("content")
+    content = F.btrim(F.col("content"), F.lit(ENDS))
     return rows.where(F.length(content) >= min_chars).select("id", "print", "site", F.xxhash64(content).alias("line"), "pos")
 
 
@@ -85,7 +89,12 @@ def without_boilerplate(documents: DataFrame, sites: int = SITES, min_chars: int
     joined = documents.join(
         drop, doc_id.cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__print")), "left"
     )
-    kept = F.filter(line_array(text.cast("string")), lambda _, i: ~F.array_contains(F.col("__drop"), i))
-    clean = F.when(F.col("__drop").isNull(), text).otherwise(F.array_join(kept, "\n"))
+
+    def without(lines: Column) -> Column:
+        # The difference is taken by hashing, so many dropped lines of many cost no more than their sum.
+        places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__drop"))
+        return F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n")
+
+    clean = F.when(F.col("__drop").isNull(), text).otherwise(let(line_array(text.cast("string")), without))
     removed = F.coalesce(F.size("__drop"), F.lit(0)).cast("long")
     return joined.select(*[documents[c] for c in documents.columns], clean.alias("clean_text"), removed.alias("removed_lines"))

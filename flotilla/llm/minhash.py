@@ -314,6 +314,16 @@ def open_links(rated: DataFrame, labels: DataFrame, texts: DataFrame, n: int, pe
     return compared(pairs, texts, n).where(linked(percent)).select("a", "b").distinct()
 
 
+def id_links(named: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): classes, by their smallest ids, that hold texts of one doc_id."""
+    texts = named.groupBy("doc_id").agg(F.min("print").alias("low"), F.max("print").alias("high"))
+    several = texts.where(F.col("low") != F.col("high")).select("doc_id")
+    held = named.select("doc_id", "print").join(several, "doc_id").distinct()
+    held = saved(held.join(classes.select("print", "rep"), "print").select("doc_id", "rep"), "several-texts")
+    least = held.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    return held.join(least, "doc_id").where(F.col("rep") != F.col("a")).select("a", F.col("rep").alias("b")).distinct()
+
+
 def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``documents`` (doc_id, text).
 
@@ -322,7 +332,7 @@ def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> Data
     shorter text. Two documents are linked when 100 * shared >= percent *
     union. Null, empty and blank texts have empty sets and are linked with
     nothing. Rows that repeat a doc_id count as one document with several
-    texts, each row keeping its own set size. A null doc_id can't be named: its
+    texts, which links what each of them is near; each row keeps its own set size. A null doc_id can't be named: its
     row has a null component and is kept. An empty table gives no rows. No
     other column is read.
     """
@@ -355,8 +365,10 @@ def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> Data
     # Rows that repeat a doc_id may give a pair several ratings; the closest counts.
     closest = F.max(F.struct(F.col("shared") / F.col("total"), "shared", "total", "size", "foreign")).alias("m")
     rated = saved(rated.groupBy("a", "b").agg(closest).select("a", "b", "m.shared", "m.total", "m.size", "m.foreign"), "rated")
-    nodes = saved(wanted.select(F.col("doc_id").alias("node")), "nodes")
-    links = rated.where(linked(percent)).select("a", "b")
+    same_id = saved(id_links(named, classes), "id-links")
+    ends = wanted.select(F.col("doc_id").alias("node")).unionByName(same_id.select(F.explode(F.array("a", "b")).alias("node")))
+    nodes = saved(ends.distinct(), "nodes")
+    links = rated.where(linked(percent)).select("a", "b").unionByName(same_id)
     labels = saved(components(nodes, links), "components")
     more = saved(open_links(rated, labels, texts, n, percent), "more-links")
     known = links.unionByName(more)

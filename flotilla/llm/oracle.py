@@ -5,6 +5,9 @@ from __future__ import annotations
 from .decontaminate import NEED, SHORT, WINDOW
 from .line_dedup import MIN_CHARS, SITES
 
+# Blank, tab, vertical tab, form feed, carriage return.
+ENDS = "' ' || chr(9) || chr(11) || chr(12) || chr(13)"
+
 
 
 def substituted_overlaps() -> str:
@@ -45,11 +48,11 @@ WITH docs AS (
 ), lines AS (
     SELECT r, doc_id, site, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM docs
 ), spread AS (
-    SELECT trim(line, ' ') AS line FROM lines WHERE length(trim(line, ' ')) >= {MIN_CHARS}
+    SELECT trim(line, {ENDS}) AS line FROM lines WHERE length(trim(line, {ENDS})) >= {MIN_CHARS}
     GROUP BY 1 HAVING count(DISTINCT site) >= {SITES}
 ), placed AS (
-    SELECT r, pos, line, trim(line, ' ') IN (SELECT line FROM spread) AS common,
-        row_number() OVER (PARTITION BY trim(line, ' ') ORDER BY doc_id NULLS LAST, pos) AS nth
+    SELECT r, pos, line, trim(line, {ENDS}) IN (SELECT line FROM spread) AS common,
+        row_number() OVER (PARTITION BY trim(line, {ENDS}) ORDER BY doc_id NULLS LAST, pos) AS nth
     FROM lines
 ), cleaned AS (
     SELECT r, string_agg(line, chr(10) ORDER BY pos) FILTER (NOT common OR nth = 1) AS text,

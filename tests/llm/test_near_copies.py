@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -60,6 +61,18 @@ def test_awkward_rows(awkward, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_one_id_with_several_texts(spark):
+    """A doc_id links whatever its texts are near."""
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six", "red green blue black white grey")
+    rows = [(2, a), (5, a), (5, b), (9, b), (7, c), (7, c), (11, "nothing like the others at all"), (5, "only five says this and that")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check(df, 3, 85)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, 3, 85).collect()}
+    assert got == {2: 2, 5: 2, 9: 2, 7: 7, 11: 11}
+    kept = corpus_pipeline.near_duplicate_stage(spark, df, SF).select("doc_id").distinct().collect()
+    assert {r.doc_id for r in kept} == {2, 7, 11}
+
+
 def test_one_large_group_of_edited_copies(spark):
     """Hundreds of copies of one text with a few to many edits, some of which form groups of their own."""
     rng = random.Random(3)
@@ -132,6 +145,39 @@ def test_pipeline_stages_on_their_own_inputs(spark):
     assert abs(after.agg(F.sum(size)).first()[0] / total - 1) < 0.05
 
 
+def test_mixing_of_repeated_rows_takes_what_the_mix_takes(spark):
+    one = "fourteen words " * 7
+    rows = [(1, one, "a")] * 22 + [(2, one, "a")] * 5 + [(None, one, "a")] * 9 + [(10 + i, "word " * (5 + i), "b") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    mixed = corpus_pipeline.mixing.mix(docs)
+    want = {r.doc_id: r.c for r in mixed.groupBy("doc_id").agg(F.sum("copies").alias("c")).collect() if r.c}
+    got = corpus_pipeline.mixing_stage(spark, docs, SF)
+    assert {r.doc_id: r["count"] for r in got.groupBy("doc_id").count().collect()} == want
+    target = mixed.where("source = 'a'").first().target
+    assert abs(14 * got.where("source = 'a'").count() - target) <= 14
+    numbers = [r.copy_no for r in got.where("doc_id = 1").collect()]
+    assert max(numbers) - min(numbers) <= 1 or numbers.count(max(numbers)) == want[1] % 22
+
+
+def test_run_leaves_only_the_results(spark, tmp_path):
+    from flotilla.session import checkpoint_root
+
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(40 if name == "documents" else 1000).write.parquet(f"{tmp_path}/{name}.parquet")
+    root = checkpoint_root(spark).removeprefix("file://")
+    before = set(os.listdir(root))
+    rows = corpus_pipeline.run(spark, str(tmp_path))
+    assert rows.count() > 0 and set(rows.columns) >= {"doc_id", "text", "copy_no", "target"}
+    left = set(os.listdir(root)) - before
+    assert sorted(n.rsplit("-", 1)[0] for n in left) == sorted(f"pipeline-{name}" for name, _ in corpus_pipeline.STAGES)
+
+
+def test_run_over_empty_tables(spark, tmp_path):
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline_stages_on_awkward_rows(spark, awkward, empty):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, awkward, SF)

@@ -169,6 +169,22 @@ def test_cross_site_lines_go_but_for_the_first(awkward, empty):
     assert line_dedup.without_boilerplate(empty).count() == 0
 
 
+def test_white_space_at_the_ends_does_not_tell_lines_apart(spark):
+    ends = ["", " ", "\t", "\r", " \r", "\x0b", "\t \r", "\x0c"]
+    rows = [(i, f"a line that stands on eight sites{end}\nown words of site {i}", f"s{i}") for i, end in enumerate(ends)]
+    got = line_dedup.without_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.doc_id: r.removed_lines for r in got} == {i: int(i > 0) for i in range(8)}
+    assert all(r.clean_text == f"own words of site {r.doc_id}" for r in got if r.doc_id)
+
+
+def test_log_like_text_of_many_removed_lines(spark):
+    lines = [f"boilerplate line number {i} of the log" for i in range(30_000)]
+    rows = [(s, "\n".join(lines if s else lines + ["the end of it"]), f"s{s}") for s in range(5)]
+    got = line_dedup.without_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.doc_id: r.removed_lines for r in got} == {s: 30_000 * (s > 0) for s in range(5)}
+    assert all(r.clean_text == (r.text if r.doc_id == 0 else "") for r in got)
+
+
 def test_exact_counts_decide_near_the_threshold(spark):
     rows = [(s * 100 + i, f"line of exactly {s} sites for the test", f"site{i}") for s in range(1, 12) for i in range(s)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
