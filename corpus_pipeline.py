@@ -3,7 +3,8 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame. ``run`` writes
 each stage's result as Parquet to the shared checkpoint folder and reads it
 back as the next stage's documents, so a lost executor costs a re-read and no
-stage runs twice. All stages but the last return the columns they were given.
+stage runs twice. What a stage writes on the way is deleted once its result
+stands; the stages' results stay, for the caller to delete with the folder. All stages but the last return the columns they were given.
 
 Null, empty and repeated rows: a document without text or letters goes with
 the language stage; null ids pass every stage (they can't be near copies of
@@ -14,11 +15,14 @@ those starting with two underscores aside. Empty tables give empty results.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import functools
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flotilla.llm import decontaminate, langid, line_dedup, minhash, mixing
 from flotilla.llm.common import saved, table
+from flotilla.session import scratch_scope
 
 # A document is rejected when no language takes this mean share of its words.
 LEAST_LANGUAGE_SHARE = 0.5
@@ -78,27 +82,49 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return flagged.where(~flagged["contaminated"]).select(*[docs[c] for c in docs.columns])
 
 
+KEY = ("doc_id", "source", "size")
+
+
+def _with_key(docs: DataFrame) -> DataFrame:
+    """``docs`` and the columns that tell its rows in the mix: __doc_id, __source, __size."""
+    values = (F.col("doc_id").cast("long"), F.col("source").cast("string"), mixing.word_count(F.col("text")))
+    return docs.select("*", *[v.alias(f"__{c}") for c, v in zip(KEY, values, strict=True)])
+
+
+def _numbered(repeated: DataFrame) -> DataFrame:
+    """Rows with ``__nth``, their number (from 1) within the key: within the partition first, so no task sorts a whole key."""
+    rows = saved(repeated.withColumn("__part", F.spark_partition_id()), "repeated-rows")
+    key = [f"__{c}" for c in KEY]
+    counts = rows.groupBy(*key, "__part").agg(F.count(F.lit(1)).alias("__m"))
+    before = F.coalesce(F.sum("__m").over(Window.partitionBy(*key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*[F.col(c).alias(f"_{c}") for c in key], F.col("__part").alias("___part"), before.alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(*key, "__part").orderBy(F.xxhash64("text")))
+    same = functools.reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key])
+    joined = rows.withColumn("__inside", inside).join(counts, same & (F.col("__part") == F.col("___part")))
+    return joined.withColumn("__nth", F.col("__inside") + F.col("__before"))
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: every row as often as the mix takes it, with ``copy_no`` (from 1) and its source's ``target`` words."""
+    """The mix: every row as often as the mix takes it, with ``copy_no`` (from 1) and its source's ``target`` words.
+
+    Rows that repeat a doc_id, source and size share what the mix takes of
+    them: equal parts, and one more for the first of them as far as it goes.
+    """
     mixed = mixing.mix(docs)
-    # Rows of a doc_id, source and size share what the mix takes of them, in turn.
-    key = ["doc_id", "source", "size"]
-    per = mixed.groupBy(*key).agg(
+    per = mixed.groupBy(*KEY).agg(
         F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"), F.first("target").alias("__target")
     )
-    per = per.select(*[F.col(c).alias(f"__{c}") for c in key], "__copies", "__rows", "__target")
-    joined = docs.join(
-        per,
-        docs["doc_id"].cast("long").eqNullSafe(F.col("__doc_id"))
-        & docs["source"].cast("string").eqNullSafe(F.col("__source"))
-        & (mixing.word_count(docs["text"]) == F.col("__size")),
-    )
-    # Repeated rows are rare: each takes an equal part, rounded up.
-    each = F.ceil(F.col("__copies") / F.col("__rows")).cast("int")
-    taken = joined.where(each > 0)
-    return taken.select(
-        *[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), each)).alias("copy_no"), F.col("__target").alias("target")
-    )
+    per = saved(per, "mix-keys").select(*[F.col(c).alias(f"m__{c}") for c in KEY], "__copies", "__rows", "__target")
+    same = functools.reduce(Column.__and__, [F.col(f"__{c}").eqNullSafe(F.col(f"m__{c}")) for c in KEY])
+    joined = _with_key(docs).join(per, same)
+    taken = joined.where(F.col("__rows") == 1).withColumn("__each", F.col("__copies"))
+    if not per.where(F.col("__rows") > 1).isEmpty():
+        rest = _numbered(joined.where((F.col("__rows") > 1) & (F.col("__copies") > 0)))
+        more = (F.col("__nth") <= F.col("__copies") % F.col("__rows")).cast("long")
+        each = F.floor(F.col("__copies") / F.col("__rows")) + more
+        taken = taken.unionByName(rest.withColumn("__each", each).select(taken.columns))
+    copies = F.explode(F.sequence(F.lit(1), F.col("__each").cast("int")))
+    return taken.where(F.col("__each") > 0).select(*docs.columns, copies.alias("copy_no"), F.col("__target").alias("target"))
 
 
 STAGES = [
@@ -117,5 +143,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole documents table."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch_scope(spark, f"pipeline-{name}") as keep:
+            docs = keep(stage(spark, docs, sf_dir))
     return docs

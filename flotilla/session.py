@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -105,12 +108,45 @@ def checkpoint_root(spark: SparkSession) -> str:
     return configured
 
 
+# Folders that scratch paths of the calling code go to, innermost last.
+_scopes: contextvars.ContextVar[tuple[str, ...]] = contextvars.ContextVar("scratch scopes", default=())
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path under the checkpoint root for one job's output."""
-    root = checkpoint_root(spark)
+    """A fresh, unique path under the checkpoint root (or the folder of the scope) for one job's output."""
+    scopes = _scopes.get()
+    root = scopes[-1] if scopes else checkpoint_root(spark)
     return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession, name: str) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """One folder for all that is materialized inside; it is deleted at the end.
+
+    Gives a function that writes a result outside of that folder and reads it
+    back. Only what went through it may be used after the scope.
+    """
+    result = scratch_path(spark, name)
+    folder = f"{result}-scratch"
+
+    def keep(df: DataFrame) -> DataFrame:
+        df.write.mode("overwrite").parquet(result)
+        return df.sparkSession.read.parquet(result)
+
+    token = _scopes.set((*_scopes.get(), folder))
+    try:
+        yield keep
+    finally:
+        _scopes.reset(token)
+        remove_path(spark, folder)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote, through Spark's file systems."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
