@@ -9,10 +9,12 @@ largest window logit.
 
 Training (backpropagation through time, Adam) takes document labels: window
 logits of a document are pooled by log-sum-exp, so the gradient finds the
-windows that carry the label. It reads at most TRAIN_DOCS documents a class of
-TRAIN_CHARS characters at most, picked by a hash of the id (the documented
-bound of the fit); scoring reads every whole text, in tasks whose memory is
-bounded by one group of documents.
+windows that carry the label. The bound of the fit: at most TRAIN_DOCS
+documents a class, picked by a hash of the id; of one longer than SAMPLE_CHARS
+characters a span of that length, whose place a hash picks. A training step
+takes a random span of TRAIN_CHARS characters of a text, the calibration reads
+the sampled texts whole. Scoring reads every whole text, in tasks whose memory
+is bounded by one group of documents.
 """
 
 from __future__ import annotations
@@ -25,16 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
 from .words import LETTERS_DIGITS, PIECE, Words, find_words, fold_latin, mix, text_groups
 
 WINDOW = 40
-STRIDE = 32
+STRIDE = 20
 HIDDEN = 8
 INPUT = 10
 WORD_BUCKETS = 1 << 16
 CHAR_BUCKETS = 1 << 12
 TRAIN_DOCS = 1500
 TRAIN_CHARS = 6_000
+SAMPLE_CHARS = 40_000
 BATCH_DOCS = 48
 # Training batches: some for any sample, more for larger ones.
 STEPS = 120
@@ -158,6 +162,11 @@ def forward(w: Arrays, inputs: np.ndarray, table: np.ndarray, keep: bool = False
     return logit, (states, share, pooled, real, sides) if keep else None
 
 
+def sums_by(number: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Rows of ``values`` added up by ``number``, below ``size``."""
+    return np.stack([np.bincount(number, values[:, c], size) for c in range(values.shape[1])], axis=1).astype(np.float32)
+
+
 def backward(w: Arrays, inputs: np.ndarray, table: np.ndarray, kept, d_logit: np.ndarray) -> tuple[Arrays, np.ndarray]:
     """Gradients of the weights (embeddings aside) and of the distinct words' inputs."""
     states, share, pooled, real, sides = kept
@@ -171,7 +180,7 @@ def backward(w: Arrays, inputs: np.ndarray, table: np.ndarray, kept, d_logit: np
     for k, side in enumerate(("f", "b")):
         u = w[f"h_{side}"]
         d_u = np.zeros_like(u)
-        d_projected = np.zeros((len(inputs) + 1, 3 * HIDDEN), np.float32)
+        d_steps = np.empty((WINDOW, len(table), 3 * HIDDEN), np.float32)
         d_h = np.zeros((len(table), HIDDEN), np.float32)
         for t, h, z, r, n, g in reversed(sides[side][1]):
             d_h = d_h + d_states[t][:, k * HIDDEN : (k + 1) * HIDDEN]
@@ -183,9 +192,9 @@ def backward(w: Arrays, inputs: np.ndarray, table: np.ndarray, kept, d_logit: np
             d_x = np.concatenate([d_z, d_r, d_n], axis=1)
             d_g = np.concatenate([d_z, d_r, d_n * r], axis=1)
             d_u += h.T @ d_g
-            np.add.at(d_projected, table[:, t], d_x)
+            d_steps[t] = d_x
             d_h = np.where(live, d_new * z + d_g @ u.T, d_h)
-        d_projected = d_projected[:-1]
+        d_projected = sums_by(table.T.ravel(), d_steps.reshape(-1, 3 * HIDDEN), len(inputs) + 1)[:-1]
         grad[f"h_{side}"] = d_u
         grad[f"x_{side}"] = inputs.T @ d_projected
         grad[f"bias_{side}"] = d_projected.sum(axis=0)
@@ -244,6 +253,13 @@ def log_odds(texts: list[str], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start.astype(np.float32), texts_with >= TRAINED_TEXTS
 
 
+def span(text: str, rng: np.random.Generator) -> str:
+    """A random span of TRAIN_CHARS characters; a shorter text whole."""
+    spare = len(text) - TRAIN_CHARS
+    at = int(rng.integers(0, spare + 1)) if spare > 0 else 0
+    return text[at : at + TRAIN_CHARS]
+
+
 def train(texts: list[str], labels: list[int], toxic_share: float | None = None) -> Model:
     """Fit the network on labelled texts; ``toxic_share``: of all labelled texts, if these are not a fair sample."""
     y = np.array(labels, np.float32)
@@ -258,7 +274,7 @@ def train(texts: list[str], labels: list[int], toxic_share: float | None = None)
     for step in range(1, steps + 1):
         half = BATCH_DOCS // 2
         chosen = np.r_[rng.choice(ones, half), rng.choice(zeros, BATCH_DOCS - half)]
-        flat = pa.array([texts[i] for i in chosen])
+        flat = pa.array([span(texts[i], rng) for i in chosen])
         ((_, _, data, offsets),) = list(text_groups(flat, 1 << 40))
         p = prepare(data, offsets)
         inputs = word_inputs(w, p.buckets, p.grams, p.begin)
@@ -275,9 +291,8 @@ def train(texts: list[str], labels: list[int], toxic_share: float | None = None)
         d_logit = (error[p.doc] * e / total[p.doc] / len(chosen)).astype(np.float32)
         grad, d_inputs = backward(w, inputs, np.where(gone, len(inputs), p.table), kept, d_logit)
         size = np.diff(np.r_[p.begin, len(p.grams)])
-        grad["word"], grad["char"] = np.zeros_like(w["word"]), np.zeros_like(w["char"])
-        np.add.at(grad["word"], p.buckets, d_inputs * known[p.buckets, None])
-        np.add.at(grad["char"], p.grams, np.repeat(d_inputs / size[:, None], size, axis=0))
+        grad["word"] = sums_by(p.buckets, d_inputs * known[p.buckets, None], WORD_BUCKETS)
+        grad["char"] = sums_by(p.grams, np.repeat(d_inputs / size[:, None], size, axis=0), CHAR_BUCKETS)
         rate = RATE * min(1.0, 2.0 * (1 - step / (steps + 1)))
         for k, g in grad.items():
             touched = np.flatnonzero(g.any(axis=1)) if k in ("word", "char") else slice(None)
@@ -312,15 +327,17 @@ def training_sample(documents: DataFrame, labels: DataFrame, folds: int, held_ou
     )
     known = known.groupBy(F.col("doc_id").cast("long").alias("i")).agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("i"), "i"]
-    # Some more than the bound are drawn, since long texts are passed over.
-    picked = [known.where(F.col("toxic") == c).orderBy(*order).limit(2 * TRAIN_DOCS) for c in (1, 0)]
-    texts = documents.where(F.length("text").between(1, TRAIN_CHARS)).select(F.col("doc_id").cast("long").alias("i"), F.col("text").cast("string").alias("text"))
+    # Ids of documents that have a text, so that the bound is not spent on others.
+    texts = documents.where(F.col("text") != "").select(F.col("doc_id").cast("long").alias("i"), F.col("text").cast("string").alias("text"))
+    known = saved(known.join(texts.select("i"), "i", "left_semi"), "toxic-labels")
+    picked = [known.where(F.col("toxic") == c).orderBy(*order).limit(TRAIN_DOCS) for c in (1, 0)]
     share = known.agg(F.avg("toxic")).first()[0]
-    out = []
-    for part in picked:
-        rows = texts.join(part, "i").orderBy(*order, "text").limit(TRAIN_DOCS).collect()
-        out += [(r.text, int(r.toxic)) for r in rows]
-    return out, float(share or 0.0)
+    spare = F.greatest(F.length("text") - F.lit(SAMPLE_CHARS), F.lit(0))
+    cut = F.substring(F.col("text"), F.pmod(F.xxhash64("i", "text"), spare + 1).cast("int") + 1, F.lit(SAMPLE_CHARS))
+    rows = texts.join(picked[0].unionByName(picked[1]), "i").select("i", cut.alias("text"), "toxic")
+    # Rows that repeat an id count as one labelled document, the first text in order.
+    rows = rows.groupBy("i", "toxic").agg(F.min("text").alias("text")).orderBy("toxic", *order).collect()
+    return [(r.text, int(r.toxic)) for r in rows], float(share or 0.0)
 
 
 def score_documents(documents: DataFrame, model: Model, folds: int, held_out: int) -> DataFrame:
@@ -352,7 +369,8 @@ def toxicity(documents: DataFrame, labels: DataFrame, folds: int = 5, held_out:
     ids are passed over, and a doc_id labelled twice is toxic if any label
     says so. Null texts and texts without a word get the lowest score. Without
     labels of both classes every score is the labels' mean (0 if there are
-    none). Rows that repeat are scored each; an empty table gives no rows.
+    none). Long labelled texts give spans, so they are learned from, too; a
+    label whose document has no text is no example. Rows that repeat are scored each; an empty table gives no rows.
     """
     sample, share = training_sample(documents, labels, folds, held_out)
     model = train([t for t, _ in sample], [y for _, y in sample], share)

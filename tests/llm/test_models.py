@@ -176,7 +176,31 @@ def test_recurrent_gradients_match_differences():
 def test_windows_cover_every_word():
     words = toxicity.find_words(np.frombuffer(b"a b c " * 50, np.uint8), np.array([0, 300]), toxicity.LETTERS_DIGITS)
     table, doc = toxicity.window_table(words, np.arange(150), 150)
-    assert set(range(150)) <= set(table.ravel()) and len(table) == 5 and set(doc) == {0}
+    assert set(range(150)) <= set(table.ravel()) and len(table) == 7 and set(doc) == {0}
+    # Any phrase of half a window lies whole in some window.
+    half = toxicity.WINDOW // 2
+    rows = [set(r.tolist()) for r in table]
+    assert all(any(set(range(a, a + half)) <= r for r in rows) for a in range(150 - half + 1))
+
+
+def test_labelled_texts_that_are_all_long(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_CHARS", 400)
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 2_000)
+    rng = np.random.default_rng(2)
+    plain, rude = [f"plain{i}" for i in range(40)], [f"rude{i}" for i in range(10)]
+    rows = []
+    for i in range(120):
+        words = list(rng.choice(plain, 400))
+        if i % 2:
+            for at in range(0, 400, 8):
+                words[at] = str(rng.choice(rude))
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame([*rows, (500, None), (501, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)] + [(500, 1), (501, 1), (999, 1)], "doc_id long, toxic int")
+    sample, share = toxicity.training_sample(docs, labels, 5, 0)
+    assert {len(t) for t, _ in sample} == {2_000} and {y for _, y in sample} == {0, 1} and 0.4 < share < 0.6
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
+    assert all(got[i].predicted == i % 2 for i in range(120)) and got[500].score == got[501].score < 0.5
 
 
 def made_up_languages(count, seed=3):
