@@ -10,6 +10,8 @@ files without a ``fila`` column get their lines numbered from 1.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -150,3 +152,17 @@ def for_partitioned_write(df: DataFrame, *partition_cols: str) -> DataFrame:
 def write_text_report(lines: DataFrame, path: str) -> None:
     """SNK2: one text line per report row."""
     lines.select(F.col(lines.columns[0]).cast("string")).write.mode("overwrite").text(path)
+
+
+def stream_of(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """A stream over Parquet files with the schema they have now; ``path`` is a file, a folder or a URI that Spark reads."""
+    table = spark.read.parquet(path)
+    reader = spark.readStream.schema(table.schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", str(files_per_batch))
+    # A stream lists folders: of a path that is itself a file, its folder is read through a name filter.
+    folder, name = os.path.split(path.rstrip("/"))
+    first = table.select("_metadata.file_name").limit(1).collect()
+    if first and first[0].file_name == name:
+        reader, path = reader.option("pathGlobFilter", name), folder
+    return reader.parquet(path)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import vocab
 from ..session import ensure_utc
 from ..sources import tables
+from ..sources.files import stream_of
 
 ALERT_SCHEMA = "event_id bigint, dia_inicio timestamp_ntz"
 
@@ -48,16 +49,7 @@ def run_fatigue_alerts(
     bounds each micro-batch.
     """
     ensure_utc(spark)
-    table = spark.read.parquet(events_path)
-    reader = spark.readStream.schema(table.schema)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", str(files_per_batch))
-    # A stream lists folders: of a path that is itself a file, its folder is read through a name filter.
-    folder, name = os.path.split(events_path.rstrip("/"))
-    first = table.select("_metadata.file_name").limit(1).collect()
-    if first and first[0].file_name == name:
-        reader, events_path = reader.option("pathGlobFilter", name), folder
-    events = reader.parquet(events_path).select("event_id", "ts", "user_id", "value")
+    events = stream_of(spark, events_path, files_per_batch).select("event_id", "ts", "user_id", "value")
     out_dir = os.path.join(work_dir, "alerts")
     spark.createDataFrame([], ALERT_SCHEMA).write.mode("overwrite").parquet(os.path.join(out_dir, "epoch=-1"))
 

@@ -19,6 +19,7 @@ from ..plans.catalog import Fleet
 from ..plans.queries import AS_OF, register
 from ..session import scratch_path
 from ..sources import files, tables
+from .alert_windows import windows_over
 from .alerts import alerts_over
 from .ingest_stream import run_ingest_stream
 
@@ -109,6 +110,12 @@ def _stream_fatigue_alerts(f: Fleet) -> DataFrame:
     return alerts_over(f.spark, f.sf_dir, scratch_path(f.spark, "stream-alerts"))
 
 
+@register("stream_fatigue_windows")
+def _stream_fatigue_windows(f: Fleet) -> DataFrame:
+    """STR2: the same with event-time state, closed days only (watermark, dedup, window, append)."""
+    return windows_over(f.spark, f.sf_dir, scratch_path(f.spark, "stream-windows"))
+
+
 def stream_oracle_sql(ingest_ctes, with_) -> dict[str, str]:
     ctes = ingest_ctes(MODE)
     summary = with_(
@@ -134,6 +141,17 @@ def stream_oracle_sql(ingest_ctes, with_) -> dict[str, str]:
        count(DISTINCT event_id) AS alertas
 FROM crit
 GROUP BY 1, 2""",
+    )
+    # Days that end no later than ten minutes before the last event of all.
+    windows = with_(
+        f"""crit AS (
+  SELECT e.event_id, e.ts FROM events e JOIN customer c ON e.user_id = c.c_custkey
+  WHERE e.value >= {vocab.FATIGUE_CRITICA_MIN})""",
+        """SELECT * FROM (
+  SELECT date_trunc('day', ts) AS dia_inicio, date_trunc('day', ts) + INTERVAL 1 DAY AS dia_fin,
+         count(DISTINCT event_id) AS alertas
+  FROM crit GROUP BY 1, 2) d
+WHERE dia_fin <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""",
     )
     after = ctes + """,
 after_ingest AS (
@@ -163,4 +181,5 @@ FROM conductores r LEFT JOIN (
         "stream_ingest_summary": summary,
         "stream_ingest_repeated": repeated,
         "stream_fatigue_alerts": alerts,
+        "stream_fatigue_windows": windows,
     }
