@@ -43,7 +43,7 @@ TOP = 2000
 COVER_PERCENT = 50
 SCALE = 1_000_000
 
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
 # Bytes of text for each hash partition: about a million keys to merge at a time.
 PART_BYTES = 4 << 20
 FILTER_BYTES = 32 << 20
@@ -330,7 +330,7 @@ def collocations(
     kept = scored.join(longer, ["lang", "phrase"], "left").where(
         F.col("cover").isNull() | (F.lit(100) * F.col("cover") < F.lit(COVER_PERCENT) * F.col("a"))
     )
-    ranked = kept.join(total, "lang").select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
+    ranked = kept.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
 
     # The best of each slice first, so that no task sorts all phrases of a language.
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
@@ -338,7 +338,8 @@ def collocations(
     best = ranked.withColumn("rank", F.row_number().over(slices)).where(F.col("rank") <= top).drop("rank")
     whole = Window.partitionBy("lang").orderBy(*order)
     best = best.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= top)
-    return best.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    # All words of a language join what is left, so no task gets a language's candidates.
+    return best.join(total, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 def score(a: Column, left: Column, right: Column) -> Column:
