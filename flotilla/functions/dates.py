@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocab
+from .jsdates import js_timestamp
 
 
 def check_iso_date(value: str) -> str:
@@ -57,8 +58,8 @@ def upper_bound_calendar(ts: Column, hasta: str | None) -> Column | None:
 
 
 def parse_timestamp(raw: Column) -> Column:
-    """SCA2: parse an ISO date/time string; bad input gives null instead of an error."""
-    return F.try_to_timestamp(raw)
+    """SCA2: the time the pages read from a text, in all forms they take; null where they read none."""
+    return js_timestamp(raw)
 
 
 def raw_bound(raw: Column, bound: str | None, lower: bool) -> Column | None:

@@ -16,32 +16,34 @@ def coalesce_dash(c: Column) -> Column:
 def js_number(c: Column) -> Column:
     """The text JavaScript gives a number: plain digits where 1e-6 <= |x| < 1e21, else ``d.ddde±n``.
 
-    Spark's text of a double holds the same shortest digits in another layout,
-    ``1.2345E7``; digits and decimal point are taken from it.
+    Spark writes the same shortest digits, from 1e-3 to 1e7 in the same layout
+    but for a whole number's ``.0``, else as ``1.2345E7``. That form is taken
+    apart once, for the rows that have it.
     """
     raw = F.abs(c).cast("string")
-    form = r"^(\d+)\.(\d+)(?:E(-?\d+))?$"
-    whole, part = F.regexp_extract(raw, form, 1), F.regexp_replace(F.regexp_extract(raw, form, 2), "0+$", "")
-    shift = F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(raw, form, 3), F.lit("")), F.lit("S999")), F.lit(0)).cast("int")
-    joined = F.concat(whole, part)
-    lead = F.length(joined) - F.length(F.ltrim(joined, F.lit("0")))
-    digits = F.rtrim(F.ltrim(joined, F.lit("0")), F.lit("0"))
-    # The value is 0.digits * 10 ** point.
-    point = F.length(whole) - lead + shift
-    size = F.length(digits)
-    whole_number = F.rpad(digits, point, F.lit("0"))
-    mixed = F.concat(F.substr(digits, F.lit(1), point), F.lit("."), F.substr(digits, point + 1))
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits)
-    power = point - 1
-    head = F.when(size > 1, F.concat(F.substr(digits, F.lit(1), F.lit(1)), F.lit("."), F.substr(digits, F.lit(2))))
-    sign = F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+"))
-    exponent = F.concat(F.coalesce(head, digits), sign, F.abs(power).cast("string"))
-    text = (
-        F.when((point > 21) | (point <= -6), exponent)
-        .when(point <= 0, small)
-        .when(size <= point, whole_number)
-        .otherwise(mixed)
+
+    def moved(p: Column) -> Column:
+        # The value is d.ddd * 10 ** power, the digits without their point.
+        digits, power = p["digits"], p["power"]
+        size = F.length(digits)
+        first, rest = F.substr(digits, F.lit(1), F.lit(1)), F.substr(digits, F.lit(2))
+        exponent = F.concat(
+            first, F.when(size > 1, F.concat(F.lit("."), rest)).otherwise(F.lit("")),
+            F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")), F.abs(power).cast("string"),
+        )
+        return (
+            F.when((power >= 21) | (power < -6), exponent)
+            .when(power < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits))
+            .when(size <= power + 1, F.rpad(digits, power + 1, F.lit("0")))
+            .otherwise(F.concat(F.substr(digits, F.lit(1), power + 1), F.lit("."), F.substr(digits, power + 2)))
+        )
+
+    mantissa = F.substring_index(raw, "E", 1)
+    parts = F.struct(
+        F.rtrim(F.replace(mantissa, F.lit("."), F.lit("")), F.lit("0")).alias("digits"),
+        F.substring_index(raw, "E", -1).try_cast("int").alias("power"),
     )
+    text = F.when(raw.contains("E"), F.element_at(F.transform(F.array(parts), moved), 1)).otherwise(F.regexp_replace(raw, r"\.0$", ""))
     finite = F.concat(F.when(c < 0, F.lit("-")).otherwise(F.lit("")), text)
     infinite = F.when(c > 0, F.lit("Infinity")).otherwise(F.lit("-Infinity"))
     return (

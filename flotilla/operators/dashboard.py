@@ -35,13 +35,25 @@ def monthly_vehicles(inspecciones: DataFrame, vehicle: str = "placa") -> DataFra
     return monthly_series(inspecciones, vehicle).select("mes", "vehiculos")
 
 
+def with_all_months(series: DataFrame) -> DataFrame:
+    """A monthly series with the months that it leaves out between its first and last, counting 0."""
+    first_day = lambda c: F.to_date(F.concat(c, F.lit("-01")), "yyyy-MM-dd")
+    ends = series.agg(F.min("mes").alias("first"), F.max("mes").alias("last"))
+    months = ends.select(F.explode(F.sequence(first_day(F.col("first")), first_day(F.col("last")), F.expr("interval 1 month"))).alias("day"))
+    spine = months.select(dates.month_label(F.col("day")).alias("mes"))
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in series.columns if c != "mes"]
+    return spine.join(series, "mes", "left").select("mes", *counts)
+
+
 def monthly_comparison(inspecciones: DataFrame, vehicle: str = "placa") -> DataFrame:
-    """PRS1: month-over-month change of the monthly series.
+    """PRS1: change of every month from the month before.
 
-    The window is unpartitioned but runs over the monthly aggregate (one row
-    per month), so a single task sees only a few hundred rows.
+    All months from the first to the last are there: one without an inspection
+    counts 0, so each is compared with its calendar predecessor. Rows without a
+    date belong to no month. The window is unpartitioned but runs over one row
+    per month, so a single task sees only a few hundred rows.
     """
-    series = monthly_series(inspecciones, vehicle)
+    series = with_all_months(monthly_series(inspecciones, vehicle))
     w = Window.orderBy("mes")
     prev = F.lag("inspecciones").over(w)
     return series.select(

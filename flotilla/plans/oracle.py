@@ -15,6 +15,7 @@ from .queries import (
     DRIVER_FILTERS,
     EVENT_RANGE,
     FATIGUE_FILTERS,
+    FORMS_FROM,
     LATE_RANGE,
     RAW_RANGE,
     REPORT_FILTERS,
@@ -305,6 +306,35 @@ def _raw_bound_preds(f) -> list[str]:
 
 MONTH = "strftime(fecha, '%Y-%m')"
 
+# The texts of the ten forms, and the day each one means: known from the order, not read from the text.
+DATE_FORMS = """
+WITH forms AS (
+    SELECT o_orderkey AS id, CASE o_orderkey % 10
+        WHEN 0 THEN strftime(d, '%Y-%m-%d') WHEN 1 THEN strftime(d, '%m/%d/%Y') WHEN 2 THEN strftime(d, '%d/%m/%Y')
+        WHEN 3 THEN concat(strftime(d, '%b '), day(d), strftime(d, ', %Y')) WHEN 4 THEN strftime(d, '%a, %d %b %Y %H:%M:%S GMT')
+        WHEN 5 THEN strftime(d, '%Y-%m-%dT%H:%M:%S+02:00') WHEN 6 THEN concat(month(d), '/', day(d), strftime(d, '/%y'))
+        WHEN 7 THEN strftime(d, '%Y-02-31') WHEN 8 THEN concat(day(d), strftime(d, ' %b %Y 1:30 PM'))
+        ELSE strftime(d, '%Y-%m-%d basura') END AS fecha,
+        CASE o_orderkey % 10
+        WHEN 2 THEN CASE WHEN day(d) <= 12 THEN make_timestamp(year(d), day(d), month(d), 0, 0, 0) END
+        WHEN 5 THEN d - INTERVAL 2 HOUR
+        WHEN 7 THEN make_timestamp(year(d), 3, 1, 0, 0, 0)
+            + to_days(CAST(31 - day(last_day(make_date(year(d), 2, 1))) - 1 AS INTEGER))
+        WHEN 8 THEN d + INTERVAL '13 hours 30 minutes'
+        WHEN 9 THEN NULL ELSE d END AS leida
+    FROM (SELECT o_orderkey, o_orderdate AS d FROM orders) o
+)"""
+
+# Cells by position, from the values and not from the JSON texts.
+RAGGED = """
+SELECT o_orderkey AS id, CASE o_orderkey % 5
+    WHEN 0 THEN [CAST(o_orderkey AS VARCHAR), o_orderstatus, price]
+    WHEN 1 THEN [CAST(o_orderkey AS VARCHAR), 'true', 'null', price]
+    WHEN 2 THEN [concat(o_orderkey, ',,a,[object Object]'), '[object Object]']
+    WHEN 3 THEN [price, CAST(o_custkey AS VARCHAR)]
+    ELSE CAST([] AS VARCHAR[]) END AS celdas
+FROM (SELECT *, regexp_replace(CAST(o_totalprice AS VARCHAR), '\\.0$', '') AS price FROM orders) o"""
+
 
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
@@ -339,6 +369,15 @@ def oracle_sql() -> dict[str, str]:
     )
     q["raw_date_range"] = sql(f"SELECT * FROM raw {_where(_raw_bound_preds(RAW_RANGE))}")
 
+    q["date_forms"] = f"{DATE_FORMS} SELECT id, fecha, leida FROM forms"
+    q["date_forms_desde"] = f"{DATE_FORMS} SELECT id, fecha FROM forms WHERE leida >= TIMESTAMP '{FORMS_FROM.fecha_inicio}'"
+    q["search_ragged"] = RAGGED
+    q["search_ragged_headers"] = """
+WITH first AS (SELECT o_orderkey % 5 AS m FROM orders ORDER BY o_orderkey LIMIT 1)
+SELECT CAST(generate_subscripts(keys, 1) - 1 AS INTEGER) AS posicion, unnest(keys) AS encabezado
+FROM (SELECT CASE m WHEN 0 THEN ['inspeccion_id', 'resultado', 'valor'] WHEN 1 THEN ['2', '10', 'resultado', 'valor']
+    WHEN 2 THEN ['lista', 'objeto'] WHEN 3 THEN ['valor', 'conductor'] ELSE [] END AS keys FROM first) k"""
+
     q["drivers_totals"] = _totals("driver_status", "estado", DRIVER_LABELS)
     q["drivers_totals_filtered"] = _totals("driver_status", "estado", DRIVER_LABELS, _drivers_where(DRIVER_FILTERS))
     q["vehicles_totals"] = _totals("vehicle_status", "estado", VEHICLE_LABELS)
@@ -490,8 +529,13 @@ FROM (SELECT event_id AS id, value AS number FROM events UNION ALL SELECT o_orde
     )
     q["monthly_comparison"] = _with(
         f"""s AS (SELECT {MONTH} AS mes, count(*) AS inspecciones, count(DISTINCT placa) AS vehiculos
-                  FROM inspecciones GROUP BY 1),
-            l AS (SELECT *, lag(inspecciones) OVER (ORDER BY mes) AS prev FROM s)""",
+                  FROM inspecciones WHERE fecha IS NOT NULL GROUP BY 1),
+            spine AS (SELECT unnest(generate_series(
+                (SELECT date_trunc('month', min(fecha)) FROM inspecciones), (SELECT max(fecha) FROM inspecciones),
+                INTERVAL 1 MONTH)) AS day),
+            full_ AS (SELECT day, strftime(day, '%Y-%m') AS mes, coalesce(inspecciones, 0) AS inspecciones,
+                coalesce(vehiculos, 0) AS vehiculos FROM spine LEFT JOIN s ON s.mes = strftime(day, '%Y-%m')),
+            l AS (SELECT a.*, b.inspecciones AS prev FROM full_ a LEFT JOIN full_ b ON b.day = a.day - INTERVAL 1 MONTH)""",
         """SELECT mes, inspecciones, vehiculos, prev AS inspecciones_mes_anterior, inspecciones - prev AS variacion,
                   CASE WHEN prev > 0 THEN CAST(inspecciones - prev AS DOUBLE) / CAST(prev AS DOUBLE) END
                     AS variacion_relativa

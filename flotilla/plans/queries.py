@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text, vocab
-from ..operators import dashboard, fleet, pages, report, search
+from ..functions import dates, text, vocab
+from ..operators import dashboard, fleet, pages, ragged, report, search
 from ..operators.filters import (
     Filters,
     drivers_totals,
@@ -43,6 +43,7 @@ FATIGUE_FILTERS = Filters(fatiga=vocab.LEVE, fecha_inicio="2024-01-30", fecha_fi
 EVENT_RANGE = Filters(fecha_inicio="2024-01-05", fecha_fin="2024-01-10")
 LATE_RANGE = Filters(fecha_inicio="2024-01-30", fecha_fin="2024-01-31")
 RAW_RANGE = Filters(fecha_inicio="2000-01-01", fecha_fin="2000-06-30")
+FORMS_FROM = Filters(fecha_inicio="1998-06-01")
 REPORT_FILTERS = Filters(fecha_inicio="2001-07-10", fecha_fin="2024-01-30")
 SEARCH_MULTI = search.SearchParams(placa="b", mes="3", ano="2000")
 
@@ -348,6 +349,56 @@ def _numbers_as_text(f: Fleet) -> DataFrame:
     return text.as_js_text(events.toDF("id", "number").unionByName(orders.toDF("id", "number")))
 
 
+# Forms that the pages' dates come in, and what is written there for one day in SQL date patterns.
+DATE_FORMS = (
+    ("yyyy-MM-dd", None), ("MM/dd/yyyy", None), ("dd/MM/yyyy", None), ("MMM d, yyyy", None),
+    ("EEE, dd MMM yyyy HH:mm:ss", " GMT"), ("yyyy-MM-dd'T'HH:mm:ss", "+02:00"), ("M/d/yy", None), ("yyyy", "-02-31"),
+    ("d MMM yyyy", " 1:30 PM"), ("yyyy-MM-dd", " basura"),
+)
+
+
+@register("date_forms")
+def _date_forms(f: Fleet) -> DataFrame:
+    """SCA2: the day of every order written in one of ten forms, and what the pages read there."""
+    orders = tables.read(f.spark, f.sf_dir, "orders", "o_orderkey", "o_orderdate")
+    texts = [F.concat(F.date_format("o_orderdate", form), F.lit(tail or "")) for form, tail in DATE_FORMS]
+    text_ = F.get(F.array(*texts), (F.col("o_orderkey") % len(DATE_FORMS)).cast("int"))
+    raw = orders.select(F.col("o_orderkey").alias("id"), text_.alias("fecha"))
+    return raw.select("id", "fecha", dates.parse_timestamp(F.col("fecha")).cast("timestamp_ntz").alias("leida"))
+
+
+@register("date_forms_desde")
+def _date_forms_desde(f: Fleet) -> DataFrame:
+    """FLT6 over the same texts: those the pages keep from a day on; what is no date drops."""
+    return filter_raw_dates(_date_forms(f).select("id", "fecha"), "fecha", FORMS_FROM)
+
+
+def api_rows(f: Fleet) -> DataFrame:
+    """(id, fila): rows of unlike keys as an interface would send them, one JSON text per order."""
+    orders = tables.read(f.spark, f.sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    key, price = F.col("o_orderkey").cast("string"), F.col("o_totalprice").cast("string")
+    rows = [
+        F.concat(F.lit('{"inspeccion_id":'), key, F.lit(',"resultado":"'), F.col("o_orderstatus"), F.lit('","valor":'), price, F.lit("}")),
+        F.concat(F.lit('{"resultado":null,"10":true,"2":"'), key, F.lit('","valor":'), price, F.lit("}")),
+        F.concat(F.lit('{"lista":['), key, F.lit(',[null,"a"],{"q":1}],"objeto":{"k":'), key, F.lit("}}")),
+        F.concat(F.lit('{"valor":1,"conductor":'), F.col("o_custkey").cast("string"), F.lit(',"valor":'), price, F.lit("}")),
+        F.lit("{}"),
+    ]
+    return orders.select(F.col("o_orderkey").alias("id"), F.get(F.array(*rows), (F.col("o_orderkey") % 5).cast("int")).alias("fila"))
+
+
+@register("search_ragged")
+def _search_ragged(f: Fleet) -> DataFrame:
+    """PRJ6: the cells of rows of unlike keys, by position."""
+    return ragged.ragged_cells(api_rows(f), "fila", "id")
+
+
+@register("search_ragged_headers")
+def _search_ragged_headers(f: Fleet) -> DataFrame:
+    """PRJ6: the headers, from the first row's keys."""
+    return ragged.ragged_headers(api_rows(f), "fila", "id")
+
+
 # --- step 6: ingest ---------------------------------------------------------------------------
 
 

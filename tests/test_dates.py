@@ -6,18 +6,19 @@ from pyspark.sql import functions as F
 from flotilla.functions import dates
 from flotilla.operators.filters import Filters, filter_dates, filter_raw_dates
 
+from .date_form_cases import CASES
+
 VALUES = [None, "", "2024-01-10", "2024-01-10T05:00:00", "basura", "10/01/2024"]
 DAY = "2024-01-10"
 
-# value -> (kept with no bound, with desde, with hasta); 10/01/2024 does not parse
-# in Spark, so it drops under any bound (a divergence kept on purpose).
+# value -> (kept with no bound, with desde, with hasta); 10/01/2024 is 1 October, as the pages read it.
 EXPECTED = {
     None: (True, True, True),
     "": (True, True, True),
     "2024-01-10": (True, True, True),
     "2024-01-10T05:00:00": (True, True, False),
     "basura": (True, False, False),
-    "10/01/2024": (True, False, False),
+    "10/01/2024": (True, True, False),
 }
 
 
@@ -39,6 +40,27 @@ def test_raw_bounds(raw, flt, idx):
     assert _kept(filter_raw_dates(raw, "fecha", flt)) == want
 
 
+def test_forms_are_read_as_recorded(spark):
+    df = spark.createDataFrame(CASES, "s string, ms long")
+    rows = df.select("s", "ms", F.unix_millis(dates.parse_timestamp(F.col("s"))).alias("got")).collect()
+    assert [(r.s, r.got) for r in rows] == [(r.s, r.ms) for r in rows]
+
+
+def test_days_of_all_months_and_leap_years(spark):
+    from flotilla.functions.jsdates import days_from_civil
+
+    df = spark.sql("select explode(sequence(date'0001-01-01', date'9999-12-31', interval 17 days)) as d")
+    got = df.select(days_from_civil(F.year("d").cast("long"), F.month("d").cast("long"), F.day("d").cast("long")).alias("n"), F.unix_date("d").alias("w"))
+    assert got.where("n <> w").count() == 0
+
+
+def test_awkward_texts_are_no_dates(spark):
+    odd = [None, "", " ", "x" * 100_000, "1" * 5_000, "9/9/9" * 2_000, "2024-01-10" + " " * 50_000, "(" * 5_000, "\x00", "日本", "Jan" * 4_000, "$1 \\1"]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(odd)], "i int, s string")
+    got = {r.i: r.t for r in df.select("i", dates.parse_timestamp(F.col("s")).alias("t")).collect()}
+    assert [i for i, t in got.items() if t is not None] == [6]
+
+
 def test_raw_both_bounds(raw):
     want = {v for v, exp in EXPECTED.items() if exp[1] and exp[2]}
     assert _kept(filter_raw_dates(raw, "fecha", Filters(fecha_inicio=DAY, fecha_fin=DAY))) == want

@@ -85,3 +85,19 @@ def test_latest_per_key_matches_brute_force(spark, rows):
         if cur is None or rank(cand) > rank(cur):
             want[k] = cand
     assert got == want
+
+
+def test_months_without_inspections_count_zero(spark):
+    """PRS1: every month is compared with its calendar predecessor."""
+    from flotilla.operators import dashboard
+
+    days = ["2000-01-05", "2000-01-20", "2000-04-02", "2001-02-01", None]
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(days)], "placa int, d string")
+    got = dashboard.monthly_comparison(df.select("placa", df.d.cast("timestamp_ntz").alias("fecha")))
+    rows = {r.mes: r for r in got.collect()}
+    assert len(rows) == 14 and None not in rows
+    assert [rows[m].inspecciones for m in ("2000-01", "2000-02", "2000-03", "2000-04", "2001-02")] == [2, 0, 0, 1, 1]
+    assert rows["2000-01"].inspecciones_mes_anterior is None
+    assert rows["2000-02"].variacion == -2 and rows["2000-02"].variacion_relativa == -1.0
+    assert rows["2000-04"].inspecciones_mes_anterior == 0 and rows["2000-04"].variacion_relativa is None
+    assert dashboard.monthly_comparison(df.limit(0).select("placa", df.d.cast("timestamp_ntz").alias("fecha"))).count() == 0
