@@ -471,6 +471,9 @@ SELECT (SELECT count(*) FROM inspecciones) AS total_inspecciones,
         "search_no_params": {},
     }.items():
         q[name] = sql(f"SELECT {INSP_COLS} FROM inspecciones {_search_where(**params)}")
+    q["search_indexed_placa"] = sql(f"SELECT {INSP_COLS} FROM inspecciones WHERE contains(lower(placa), 'b12')")
+    q["search_indexed_conductor"] = q["search_conductor"]
+    q["search_indexed_multi"] = q["search_multi"]
     q["search_count"] = sql(f"SELECT count(*) AS resultados FROM inspecciones {_search_where(**MULTI)}")
     q["search_as_text"] = sql(
         f"""SELECT CAST(inspeccion_id AS VARCHAR) AS inspeccion_id, coalesce(conductor, 'null') AS conductor,

@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from ..functions import vocab
 from ..operators.ingest import IngestJob, write_inserted
 from ..plans.catalog import Fleet
-from ..plans.queries import AS_OF, register
+from ..operators.search import SearchParams
+from ..plans.queries import AS_OF, SEARCH_MULTI, register
 from ..session import scratch_path
-from ..sources import files, tables
+from ..sources import files, tables, text_index
 from .alert_windows import windows_over
 from .alerts import alerts_over
 from .ingest_stream import run_ingest_stream
@@ -84,6 +85,28 @@ def _ingest_stored_status(f: Fleet) -> DataFrame:
     return Fleet(f.spark, f.sf_dir, AS_OF, inspections_path=_stored_again(f)).drivers()
 
 
+def _searched(params: SearchParams):
+    def query(f: Fleet) -> DataFrame:
+        """FLT12 over a stored table with a trigram index, in two parts: stored and indexed, then appended and indexed."""
+        path = os.path.join(scratch_path(f.spark, "indexed"), "inspecciones")
+        rows = f.inspecciones()
+        tables.write_inspections(rows.where(F.col("inspeccion_id") % 3 > 0), path)
+        text_index.update_index(f.spark, path)
+        tables.write_inspections(rows.where(F.col("inspeccion_id") % 3 == 0), path, mode="append")
+        text_index.update_index(f.spark, path)
+        return text_index.search_indexed(f.spark, path, params)
+
+    return query
+
+
+for _name, _params in {
+    "search_indexed_placa": SearchParams(placa="b12"),
+    "search_indexed_conductor": SearchParams(conductor="customer#00000012"),
+    "search_indexed_multi": SEARCH_MULTI,
+}.items():
+    register(_name)(_searched(_params))
+
+
 @register("stream_ingest_summary")
 def _stream_ingest_summary(f: Fleet) -> DataFrame:
     """STR1: the upload's files ingested one per micro-batch."""
