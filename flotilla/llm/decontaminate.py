@@ -21,8 +21,6 @@ splits. Built-in functions only.
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,14 +51,10 @@ def seeds(rows: DataFrame, keys: list[str], bits: Column | None = None) -> DataF
     """``keys``, place and hash of all seeds of ``rows`` (keys, words) that pass the filter."""
     shortest = min(map(max, MASKS)) + 1
     spread = rows.select(*keys, "words", places(F.col("words"), shortest).alias("at"))
-    numbers = range(len(MASKS))
-    out = spread.select(*keys, "at", *[seed(F.col("words"), F.col("at"), i).alias(f"h{i}") for i in numbers])
-    if bits is not None:
-        passed = [may_hold(bits, F.col(f"h{i}")) for i in numbers]
-        out = out.where(functools.reduce(Column.__or__, [F.coalesce(p, F.lit(False)) for p in passed]))
-        out = out.select(*keys, "at", *[F.when(p, F.col(f"h{i}")).alias(f"h{i}") for i, p in enumerate(passed)])
-    out = out.select(*keys, "at", F.explode(F.array(*[f"h{i}" for i in numbers])).alias("seed"))
-    return out.where(F.col("seed").isNotNull())
+    # One row a seed before the filter: its test is compiled once, not once for every mask.
+    each = F.array(*[seed(F.col("words"), F.col("at"), i) for i in range(len(MASKS))])
+    out = spread.select(*keys, "at", F.explode(each).alias("seed")).where(F.col("seed").isNotNull())
+    return out if bits is None else out.where(may_hold(bits, F.col("seed")))
 
 
 def whole_runs(rows: DataFrame, items: DataFrame) -> DataFrame:
