@@ -2,13 +2,15 @@
 
 Each micro-batch (``maxFilesPerTrigger`` files) runs through the same
 ``IngestJob`` as the batch path inside ``foreachBatch``. Rows stored before the
-stream are read in place; each batch writes its new rows and its counters
-under ``epoch=<batch id>`` with overwrite, so a batch that is re-run after a
-failure replaces its own output instead of appending twice, and reads only
-rows of earlier epochs. The summed counters equal the batch summary of the
-same rows (insertados is the number of keys new to the stored table, whatever
-the file order). All folders are read with explicit schemas: an epoch without
-new rows and an empty stored table are ordinary.
+stream are read in place. A batch writes its new rows to a folder of its own and
+then commits folder and counters to the manifest in one swap: a crash before the
+swap leaves a folder that nobody reads, a batch that is run again after it finds
+its epoch listed and does nothing. Committed epochs are merged while the stream
+runs (``manifest``), so a batch opens a bounded number of folders. The summed
+counters equal the batch summary of the same rows (insertados is the number of
+keys new to the stored table, whatever the file order). All folders are read
+with explicit schemas: an epoch without new rows and an empty stored table are
+ordinary.
 """
 
 from __future__ import annotations
@@ -21,56 +23,67 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import vocab
-from ..operators.ingest import FIRST_ERRORS, IngestJob, as_inspections, ordered_errors
+from ..operators.ingest import FIRST_ERRORS, IngestJob, as_inspections
 from ..operators.scalars import side_by_side
 from ..sources import files, tables
+from .manifest import Entries, Entry, Manifest
 
-INITIAL_EPOCH = 0
 COUNTERS = ["total_rows", "valid_rows", "invalid_rows", "duplicados", "insertados"]
-COUNTS_SCHEMA = (
-    "total_rows bigint, valid_rows bigint, invalid_rows bigint, duplicados bigint, insertados bigint, "
-    "errores array<struct<fila: bigint, error: string>>"
-)
+SCHEMA = T.StructType(tables.INSPECTION_SCHEMA.fields + tables.PARTITION_SCHEMA.fields)
 
 
-def _epoch_dir(root: str, epoch: int) -> str:
-    return os.path.join(root, f"epoch={epoch}")
+def manifest_of(spark: SparkSession, work_dir: str) -> Manifest:
+    return Manifest(spark, os.path.join(work_dir, "new"))
 
 
-def read_epochs(spark: SparkSession, new_dir: str) -> DataFrame:
-    """Inspections the stream has stored, with ``epoch``, ``anio`` and ``mes_num``."""
-    fields = tables.INSPECTION_SCHEMA.fields + [T.StructField("epoch", T.LongType())] + tables.PARTITION_SCHEMA.fields
-    return spark.read.schema(T.StructType(fields)).parquet(new_dir)
+def read_new(spark: SparkSession, work_dir: str) -> DataFrame:
+    """Inspections the stream has stored, with ``anio`` and ``mes_num``."""
+    return manifest_of(spark, work_dir).read_data(SCHEMA)
 
 
-def seed(spark: SparkSession, new_dir: str, counts_dir: str) -> None:
-    """Epoch 0: no rows and a zero counter, so that a stream that saw no file sums to zeros."""
-    none = spark.createDataFrame([], tables.INSPECTION_SCHEMA)
-    tables.write_inspections(none, _epoch_dir(new_dir, INITIAL_EPOCH))
-    zero = spark.createDataFrame([(0, 0, 0, 0, 0, [])], COUNTS_SCHEMA)
-    zero.write.mode("overwrite").parquet(_epoch_dir(counts_dir, INITIAL_EPOCH))
+def first_of(errors: list[list]) -> list[list]:
+    """The first errors of several batches (fila, message), lines without a number last."""
+    return sorted(errors, key=lambda e: (e[0] is None, e[0] or 0, e[1]))[:FIRST_ERRORS]
 
 
-def make_batch_writer(spark: SparkSession, stored: DataFrame, new_dir: str, counts_dir: str, mode: str):
+def folded(entries: Entries) -> tuple[dict[str, int], list[list]]:
+    """Counters of several epochs as one, and their first errors."""
+    counters = {c: sum(e.counters[c] for e in entries) for c in COUNTERS}
+    return counters, first_of([x for e in entries for x in e.errors])
+
+
+def make_batch_writer(spark: SparkSession, stored: DataFrame, work_dir: str, mode: str):
     """``foreachBatch`` function: ``stored`` is the inspection table before the stream, read in place."""
-    columns = [*tables.INSPECTION_COLUMNS, *tables.PARTITION_SCHEMA.names]
+    columns = SCHEMA.names
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        epoch = batch_id + 1
-        earlier = read_epochs(spark, new_dir).where(F.col("epoch") < F.lit(epoch)).select(*columns)
+        manifest = manifest_of(spark, work_dir)
+        entries = manifest.entries()
+        if manifest.covers(batch_id):
+            return  # committed before a failure
         before = files.with_partition_columns(stored.select(*tables.INSPECTION_COLUMNS)) if "anio" not in stored.columns else stored
+        earlier = manifest.read_data(SCHEMA, entries).select(*columns)
         job = IngestJob(batch, before.select(*columns).unionByName(earlier), mode)
-        tables.write_inspections(as_inspections(job.inserted()), _epoch_dir(new_dir, epoch))
+        tramo = manifest.new_folder(batch_id)
+        tables.write_inspections(as_inspections(job.inserted()), manifest.folder(tramo))
         # What was written is counted from its files, instead of a second look at the stored keys.
-        inserted = read_epochs(spark, new_dir).where(F.col("epoch") == F.lit(epoch)).count()
-        # One row per epoch: the counters and the batch's first errors
-        # (at most FIRST_ERRORS, so the array is bounded).
+        written = manifest.read_data(SCHEMA, [Entry(tramo, batch_id, batch_id)]).count()
+        # One row: the counters and the batch's first errors (at most FIRST_ERRORS, so the array is bounded).
         errors = job.first_errors().agg(F.collect_list(F.struct("fila", "error")).alias("errores"))
-        side_by_side(job.counts(inserted), errors).write.mode("overwrite").parquet(_epoch_dir(counts_dir, epoch))
+        row = side_by_side(job.counts(written), errors).first()
+        entry = Entry(tramo, batch_id, batch_id, 0, {c: row[c] for c in COUNTERS}, first_of([[e.fila, e.error] for e in row.errores]))
+        manifest.commit(lambda now: None if any(e.first <= batch_id <= e.last for e in now) else [*now, entry])
+        compact(spark, work_dir)
+        manifest.vacuum()
 
     return process
 
 
+def compact(spark: SparkSession, work_dir: str) -> int:
+    """Merge committed epochs whose turn it is, also while the stream runs; how many merges there were."""
+    return manifest_of(spark, work_dir).compact(SCHEMA, lambda rows, path: tables.write_inspections(rows, path), folded)
+
+
 def start_ingest_stream(
     spark: SparkSession,
     source_dir: str,
@@ -86,14 +99,12 @@ def start_ingest_stream(
 
     With ``processing_time`` (e.g. ``"1 minute"``) it keeps watching
     ``source_dir``; without it, it processes the files present and stops.
-    Outputs go under ``work_dir``: ``new`` (partitioned by epoch, year, month),
-    ``counts`` (one row per epoch) and ``checkpoint``. Starting again on the
+    Outputs go under ``work_dir``: ``new`` (data folders, partitioned by year
+    and month, and their manifest) and ``checkpoint``. Starting again on the
     same ``work_dir`` goes on where the stream stopped; nothing is copied.
     """
-    new_dir, counts_dir = os.path.join(work_dir, "new"), os.path.join(work_dir, "counts")
-    seed(spark, new_dir, counts_dir)
     source = files.read_upload_stream(spark, source_dir, fmt, glob, files_per_batch)
-    writer = source.writeStream.foreachBatch(make_batch_writer(spark, stored, new_dir, counts_dir, mode)).option(
+    writer = source.writeStream.foreachBatch(make_batch_writer(spark, stored, work_dir, mode)).option(
         "checkpointLocation", os.path.join(work_dir, "checkpoint")
     )
     writer = writer.trigger(processingTime=processing_time) if processing_time else writer.trigger(availableNow=True)
@@ -101,11 +112,8 @@ def start_ingest_stream(
 
 
 def fold_into(spark: SparkSession, work_dir: str, stored_path: str) -> None:
-    """Append what a stopped stream has stored to the inspection table; the next stream takes a new ``work_dir``.
-
-    Keeps the number of epoch folders, and the files a batch lists, from growing without end.
-    """
-    tables.write_inspections(read_epochs(spark, os.path.join(work_dir, "new")), stored_path, mode="append")
+    """Append what a stopped stream has stored to the inspection table; the next stream takes a new ``work_dir``."""
+    tables.write_inspections(read_new(spark, work_dir), stored_path, mode="append")
 
 
 def run_ingest_stream(
@@ -121,19 +129,12 @@ def run_ingest_stream(
     """Run the stream over every file present in ``source_dir`` and return the summary row."""
     query = start_ingest_stream(spark, source_dir, stored, work_dir, mode, fmt, files_per_batch)
     query.awaitTermination()
-    counts_dir = os.path.join(work_dir, "counts")
-    return stream_summary(spark, counts_dir, filename or os.path.basename(source_dir.rstrip("/")))
-
-
-def stream_summary(spark: SparkSession, counts_dir: str, filename: str) -> DataFrame:
-    """Fold the per-batch counters and first errors into one summary row."""
-    parts = spark.read.schema(COUNTS_SCHEMA).parquet(counts_dir)
-    counts = parts.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in COUNTERS])
-    errors = (
-        parts.select(F.explode("errores").alias("e"))
-        .select("e.fila", "e.error")
-        .orderBy(F.col("fila").asc_nulls_last(), "error")
-        .limit(FIRST_ERRORS)
-        .agg(F.transform(ordered_errors(), lambda x: x["error"]).alias("invalid"))
-    )
-    return side_by_side(counts, errors).select(F.lit(filename).alias("filename"), *COUNTERS, "invalid")
+    return stream_summary(spark, work_dir, filename or os.path.basename(source_dir.rstrip("/")))
+
+
+def stream_summary(spark: SparkSession, work_dir: str, filename: str) -> DataFrame:
+    """The committed counters and first errors as one summary row; zeros before the first batch."""
+    counters, errors = folded(manifest_of(spark, work_dir).entries())
+    row = (filename, *[counters[c] for c in COUNTERS], [message for _, message in errors])
+    fields = ", ".join(f"{c} bigint" for c in COUNTERS)
+    return spark.createDataFrame([row], f"filename string, {fields}, invalid array<string>")

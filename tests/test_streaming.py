@@ -10,7 +10,7 @@ from flotilla.sources import files
 from flotilla.functions import vocab
 from flotilla.sources import tables
 from flotilla.streaming.alerts import alerts_over, run_fatigue_alerts
-from flotilla.streaming.ingest_stream import fold_into, make_batch_writer, run_ingest_stream, seed, stream_summary
+from flotilla.streaming.ingest_stream import fold_into, make_batch_writer, run_ingest_stream, stream_summary
 
 from .conftest import SF001
 
@@ -26,12 +26,10 @@ def test_stream_ingest_equals_batch(spark, fleet001):
 
 
 def batches(spark, fleet, stored, mode="flexible"):
-    """A batch writer over fresh folders, and a function that sums what it counted."""
+    """A batch writer over a fresh folder, and a function that sums what it counted."""
     work = scratch_path(spark, "t-batches")
-    new_dir, counts_dir = (os.path.join(work, d) for d in ("new", "counts"))
-    seed(spark, new_dir, counts_dir)
-    process = make_batch_writer(spark, stored, new_dir, counts_dir, mode)
-    return process, lambda: stream_summary(spark, counts_dir, "x").first(), work
+    process = make_batch_writer(spark, stored, work, mode)
+    return process, lambda: stream_summary(spark, work, "x").first(), work
 
 
 def test_rerun_batch_is_idempotent(spark, fleet001):
@@ -121,6 +119,6 @@ def test_continuous_stream_picks_up_new_files(spark, fleet001):
         query.processAllAvailable()
     finally:
         query.stop()
-    got = stream_summary(spark, os.path.join(work, "counts"), "x").first()
+    got = stream_summary(spark, work, "x").first()
     want = IngestJob(up, fleet001.stored(mode), mode, filename="x").summary().first()
     assert tuple(got) == tuple(want)
