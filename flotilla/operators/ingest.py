@@ -21,6 +21,7 @@ Invariants (D10): total = valid + invalid, valid = duplicados + insertados.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,9 @@ from ..sources.files import CORRUPT, FILE, with_partition_columns
 from ..sources.tables import INSPECTION_COLUMNS, write_inspections
 from .scalars import side_by_side
 
+if TYPE_CHECKING:
+    from ..sources.key_index import KeyIndex
+
 KEY = ["conductor", "placa", "fecha"]
 LINE = [FILE, "fila"]
 PARTITION_COLUMNS = ["anio", "mes_num"]
@@ -105,6 +109,8 @@ class IngestJob:
     stored: DataFrame
     mode: str = vocab.DEFAULT_PLATE_MODE
     filename: str = "upload"
+    # The stored table's bucketed keys, if it has them: its rows are then not looked at.
+    key_index: KeyIndex | None = None
 
     def __post_init__(self) -> None:
         self.flagged = flag_rows(self.upload, self.mode)
@@ -132,11 +138,25 @@ class IngestJob:
         line = F.when(F.col("valida"), F.struct(*LINE, *rest)).alias("line")
         rows = self.flagged.select("valida", *key, line)
         grouped = rows.groupBy("valida", *KEY).agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("first"))
+        if self.key_index is not None:
+            return self._keys_by_index(grouped)
         stored = self.stored_keys()
         joined = grouped.join(stored, same(grouped, stored, KEY) & grouped["valida"], "left")
         new = F.col("valida") & F.col("__stored").isNull()
         return joined.select("valida", *[grouped[c] for c in KEY], "n", "first", new.alias("nueva"))
 
+    def _keys_by_index(self, grouped: DataFrame) -> DataFrame:
+        """``keys`` by the bucketed keys: the upload's keys go to the buckets, the stored side stays where it is."""
+        from ..sources.key_index import key_of, months_of
+
+        # Invalid rows have no key and so no partner.
+        clave = F.when(F.col("valida"), key_of(F.col("conductor"), F.col("placa"), F.col("fecha")))
+        joined, new = grouped.withColumn("clave", clave), F.col("valida")
+        for i, stored in enumerate(self.key_index.stored(months_of(self.valid()))):
+            joined = joined.join(stored.withColumn(f"__stored{i}", F.lit(True)), "clave", "left")
+            new = new & F.col(f"__stored{i}").isNull()
+        return joined.select("valida", *KEY, "n", "first", new.alias("nueva"))
+
     def stored_keys(self) -> DataFrame:
         """The stored keys an upload row could match, distinct, with ``__stored`` set.
 

@@ -30,16 +30,14 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators.ingest import write_inserted
 from ..operators.search import TEXT_FIELDS, SearchParams, search
 from . import files, tables
+from .stored_files import LEVELS, exists, file_names, read_files
 
 SIZE = 3
 BUCKETS = 64
-# A file is named by its partition folders and its own name, which repeats between folders.
-LEVELS = len(tables.PARTITION_SCHEMA) + 1
 # Trigrams of a text whose postings are read.
 RAREST = 4
 POSTINGS = "trigrama string, valor string, lote string, campo string, cubo int"
@@ -63,31 +61,13 @@ def bucket(trigram: Column) -> Column:
     return F.pmod(F.xxhash64(trigram), F.lit(BUCKETS)).cast("int")
 
 
-def file_names(df: DataFrame) -> dict[str, str]:
-    """Name to path of the files that a plain read of the table opens; the driver lists them for any scan."""
-    return {"/".join(p.split("/")[-LEVELS:]): p for p in df.inputFiles()}
-
-
 def _read(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
     """One of the index's tables; empty before the first update."""
-    if not _exists(spark, os.path.join(index_path(path), name)):
+    if not exists(spark, os.path.join(index_path(path), name)):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(os.path.join(index_path(path), name))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
-
-def read_files(spark: SparkSession, path: str, files: list[str]) -> DataFrame:
-    """Some files of the stored table, with its partition columns."""
-    schema = T.StructType(tables.INSPECTION_SCHEMA.fields + tables.PARTITION_SCHEMA.fields)
-    if not files:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("basePath", path).parquet(*files)
-
-
 def indexed_files(spark: SparkSession, path: str) -> set[str]:
     """Names of the indexed files: no more than the driver lists for the table itself."""
     return {r.archivo for r in _read(spark, path, "archivos", FILES).distinct().collect()}

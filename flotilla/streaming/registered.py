@@ -20,6 +20,7 @@ from ..operators.search import SearchParams
 from ..plans.queries import AS_OF, SEARCH_MULTI, register
 from ..session import scratch_path
 from ..sources import files, tables, text_index
+from ..sources.key_index import KeyIndex
 from .alert_windows import windows_over
 from .alerts import alerts_over
 from .ingest_stream import run_ingest_stream
@@ -85,6 +86,16 @@ def _ingest_stored_status(f: Fleet) -> DataFrame:
     return Fleet(f.spark, f.sf_dir, AS_OF, inspections_path=_stored_again(f)).drivers()
 
 
+@register("ingest_indexed_summary")
+def _ingest_indexed(f: Fleet) -> DataFrame:
+    """JOI3 by the stored table's bucketed keys."""
+    path = os.path.join(scratch_path(f.spark, "keyed"), "inspecciones")
+    tables.write_inspections(f.stored(MODE), path)
+    index = KeyIndex(f.spark, path, buckets=8)
+    index.update()
+    return IngestJob(f.upload(), tables.read_inspections(f.spark, path), MODE, filename=NAME, key_index=index).summary()
+
+
 def _searched(params: SearchParams):
     def query(f: Fleet) -> DataFrame:
         """FLT12 over a stored table with a trigram index, in two parts: stored and indexed, then appended and indexed."""
@@ -198,6 +209,7 @@ FROM conductores r LEFT JOIN (
         "ingest_csv_reordered_summary": summary,
         "ingest_json_summary": summary,
         "ingest_parquet_summary": summary,
+        "ingest_indexed_summary": summary,
         "ingest_stored_table": table,
         "ingest_stored_driver_status": status,
         "ingest_result_table": table,
