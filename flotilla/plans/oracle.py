@@ -530,6 +530,20 @@ FROM (SELECT event_id AS id, value AS number FROM events UNION ALL SELECT o_orde
         f"(SELECT * FROM vehicle_status {_drivers_where(rf)})",
         f"(SELECT * FROM fatigue_status {_fatigue_where(rf)})",
     )
+    measured = """count(*) AS inspecciones, count(*) FILTER (resultado = 'F') AS fallas, count(DISTINCT placa) AS vehiculos,
+        min(fecha) AS primera, max(fecha) AS ultima"""
+    q["custom_metrics"] = sql(
+        f"""SELECT year(fecha) AS anio, resultado, contrato, campo_coordinacion,
+                CAST(GROUPING_ID(year(fecha), resultado, contrato, campo_coordinacion) AS INTEGER) AS nivel, {measured}
+            FROM inspecciones GROUP BY CUBE (year(fecha), resultado, contrato, campo_coordinacion)"""
+    )
+    level = f"""FROM inspecciones {_where(_date_preds('fecha', RAW_RANGE.fecha_inicio, RAW_RANGE.fecha_fin))}"""
+    q["custom_metrics_filtered"] = sql(
+        f"""SELECT NULL AS anio, resultado, NULL AS contrato, campo_coordinacion, 10 AS nivel, {measured} {level}
+              GROUP BY resultado, campo_coordinacion
+            UNION ALL SELECT NULL, NULL, NULL, campo_coordinacion, 14, {measured} {level} GROUP BY campo_coordinacion
+            UNION ALL SELECT NULL, NULL, NULL, NULL, 15, {measured} {level}"""
+    )
     q["monthly_comparison"] = _with(
         f"""s AS (SELECT {MONTH} AS mes, count(*) AS inspecciones, count(DISTINCT placa) AS vehiculos
                   FROM inspecciones WHERE fecha IS NOT NULL GROUP BY 1),

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, text, vocab
-from ..operators import dashboard, fleet, pages, ragged, report, search
+from ..operators import dashboard, fleet, metrics, pages, ragged, report, search
 from ..operators.filters import (
     Filters,
     drivers_totals,
@@ -494,6 +494,31 @@ def _report_metrics_filtered(f: Fleet) -> DataFrame:
     )
 
 
+def inspection_metrics(rows: DataFrame, levels: list | None = None) -> DataFrame:
+    """Inspections, failures, vehicles and the span of dates by year, result, contract and field."""
+    dimensions = {"anio": F.year("fecha"), **{c: F.col(c) for c in ("resultado", "contrato", "campo_coordinacion")}}
+    measures = {
+        "inspecciones": metrics.Measure("count"),
+        "fallas": metrics.Measure("count", where=F.col("resultado") == F.lit(vocab.RESULTADO_FALLA)),
+        "vehiculos": metrics.Measure("distinct", F.col("placa")),
+        "primera": metrics.Measure("min", F.col("fecha")),
+        "ultima": metrics.Measure("max", F.col("fecha")),
+    }
+    return metrics.custom_metrics(rows, dimensions, measures, levels)
+
+
+@register("custom_metrics")
+def _custom_metrics(f: Fleet) -> DataFrame:
+    """PRS2: four dimensions, totals at all sixteen levels."""
+    return inspection_metrics(f.inspecciones())
+
+
+@register("custom_metrics_filtered")
+def _custom_metrics_filtered(f: Fleet) -> DataFrame:
+    """PRS2: the same with the global date filter, rolled up."""
+    return inspection_metrics(filter_dates(f.inspecciones(), "fecha", RAW_RANGE), metrics.rollup(["campo_coordinacion", "resultado"]))
+
+
 @register("monthly_comparison")
 def _monthly_comparison(f: Fleet) -> DataFrame:
     return dashboard.monthly_comparison(f.visits(), f.vehicle_key)
