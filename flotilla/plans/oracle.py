@@ -530,6 +530,14 @@ FROM (SELECT event_id AS id, value AS number FROM events UNION ALL SELECT o_orde
         f"(SELECT * FROM vehicle_status {_drivers_where(rf)})",
         f"(SELECT * FROM fatigue_status {_fatigue_where(rf)})",
     )
+    q["maintained_driver_status"] = q["driver_status"]
+    q["maintained_vehicle_status"] = q["vehicle_status"]
+    q["maintained_monthly_series"] = q["monthly_series"]
+    q["maintained_range_totals"] = sql(
+        f"""SELECT count(*) AS total_inspecciones, count(DISTINCT conductor) AS total_conductores,
+                   count(DISTINCT placa) AS total_vehiculos
+            FROM inspecciones {_where(_date_preds('fecha', RAW_RANGE.fecha_inicio, RAW_RANGE.fecha_fin))}"""
+    )
     measured = """count(*) AS inspecciones, count(*) FILTER (resultado = 'F') AS fallas, count(DISTINCT placa) AS vehiculos,
         min(fecha) AS primera, max(fecha) AS ultima"""
     q["custom_metrics"] = sql(

@@ -26,7 +26,7 @@ from ..functions import vocab
 from ..operators.ingest import FIRST_ERRORS, IngestJob, as_inspections
 from ..operators.scalars import side_by_side
 from ..sources import files, tables
-from .manifest import Entries, Entry, Manifest
+from ..sources.manifest import Entries, Entry, Manifest
 
 COUNTERS = ["total_rows", "valid_rows", "invalid_rows", "duplicados", "insertados"]
 SCHEMA = T.StructType(tables.INSPECTION_SCHEMA.fields + tables.PARTITION_SCHEMA.fields)
@@ -81,7 +81,13 @@ def make_batch_writer(spark: SparkSession, stored: DataFrame, work_dir: str, mod
 
 def compact(spark: SparkSession, work_dir: str) -> int:
     """Merge committed epochs whose turn it is, also while the stream runs; how many merges there were."""
-    return manifest_of(spark, work_dir).compact(SCHEMA, lambda rows, path: tables.write_inspections(rows, path), folded)
+    manifest = manifest_of(spark, work_dir)
+
+    def merge(old: Entries, tramo: str) -> Entry:
+        tables.write_inspections(manifest.read_data(SCHEMA, old), manifest.folder(tramo))
+        return Entry(tramo, old[0].first, old[-1].last, old[0].level + 1, *folded(old))
+
+    return manifest.compact(merge)
 
 
 def start_ingest_stream(

@@ -14,13 +14,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab
+from ..operators import fleet
 from ..operators.ingest import IngestJob, write_inserted
 from ..plans.catalog import Fleet
 from ..operators.search import SearchParams
-from ..plans.queries import AS_OF, SEARCH_MULTI, register
+from ..plans.queries import AS_OF, RAW_RANGE, SEARCH_MULTI, register
 from ..session import scratch_path
 from ..sources import files, tables, text_index
 from ..sources.key_index import KeyIndex
+from ..sources.summaries import Summaries
 from .alert_windows import windows_over
 from .alerts import alerts_over
 from .ingest_stream import run_ingest_stream
@@ -86,6 +88,41 @@ def _ingest_stored_status(f: Fleet) -> DataFrame:
     return Fleet(f.spark, f.sf_dir, AS_OF, inspections_path=_stored_again(f)).drivers()
 
 
+def _maintained(f: Fleet) -> Summaries:
+    """The stored table written in three parts, the oldest rows last, its aggregates updated after the first two."""
+    path = os.path.join(scratch_path(f.spark, "maintained"), "inspecciones")
+    found = Summaries(f.spark, path)
+    for i, part in enumerate(("fecha >= '2000-01-01'", "year(fecha) in (1997, 1998, 1999)", "fecha < '1997-01-01'")):
+        tables.write_inspections(f.inspecciones().where(part), path, mode="append" if i else "overwrite")
+        if i < 2:
+            found.update()
+    return found
+
+
+@register("maintained_driver_status")
+def _maintained_drivers(f: Fleet) -> DataFrame:
+    """WIN1, SRC5 from maintained states, some of the table's files not being in yet."""
+    return fleet.driver_status(f.conductores(), _maintained(f).latest(), AS_OF)
+
+
+@register("maintained_vehicle_status")
+def _maintained_vehicles(f: Fleet) -> DataFrame:
+    """AGG11, SRC6 from maintained states."""
+    return fleet.vehicle_status(f.vehiculos(), _maintained(f).vehicle_summary(), AS_OF)
+
+
+@register("maintained_range_totals")
+def _maintained_totals(f: Fleet) -> DataFrame:
+    """AGG5, AGG6 over a range of dates from the days' sketches."""
+    return _maintained(f).totals(RAW_RANGE.fecha_inicio, RAW_RANGE.fecha_fin)
+
+
+@register("maintained_monthly_series")
+def _maintained_monthly(f: Fleet) -> DataFrame:
+    """AGG8 from the days' sketches."""
+    return _maintained(f).monthly()
+
+
 @register("ingest_indexed_summary")
 def _ingest_indexed(f: Fleet) -> DataFrame:
     """JOI3 by the stored table's bucketed keys."""
