@@ -530,6 +530,7 @@ FROM (SELECT event_id AS id, value AS number FROM events UNION ALL SELECT o_orde
         f"(SELECT * FROM vehicle_status {_drivers_where(rf)})",
         f"(SELECT * FROM fatigue_status {_fatigue_where(rf)})",
     )
+    q["clustered_table"] = q["inspections"]
     q["maintained_driver_status"] = q["driver_status"]
     q["maintained_vehicle_status"] = q["vehicle_status"]
     q["maintained_monthly_series"] = q["monthly_series"]

@@ -21,6 +21,7 @@ from ..operators.search import SearchParams
 from ..plans.queries import AS_OF, RAW_RANGE, SEARCH_MULTI, register
 from ..session import scratch_path
 from ..sources import files, tables, text_index
+from ..sources.clustered import write_clustered
 from ..sources.key_index import KeyIndex
 from ..sources.summaries import Summaries
 from .alert_windows import windows_over
@@ -123,6 +124,14 @@ def _maintained_monthly(f: Fleet) -> DataFrame:
     return _maintained(f).monthly()
 
 
+@register("clustered_table")
+def _clustered(f: Fleet) -> DataFrame:
+    """SNK1 in the clustered layout, read back like the plain one."""
+    path = os.path.join(scratch_path(f.spark, "clustered"), "inspecciones")
+    write_clustered(f.inspecciones(), path)
+    return tables.read_inspections(f.spark, path).select(*tables.INSPECTION_COLUMNS)
+
+
 @register("ingest_indexed_summary")
 def _ingest_indexed(f: Fleet) -> DataFrame:
     """JOI3 by the stored table's bucketed keys."""
