@@ -37,6 +37,8 @@ TRAIN_CHARS = 20_000
 BUCKETS = 1 << 16
 WEIGHTS = 1 << 24
 SEQUENCE = 256
+# Words whose features the fit makes at a time.
+FEATURE_WORDS = 20_000
 UNDETERMINED = "und"
 EPOCHS = 4
 BATCH = 64
@@ -99,6 +101,19 @@ def features(data: np.ndarray, start: np.ndarray, end: np.ndarray, buckets: int
     return numbers[order], np.searchsorted(owners[order], np.arange(len(words) + 1))
 
 
+def chunked_features(data: np.ndarray, start: np.ndarray, end: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """``features`` of many words, some at a time, so that little more than the result is held at once."""
+    numbers, sizes = [], []
+    for a in range(0, len(start), FEATURE_WORDS):
+        s, e = start[a : a + FEATURE_WORDS], end[a : a + FEATURE_WORDS]
+        low, high = int(s.min()), int(e.max())  # the bytes of these words only
+        n, begin = features(data[low:high], s - low, e - low, buckets)
+        numbers.append(n)
+        sizes.append(np.diff(begin))
+    size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+    return np.concatenate(numbers) if numbers else np.zeros(0, np.int32), np.r_[0, np.cumsum(size)]
+
+
 def emissions(model: Model, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Score of every language for each word."""
     if not len(start):
@@ -191,7 +206,12 @@ def train(texts: list[str], labels: list[str]) -> Model:
             pools[place[label]].append(np.arange(base, base + len(w.start)))
             base, shift = base + len(w.start), shift + len(data)
     _, at, number = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-    numbers, begin = features(np.concatenate(datas), np.concatenate(starts)[at], np.concatenate(ends)[at], buckets)
+    # Distinct words in the order of the texts, so that a chunk's bytes lie together.
+    place_of = np.argsort(at)
+    at, renumbered = at[place_of], np.empty_like(place_of)
+    renumbered[place_of] = np.arange(len(place_of))
+    number = renumbered[number]
+    numbers, begin = chunked_features(np.concatenate(datas), np.concatenate(starts)[at], np.concatenate(ends)[at], buckets)
     pools = [number[np.concatenate(p)] for p in pools]
     usable = np.array([i for i in range(count) if len(pools[i])])
     if len(usable) < 2:

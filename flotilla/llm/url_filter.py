@@ -154,7 +154,7 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     A null url, or one without '://', has an empty host and path, so no rule
     fits. URLs without a rule get the model's verdict: block when the
-    calibrated probability is at least 0.5. An empty or null url has score 0.
+    calibrated probability is above 0.5, allow at a tie. An empty or null url has score 0.
     If the rules decide no URL at all, or all alike, the models know nothing of
     one side: the ratio decides uncalibrated, and 0 means allow. Rows that
     repeat, null ids and other columns change nothing; an empty table gives no

@@ -90,6 +90,19 @@ def test_urls_without_rules_or_rows(spark):
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
 
 
+def test_very_long_urls_and_ties(spark):
+    long = "http://elsewhere.org/" + "segment/" * 1_000
+    rows = [(1, long), (2, long), (3, "http://"), (4, "http://?" + "q" * 5_000), (5, ""), (6, None)]
+    rows += [(10 + i, f"http://www{i}.shop.com/item/{i}") for i in range(30)] + [(50 + i, f"http://es{i}.net/es/pagina/{i}") for i in range(30)]
+    got = {r.page_id: r for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert len(got) == len(rows) and got[1].score == got[2].score and got[1].verdict == got[2].verdict
+    assert got[1].host == "elsewhere.org" and got[1].path == long[len("http://elsewhere.org") :] and got[4].path == "" == got[4].host
+    assert all(got[i].score == 0.0 for i in (3, 5, 6) if i != 3)
+    for r in got.values():
+        if r.rule is None:
+            assert r.verdict == ("block" if r.block_probability > 0.5 else "allow")
+
+
 def test_language_of_held_out_documents(documents, awkward, empty):
     got = langid.identify(documents).join(documents.select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in got if r.held_out]
