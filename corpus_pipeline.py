@@ -116,7 +116,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     )
     per = saved(per, "mix-keys").select(*[F.col(c).alias(f"m__{c}") for c in KEY], "__copies", "__rows", "__target")
     same = functools.reduce(Column.__and__, [F.col(f"__{c}").eqNullSafe(F.col(f"m__{c}")) for c in KEY])
-    joined = _with_key(docs).join(per, same)
+    # One row a document, so it grows with the texts: never broadcast, the same join at every size.
+    joined = _with_key(docs).join(per.hint("merge"), same)
     taken = joined.where(F.col("__rows") == 1).withColumn("__each", F.col("__copies"))
     if not per.where(F.col("__rows") > 1).isEmpty():
         rest = _numbered(joined.where((F.col("__rows") > 1) & (F.col("__copies") > 0)))
