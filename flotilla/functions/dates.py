@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocab
-from .jsdates import js_timestamp
+from .jsdates import js_timestamp, let
 
 
 def check_iso_date(value: str) -> str:
@@ -71,11 +71,14 @@ def raw_bound(raw: Column, bound: str | None, lower: bool) -> Column | None:
     if not bound:
         return None
     limit = F.lit(check_iso_date(bound)).cast("timestamp")
-    parsed = parse_timestamp(raw)
-    test = parsed >= limit if lower else parsed <= limit
-    return F.when(raw.isNull() | (raw == F.lit("")), F.lit(True)).otherwise(
-        F.coalesce(test, F.lit(False))
-    )
+
+    def kept(text: Column) -> Column:
+        parsed = parse_timestamp(text)
+        test = parsed >= limit if lower else parsed <= limit
+        return F.when(text.isNull() | (text == F.lit("")), F.lit(True)).otherwise(F.coalesce(test, F.lit(False)))
+
+    # A filter is pushed below the column's own expression, which stands wherever ``raw`` does: once.
+    return let(raw, kept)
 
 
 def display_date(ts: Column) -> Column:

@@ -18,11 +18,15 @@ tried in turn, as there:
 
 Texts without a zone are read in the session's zone, UTC; a date-only ISO text
 is UTC by rule. Anything else is no date: null. The numbers are cut out by one
-regular expression a grammar, each looked at once.
+regular expression a grammar, each looked at once. Every value that is named
+more than once is bound by ``let``: a column expression named twice is computed
+twice, and nested ones multiply.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,11 +57,16 @@ MOST_SECONDS = 8_640_000_000_000
 LAST_DAY = 31
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _let_all(body: Callable[..., Column], **values: Column) -> Column:
+    """``body`` of several values, each computed once."""
+    return let(F.struct(*[v.alias(k) for k, v in values.items()]), lambda s: body(*[s.getField(k) for k in values]))
+
+
 def _number(digits: Column) -> Column:
     """Digits as a number; an empty or missing group is null."""
     return F.when(digits != "", digits).cast("long")
@@ -70,10 +79,8 @@ def days_from_civil(year: Column, month: Column, day: Column) -> Column:
     begins after a whole number of fifths of 153 days.
     """
     shifted = year - F.when(month <= 2, 1).otherwise(0)
-    era = F.floor(shifted / 400)
-    of_era = shifted - era * 400
     of_year = F.floor((153 * (month + F.when(month > 2, -3).otherwise(9)) + 2) / 5) + day - 1
-    return era * 146_097 + of_era * 365 + F.floor(of_era / 4) - F.floor(of_era / 100) + of_year - 719_468
+    return let(shifted, lambda y: y * 365 + F.floor(y / 4) - F.floor(y / 100) + F.floor(y / 400) + of_year - 719_468)
 
 
 def _seconds(year, month, day, hour, minute, second, offset) -> Column:
@@ -86,15 +93,14 @@ def _micros(digits: Column) -> Column:
 
 
 def _stamp(seconds: Column, micros: Column, good: Column) -> Column:
-    inside = good & (F.abs(seconds) <= MOST_SECONDS)
-    return F.when(inside, F.timestamp_micros(F.when(inside, seconds) * 1_000_000 + micros))
+    return let(F.when(good, seconds), lambda s: F.when(F.abs(s) <= MOST_SECONDS, F.timestamp_micros(s * 1_000_000 + micros)))
 
 
-def _group(raw: Column, pattern: str, groups: int) -> Column:
-    """The groups of the first match, as an array; null if there is none."""
+def _matched(raw: Column, pattern: str, groups: int, read: Callable[[Column], Column]) -> Column:
+    """``read`` of the groups of the first match, as an array; null if there is none."""
     mark = "\u0001"
     joined = F.regexp_replace(raw, pattern, mark.join(f"${i}" for i in range(1, groups + 1)))
-    return F.when(raw.rlike(pattern), F.split(joined, mark, -1))
+    return F.when(raw.rlike(pattern), let(F.split(joined, mark, -1), read))
 
 
 def iso_timestamp(raw: Column) -> Column:
@@ -102,37 +108,59 @@ def iso_timestamp(raw: Column) -> Column:
 
     def read(g: Column) -> Column:
         part = lambda i: F.get(g, F.lit(i))
-        year, month, day = _number(F.regexp_replace(part(0), r"^\+", "")), _number(part(1)), _number(part(2))
-        hour, minute, second = (F.coalesce(_number(part(i)), F.lit(0)) for i in (3, 4, 5))
         zone = part(7)
-        sign = F.when(zone.startswith("-"), -1).otherwise(1)
-        zone_hour, zone_minute = _number(F.substring(zone, 2, 2)), _number(F.substring(zone, 5, 2))
-        far = zone.rlike("^[+-]")
+        return _let_all(
+            stamp,
+            year=_number(F.regexp_replace(part(0), r"^\+", "")),
+            month=F.coalesce(_number(part(1)), F.lit(1)),
+            day=F.coalesce(_number(part(2)), F.lit(1)),
+            hour=F.coalesce(_number(part(3)), F.lit(0)),
+            minute=F.coalesce(_number(part(4)), F.lit(0)),
+            second=F.coalesce(_number(part(5)), F.lit(0)),
+            micros=_micros(part(6)),
+            sign=F.when(zone.startswith("-"), -1).otherwise(1),
+            far=zone.rlike("^[+-]"),
+            zone_hour=_number(F.substring(zone, 2, 2)),
+            zone_minute=_number(F.substring(zone, 5, 2)),
+            known=part(0) != "-000000",
+        )
+
+    def stamp(year, month, day, hour, minute, second, micros, sign, far, zone_hour, zone_minute, known) -> Column:
         offset = F.when(far, sign * (zone_hour * 3_600 + zone_minute * 60)).otherwise(0)
-        month, day = F.coalesce(month, F.lit(1)), F.coalesce(day, F.lit(1))
-        midnight = (hour == 24) & (minute == 0) & (second == 0) & (_micros(part(6)) == 0)
+        midnight = (hour == 24) & (minute == 0) & (second == 0) & (micros == 0)
         good = month.between(1, 12) & day.between(1, 31) & ((hour < 24) | midnight) & (minute < 60) & (second < 60)
-        good = good & (part(0) != "-000000") & (~far | ((zone_hour < 24) & (zone_minute < 60)))
-        return _stamp(_seconds(year, month, day, hour, minute, second, offset), _micros(part(6)), good)
+        good = good & known & (~far | ((zone_hour < 24) & (zone_minute < 60)))
+        return _stamp(_seconds(year, month, day, hour, minute, second, offset), micros, good)
 
-    return _let(_group(raw, ISO, 8), read)
+    return _matched(raw, ISO, 8, read)
 
 
-def _clock(g: Column, first: int) -> tuple[Column, Column, Column]:
-    """(seconds of the day less the zone's, microseconds, whether valid) of the clock's groups from ``first`` on."""
+def _clock(g: Column, first: int) -> Column:
+    """(seconds of the day less the zone's, microseconds, whether valid) of the clock's groups from ``first`` on, as a struct."""
     part = lambda i: F.get(g, F.lit(first + i))
-    hour, minute, second = (F.coalesce(_number(part(i)), F.lit(0)) for i in (0, 1, 2))
     mark, name = part(4), part(5)
-    twelve = F.when((mark == "am") & (hour == 12), 0).when((mark == "pm") & (hour < 12), hour + 12).otherwise(hour)
-    midnight = (hour == 24) & (minute == 0) & (second == 0) & (mark == "")
-    good = (minute < 60) & (second < 60) & F.when(mark != "", hour.between(0, 12)).otherwise((hour < 24) | midnight)
-    named = F.element_at(F.create_map(*[F.lit(x) for pair in ZONES.items() for x in pair]), F.when(name != "", name).otherwise(F.lit("z")))
-    # A number behind the sign is hours, of three digits or more hours and minutes.
-    # It needs a time or a name before it.
-    good = good & ((part(6) == "") | (part(0) != "") | (name != ""))
-    sign, hours, minutes = F.when(part(6) == "-", -1).otherwise(1), _number(part(7)), _number(part(8))
-    offset = named * 3_600 + F.coalesce(sign * (hours * 3_600 + F.coalesce(minutes, F.lit(0)) * 60), F.lit(0))
-    return twelve * 3_600 + minute * 60 + second - offset, _micros(part(3)), good
+
+    def read(hour, minute, second, sign, hours, minutes, named) -> Column:
+        twelve = F.when((mark == "am") & (hour == 12), 0).when((mark == "pm") & (hour < 12), hour + 12).otherwise(hour)
+        midnight = (hour == 24) & (minute == 0) & (second == 0) & (mark == "")
+        good = (minute < 60) & (second < 60) & F.when(mark != "", hour.between(0, 12)).otherwise((hour < 24) | midnight)
+        # A number behind the sign is hours, of three digits or more hours and minutes.
+        # It needs a time or a name before it.
+        good = good & ((part(6) == "") | (part(0) != "") | (name != ""))
+        offset = named * 3_600 + F.coalesce(sign * (hours * 3_600 + F.coalesce(minutes, F.lit(0)) * 60), F.lit(0))
+        seconds = twelve * 3_600 + minute * 60 + second - offset
+        return F.struct(seconds.alias("seconds"), _micros(part(3)).alias("micros"), good.alias("good"))
+
+    return _let_all(
+        read,
+        hour=F.coalesce(_number(part(0)), F.lit(0)),
+        minute=F.coalesce(_number(part(1)), F.lit(0)),
+        second=F.coalesce(_number(part(2)), F.lit(0)),
+        sign=F.when(part(6) == "-", -1).otherwise(1),
+        hours=_number(part(7)),
+        minutes=_number(part(8)),
+        named=F.element_at(F.create_map(*[F.lit(x) for pair in ZONES.items() for x in pair]), F.when(name != "", name).otherwise(F.lit("z"))),
+    )
 
 
 def _full_year(year: Column) -> Column:
@@ -143,35 +171,43 @@ def _full_year(year: Column) -> Column:
 def free_timestamp(raw: Column) -> Column:
     """A text of the free form; null for any other."""
 
-    def dated(pattern: str, order) -> Column:
+    def dated(clean: Column, pattern: str, order) -> Column:
+        def stamp(year, month, day, clock) -> Column:
+            good = clock.getField("good") & month.between(1, 12) & day.between(1, LAST_DAY)
+            seconds = days_from_civil(year, month, day) * 86_400 + clock.getField("seconds")
+            return _stamp(seconds, clock.getField("micros"), good)
+
         def read(g: Column) -> Column:
-            year, month, day = order(*[F.get(g, F.lit(i)) for i in range(3)])
-            clock, micros, good = _clock(g, 3)
-            good = good & month.between(1, 12) & day.between(1, LAST_DAY)
-            return _stamp(days_from_civil(_full_year(year), month, day) * 86_400 + clock, micros, good)
+            date = order(*[F.get(g, F.lit(i)) for i in range(3)])
+            parts = lambda d: {k: d.getField(k) for k in ("month", "day")}
+            return let(date, lambda d: _let_all(stamp, year=_full_year(d.getField("year")), **parts(d), clock=_clock(g, 3)))
 
-        return _let(_group(clean, pattern, 12), read)
+        return _matched(clean, pattern, 12, read)
 
     def number(digits: Column) -> Column:
         return F.coalesce(_number(digits), F.lit(1))
 
-    def alone(a: Column, b: Column, c: Column):
-        x, y, z = number(a), number(b), number(c)
-        month_first = x.between(1, LAST_DAY)
-        return F.when(month_first, z).otherwise(x), F.when(month_first, x).otherwise(y), F.when(month_first, y).otherwise(z)
+    def date(year: Column, month: Column, day: Column) -> Column:
+        return F.struct(year.alias("year"), month.alias("month"), day.alias("day"))
+
+    def alone(a: Column, b: Column, c: Column) -> Column:
+        return _let_all(
+            lambda x, y, z: F.when(x.between(1, LAST_DAY), date(z, x, y)).otherwise(date(x, y, z)),
+            x=number(a), y=number(b), z=number(c),
+        )
 
-    def beside(name: Column, a: Column, b: Column):
-        x, y = number(a), number(b)
-        day_first = x.between(1, LAST_DAY)
-        month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), name)
-        return F.when(day_first, y).otherwise(x), month, F.when(day_first, x).otherwise(y)
+    def beside(name: Column, a: Column, b: Column) -> Column:
+        return _let_all(
+            lambda x, y, month: F.when(x.between(1, LAST_DAY), date(y, month, x)).otherwise(date(x, month, y)),
+            x=number(a), y=number(b), month=F.array_position(F.array(*[F.lit(m) for m in MONTHS]), name),
+        )
 
+    forms = ((NUMBERS, alone), (NAME_FIRST, beside), (NUMBER_FIRST, lambda a, name, b: beside(name, a, b)))
     clean = F.trim(F.regexp_replace(F.lower(raw), r"\([^()]*\)", " "))
     clean = F.regexp_replace(clean, WORDS, "")
-    forms = ((NUMBERS, alone), (NAME_FIRST, beside), (NUMBER_FIRST, lambda a, name, b: beside(name, a, b)))
-    return F.coalesce(*[dated(pattern, order) for pattern, order in forms])
+    return let(clean, lambda c: F.coalesce(*[dated(c, pattern, order) for pattern, order in forms]))
 
 
 def js_timestamp(raw: Column) -> Column:
     """SCA2: the time that the pages read from a text; null where they read none."""
-    return F.coalesce(iso_timestamp(raw), free_timestamp(raw))
+    return let(raw, lambda r: F.coalesce(iso_timestamp(r), free_timestamp(r)))

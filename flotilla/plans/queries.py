@@ -7,6 +7,7 @@ Every query reads whole tables; the filters below are the feature under test.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -361,8 +362,9 @@ DATE_FORMS = (
 def _date_forms(f: Fleet) -> DataFrame:
     """SCA2: the day of every order written in one of ten forms, and what the pages read there."""
     orders = tables.read(f.spark, f.sf_dir, "orders", "o_orderkey", "o_orderdate")
-    texts = [F.concat(F.date_format("o_orderdate", form), F.lit(tail or "")) for form, tail in DATE_FORMS]
-    text_ = F.get(F.array(*texts), (F.col("o_orderkey") % len(DATE_FORMS)).cast("int"))
+    # One form a row is written out: a branch that is not taken is not computed.
+    branches = [(F.col("o_orderkey") % len(DATE_FORMS) == i, F.concat(F.date_format("o_orderdate", form), F.lit(tail or ""))) for i, (form, tail) in enumerate(DATE_FORMS)]
+    text_ = functools.reduce(lambda c, branch: c.when(*branch), branches, F)
     raw = orders.select(F.col("o_orderkey").alias("id"), text_.alias("fecha"))
     return raw.select("id", "fecha", dates.parse_timestamp(F.col("fecha")).cast("timestamp_ntz").alias("leida"))
 

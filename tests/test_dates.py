@@ -61,6 +61,15 @@ def test_awkward_texts_are_no_dates(spark):
     assert [i for i, t in got.items() if t is not None] == [6]
 
 
+def test_every_part_is_computed_once(spark):
+    """Nested expressions that name a part twice multiply: the reader's stays small, and a bound names its text once."""
+    assert len(str(dates.parse_timestamp(F.col("s")))) < 40_000
+    df = spark.range(3).select(F.concat_ws("-", F.lit("2024-01"), F.lpad(F.hex("id"), 2, "0")).alias("fecha"))
+    plan = filter_raw_dates(df, "fecha", Filters(fecha_inicio=DAY))._jdf.queryExecution().optimizedPlan()
+    condition = [line for line in plan.toString().splitlines() if "Filter" in line]
+    assert len(condition) == 1 and condition[0].count("lpad(") == 1
+
+
 def test_raw_both_bounds(raw):
     want = {v for v, exp in EXPECTED.items() if exp[1] and exp[2]}
     assert _kept(filter_raw_dates(raw, "fecha", Filters(fecha_inicio=DAY, fecha_fin=DAY))) == want
