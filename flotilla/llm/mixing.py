@@ -34,8 +34,6 @@ LEAST_SALTS = 64
 ROUNDS = 60
 LAMBDA_MAX = 64.0
 TOLERANCE = 1e-7
-# Newton steps planned into one job; each job's result is written, which cuts its lineage.
-STEPS_PER_JOB = 3
 # Starting points of the rounding that are tried for each source.
 PHASES = 64
 
@@ -94,15 +92,19 @@ def exact_sum(c: Column) -> Column:
 
 
 def newton_step(rows: DataFrame, state: DataFrame) -> DataFrame:
-    """One safeguarded Newton step of every source that is not done: one aggregate over the histogram."""
-    open_ = state.where(~F.col("done")).select(F.col("source").alias("s"), "mean", "lam")
-    joined = rows.join(open_, F.col("source").eqNullSafe(F.col("s")))
+    """One safeguarded Newton step of every source that is not done: one join and one aggregate over the histogram.
+
+    The state's columns are keys of the aggregate, so the state stands in the
+    plan once; every source has a row in the histogram.
+    """
+    joined = rows.select(F.col("source").alias("s"), "size", "n").join(state, F.col("s").eqNullSafe(F.col("source")))
     x = F.col("size") / F.col("mean")
     rate = F.exp(F.least(F.col("lam") * x, F.lit(60.0)))
     words = F.col("n") * F.col("size")
-    sums = joined.groupBy("s").agg(
-        exact_sum(words * F.least(rate, F.lit(CAP))).alias("value"),
-        exact_sum(F.when(rate < CAP, words * x * rate).otherwise(0.0)).alias("slope"),
+    counts = ~F.col("done") & (F.col("size") > 0)
+    sums = joined.groupBy("source", "target", "mean", "lam", "low", "high", "done").agg(
+        exact_sum(F.when(counts, words * F.least(rate, F.lit(CAP)))).alias("value"),
+        exact_sum(F.when(counts, F.when(rate < CAP, words * x * rate).otherwise(0.0))).alias("slope"),
     )
     gap = F.col("value") - F.col("target")
     step = F.col("lam") - gap / F.col("slope")
@@ -110,8 +112,7 @@ def newton_step(rows: DataFrame, state: DataFrame) -> DataFrame:
     done = F.col("done") | F.col("value").isNull() | (F.col("new_high") - F.col("new_low") < 1e-12)
     done = done | (F.abs(gap) <= TOLERANCE * F.greatest(F.col("target"), F.lit(1.0)))
     return (
-        state.join(sums, F.col("source").eqNullSafe(F.col("s")), "left")
-        .withColumn("new_low", F.when(gap < 0, F.col("lam")).otherwise(F.col("low")))
+        sums.withColumn("new_low", F.when(gap < 0, F.col("lam")).otherwise(F.col("low")))
         .withColumn("new_high", F.when(gap > 0, F.col("lam")).otherwise(F.col("high")))
         .withColumn("new_done", done)
         .select(
@@ -132,11 +133,9 @@ def tilts(histogram: DataFrame, targets: DataFrame) -> DataFrame:
         F.lit(False).alias("done"),
     )
     state = saved(state, "tilts")
-    rows = histogram.where(F.col("size") > 0)
-    for _ in range(ROUNDS // STEPS_PER_JOB):
-        for _ in range(STEPS_PER_JOB):
-            state = newton_step(rows, state)
-        state = saved(state, "tilts")
+    for _ in range(ROUNDS):
+        # Written each round: a plan never holds more than one step, and the state is scanned with its true size.
+        state = saved(newton_step(histogram, state), "tilts")
         if state.where(~F.col("done")).isEmpty():
             break
     return state.select("source", "mean", "lam")

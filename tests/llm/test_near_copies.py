@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from flotilla.llm import minhash
+from flotilla.llm import minhash, mixing
 from flotilla.llm.common import saved
 
 from .conftest import SF, awkward_rows
@@ -102,6 +102,22 @@ def test_long_chain_is_one_component(spark):
     assert len(got) == len(want) and {r.node: r.label for r in got} == want
 
 
+def test_plan_of_a_mixing_round_holds_its_state_once(spark):
+    histogram = spark.createDataFrame([("a", 4, 9), ("a", 7, 3), (None, 0, 2), ("b", 5, 1)], "source string, size long, n long")
+    state = spark.createDataFrame(
+        [("a", 50.0, 4.75, 0.0, -64.0, 64.0, False), (None, 0.0, 0.0, 0.0, -64.0, 64.0, False), ("b", 15.0, 5.0, 0.5, -64.0, 64.0, True)],
+        "source string, target double, mean double, lam double, low double, high double, done boolean",
+    )
+    out = state
+    for _ in range(3):
+        out = mixing.newton_step(histogram, out)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 3
+    one = {r.source: r for r in mixing.newton_step(histogram, state).collect()}
+    # 57 words of a: 50 - 57 over the slope (36 * 4 + 21 * 7) / 4.75.
+    assert abs(one["a"].lam + 7 * 4.75 / 291) < 1e-9 and not one["a"].done and one["a"].high == 0.0
+    assert one[None].done and one[None].lam == 0.0 and one["b"].done and one["b"].lam == 0.5
+
+
 def test_signature_is_a_shifted_permutation_minimum():
     """Coordinate k is the minimum of pi at the permuted places shifted by k, computed here one by one."""
     import numpy as np
