@@ -50,6 +50,14 @@ SEED = 20240607
 MISS = 1e-5
 MOST_BANDS = 32
 SLICE = 16_384
+# Rows of ids and numbers that a task of a written step takes; with fewer, there is one task a core.
+ROWS_PER_TASK = 100_000
+
+
+def dealt(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of at most ``rows`` rows, in as many tasks as these are worth, however many partitions its shuffle has."""
+    least = df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(max(least, math.ceil(rows / ROWS_PER_TASK)))
 
 
 def band_shape(threshold: float) -> tuple[int, int]:
@@ -188,42 +196,53 @@ def compared(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long, shared long, total long, size long, foreign array<long>")
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node reachable over the undirected ``edges`` (a, b) for each of ``nodes``.
-
-    Nodes without an edge are left out of the rounds and keep their own label.
-    """
-    both = saved(
-        edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges"
-    )
+def joined(edges: DataFrame) -> DataFrame:
+    """(node, label): the smallest node reachable over the undirected ``edges`` (a, b) for each node that has one."""
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = saved(edges.select(F.inline(ways)), "edges")
+    # No step of a round has more than two rows an edge and way.
+    rows = 2 * both.count()
 
     def pointed(parents: DataFrame) -> DataFrame:
         """(a, parent, label): each node's parent, and the parent of that one."""
         up = parents.select(F.col("a").alias("parent"), F.col("parent").alias("label"))
-        return saved(parents.join(up, "parent").select("a", "parent", "label"), "labels")
+        return saved(dealt(parents.join(up, "parent").select("a", "parent", "label"), rows), "labels")
 
     def total(labels: DataFrame) -> tuple:
         return tuple(labels.agg(*[F.sum(F.col(c).cast("decimal(38,0)")) for c in ("parent", "label")]).first())
 
-    labels = pointed(saved(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("parent")), "parents"))
+    labels = pointed(saved(dealt(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("parent")), rows), "parents"))
     now = total(labels)
     while True:
         # Smallest label of the node and its neighbours: the node's new parent, and, hooked on, its parent's.
         near = both.join(labels.select("a", "label"), "a").select(F.col("b").alias("a"), "label")
         low = near.unionByName(labels.select("a", "label")).groupBy("a").agg(F.min("label").alias("low"))
-        low = saved(low.join(labels.select("a", "parent"), "a"), "low")
+        low = saved(dealt(low.join(labels.select("a", "parent"), "a"), rows), "low")
         hooks = low.select(F.col("parent").alias("a"), F.col("low").alias("parent"))
         parents = low.select("a", F.col("low").alias("parent")).unionByName(hooks).groupBy("a").agg(F.min("parent").alias("parent"))
-        labels = pointed(saved(parents, "parents"))
+        labels = pointed(saved(dealt(parents, rows), "parents"))
         # Parents never grow, so equal sums mean that none has changed: every node points to its component's smallest.
         was, now = now, total(labels)
         if was == now:
             break
-    labels = labels.select("a", "label")
-    own = nodes.select(F.col("node"))
-    return own.join(labels.withColumnRenamed("a", "node"), "node", "left").select(
-        "node", F.coalesce("label", "node").alias("label")
-    )
+    return labels.select(F.col("a").alias("node"), "label")
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, label): the smallest node reachable over the undirected ``edges`` (a, b) for each of ``nodes``.
+
+    Nodes without an edge are left out of the rounds and keep their own label.
+    """
+    return nodes.select("node").join(joined(edges), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+
+
+def joined_further(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` of ``components`` with further ``edges``: rounds over the components that these join, not over all nodes."""
+    ends = [labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")) for c in ("a", "b")]
+    between = edges.join(ends[0], "a").join(ends[1], "b").where("label_a <> label_b")
+    between = between.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct()
+    found = joined(between).select(F.col("node").alias("label"), F.col("label").alias("smallest"))
+    return labels.join(found, "label", "left").select("node", F.coalesce("smallest", "label").alias("label"))
 
 
 def linked(percent: int) -> Column:
@@ -260,15 +279,16 @@ def rest_needed(percent: int) -> Column:
     return F.greatest(need - inside, F.lit(1))
 
 
-def foreign_rows(rated: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(h, shingle, rep, n, shared, left, label, least): members by foreign shingle.
+def foreign_rows(opened: DataFrame, percent: int) -> DataFrame:
+    """(h, shingle, rep, n, shared, left, label, least): members of ``placed`` by foreign shingle.
 
     Only shingles whose members lie in several components count. ``left``: how
     many of those the member has from this one on, in hash order; a row stays
     if they are enough for a link with any set (prefix filter). ``least``: the
     shingle's smallest member.
     """
-    rows = saved(placed(rated, labels).select("h", "rep", "n", "shared", "label", F.explode("foreign").alias("shingle")), "foreign")
+    rows = saved(opened.select("h", "rep", "n", "shared", "label", F.explode("foreign").alias("shingle")), "foreign")
+    count = rows.count()
     several = rows.groupBy("h", "shingle").agg(
         F.min("label").alias("l0"), F.max("label").alias("l1"), F.min(F.struct("rep", "n", "shared")).alias("least")
     )
@@ -276,12 +296,12 @@ def foreign_rows(rated: DataFrame, labels: DataFrame, percent: int) -> DataFrame
     after = Window.partitionBy("h", "rep").orderBy(F.col("shingle").desc())
     rows = rows.withColumn("left", F.row_number().over(after))
     enough = F.greatest(F.ceil((F.lit(percent) * F.col("n") - 100 * F.col("shared")) / F.lit(100.0) - F.lit(1e-9)), F.lit(1))
-    return saved(rows.where(F.col("left") >= enough), "foreign-open")
+    return saved(dealt(rows.where(F.col("left") >= enough), count), "foreign-open")
 
 
 def foreign_pairs(rated: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """(a, b): open pairs of kind B."""
-    rows = foreign_rows(rated, labels, percent)
+    rows = foreign_rows(placed(rated, labels), percent)
     pairs = sides(rows, rows, ["h", "shingle"], ["rep", "n", "shared", "label", "left"])
     pairs = pairs.where(F.least("left_x", "left_y") >= rest_needed(percent))
     return pairs.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct()
@@ -302,7 +322,7 @@ def open_links(rated: DataFrame, labels: DataFrame, texts: DataFrame, n: int, pe
     fits = by_leader & (F.abs(F.col("d_x") - F.col("d_y")) <= F.lit(slack))
     kind_a = sides(around, rows.withColumn("bin", bin_), ["h", "bin"], ["rep", "n", "shared", "d", "label"]).where(fits)
     kind_a = kind_a.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b"))
-    foreign = foreign_rows(rated, labels, percent).where(F.col("rep") != F.col("least.rep"))
+    foreign = foreign_rows(rows, percent).where(F.col("rep") != F.col("least.rep"))
     foreign = foreign.select(
         F.col("least.rep").alias("a"), F.col("rep").alias("b"), "left",
         F.col("least.n").alias("n_x"), F.col("n").alias("n_y"),
@@ -339,25 +359,23 @@ def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> Data
     threshold = percent / 100
     sketches = saved(sketch(documents, n, threshold), "sketches")
     named = sketches.where(F.col("doc_id").isNotNull() & F.col("print").isNotNull())
-    classes = saved(
-        named.groupBy("print").agg(
-            F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
-        ),
-        "classes",
+    count = sketches.count()
+    entries = count * band_shape(threshold)[1]
+    classes = named.groupBy("print").agg(
+        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
     )
+    classes = saved(dealt(classes, count), "classes")
     buckets = classes.select("rep", "n", F.explode("bands").alias("key"))
-    leaders = saved(
+    leaders = (
         buckets.groupBy("key")
         .agg(F.min("rep").alias("leader"), F.max("rep").alias("last"))
         .where(F.col("leader") != F.col("last"))
-        .select("key", "leader"),
-        "leaders",
-    )
-    members = saved(buckets.join(leaders, "key").select("key", "leader", "rep", "n"), "members")
-    stars = saved(
-        members.where(F.col("rep") != F.col("leader")).select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(),
-        "stars",
+        .select("key", "leader")
     )
+    leaders = saved(dealt(leaders, entries), "leaders")
+    members = saved(dealt(buckets.join(leaders, "key").select("key", "leader", "rep", "n"), entries), "members")
+    stars = members.where(F.col("rep") != F.col("leader")).select(F.col("leader").alias("a"), F.col("rep").alias("b"))
+    stars = saved(dealt(stars.distinct(), entries), "stars")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = saved(texts.join(wanted, "doc_id", "left_semi"), "texts")
@@ -366,19 +384,18 @@ def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> Data
     closest = F.max(F.struct(F.col("shared") / F.col("total"), "shared", "total", "size", "foreign")).alias("m")
     rated = saved(rated.groupBy("a", "b").agg(closest).select("a", "b", "m.shared", "m.total", "m.size", "m.foreign"), "rated")
     same_id = saved(id_links(named, classes), "id-links")
-    ends = wanted.select(F.col("doc_id").alias("node")).unionByName(same_id.select(F.explode(F.array("a", "b")).alias("node")))
-    nodes = saved(ends.distinct(), "nodes")
+    ends = members.select(F.col("rep").alias("node")).unionByName(same_id.select(F.explode(F.array("a", "b")).alias("node")))
+    nodes = saved(dealt(ends.distinct(), count), "nodes")
     links = rated.where(linked(percent)).select("a", "b").unionByName(same_id)
     labels = saved(components(nodes, links), "components")
     more = saved(open_links(rated, labels, texts, n, percent), "more-links")
-    known = links.unionByName(more)
     if not more.isEmpty():
-        labels = saved(components(nodes, known), "components")
+        labels = saved(joined_further(labels, more), "components")
     # Once more over foreign shingles: what their smallest members have not joined.
     last = foreign_pairs(rated, labels, percent).join(known_pairs(rated), ["a", "b"], "left_anti")
     last = saved(compared(saved(last, "last-pairs"), texts, n).where(linked(percent)).select("a", "b"), "last-links")
     if not last.isEmpty():
-        labels = saved(components(nodes, known.unionByName(last)), "components")
+        labels = saved(joined_further(labels, last), "components")
 
     reps = classes.select("print", "rep")
     reps = saved(

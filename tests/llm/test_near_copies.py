@@ -102,6 +102,41 @@ def test_long_chain_is_one_component(spark):
     assert len(got) == len(want) and {r.node: r.label for r in got} == want
 
 
+def test_further_edges_join_components(spark):
+    rng = random.Random(7)
+    nodes = spark.range(300).withColumnRenamed("id", "node")
+    draw = lambda n: spark.createDataFrame([(rng.randrange(300), rng.randrange(300)) for _ in range(n)], "a long, b long")
+    first, more, none = draw(90), draw(70), draw(1).limit(0)
+    labels = saved(minhash.components(nodes, first), "test-labels")
+    want = sorted(minhash.components(nodes, first.unionByName(more)).collect())
+    assert sorted(minhash.joined_further(labels, more).collect()) == want
+    assert sorted(minhash.joined_further(labels, none).collect()) == sorted(labels.collect())
+
+
+def test_small_rounds_write_few_files(spark, monkeypatch):
+    """A round of few rows takes a task a core, however many partitions a shuffle has."""
+    files = {}
+
+    def counted(df, name):
+        out = saved(df, name)
+        files[name] = max(files.get(name, 0), len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(minhash, "saved", counted)
+    cores = spark.sparkContext.defaultParallelism
+    settings = {"spark.sql.shuffle.partitions": str(4 * cores), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        edges = spark.range(2_000).select(F.col("id").alias("a"), (F.col("id") + F.col("id") % 3).alias("b"))
+        minhash.components(spark.range(2_000).withColumnRenamed("id", "node"), edges).count()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert all(0 < files[name] <= cores for name in ("parents", "labels", "low"))
+
+
 def test_plan_of_a_mixing_round_holds_its_state_once(spark):
     histogram = spark.createDataFrame([("a", 4, 9), ("a", 7, 3), (None, 0, 2), ("b", 5, 1)], "source string, size long, n long")
     state = spark.createDataFrame(
